@@ -14,8 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import profile
+from tabsight.operators import profile, quality
 from tabsight.plans import sqltext as S
+from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
 
 
@@ -81,6 +82,141 @@ def a04(spark, d):
     return out
 
 
+# ---------------------------------------------------------------------------
+# A5-A14 quality gates, U1-U2
+# ---------------------------------------------------------------------------
+
+_LEAK_COLS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+              "l_returnflag", "l_linestatus", "leak_num", "leak_cat", "const"]
+_LEAK_TYPES = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+               "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+               "leak_num": "int", "leak_cat": "string", "const": "int"}
+_LEAK_NUM = [c for c in _LEAK_COLS if _LEAK_TYPES[c] != "string"]
+_LEAK_CAT = [c for c in _LEAK_COLS if _LEAK_TYPES[c] == "string"]
+_LEAK_IDLIKE = [c for c in _LEAK_COLS if _LEAK_TYPES[c] in ("bigint", "int", "string")]
+
+
+@register("A05_value_counts", S.value_counts_sql("customer", "c_nationkey"))
+def a05(spark, d):
+    return quality.value_counts(t(spark, d, "customer"), "c_nationkey")
+
+
+@register("A06_contingency", S.contingency_sql("part", "p_type", ["p_name", "p_brand"]))
+def a06(spark, d):
+    return quality.contingency(t(spark, d, "part"), "p_type", ["p_name", "p_brand"])
+
+
+_A07_SRC = (
+    f"(SELECT *, CASE WHEN l_discount > 0.05 THEN 'hi' ELSE 'lo' END AS disc_hi FROM {V.LI_LEAK_SQL})"
+)
+
+
+@register(
+    "A07_cramers_v",
+    f"SELECT feature, n, r, k, round(chi2, 6) AS chi2, round(v, 8) AS v FROM ("
+    f"{S.cramers_sql(S.contingency_sql(_A07_SRC, 'l_linestatus', ['l_returnflag', 'leak_cat', 'disc_hi']))})",
+)
+def a07(spark, d):
+    df = V.li_leak(spark, d).withColumn(
+        "disc_hi", F.when(F.col("l_discount") > 0.05, "hi").otherwise("lo")
+    )
+    cells = quality.contingency(df, "l_linestatus", ["l_returnflag", "leak_cat", "disc_hi"])
+    return quality.cramers_v(cells).select(
+        "feature", "n", "r", "k", F.round("chi2", 6).alias("chi2"), F.round("v", 8).alias("v")
+    )
+
+
+@register(
+    "A08_pearson_with_target",
+    "SELECT feature, n_pairs, round(r, 8) AS r FROM ("
+    + S.pearson_sql(V.LI_LEAK_SQL, "l_linenumber", [c for c in _LEAK_NUM if c != "l_linenumber"]) + ")",
+)
+def a08(spark, d):
+    feats = [c for c in _LEAK_NUM if c != "l_linenumber"]
+    out = quality.pearson_with_target(V.li_leak(spark, d), "l_linenumber", feats)
+    return out.select("feature", "n_pairs", F.round("r", 8).alias("r"))
+
+
+def _warn_sql(target):
+    return S.warnings_sql(V.LI_LEAK_SQL, target, _LEAK_COLS, _LEAK_NUM, _LEAK_CAT, _LEAK_IDLIKE, _LEAK_TYPES)
+
+
+@register(
+    "A09_detect_leakage",
+    "SELECT column_name, issue, metric, round(value, 6) AS value, detail FROM ("
+    + _warn_sql("l_returnflag") + ") WHERE issue = 'feature_leakage'",
+)
+def a09(spark, d):
+    w = quality.detect_leakage(V.li_leak(spark, d), "l_returnflag")
+    return w.select("column_name", "issue", "metric", F.round("value", 6).alias("value"), "detail")
+
+
+@register(
+    "A10_leakage_report",
+    "SELECT feature, metric, round(value, 4) AS value, CAST(CASE WHEN metric = 'pearson' THEN 0.95 ELSE 0.9 END AS DOUBLE) AS threshold FROM ("
+    + S.leakage_scores_sql(V.LI_LEAK_SQL, "l_linenumber", [c for c in _LEAK_NUM if c != "l_linenumber"], _LEAK_CAT)
+    + ") WHERE abs(value) > CASE WHEN metric = 'pearson' THEN 0.95 ELSE 0.9 END",
+)
+def a10(spark, d):
+    return quality.leakage_report(V.li_leak(spark, d), "l_linenumber", 0.95, 0.9)
+
+
+@register(
+    "A11_detect_id_columns",
+    "SELECT column_name, issue, value, detail FROM ("
+    + S.warnings_sql("customer", "c_mktsegment", S.TABLE_COLUMNS["customer"], ["c_custkey", "c_nationkey", "c_acctbal"],
+                     ["c_name", "c_mktsegment"], ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+                     dict(zip(S.TABLE_COLUMNS["customer"], S.TABLE_TYPES["customer"])))
+    + ") WHERE issue = 'id_column'",
+)
+def a11(spark, d):
+    return quality.detect_id_columns(t(spark, d, "customer")).select("column_name", "issue", "value", "detail")
+
+
+@register(
+    "A12_detect_constant_columns",
+    "SELECT column_name, issue, value, detail FROM (" + _warn_sql("l_returnflag") + ") WHERE issue = 'constant_column'",
+)
+def a12(spark, d):
+    return quality.detect_constant_columns(V.li_leak(spark, d)).select("column_name", "issue", "value", "detail")
+
+
+@register(
+    "A13_detect_imbalance",
+    "SELECT class_name, issue, round(value, 8) AS value, detail FROM ("
+    + S.warnings_sql("customer", "c_nationkey", S.TABLE_COLUMNS["customer"], ["c_custkey", "c_nationkey", "c_acctbal"],
+                     ["c_name", "c_mktsegment"], ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+                     dict(zip(S.TABLE_COLUMNS["customer"], S.TABLE_TYPES["customer"])))
+    + ") WHERE issue = 'class_imbalance'",
+)
+def a13(spark, d):
+    w = quality.detect_imbalance(t(spark, d, "customer"), "c_nationkey")
+    return w.select("class_name", "issue", F.round("value", 8).alias("value"), "detail")
+
+
+@register(
+    "A13_detect_imbalance_boundary",
+    "SELECT class_name, n, fraction FROM (" + S.value_counts_sql("documents", "source") + ") WHERE fraction < 0.05",
+)
+def a13b(spark, d):
+    return quality.value_counts(t(spark, d, "documents"), "source").where(F.col("fraction") < 0.05)
+
+
+@register(
+    "U02_quality_warnings",
+    "SELECT gate, seq, column_name, class_name, issue, metric, round(value, 6) AS value, detail FROM ("
+    + _warn_sql("l_returnflag") + ")",
+)
+def u02(spark, d):
+    w = quality.quality_warnings(V.li_leak(spark, d), "l_returnflag")
+    return w.withColumn("value", F.round("value", 6))
+
+
+@register("A14_summarize_quality", S.summary_sql(_warn_sql("l_returnflag")))
+def a14(spark, d):
+    return quality.summarize_quality(V.li_leak(spark, d), "l_returnflag")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 

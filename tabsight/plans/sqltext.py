@@ -104,3 +104,107 @@ def resolve_sql(table: str) -> str:
         "CASE WHEN status = 'human_required' THEN concat_ws(',', top_col, second_col) END AS candidates, "
         "top_score, second_score, n_candidates FROM b"
     )
+
+
+# --- quality gates -------------------------------------------------------------
+
+def value_counts_sql(src: str, target: str) -> str:
+    return (
+        f"SELECT CAST({target} AS VARCHAR) AS class_name, count(*) AS n, "
+        f"count(*) / sum(count(*)) OVER () AS fraction FROM {src} WHERE {target} IS NOT NULL GROUP BY 1"
+    )
+
+
+def contingency_sql(src: str, target: str, feats: list[str]) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {lit(c)} AS feature, CAST({c} AS VARCHAR) AS f, CAST({target} AS VARCHAR) AS t FROM {src}"
+        for c in feats
+    )
+    return f"SELECT feature, f, t, count(*) AS n FROM ({parts}) WHERE f IS NOT NULL AND t IS NOT NULL GROUP BY 1, 2, 3"
+
+
+def cramers_sql(cells: str) -> str:
+    """Independent form: margins by joins, Yates over the explicit 2x2 grid."""
+    return (
+        f"WITH cells AS ({cells}), "
+        "rm AS (SELECT feature, f, sum(n) AS R FROM cells GROUP BY 1, 2), "
+        "cm AS (SELECT feature, t, sum(n) AS C FROM cells GROUP BY 1, 2), "
+        "tot AS (SELECT feature, sum(n) AS n, count(DISTINCT f) AS r, count(DISTINCT t) AS k FROM cells GROUP BY 1), "
+        "obs AS (SELECT c.feature, sum(CAST(c.n AS DOUBLE) * c.n / (CAST(rm.R AS DOUBLE) * cm.C)) AS s "
+        "FROM cells c JOIN rm ON c.feature = rm.feature AND c.f = rm.f JOIN cm ON c.feature = cm.feature AND c.t = cm.t GROUP BY 1), "
+        "grid AS (SELECT rm.feature, rm.f, cm.t, rm.R, cm.C FROM rm JOIN cm ON rm.feature = cm.feature "
+        "JOIN tot ON tot.feature = rm.feature WHERE tot.r = 2 AND tot.k = 2), "
+        "yat AS (SELECT g.feature, sum(power(greatest(abs(coalesce(c.n, 0) - CAST(g.R AS DOUBLE) * g.C / tot.n) - 0.5, 0), 2) "
+        "/ (CAST(g.R AS DOUBLE) * g.C / tot.n)) AS chi2y FROM grid g JOIN tot ON tot.feature = g.feature "
+        "LEFT JOIN cells c ON c.feature = g.feature AND c.f = g.f AND c.t = g.t GROUP BY 1), "
+        "chi AS (SELECT tot.feature, tot.n, tot.r, tot.k, CASE WHEN tot.r = 2 AND tot.k = 2 THEN yat.chi2y "
+        "WHEN tot.r < 2 OR tot.k < 2 THEN 0.0 ELSE greatest(tot.n * (obs.s - 1.0), 0.0) END AS chi2 "
+        "FROM tot JOIN obs ON obs.feature = tot.feature LEFT JOIN yat ON yat.feature = tot.feature) "
+        "SELECT feature, n, r, k, chi2, CASE WHEN n * (least(r, k) - 1) > 0 THEN sqrt(chi2 / (n * (least(r, k) - 1))) ELSE 0.0 END AS v FROM chi"
+    )
+
+
+def pearson_sql(src: str, target: str, feats: list[str]) -> str:
+    parts = []
+    for c in feats:
+        parts.append(
+            f"SELECT {lit(c)} AS feature, count(*) AS n_pairs, CASE WHEN count(*) >= 5 AND min(raw) <> max(raw) "
+            "AND count(y) = count(*) AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 "
+            "THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS r "
+            f"FROM (SELECT CAST({c} AS DOUBLE) AS x, TRY_CAST({target} AS DOUBLE) AS y, {target} AS raw FROM {src} "
+            f"WHERE {c} IS NOT NULL AND {target} IS NOT NULL)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def leakage_scores_sql(src: str, target: str, num: list[str], cat: list[str]) -> str:
+    return (
+        f"SELECT feature, 'pearson' AS metric, r AS value FROM ({pearson_sql(src, target, num)}) WHERE r IS NOT NULL "
+        f"UNION ALL SELECT feature, 'cramers_v' AS metric, v AS value FROM ({cramers_sql(contingency_sql(src, target, cat))}) WHERE n >= 5"
+    )
+
+
+def warnings_sql(src: str, target: str, cols: list[str], num: list[str], cat: list[str], idlike: list[str], types: dict) -> str:
+    """All gates unioned, then first-wins de-duplication."""
+    ordmap = " ".join(f"WHEN {lit(c)} THEN {i}" for i, c in enumerate(cols))
+    feats = [c for c in cols if c != target]
+    fmap = " ".join(f"WHEN {lit(c)} THEN {i}" for i, c in enumerate(feats))
+    prof_aggs = ", ".join(f"count(DISTINCT {c}) AS u{i}" for i, c in enumerate(cols))
+    prof_rows = " UNION ALL ".join(
+        f"SELECT {lit(c)} AS column_name, {i} AS ordinal, {lit(types[c])} AS dtype, n_rows, u{i} AS n_unique FROM s"
+        for i, c in enumerate(cols)
+    )
+    idset = ", ".join(lit(c) for c in idlike) or "''"
+    return (
+        f"WITH s AS (SELECT count(*) AS n_rows, {prof_aggs} FROM {src}), prof AS ({prof_rows}), "
+        f"lk AS ({leakage_scores_sql(src, target, [c for c in num if c != target], [c for c in cat if c != target])}), "
+        f"vc AS ({value_counts_sql(src, target)}), "
+        "w AS ("
+        f"SELECT 0 AS gate, CASE feature {fmap} END AS seq, feature AS column_name, CAST(NULL AS VARCHAR) AS class_name, "
+        "'feature_leakage' AS issue, metric, value, "
+        f"CASE WHEN metric = 'pearson' THEN printf('Pearson r=%.4f with target (threshold 0.95)', value) "
+        "ELSE printf('Cramers V=%.4f with target (too high)', value) END AS detail FROM lk "
+        "WHERE abs(value) > 0.95 "
+        "UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY n DESC, class_name) AS INTEGER), NULL, class_name, 'class_imbalance', 'fraction', fraction, "
+        "printf('''%s'' has %d samples (%.1f%%) — fewer than 5%%. This class may be hard to learn.', class_name, n, fraction * 100) "
+        "FROM vc WHERE fraction < 0.05 "
+        "UNION ALL SELECT 2, ordinal, column_name, NULL, 'id_column', 'n_unique', n_unique, "
+        "printf('Every row has a unique value & dtype is %s — this is likely an ID, not a feature.', dtype) "
+        f"FROM prof WHERE n_unique = n_rows AND n_rows > 8 AND column_name IN ({idset}) "
+        "UNION ALL SELECT 3, ordinal, column_name, NULL, 'constant_column', 'n_unique', n_unique, "
+        "'Column has only 1 unique value — adds no information' FROM prof WHERE n_unique <= 1), "
+        "d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(column_name, class_name), issue ORDER BY gate, seq) AS k FROM w) "
+        "SELECT gate, seq, column_name, class_name, issue, metric, value, detail FROM d WHERE k = 1"
+    )
+
+
+def summary_sql(warnings: str) -> str:
+    return (
+        f"WITH w AS ({warnings}), a AS (SELECT count(*) AS n_issues, "
+        "string_agg(DISTINCT CASE issue WHEN 'feature_leakage' THEN 'Leakage' WHEN 'id_column' THEN 'ID columns' "
+        "WHEN 'constant_column' THEN 'Constant columns' WHEN 'class_imbalance' THEN 'Imbalanced classes' ELSE issue END, ', ' "
+        "ORDER BY CASE issue WHEN 'feature_leakage' THEN 'Leakage' WHEN 'id_column' THEN 'ID columns' "
+        "WHEN 'constant_column' THEN 'Constant columns' WHEN 'class_imbalance' THEN 'Imbalanced classes' ELSE issue END) AS names FROM w) "
+        "SELECT n_issues = 0 AS passed, n_issues, CASE WHEN n_issues = 0 THEN 'All quality checks passed. No data issues detected.' "
+        "ELSE printf('Found %d issue(s): %s.', n_issues, names) END AS summary FROM a"
+    )
