@@ -42,14 +42,14 @@ def _check_target(df: DataFrame, target: str) -> None:
 def value_counts(df: DataFrame, target: str) -> DataFrame:
     """Class counts and shares over non-null target rows (A5).
 
-    ``class_name, n, fraction``; a global total joins as a one-row broadcast.
+    ``class_name, n, fraction``.
     """
     _check_target(df, target)
     y = col(target).cast("string")
     counts = df.where(col(target).isNotNull()).groupBy(y.alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        "class_name", "n", (F.col("n") / F.col("total")).alias("fraction")
+    # one row per distinct value: the global window runs over the class list only
+    return counts.select(
+        "class_name", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("fraction")
     )
 
 

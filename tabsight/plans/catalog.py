@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import profile, quality
+from tabsight.operators import prep, profile, quality, split
 from tabsight.plans import sqltext as S
 from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
@@ -217,6 +217,179 @@ def a14(spark, d):
     return quality.summarize_quality(V.li_leak(spark, d), "l_returnflag")
 
 
+# ---------------------------------------------------------------------------
+# preprocessing
+# ---------------------------------------------------------------------------
+
+_PART_FIT = "(SELECT * FROM part WHERE p_size <= 10)"
+_LI_FEATS_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                 "l_discount", "l_tax"]
+_LI_FEATS_CAT = ["l_returnflag"]
+_LI_PREP_SQL = f"(SELECT * EXCLUDE (l_empty) FROM {V.LI_NULLS_SQL})"
+
+
+def _li_prep_df(spark, d):
+    return V.li_nulls(spark, d).drop("l_empty")
+
+
+@register("F01_encode_categories_fit", S.dictionary_sql("part", ["p_name", "p_brand", "p_type"]))
+def f01(spark, d):
+    return prep.fit_dictionary(t(spark, d, "part"), ["p_name", "p_brand", "p_type"])
+
+
+@register(
+    "F02_encode_categories_transform",
+    S.encoded_sql("part", _PART_FIT, [], ["p_name", "p_brand", "p_type"], ["p_partkey"]),
+)
+def f02(spark, d):
+    part = t(spark, d, "part")
+    fit_rows = part.where(F.col("p_size") <= 10).select("p_name", "p_brand", "p_type", "p_size")
+    pre = prep.fit_preprocess(fit_rows, target="p_size")
+    return pre.encode(part.select("p_partkey", "p_name", "p_brand", "p_type"), keep=["p_partkey"])
+
+
+@register(
+    "A15_median",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE) AS median FROM {V.LI_NULLS_SQL}"
+        for c in _LI_FEATS_NUM
+    ),
+)
+def a15(spark, d):
+    m = prep.medians(V.li_nulls(spark, d), _LI_FEATS_NUM)
+    # one value per column, computed by one Spark aggregate
+    return spark.createDataFrame(list(m.items()), "column_name string, median double")
+
+
+_ENC_LI = S.encoded_sql(_LI_PREP_SQL, _LI_PREP_SQL, _LI_FEATS_NUM, _LI_FEATS_CAT, [])
+
+
+@register(
+    "A16_mean_std",
+    f"WITH e AS ({_ENC_LI}) "
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, round(avg({c}), 9) AS mean, round(stddev_pop({c}), 9) AS std, "
+        f"round(CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END, 9) AS scale FROM e"
+        for c in _LI_FEATS_CAT + _LI_FEATS_NUM
+    ),
+)
+def a16(spark, d):
+    df = _li_prep_df(spark, d)
+    pre = prep.fit_preprocess(df, target="l_linestatus")
+    enc = pre.encode(df)
+    out = prep.mean_std(enc, pre.feature_columns)
+    return out.select("column_name", *[F.round(c, 9).alias(c) for c in ("mean", "std", "scale")])
+
+
+@register(
+    "F06_fit_preprocess",
+    S.scaled_sql(
+        S.encoded_sql(_LI_PREP_SQL, _LI_PREP_SQL, _LI_FEATS_NUM, _LI_FEATS_CAT, ["l_linestatus"]),
+        _LI_FEATS_CAT + _LI_FEATS_NUM,
+        ["CAST(dense_rank() OVER (ORDER BY l_linestatus) - 1 AS DOUBLE) AS label"],
+    ),
+)
+def f06(spark, d):
+    df = _li_prep_df(spark, d)
+    pre = prep.fit_preprocess(df, target="l_linestatus")
+    out = pre.transform(pre.encode_target(df), keep=["label"])
+    return out.select("label", *[F.round(c, 6).alias(c) for c in pre.feature_columns])
+
+
+@register(
+    "F03_impute_median",
+    "SELECT l_orderkey, l_linenumber, "
+    f"coalesce(TRY_CAST(l_tax AS DOUBLE), (SELECT median(l_tax) FROM {V.LI_NULLS_SQL})) AS l_tax FROM {V.LI_NULLS_SQL}",
+)
+def f03(spark, d):
+    df = V.li_nulls(spark, d)
+    fill = prep.medians(df, ["l_tax"])["l_tax"]
+    return df.select("l_orderkey", "l_linenumber", F.coalesce(F.expr("try_cast(l_tax AS DOUBLE)"), F.lit(fill)).alias("l_tax"))
+
+
+@register(
+    "F04_standard_scale",
+    "WITH st AS (SELECT avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem) "
+    "SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / CASE WHEN s = 0 THEN 1.0 ELSE s END, 6) AS z "
+    "FROM lineitem, st",
+)
+def f04(spark, d):
+    li = t(spark, d, "lineitem")
+    st = prep.mean_std(li, ["l_extendedprice"]).first()
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        F.round((F.col("l_extendedprice") - F.lit(st["mean"])) / F.lit(st["scale"]), 6).alias("z"),
+    )
+
+
+@register(
+    "F05_encode_target",
+    "SELECT o_orderkey, o_orderstatus, CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS DOUBLE) AS label, "
+    "o_orderstatus AS decoded FROM orders",
+)
+def f05(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    pre = prep.fit_preprocess(o, target="o_orderstatus")
+    enc = pre.encode_target(o)
+    return enc.select("o_orderkey", "o_orderstatus", "label", pre.decode_target("label", "decoded"))
+
+
+@register(
+    "A17_class_weights",
+    "SELECT o_orderpriority AS class_name, count(*) AS n, "
+    "sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM orders GROUP BY 1",
+)
+def a17(spark, d):
+    return prep.class_weights(t(spark, d, "orders"), "o_orderpriority")
+
+
+# ---------------------------------------------------------------------------
+# Samples, folds, hold-out
+# ---------------------------------------------------------------------------
+
+_LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_LI_KEY_SQL = "concat_ws('|', '42', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in _LI_KEY) + ")"
+
+
+@register(
+    "K02_sample_n",
+    f"SELECT {', '.join(_LI_KEY)} FROM lineitem ORDER BY md5({_LI_KEY_SQL}), {', '.join(_LI_KEY)} LIMIT 500",
+)
+def k02(spark, d):
+    return split.sample_n(t(spark, d, "lineitem").select(*_LI_KEY), 500, _LI_KEY)
+
+
+@register(
+    "K03_stratified_kfold",
+    f"SELECT {', '.join(_LI_KEY)}, l_returnflag, CAST((row_number() OVER (PARTITION BY l_returnflag "
+    f"ORDER BY md5({_LI_KEY_SQL}), {', '.join(_LI_KEY)}) - 1) % 3 AS INTEGER) AS fold FROM lineitem",
+)
+def k03(spark, d):
+    li = t(spark, d, "lineitem").select(*_LI_KEY, "l_returnflag")
+    return split.assign_folds(li, "l_returnflag", _LI_KEY, k=3, mode="exact")
+
+
+@register(
+    "K03_hash_folds",
+    f"SELECT {', '.join(_LI_KEY)}, CAST(least(floor({S.hash_unit_sql(_LI_KEY, 42)} * 3), 2) AS INTEGER) AS fold FROM lineitem",
+)
+def k03h(spark, d):
+    li = t(spark, d, "lineitem").select(*_LI_KEY, "l_returnflag")
+    return split.assign_folds(li, "l_returnflag", _LI_KEY, k=3, mode="hash").drop("l_returnflag")
+
+
+@register(
+    "K04_stratified_holdout",
+    "WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus "
+    "ORDER BY md5(concat_ws('|', '42', CAST(o_orderkey AS VARCHAR))), o_orderkey) - 1 AS i, "
+    "count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) "
+    "SELECT o_orderkey, o_orderstatus, i < ceil(n * 0.2) AS is_test FROM r",
+)
+def k04(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    return split.stratified_holdout(o, "o_orderstatus", ["o_orderkey"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 

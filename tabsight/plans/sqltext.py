@@ -6,7 +6,7 @@ computes the answer independently of the Spark code path.
 
 from __future__ import annotations
 
-from tabsight.functions.exprs import NEGATIVE_NAME_PATTERNS, POSITIVE_NAME_PATTERNS
+from tabsight.functions.exprs import NEGATIVE_NAME_PATTERNS, POSITIVE_NAME_PATTERNS, hash_unit_sql  # noqa: F401
 
 # Column lists of the driver tables (the oracle text is static SQL).
 TABLE_COLUMNS = {
@@ -208,3 +208,47 @@ def summary_sql(warnings: str) -> str:
         "SELECT n_issues = 0 AS passed, n_issues, CASE WHEN n_issues = 0 THEN 'All quality checks passed. No data issues detected.' "
         "ELSE printf('Found %d issue(s): %s.', n_issues, names) END AS summary FROM a"
     )
+
+
+# --- preprocessing -------------------------------------------------------------
+
+UNKNOWN = "'__UNKNOWN__'"
+
+
+def dictionary_sql(src: str, feats: list[str]) -> str:
+    vals = " UNION ALL ".join(
+        f"SELECT {lit(c)} AS feature, coalesce(CAST({c} AS VARCHAR), {UNKNOWN}) AS value FROM {src} "
+        f"UNION ALL SELECT {lit(c)}, {UNKNOWN}"
+        for c in feats
+    )
+    return (
+        "SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS idx "
+        f"FROM (SELECT DISTINCT feature, value FROM ({vals}))"
+    )
+
+
+def encoded_sql(src: str, fit_src: str, numeric: list[str], categorical: list[str], keep: list[str]) -> str:
+    """Dictionary-encoded, median-filled features (unscaled)."""
+    dict_cte = dictionary_sql(fit_src, categorical) if categorical else None
+    sel = [f"{k} AS {k}" for k in keep]
+    joins = []
+    for i, c in enumerate(categorical):
+        sel.append(
+            f"CAST(coalesce(d{i}.idx, (SELECT idx FROM dct WHERE feature = {lit(c)} AND value = {UNKNOWN})) AS DOUBLE) AS {c}"
+        )
+        joins.append(
+            f"LEFT JOIN (SELECT value, idx FROM dct WHERE feature = {lit(c)}) d{i} "
+            f"ON d{i}.value = coalesce(CAST(s.{c} AS VARCHAR), {UNKNOWN})"
+        )
+    for c in numeric:
+        sel.append(f"coalesce(TRY_CAST(s.{c} AS DOUBLE), (SELECT median(CAST({c} AS DOUBLE)) FROM {fit_src})) AS {c}")
+    with_ = f"WITH dct AS ({dict_cte}) " if dict_cte else ""
+    return f"{with_}SELECT {', '.join(sel)} FROM {src} s {' '.join(joins)}"
+
+
+def scaled_sql(encoded: str, feats: list[str], keep: list[str], digits: int = 6) -> str:
+    stats = ", ".join(f"avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}" for c in feats)
+    cols = [f"{k}" for k in keep] + [
+        f"round(({c} - a_{c}) / (CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END), {digits}) AS {c}" for c in feats
+    ]
+    return f"WITH e AS ({encoded}), st AS (SELECT {stats} FROM e) SELECT {', '.join(cols)} FROM e, st"
