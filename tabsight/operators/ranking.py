@@ -52,3 +52,35 @@ def index_within(
     return joined.withColumn(out_col, F.col("_before") + F.col("_pos") - F.col("_first")).drop(
         "_pos", "_blk", "_first", "_before"
     )
+
+
+def running_totals(
+    df: DataFrame,
+    order_cols: list[Column],
+    sum_cols: list[str],
+    prefix: str = "cum_",
+    num_partitions: int | None = None,
+    checkpoint: bool = True,
+) -> DataFrame:
+    """Add ``cum_<c>`` = sum of ``c`` over all rows up to and including this one.
+
+    The global order is ``order_cols`` (must be total).  Rows are range
+    partitioned, each block sums locally, and block offsets come from a table
+    with one row per block, so no task ever holds the whole ordering.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order_cols).withColumn("_blk", F.spark_partition_id())
+    if checkpoint:
+        ensure_checkpoint_dir(spark)
+        ranged = ranged.checkpoint(eager=True)
+    w = Window.partitionBy("_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.select("*", *[F.sum(c).over(w).alias(f"_l_{c}") for c in sum_cols])
+    totals = ranged.groupBy("_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per block: the offsets table is bounded by the partition count
+    offsets = totals.select("_blk", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+    out = local.join(F.broadcast(offsets), "_blk")
+    for c in sum_cols:
+        out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") + F.col(f"_o_{c}"))
+    return out.drop("_blk", *[f"_l_{c}" for c in sum_cols], *[f"_o_{c}" for c in sum_cols])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import prep, profile, quality, split
+from tabsight.operators import evaluate, prep, profile, quality, split
 from tabsight.plans import sqltext as S
 from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
@@ -390,6 +390,113 @@ def k04(spark, d):
     return split.stratified_holdout(o, "o_orderstatus", ["o_orderkey"])
 
 
+# ---------------------------------------------------------------------------
+# Evaluation on the scored views
+# ---------------------------------------------------------------------------
+
+_S5_PRED = f"(SELECT *, CAST(list_position(proba, list_max(proba)) - 1 AS INTEGER) AS y_pred FROM {V.SCORED5_SQL})"
+
+
+def _scored5_pred(spark, d):
+    s5 = V.scored5(spark, d)
+    return s5.withColumn("y_pred", evaluate.argmax(F.col("proba")))
+
+
+@register(
+    "F12_argmax",
+    f"SELECT event_id, y_pred FROM {_S5_PRED}",
+)
+def f12(spark, d):
+    return _scored5_pred(spark, d).select("event_id", "y_pred")
+
+
+@register(
+    "F13_apply_threshold",
+    f"SELECT event_id, CASE WHEN p1 > 0.3 THEN 1 ELSE 0 END AS y_pred FROM {V.SCORED2_SQL}",
+)
+def f13(spark, d):
+    s2 = V.scored2(spark, d)
+    return s2.select("event_id", evaluate.apply_threshold(F.array("p0", "p1"), 0.3, 2).alias("y_pred"))
+
+
+@register(
+    "F14_one_hot_pseudo_proba",
+    f"SELECT event_id, [CASE WHEN y_pred = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN y_pred = 1 THEN 1.0 ELSE 0.0 END, "
+    f"CASE WHEN y_pred = 2 THEN 1.0 ELSE 0.0 END, CASE WHEN y_pred = 3 THEN 1.0 ELSE 0.0 END, "
+    f"CASE WHEN y_pred = 4 THEN 1.0 ELSE 0.0 END]::DOUBLE[] AS proba FROM {_S5_PRED}",
+)
+def f14(spark, d):
+    return _scored5_pred(spark, d).select("event_id", evaluate.one_hot_proba(F.col("y_pred"), 5).alias("proba"))
+
+
+@register(
+    "A18_confusion_matrix",
+    f"WITH p AS {_S5_PRED}, cls AS (SELECT y_true AS c FROM p UNION SELECT y_pred FROM p), "
+    "cells AS (SELECT y_true, y_pred, count(*) AS n FROM p GROUP BY 1, 2) "
+    "SELECT a.c AS true_class, b.c AS pred_class, coalesce(n, 0) AS n FROM cls a CROSS JOIN cls b "
+    "LEFT JOIN cells ON cells.y_true = a.c AND cells.y_pred = b.c",
+)
+def a18(spark, d):
+    return evaluate.confusion_matrix(_scored5_pred(spark, d), "y_true", "y_pred")
+
+
+@register(
+    "A19_core_metrics",
+    f"SELECT sum(tp) / sum(support) AS accuracy, round(sum(precision * support) / sum(support), 10) AS precision, "
+    f"round(sum(recall * support) / sum(support), 10) AS recall, round(sum(f1 * support) / sum(support), 10) AS f1 "
+    f"FROM ({S.per_class_sql(_S5_PRED, 'y_true', 'y_pred')})",
+)
+def a19(spark, d):
+    m = evaluate.core_metrics(_scored5_pred(spark, d), "y_true", "y_pred")
+    return m.select("accuracy", *[F.round(c, 10).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@register(
+    "A20_classification_report",
+    f"WITH pc AS ({S.per_class_sql(_S5_PRED, 'y_true', 'y_pred')}) "
+    "SELECT CAST(class_name AS VARCHAR) AS class_name, round(precision, 10) AS precision, round(recall, 10) AS recall, "
+    "round(f1, 10) AS f1, support FROM pc "
+    "UNION ALL SELECT 'macro avg', round(avg(precision), 10), round(avg(recall), 10), round(avg(f1), 10), sum(support) FROM pc "
+    "UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 10), "
+    "round(sum(recall * support) / sum(support), 10), round(sum(f1 * support) / sum(support), 10), sum(support) FROM pc",
+)
+def a20(spark, d):
+    r = evaluate.classification_report(_scored5_pred(spark, d), "y_true", "y_pred")
+    return r.select("class_name", *[F.round(c, 10).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@register(
+    "A21_balanced_accuracy",
+    f"SELECT round(avg(recall), 10) AS balanced_accuracy FROM ({S.per_class_sql(_S5_PRED, 'y_true', 'y_pred')}) WHERE support > 0",
+)
+def a21(spark, d):
+    b = evaluate.balanced_accuracy(_scored5_pred(spark, d), "y_true", "y_pred")
+    return b.select(F.round("balanced_accuracy", 10).alias("balanced_accuracy"))
+
+
+@register("E01_roc_curve", S.roc_sql(V.SCORED2_SQL, "y_true", "p1"))
+def e01(spark, d):
+    return evaluate.roc_curve(V.scored2(spark, d), "y_true", "p1")
+
+
+@register(
+    "E02_youden_threshold",
+    f"SELECT round(auc, 10) AS auc, youden_threshold, youden_j FROM ({S.threshold_sql(V.SCORED2_SQL, 'y_true', 'p1')})",
+)
+def e02(spark, d):
+    s = evaluate.threshold_summary(V.scored2(spark, d), "y_true", "p1")
+    return s.select(F.round("auc", 10).alias("auc"), "youden_threshold", "youden_j")
+
+
+@register(
+    "E03_f1_threshold",
+    f"SELECT round(auc, 10) AS auc, f1_threshold, f1 FROM ({S.threshold_sql(V.SCORED2_SQL, 'y_true', 'p1')})",
+)
+def e03(spark, d):
+    s = evaluate.threshold_summary(V.scored2(spark, d), "y_true", "p1")
+    return s.select(F.round("auc", 10).alias("auc"), "f1_threshold", "f1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 

@@ -252,3 +252,46 @@ def scaled_sql(encoded: str, feats: list[str], keep: list[str], digits: int = 6)
         f"round(({c} - a_{c}) / (CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END), {digits}) AS {c}" for c in feats
     ]
     return f"WITH e AS ({encoded}), st AS (SELECT {stats} FROM e) SELECT {', '.join(cols)} FROM e, st"
+
+
+# --- evaluation ------------------------------------------------------------------
+
+def per_class_sql(src: str, yt: str, yp: str) -> str:
+    return (
+        f"WITH cells AS (SELECT {yt} AS true_class, {yp} AS pred_class, count(*) AS n FROM {src} GROUP BY 1, 2), "
+        "tr AS (SELECT true_class AS class_name, sum(n) AS support, sum(CASE WHEN true_class = pred_class THEN n ELSE 0 END) AS tp FROM cells GROUP BY 1), "
+        "pr AS (SELECT pred_class AS class_name, sum(n) AS predicted FROM cells GROUP BY 1), "
+        "b AS (SELECT coalesce(tr.class_name, pr.class_name) AS class_name, coalesce(tp, 0) AS tp, coalesce(support, 0) AS support, "
+        "coalesce(predicted, 0) AS predicted FROM tr FULL OUTER JOIN pr ON tr.class_name = pr.class_name), "
+        "m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision, "
+        "CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM b) "
+        "SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM m"
+    )
+
+
+def roc_sql(src: str, yt: str, score: str) -> str:
+    return (
+        f"WITH c AS (SELECT {score} AS score, sum(CASE WHEN {yt} = 1 THEN 1 ELSE 0 END) AS pos, "
+        f"sum(CASE WHEN {yt} = 1 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY 1), "
+        "t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM c), "
+        "r AS (SELECT score, sum(pos) OVER (ORDER BY score DESC) AS tps, sum(neg) OVER (ORDER BY score DESC) AS fps FROM c) "
+        "SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tps, CAST(0 AS BIGINT) AS fps, 0.0::DOUBLE AS tpr, 0.0::DOUBLE AS fpr "
+        "UNION ALL SELECT score, CAST(tps AS BIGINT), CAST(fps AS BIGINT), tps / P, fps / N FROM r, t"
+    )
+
+
+def threshold_sql(src: str, yt: str, score: str) -> str:
+    return (
+        f"WITH c AS (SELECT {score} AS score, sum(CASE WHEN {yt} = 1 THEN 1 ELSE 0 END) AS pos, "
+        f"sum(CASE WHEN {yt} = 1 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY 1), "
+        "g AS (SELECT score, sum(pos) AS pos, sum(neg) AS neg FROM (SELECT * FROM c UNION ALL SELECT 0.0, 0, 0 UNION ALL SELECT 1.0, 0, 0) GROUP BY 1), "
+        "t AS (SELECT CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(neg) AS DOUBLE) AS N FROM c), "
+        "r AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM g), "
+        "m AS (SELECT r.*, P, N, tp / P - fp / N AS j, 2.0 * tp / (2.0 * tp + fp + (P - tp)) AS f1 FROM r, t), "
+        "yj AS (SELECT score, j FROM m WHERE pos + neg > 0 ORDER BY j DESC, score DESC LIMIT 1), "
+        "bf AS (SELECT score, f1 FROM m WHERE tp + fp > 0 AND tp + fp < P + N ORDER BY f1 DESC, score ASC LIMIT 1) "
+        "SELECT (SELECT sum(neg / N * (2.0 * tp - pos) / (2.0 * P)) FROM m) AS auc, "
+        "CASE WHEN (SELECT j FROM yj) > 0 THEN least(greatest((SELECT score FROM yj), 0.0), 1.0) ELSE 1.0 END AS youden_threshold, "
+        "CASE WHEN (SELECT j FROM yj) > 0 THEN (SELECT j FROM yj) ELSE 0.0 END AS youden_j, "
+        "coalesce(least(greatest((SELECT score FROM bf), 0.0), 1.0), 0.5) AS f1_threshold, coalesce((SELECT f1 FROM bf), -1.0) AS f1"
+    )
