@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import evaluate, prep, profile, quality, split
+from tabsight.operators import evaluate, prep, profile, quality, report, split
 from tabsight.plans import sqltext as S
 from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
@@ -497,6 +497,173 @@ def e03(spark, d):
     return s.select(F.round("auc", 10).alias("auc"), "f1_threshold", "f1")
 
 
+# ---------------------------------------------------------------------------
+# Prediction report tables (scored5 as the predictions)
+# ---------------------------------------------------------------------------
+
+_NAMES_SQL = "['" + "', '".join(V.EVENT_TYPES_SORTED) + "']"
+
+
+def _hist_sql(x: str, b: str) -> str:
+    i0 = f"least(floor({x} * {b}), {b} - 1)"
+    i1 = f"(CASE WHEN {x} < {i0} * (1.0 / {b}) THEN {i0} - 1 ELSE {i0} END)"
+    return f"CAST(CASE WHEN {x} >= ({i1} + 1) * (1.0 / {b}) AND {i1} <> {b} - 1 THEN {i1} + 1 ELSE {i1} END AS INTEGER)"
+
+
+@register(
+    "A22_prediction_distribution",
+    f"SELECT y_pred AS class_index, list_extract({_NAMES_SQL}, y_pred + 1) AS class_name, count(*) AS n, "
+    "count(*) * 100.0 / sum(count(*)) OVER () AS pct, "
+    "row_number() OVER (ORDER BY count(*) DESC, y_pred) = 1 AS is_most, "
+    f"row_number() OVER (ORDER BY count(*) ASC, y_pred) = 1 AS is_least FROM {_S5_PRED} GROUP BY y_pred",
+)
+def a22(spark, d):
+    return report.prediction_distribution(_scored5_pred(spark, d), "y_pred", V.EVENT_TYPES_SORTED)
+
+
+@register(
+    "A23_prediction_entropy",
+    f"WITH c AS (SELECT y_pred, count(*) AS n FROM {_S5_PRED} GROUP BY 1), "
+    "t AS (SELECT sum(n) AS tot, count(*) AS k, max(n) AS top FROM c), "
+    "e AS (SELECT -sum(n / tot * log2(n / tot + 1e-10)) AS ent FROM c, t) "
+    "SELECT tot AS n_samples, k AS n_pred_classes, top / tot AS dominance_ratio, round(ent, 10) AS entropy, "
+    "CASE WHEN k > 1 THEN log2(k) ELSE 1.0 END AS max_entropy, "
+    "round(ent / CASE WHEN k > 1 THEN log2(k) ELSE 1.0 END, 10) AS normalized_entropy FROM t, e",
+)
+def a23(spark, d):
+    e = report.prediction_entropy(_scored5_pred(spark, d), "y_pred")
+    return e.select("n_samples", "n_pred_classes", "dominance_ratio", F.round("entropy", 10).alias("entropy"),
+                    "max_entropy", F.round("normalized_entropy", 10).alias("normalized_entropy"))
+
+
+@register(
+    "A24_confidence_stats",
+    f"WITH c AS (SELECT list_max(proba) AS c FROM {_S5_PRED}), q AS (SELECT quantile_cont(c, [0.25, 0.5, 0.75]) AS q FROM c) "
+    "SELECT round(avg(c), 10) AS mean, round(q[2], 10) AS median, round(stddev_pop(c), 10) AS std, min(c) AS min, max(c) AS max, "
+    "round(q[1], 10) AS q25, round(q[3], 10) AS q75, "
+    "avg(CASE WHEN c > 0.9 THEN 1.0 ELSE 0.0 END) * 100 AS high_conf_pct, "
+    "avg(CASE WHEN c < 0.6 THEN 1.0 ELSE 0.0 END) * 100 AS low_conf_pct FROM c, q GROUP BY q",
+)
+def a24(spark, d):
+    cs = report.confidence_stats(_scored5_pred(spark, d), "proba")
+    return cs.select(*[F.round(c, 10).alias(c) if c in ("mean", "median", "std", "q25", "q75") else F.col(c) for c in cs.columns])
+
+
+@register(
+    "A25_per_class_confidence",
+    f"SELECT y_pred AS class_index, count(*) AS n, round(avg(proba[y_pred + 1]), 10) AS mean, "
+    f"round(stddev_pop(proba[y_pred + 1]), 10) AS std, min(proba[y_pred + 1]) AS min, max(proba[y_pred + 1]) AS max "
+    f"FROM {_S5_PRED} GROUP BY 1",
+)
+def a25(spark, d):
+    pc = report.per_class_confidence(_scored5_pred(spark, d), "y_pred", "proba")
+    return pc.select("class_index", "n", F.round("mean", 10).alias("mean"), F.round("std", 10).alias("std"), "min", "max")
+
+
+@register(
+    "A26_confidence_histogram",
+    f"WITH p AS (SELECT y_pred, list_max(proba) AS c, proba[y_pred + 1] AS pc FROM {_S5_PRED}), "
+    "s AS (SELECT y_pred, count(*) AS n_c FROM p GROUP BY 1) "
+    f"SELECT -1 AS scope, 20 AS bins, {_hist_sql('c', '20')} AS bin, count(*) AS n FROM p WHERE c BETWEEN 0 AND 1 GROUP BY 3 "
+    f"UNION ALL SELECT p.y_pred, CAST(least(n_c, 15) AS INTEGER), {_hist_sql('pc', 'least(n_c, 15)')}, count(*) "
+    "FROM p JOIN s ON p.y_pred = s.y_pred WHERE pc BETWEEN 0 AND 1 GROUP BY 1, 2, 3",
+)
+def a26(spark, d):
+    return report.confidence_histogram(_scored5_pred(spark, d), "y_pred", "proba")
+
+
+_IMPORTANCE_SQL = (
+    "SELECT feature, abs(r) AS importance FROM ("
+    + S.pearson_sql(V.LI_LEAK_SQL, "l_linenumber", [c for c in _LEAK_NUM if c != "l_linenumber"]) + ") WHERE r IS NOT NULL"
+)
+
+
+def _importance_df(spark, d):
+    feats = [c for c in _LEAK_NUM if c != "l_linenumber"]
+    r = quality.pearson_with_target(V.li_leak(spark, d), "l_linenumber", feats)
+    return r.where(F.col("r").isNotNull()).select("feature", F.abs("r").alias("importance"))
+
+
+@register(
+    "A27_importance_top_n",
+    f"SELECT feature, round(importance, 8) AS importance FROM ({_IMPORTANCE_SQL}) ORDER BY importance DESC, feature LIMIT 3",
+)
+def a27(spark, d):
+    top = report.top_n(_importance_df(spark, d), "importance", 3)
+    return top.select("feature", F.round("importance", 8).alias("importance"))
+
+
+@register(
+    "F15_prediction_detail",
+    f"SELECT event_id AS sample_index, y_pred AS predicted_class, list_extract({_NAMES_SQL}, y_pred + 1) AS predicted_label, "
+    "list_max(proba) AS confidence, "
+    + ", ".join(f"proba[{i + 1}] AS prob_{n}" for i, n in enumerate(V.EVENT_TYPES_SORTED))
+    + f" FROM {_S5_PRED}",
+)
+def f15(spark, d):
+    return report.prediction_detail(_scored5_pred(spark, d), "event_id", "y_pred", "proba", V.EVENT_TYPES_SORTED)
+
+
+@register(
+    "F16_interpretation_flags",
+    f"WITH c AS (SELECT y_pred, count(*) AS n FROM {_S5_PRED} GROUP BY 1), "
+    "d AS (SELECT max(n) / sum(n) AS dom FROM c), "
+    f"k AS (SELECT avg(CASE WHEN list_max(proba) < 0.6 THEN 1.0 ELSE 0.0 END) * 100 AS low, "
+    f"avg(CASE WHEN list_max(proba) > 0.9 THEN 1.0 ELSE 0.0 END) * 100 AS high FROM {_S5_PRED}) "
+    "SELECT 'tabular' AS dataset_type, CASE WHEN dom > 0.85 THEN 'strong_dominance' WHEN dom > 0.55 THEN 'moderate_dominance' "
+    "ELSE 'balanced' END AS dominance_finding, CASE WHEN low > 30 THEN 'low_confidence' WHEN high > 60 THEN 'high_confidence' END "
+    "AS confidence_finding, CASE WHEN low > 20 THEN 'many_low_confidence' WHEN high > 70 THEN 'mostly_high_confidence' END "
+    "AS overall_flag FROM d, k",
+)
+def f16(spark, d):
+    p = _scored5_pred(spark, d)
+    return report.interpretation_flags(
+        report.prediction_entropy(p, "y_pred"), report.confidence_stats(p, "proba"), "tabular"
+    )
+
+
+_F17_SQL = (
+    f"WITH a AS (SELECT avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS acc FROM {_S5_PRED}), "
+    f"f AS (SELECT feature FROM ({_IMPORTANCE_SQL}) ORDER BY importance DESC, feature LIMIT 1), "
+    f"w AS (SELECT list_sort(list_distinct(list(replace(issue, '_', ' ')))) AS fr, count(*) AS n FROM ({_warn_sql('l_returnflag')})) "
+    "SELECT 'argmax' AS model_name, acc AS accuracy, feature AS top_feature, "
+    "'The model (argmax) achieves ' || printf('%.0f', acc * 100) || '% accuracy on the held-out validation set. ' || "
+    "'It relies most on ' || chr(39) || feature || chr(39) || ' to make its predictions. ' || "
+    "CASE WHEN n = 0 THEN 'No major data quality issues were detected.' "
+    "WHEN len(fr) = 1 THEN 'Note: the training data has a potential ' || fr[1] || ' issue that may affect reliability.' "
+    "ELSE 'Note: the training data has several quality issues (' || array_to_string(fr, ', ') || ') that may affect reliability.' END "
+    "AS narrative FROM a, f, w"
+)
+
+
+@register("F17_narrative", _F17_SQL)
+def f17(spark, d):
+    p = _scored5_pred(spark, d)
+    acc = p.agg(F.avg(F.when(F.col("y_true") == F.col("y_pred"), 1.0).otherwise(0.0)).alias("accuracy"))
+    top = report.top_n(_importance_df(spark, d), "importance", 1).select(F.col("feature").alias("top_feature"))
+    warn = quality.quality_warnings(V.li_leak(spark, d), "l_returnflag").agg(
+        F.collect_set("issue").alias("issues"), (F.count(F.lit(1)) == 0).alias("passed")
+    )
+    none_d = F.lit(None).cast("double")
+    none_s = F.lit(None).cast("string")
+    none_a = F.lit(None).cast("array<string>")
+    none_b = F.lit(None).cast("boolean")
+    # three one-row parts, stacked and collapsed (no join)
+    parts = (
+        acc.select("accuracy", none_s.alias("top_feature"), none_a.alias("issues"), none_b.alias("passed"))
+        .unionByName(top.select(none_d.alias("accuracy"), "top_feature", none_a.alias("issues"), none_b.alias("passed")))
+        .unionByName(warn.select(none_d.alias("accuracy"), none_s.alias("top_feature"), "issues", "passed"))
+    )
+    run = parts.agg(
+        F.lit("argmax").alias("model_name"),
+        F.max("accuracy").alias("accuracy"),
+        F.max("top_feature").alias("top_feature"),
+        F.max("issues").alias("issues"),
+        F.max("passed").alias("passed"),
+    )
+    return report.narrative(run).select("model_name", "accuracy", "top_feature", "narrative")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
