@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import evaluate, prep, profile, quality, report, split
+from tabsight.operators import evaluate, prep, profile, quality, report, split, text
 from tabsight.plans import sqltext as S
 from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
@@ -664,6 +664,175 @@ def f17(spark, d):
     return report.narrative(run).select("model_name", "accuracy", "top_feature", "narrative")
 
 
+# ---------------------------------------------------------------------------
+# text
+# ---------------------------------------------------------------------------
+
+_FIRST_LINE_SQL = "split_part(d.text, chr(10), 1)"
+_TEXT_LINES_SQL = (
+    "(SELECT d.doc_id AS line_key, CASE WHEN d.doc_id % 5 = 1 THEN CAST(l.quality AS VARCHAR) || ',' || "
+    f"{_FIRST_LINE_SQL} WHEN d.doc_id % 11 = 3 THEN {_FIRST_LINE_SQL} "
+    f"ELSE CAST(l.quality AS VARCHAR) || chr(9) || {_FIRST_LINE_SQL} END AS text "
+    "FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
+)
+_PY_TRIM_SQL = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _trim_sql(x: str) -> str:
+    return _PY_TRIM_SQL.format(x=x)
+
+
+def _text_lines(spark, d):
+    docs = t(spark, d, "documents")
+    labels = t(spark, d, "labels")
+    j = labels.join(docs, "doc_id")  # J4: equi-join on the document key
+    first = F.substring_index(F.col("text"), "\n", 1)
+    q = F.col("quality").cast("string")
+    line = (
+        F.when(F.col("doc_id") % 5 == 1, F.concat(q, F.lit(","), first))
+        .when(F.col("doc_id") % 11 == 3, first)
+        .otherwise(F.concat(q, F.lit("\t"), first))
+    )
+    return j.select(F.col("doc_id").alias("line_key"), line.alias("text"))
+
+
+@register(
+    "J04_labelled_documents",
+    "SELECT d.doc_id, l.quality, l.toxic, d.lang, d.n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
+)
+def j04(spark, d):
+    return t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id").select("doc_id", "quality", "toxic", "lang", "n_chars")
+
+
+@register(
+    "S04_read_text_lines",
+    f"SELECT {_trim_sql('line')} AS text FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) "
+    f"WHERE length({_trim_sql('line')}) > 0",
+)
+def s04(spark, d):
+    import uuid
+
+    from tabsight.session import scratch_path
+
+    out = scratch_path(spark, f"text-lines-{uuid.uuid4().hex}")
+    t(spark, d, "documents").select("text").write.mode("overwrite").text(out)
+    return text.read_text_lines(spark, out, min_lines=1).select("text")
+
+
+@register(
+    "S05_parse_labelled_lines",
+    "WITH s AS (SELECT line_key, text, CASE WHEN instr(text, chr(9)) > 0 THEN instr(text, chr(9)) "
+    f"WHEN instr(text, ',') > 0 THEN instr(text, ',') ELSE 0 END AS p FROM {_TEXT_LINES_SQL}), "
+    f"q AS (SELECT line_key, p, {_trim_sql('substr(text, 1, greatest(p - 1, 0))')} AS label, "
+    f"{_trim_sql('substr(text, p + 1)')} AS body FROM s) "
+    "SELECT line_key, label, body AS text FROM q WHERE p > 0 AND length(label) > 0 AND length(body) > 0",
+)
+def s05(spark, d):
+    return text.parse_labelled_lines(_text_lines(spark, d))
+
+
+@register(
+    "S06_read_unlabelled_lines",
+    "SELECT conv_id, turn, "
+    + _trim_sql("CASE WHEN instr(line, chr(9)) > 0 THEN substr(line, instr(line, chr(9)) + 1) ELSE line END")
+    + " AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || chr(9) || split_part(text, chr(10), 1) "
+    "ELSE split_part(text, chr(10), 1) END AS line FROM conversations)",
+)
+def s06(spark, d):
+    c = t(spark, d, "conversations")
+    first = F.substring_index(F.col("text"), "\n", 1)
+    lines = c.select(
+        "conv_id", "turn",
+        F.when(F.col("turn") % 2 == 0, F.concat(F.col("role"), F.lit("\t"), first)).otherwise(first).alias("text"),
+    )
+    return text.read_unlabelled_lines(lines)
+
+
+_CLEAN_SQL = (
+    "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), "
+    "'https?://\\S+', ' ', 'g'), '[^\\P{{C}}\\t\\n]', '', 'g'), '\\s+', ' ', 'g'))"
+)
+
+
+@register("F07_clean_text", "SELECT page_id, " + _CLEAN_SQL.format(x="html") + " AS text FROM pages")
+def f07(spark, d):
+    return t(spark, d, "pages").select("page_id", text.clean_text(F.col("html")).alias("text"))
+
+
+_KERAS_SPLIT_SQL = (
+    "string_split(regexp_replace(lower({x}), '[!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~\\t\\n]', ' ', 'g'), ' ')"
+)
+_DOC_TOKENS_SQL = (
+    "(SELECT doc_id, pos, word FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM "
+    f"(SELECT doc_id, {_KERAS_SPLIT_SQL.format(x=_CLEAN_SQL.format(x='text'))} AS w FROM documents)) WHERE word <> '')"
+)
+_VOCAB_SQL = (
+    f"SELECT word, count, index FROM (SELECT word, count(*) AS count, "
+    "row_number() OVER (ORDER BY count(*) DESC, min(doc_id * 100000000 + pos)) + 1 AS index "
+    f"FROM {_DOC_TOKENS_SQL} GROUP BY word) WHERE index < 10000"
+)
+
+
+def _clean_docs(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("text"))
+
+
+@register("F08_fit_vocabulary", _VOCAB_SQL)
+def f08(spark, d):
+    return text.fit_vocabulary(_clean_docs(spark, d), "text", ["doc_id"]).words
+
+
+_SEQ_SQL = (
+    f"WITH v AS ({_VOCAB_SQL}) SELECT t.doc_id, CAST(list(coalesce(v.index, 1) ORDER BY t.pos) AS INTEGER[]) AS ids "
+    f"FROM {_DOC_TOKENS_SQL} t LEFT JOIN v ON t.word = v.word GROUP BY t.doc_id"
+)
+
+
+@register("F09_texts_to_sequences", _SEQ_SQL)
+def f09(spark, d):
+    docs = _clean_docs(spark, d)
+    vocab = text.fit_vocabulary(docs, "text", ["doc_id"])
+    return text.texts_to_sequences(docs, "text", "doc_id", vocab).where(F.size("ids") > 0)
+
+
+@register(
+    "F10_pad_sequences",
+    f"WITH s AS ({_SEQ_SQL}) SELECT doc_id, CAST(list_concat(list_transform(range(greatest(120 - len(ids), 0)), lambda x: 0), "
+    "CASE WHEN len(ids) > 120 THEN ids[len(ids) - 119:] ELSE ids END) AS INTEGER[]) AS x FROM s",
+)
+def f10(spark, d):
+    docs = _clean_docs(spark, d)
+    vocab = text.fit_vocabulary(docs, "text", ["doc_id"])
+    seq = text.texts_to_sequences(docs, "text", "doc_id", vocab).where(F.size("ids") > 0)
+    return seq.select("doc_id", text.pad_sequences(F.col("ids"), 120).alias("x"))
+
+
+_TOK_SQL = (
+    "(SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]{2,}') AS t FROM documents)"
+)
+_TERMS_SQL = (
+    f"(SELECT doc_id, unnest(t) AS term FROM {_TOK_SQL} UNION ALL "
+    f"SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM {_TOK_SQL})"
+)
+_TFIDF_SQL = (
+    f"WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM {_TERMS_SQL} GROUP BY 1, 2), "
+    "n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), "
+    "st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY 1), "
+    "kept AS (SELECT term, df FROM st WHERE df >= 2 ORDER BY cf DESC, term LIMIT 20000), "
+    "terms AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM kept, n), "
+    "w AS (SELECT tf.doc_id, tf.term, terms.idx, tf.tf, (1.0 + ln(tf.tf)) * terms.idf AS w FROM tf JOIN terms ON tf.term = terms.term) "
+    "SELECT doc_id, term, idx, tf, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 8) AS weight FROM w"
+)
+
+
+@register("F11_tfidf", _TFIDF_SQL)
+def f11(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    model = text.fit_tfidf(docs, "doc_id", "text")
+    out = model.transform(docs, "doc_id", "text")
+    return out.select("doc_id", "term", "idx", "tf", F.round("weight", 8).alias("weight"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
