@@ -14,7 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import evaluate, prep, profile, quality, report, split, text
+from tabsight.operators import evaluate, models, prep, profile, quality, report, split, text, validate
+from tabsight.plans import train
+from tabsight.sources import registry, tabular
 from tabsight.plans import sqltext as S
 from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
@@ -833,6 +835,345 @@ def f11(spark, d):
     return out.select("doc_id", "term", "idx", "tf", F.round("weight", 8).alias("weight"))
 
 
+# ---------------------------------------------------------------------------
+# Models on Spark ML (rows checks: fits are not SQL)
+# ---------------------------------------------------------------------------
+
+
+def _customer(spark, d):
+    return t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+def _orders_features(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+
+
+def _named(names):
+    return [c for c in models.tabular_candidates(1500) if c.name in names]
+
+
+@register("M04_cross_val_score", None)
+def m04(spark, d):
+    cust = _customer(spark, d)
+    pre = prep.fit_preprocess(cust.drop("c_custkey"), "c_mktsegment")
+    data = train.feature_table(pre, cust.withColumn(train.ROW_KEY, F.col("c_custkey").cast("string")), [train.ROW_KEY])
+    k = split.n_folds_for(data, "label", 3)
+    folded = split.assign_folds(data, "label", [train.ROW_KEY], k=k, mode="exact").persist()
+    scores = models.cross_val_score(models.fallback_candidate(), folded, k, len(pre.feature_columns), len(pre.classes))
+    folded.unpersist()
+    return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "fold int, balanced_accuracy double")
+
+
+@register("M05_successive_halving", None)
+def m05(spark, d):
+    cust = _customer(spark, d)
+    pre = prep.fit_preprocess(cust.drop("c_custkey"), "c_mktsegment")
+    data = train.feature_table(pre, cust.withColumn(train.ROW_KEY, F.col("c_custkey").cast("string")), [train.ROW_KEY])
+    cands = _named({"LogisticRegression", "RandomForest", "MLP-Small"})
+    _name, _score, results = models.successive_halving(cands, data, "label", [train.ROW_KEY], len(pre.feature_columns))
+    return results.drop("seconds")
+
+
+def _orders_run(spark, d, importance=False):
+    o = _orders_features(spark, d)
+    return train.train_tabular(
+        o, "o_orderpriority", ["o_orderkey"], candidates=[models.fallback_candidate()], search=False,
+        importance=importance, quality_check=False,
+    )
+
+
+@register("M06_fit_winner", None)
+def m06(spark, d):
+    run = _orders_run(spark, d)
+    m = {k: v for k, v in run.metrics.items() if k != "confusion"}
+    return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double")
+
+
+@register("M11_predict_batch", None)
+def m11(spark, d):
+    run = _orders_run(spark, d)
+    return train.predict_batch(run, _orders_features(spark, d), "o_orderkey")
+
+
+@register("E04_permutation_importance", None)
+def e04(spark, d):
+    return _orders_run(spark, d, importance=True).importance
+
+
+@register("M10_train_pipeline", None)
+def m10(spark, d):
+    cust = _customer(spark, d)
+    run = train.train_tabular(cust, "c_mktsegment", ["c_custkey"], candidates=_named({"LogisticRegression", "MLP-Small"}),
+                              importance=True)
+    top = run.importance.first()
+    return spark.createDataFrame(
+        [(run.model_name, run.metrics["accuracy"], run.metrics["balanced_accuracy"], top["feature"] if top else None,
+          run.quality["summary"] if run.quality else None)],
+        "model_name string, accuracy double, balanced_accuracy double, top_feature string, quality string",
+    )
+
+
+@register("M09_random_search", None)
+def m09(spark, d):
+    cust = _customer(spark, d)
+    pre = prep.fit_preprocess(cust.drop("c_custkey"), "c_mktsegment")
+    data = train.feature_table(pre, cust.withColumn(train.ROW_KEY, F.col("c_custkey").cast("string")), [train.ROW_KEY])
+    _p, _m, results = models.random_search("LogisticRegression", data, "label", [train.ROW_KEY],
+                                           len(pre.feature_columns), len(pre.classes), n_trials=3)
+    return results.drop("seconds")
+
+
+def _labelled_docs(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    return t(spark, d, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")).join(docs, "doc_id")
+
+
+@register("M02_text_candidates", None)
+def m02(spark, d):
+    ld = _labelled_docs(spark, d).withColumn("text", text.clean_text(F.col("text")))
+    tf = text.fit_tfidf(ld, "doc_id", "text")
+    vec = tf.vectors(ld, "doc_id", "text")
+    classes = sorted(r[0] for r in ld.select("quality").distinct().collect())
+    labelled = ld.select("doc_id", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("quality")) - 1)
+                         .cast("double").alias("label"))
+    data = vec.join(labelled, "doc_id")
+    n_feat = tf._size()
+    _name, _score, results = models.successive_halving(
+        models.text_candidates(data.count()), data, "label", ["doc_id"], n_feat
+    )
+    return results.drop("seconds")
+
+
+@register("M03_vector_candidates", None)
+def m03(spark, d):
+    from pyspark.ml.functions import array_to_vector
+
+    emb = t(spark, d, "embeddings").select(
+        "vec_id", array_to_vector(F.col("embedding")).alias("features"), F.col("label").cast("double").alias("label")
+    )
+    cand = models.vector_candidates()[0]
+    model, pred, _flagged = train.fit_winner(cand, emb, ["vec_id"], emb.select("label").distinct().count())
+    m = {k: v for k, v in train.holdout_metrics(pred).items() if k != "confusion"}
+    return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double")
+
+
+@register("S14_save_load_fitted", None)
+def s14(spark, d):
+    import uuid
+
+    from tabsight.session import scratch_path
+
+    run = _orders_run(spark, d)
+    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    run.save(path)
+    again = train.FittedRun.load(spark, path)
+    before = train.predict_batch(run, _orders_features(spark, d), "o_orderkey", detail=False)
+    after = train.predict_batch(again, _orders_features(spark, d), "o_orderkey", detail=False)
+    b = before.select("sample_index", F.col("pred").alias("pred_before"))
+    a = after.select("sample_index", F.col("pred").alias("pred_after"))
+    return b.join(a, "sample_index").select("sample_index", "pred_before", "pred_after",
+                                           (F.col("pred_before") == F.col("pred_after")).alias("same"))
+
+
+@register("T01_predict_stream", None)
+def t01(spark, d):
+    from tabsight.streaming.scoring import predict_stream, stream_source
+
+    ev = t(spark, d, "events").select("event_id", "user_id", "value", "event_type")
+    run = train.train_tabular(ev, "event_type", ["event_id"], candidates=[models.fallback_candidate()], search=False,
+                              importance=False, quality_check=False)
+    stream = stream_source(spark, f"{d}/events*.parquet", t(spark, d, "events"))
+    q, out = predict_stream(run, stream.select("event_id", "user_id", "value", "event_type"), "event_id")
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+# ---------------------------------------------------------------------------
+# SQL-checkable sources and rules
+# ---------------------------------------------------------------------------
+
+_SHAPE_TABLES = ("lineitem", "orders", "customer", "part", "events")
+
+
+@register(
+    "M08_recommend_baseline",
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS table_name, count(*) AS n_rows, {len(S.TABLE_COLUMNS[x]) - 1} AS n_features, "
+        f"CASE WHEN count(*) <= 500 OR {len(S.TABLE_COLUMNS[x]) - 1} <= 20 THEN 'MLP-Small' "
+        f"WHEN {len(S.TABLE_COLUMNS[x]) - 1} <= 100 THEN 'MLP-Medium' ELSE 'MLP-Large' END AS recommended FROM {x}"
+        for x in _SHAPE_TABLES
+    ),
+)
+def m08(spark, d):
+    out = None
+    for x in _SHAPE_TABLES:
+        df = t(spark, d, x)
+        nf = len(df.columns) - 1
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"))
+        rec = F.when((F.col("n_rows") <= 500) | F.lit(nf <= 20), "MLP-Small").when(F.lit(nf <= 100), "MLP-Medium").otherwise("MLP-Large")
+        one = row.select(F.lit(x).alias("table_name"), "n_rows", F.lit(nf).alias("n_features"), rec.alias("recommended"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_ORDERS_CSV_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@register("S01_read_tabular", f"SELECT {', '.join(_ORDERS_CSV_COLS)} FROM orders")
+def s01(spark, d):
+    import uuid
+
+    from tabsight.session import scratch_path
+
+    out = scratch_path(spark, f"orders-csv-{uuid.uuid4().hex}")
+    t(spark, d, "orders").select(*_ORDERS_CSV_COLS).coalesce(1).write.option("header", True).csv(out)
+    import glob
+    import os
+
+    part = sorted(glob.glob(os.path.join(out.replace("file:", ""), "part-*.csv")))
+    path = part[0] if part else out
+    return tabular.read_tabular(spark, path)
+
+
+@register(
+    "S02_clean_tabular",
+    "SELECT l_orderkey, l_partkey, l_linenumber, l_tax, l_returnflag FROM " + V.LI_NULLS_SQL + " WHERE l_linenumber <> 7",
+)
+def s02(spark, d):
+    li = V.li_nulls(spark, d)
+    blank = F.col("l_linenumber") == 7
+    cols = ["l_orderkey", "l_partkey", "l_linenumber", "l_tax", "l_returnflag"]
+    df = li.select(
+        F.when(blank, F.lit(None)).otherwise(F.lit(0)).alias("Unnamed: 0"),
+        *[F.when(blank, F.lit(None)).otherwise(F.col(c)).alias(c) for c in cols],
+    )
+    return tabular.clean_tabular(df)
+
+
+@register(
+    "S11_detect_dataset_type",
+    "SELECT count(*) AS n_files, avg(CASE WHEN regexp_matches(url, '(?i)\\.(png|jpe?g)$') THEN 1.0 ELSE 0.0 END) AS image_share, "
+    "CASE WHEN count(*) = 0 OR avg(CASE WHEN regexp_matches(url, '(?i)\\.(png|jpe?g)$') THEN 1.0 ELSE 0.0 END) = 0 THEN 'unknown' "
+    "WHEN avg(CASE WHEN regexp_matches(url, '(?i)\\.(png|jpe?g)$') THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 'image' ELSE 'unknown' END "
+    "AS dataset_type FROM pages",
+)
+def s11(spark, d):
+    listing = t(spark, d, "pages").select(F.col("url").alias("path"))
+    agg = listing.agg(F.count(F.lit(1)).alias("n_files"), tabular.image_share(listing).alias("image_share"))
+    kind = (
+        F.when((F.col("n_files") == 0) | (F.col("image_share") == 0), "unknown")
+        .when(F.col("image_share") >= 0.5, "image")
+        .otherwise("unknown")
+    )
+    return agg.select("n_files", "image_share", kind.alias("dataset_type"))
+
+
+@register("S12_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
+def s12(spark, d):
+    return tabular.preview(t(spark, d, "orders"), ["o_orderkey"])
+
+
+@register(
+    "S13_write_predictions",
+    f"SELECT CAST(event_id AS BIGINT) AS index, CAST(y_pred AS INTEGER) AS predicted_class, "
+    f"list_extract({_NAMES_SQL}, y_pred + 1) AS label FROM {_S5_PRED}",
+)
+def s13(spark, d):
+    import uuid
+
+    from tabsight.session import scratch_path
+
+    p = _scored5_pred(spark, d)
+    names = F.array(*[F.lit(n) for n in V.EVENT_TYPES_SORTED])
+    out = p.select(F.col("event_id").alias("index"), F.col("y_pred").alias("predicted_class"),
+                   F.element_at(names, F.col("y_pred") + 1).alias("label"))
+    path = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    tabular.write_predictions(out, path, "csv")
+    back = spark.read.option("header", True).schema("index long, predicted_class int, label string").csv(path)
+    return back
+
+
+@register(
+    "S15_latest_per_key",
+    "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1",
+)
+def s15(spark, d):
+    o = t(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    out = registry.latest_per_key(o, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    return out.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+
+
+_TARGETS = [("customer", "c_mktsegment"), ("orders", "o_orderstatus"), ("lineitem", "l_returnflag"),
+            ("events", "event_type"), ("labels", "quality")]
+
+
+@register(
+    "V04_validate_target",
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS table_name, '{c}' AS column_name, count({c}) AS n_nonnull, count(DISTINCT {c}) AS n_classes FROM {x}"
+        for x, c in _TARGETS
+    ),
+)
+def v04(spark, d):
+    out = None
+    for x, c in _TARGETS:
+        one = validate.target_stats(t(spark, d, x), c).select(
+            F.lit(x).alias("table_name"), F.lit(c).alias("column_name"), "n_nonnull", "n_classes"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("V05_drop_all_null_columns", f"SELECT * EXCLUDE (l_empty) FROM {V.LI_NULLS_SQL}")
+def v05(spark, d):
+    return validate.drop_all_null_columns(V.li_nulls(spark, d))
+
+
+@register("V07_dedupe_columns", "SELECT l_orderkey AS dup, l_partkey AS dup_2, l_suppkey AS dup_1 FROM lineitem")
+def v07(spark, d):
+    li = t(spark, d, "lineitem")
+    return validate.dedupe_columns(li.select(F.col("l_orderkey").alias("dup"), F.col("l_partkey").alias("dup"),
+                                             F.col("l_suppkey").alias("dup_1")))
+
+
+@register("V09_select_features", "SELECT o_totalprice, o_orderpriority, o_custkey FROM orders")
+def v09(spark, d):
+    return validate.select_features(t(spark, d, "orders"), ["o_totalprice", "o_orderpriority", "o_custkey"])
+
+
+@register(
+    "V10_image_extension_filter",
+    "SELECT page_id, url, regexp_matches(url, '(?i)\\.(png|jpe?g|bmp|gif|tiff?)$') AS is_image FROM pages",
+)
+def v10(spark, d):
+    p = t(spark, d, "pages")
+    return p.select("page_id", "url", validate.is_image_path(F.col("url")).alias("is_image"))
+
+
+@register(
+    "K05_folder_split",
+    "WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label "
+    "ORDER BY md5(concat_ws('|', '42', CAST(vec_id AS VARCHAR))), vec_id) - 1 AS i, "
+    "count(*) OVER (PARTITION BY label) AS n FROM embeddings) "
+    "SELECT vec_id, label, i < ceil(n * 0.2) AS is_validation FROM r",
+)
+def k05(spark, d):
+    e = t(spark, d, "embeddings").select("vec_id", "label")
+    return split.folder_split(e, "label", "vec_id")
+
+
+@register(
+    "U05_distinct_labels",
+    "SELECT DISTINCT label FROM (SELECT " + _trim_sql("substr(text, 1, greatest(p - 1, 0))") + " AS label, "
+    + _trim_sql("substr(text, p + 1)") + " AS body FROM (SELECT text, CASE WHEN instr(text, chr(9)) > 0 THEN instr(text, chr(9)) "
+    "WHEN instr(text, ',') > 0 THEN instr(text, ',') ELSE 0 END AS p FROM " + _TEXT_LINES_SQL + ") WHERE p > 0) "
+    "WHERE length(label) > 0 AND length(body) > 0",
+)
+def u05(spark, d):
+    return text.parse_labelled_lines(_text_lines(spark, d)).select("label").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v.build for k, v in REGISTRY.items()}
 
