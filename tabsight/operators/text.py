@@ -269,16 +269,18 @@ class TfidfModel:
 
 
 def _sparse(size: Column, idx: Column, vals: Column) -> Column:
-    """Build an ML SparseVector struct column (type 0 = sparse)."""
-    from pyspark.ml.linalg import VectorUDT
-
-    s = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        size.cast("int").alias("size"),
-        idx.alias("indices"),
-        vals.alias("values"),
-    )
-    return s.cast(VectorUDT().sqlType())
+    """ML SparseVector from index/value arrays.
+
+    Spark SQL has no constructor for the ML vector type, so this one step is
+    a small Python UDF; the weights themselves are computed JVM-side.
+    """
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
+    @F.udf(VectorUDT())
+    def build(n, i, v):
+        return SparseVector(int(n), list(i or []), list(v or []))
+
+    return build(size, idx, vals)
 
 
 def term_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
