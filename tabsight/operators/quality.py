@@ -21,6 +21,7 @@ PEARSON_THRESHOLD = 0.95
 CRAMERS_V_THRESHOLD = 0.95
 IMBALANCE_THRESHOLD = 0.05
 MIN_PAIRS = 5
+NUMERIC_TEXT = r"^\s*[+-]?((\d+(\.\d*)?)|(\.\d+))([eE][+-]?\d+)?\s*$|(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
 ISSUE_NAMES = {
     "feature_leakage": "Leakage",
     "id_column": "ID columns",
@@ -127,10 +128,11 @@ def cramers_v(cells: DataFrame) -> DataFrame:
 def pearson_with_target(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
     """Pearson r of every numeric feature with the numeric-cast target.
 
-    One aggregate over pair-complete values.  ``r`` is null when fewer than
-    five pairs, fewer than two target values, a non-numeric target value, or a
-    constant side (no DIVIDE_BY_ZERO under ANSI).
-    Returns ``feature, n_pairs, r``.
+    One unpivot of (feature, x, y) pairs and one ``groupBy(feature)``: the
+    aggregate buffers combine map-side and the generated code stays small
+    however many features there are.  ``r`` is null when fewer than five
+    pairs, fewer than two target values, a non-numeric target value, or a
+    constant side (no DIVIDE_BY_ZERO under ANSI).  Returns ``feature, n_pairs, r``.
     """
     _check_target(df, target)
     feats = _numeric_features(df, target, features)
@@ -139,37 +141,43 @@ def pearson_with_target(df: DataFrame, target: str, features: list[str] | None =
         return spark.createDataFrame([], "feature string, n_pairs long, r double")
     clean = nan_to_null(df.select(*[col(c) for c in feats + [target]]))
     y_raw = col(target)
-    y_num = F.expr(f"try_cast({'`' + target.replace('`', '``') + '`'} AS DOUBLE)")
     if is_numeric_type(df.schema[target].dataType):
         y_num = y_raw.cast("double")
-    aggs = []
-    for i, c in enumerate(feats):
-        x = col(c).cast("double")
-        ok = x.isNotNull() & y_raw.isNotNull()
-        xp = F.when(ok, x)
-        yp = F.when(ok, y_num)
-        aggs += [
-            F.count(F.when(ok, F.lit(1))).alias(f"n{i}"),
-            F.count(yp).alias(f"ny{i}"),
-            F.covar_pop(xp, yp).alias(f"cv{i}"),
-            F.stddev_pop(xp).alias(f"sx{i}"),
-            F.stddev_pop(yp).alias(f"sy{i}"),
-            F.min(F.when(ok, y_raw)).alias(f"ylo{i}"),
-            F.max(F.when(ok, y_raw)).alias(f"yhi{i}"),
-        ]
-    stats = clean.agg(*aggs)
-    rows = []
-    for i, c in enumerate(feats):
-        r = F.try_divide(F.col(f"cv{i}"), F.col(f"sx{i}") * F.col(f"sy{i}"))
-        valid = (
-            (F.col(f"n{i}") >= MIN_PAIRS)
-            & (F.col(f"ylo{i}") != F.col(f"yhi{i}"))
-            & (F.col(f"ny{i}") == F.col(f"n{i}"))
-            & (F.col(f"sx{i}") > 0)
-            & (F.col(f"sy{i}") > 0)
+    else:
+        # a failed cast is costly: only values that look numeric are cast
+        y_num = F.when(
+            y_raw.rlike(NUMERIC_TEXT), F.expr(f"try_cast({'`' + target.replace('`', '``') + '`'} AS DOUBLE)")
         )
-        rows.append(F.struct(F.lit(c).alias("feature"), F.col(f"n{i}").alias("n_pairs"), F.when(valid, r).alias("r")))
-    return stats.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    base = clean.select(y_raw.alias("y_raw"), y_num.alias("y"), *[col(c).cast("double").alias(c) for c in feats])
+    pairs = base.select(
+        "y_raw",
+        "y",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), col(c).alias("x")) for c in feats])).alias("p"),
+    ).select("p.feature", "p.x", "y", "y_raw")
+    pairs = pairs.where(F.col("x").isNotNull() & F.col("y_raw").isNotNull())
+    stats = pairs.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count("y").alias("ny"),
+        F.covar_pop("x", "y").alias("cv"),
+        F.stddev_pop("x").alias("sx"),
+        F.stddev_pop("y").alias("sy"),
+        F.min("y_raw").alias("ylo"),
+        F.max("y_raw").alias("yhi"),
+    )
+    valid = (
+        (F.col("n_pairs") >= MIN_PAIRS)
+        & (F.col("ylo") != F.col("yhi"))
+        & (F.col("ny") == F.col("n_pairs"))
+        & (F.col("sx") > 0)
+        & (F.col("sy") > 0)
+    )
+    r = F.when(valid, F.try_divide(F.col("cv"), F.col("sx") * F.col("sy")))
+    found = stats.select("feature", "n_pairs", r.alias("r"))
+    # features without a single complete pair still get a row
+    every = spark.createDataFrame([(c,) for c in feats], "feature string")
+    return every.join(found, "feature", "left").select(
+        "feature", F.coalesce(F.col("n_pairs"), F.lit(0)).cast("long").alias("n_pairs"), "r"
+    )
 
 
 def leakage_scores(df: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:

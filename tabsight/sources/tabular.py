@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tabsight.errors import InputError
 from tabsight.functions.exprs import col
 from tabsight.operators import validate
+from tabsight.operators.quality import NUMERIC_TEXT
 
 # pandas' default missing-value tokens.
 NA_TOKENS = [
@@ -29,6 +30,7 @@ TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 DETECT_IMAGE_PATTERN = r"(?i)\.(png|jpe?g)$"
 OVERFLOW = "_overflow_"
+INT_TEXT = r"^\s*[+-]?\d+\s*$"
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -50,10 +52,11 @@ def infer_types(df: DataFrame) -> DataFrame:
     aggs = []
     for i, c in enumerate(df.columns):
         v = col(c)
+        # pattern checks first: a failed cast is costly, a regex test is not
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count(F.expr(f"try_cast(`{c}` AS BIGINT)")).alias(f"l{i}"),
-            F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+            F.count(F.when(v.rlike(INT_TEXT), F.expr(f"try_cast(`{c}` AS BIGINT)"))).alias(f"l{i}"),
+            F.count(F.when(v.rlike(NUMERIC_TEXT), F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
             F.count(F.when(v.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).first()
