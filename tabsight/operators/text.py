@@ -188,7 +188,9 @@ def texts_to_sequences(df: DataFrame, text_col: str, key_col: str, vocab: Vocabu
     vocabulary (≤ num_words rows), and gathered back per document; the
     partial aggregate already assembles each document on the map side.
     """
-    tok = df.select(F.col(key_col), F.posexplode_outer(keras_words(F.col(text_col))).alias("pos", "word"))
+    # partition by document first: gathering ids back per document is then local
+    docs = df.select(F.col(key_col), F.col(text_col)).repartition(F.col(key_col))
+    tok = docs.select(F.col(key_col), F.posexplode_outer(keras_words(F.col(text_col))).alias("pos", "word"))
     lut = F.broadcast(vocab.words.select(F.col("word").alias("_w"), F.col("index").alias("_id")))
     ids = tok.join(lut, tok["word"] == lut["_w"], "left").select(
         key_col, "pos", F.when(F.col("word").isNull(), F.lit(None)).otherwise(F.coalesce("_id", F.lit(OOV_INDEX))).alias("id")
@@ -208,15 +210,29 @@ def pad_sequences(ids: Column, max_len: int = MAX_LEN) -> Column:
 
 # ---- TF-IDF (F11) -------------------------------------------------------------------
 
+_COMBINING: dict | None = None
+
+
+def _combining_table() -> dict:
+    """``str.translate`` table deleting every combining code point (built once per worker)."""
+    global _COMBINING
+    if _COMBINING is None:
+        _COMBINING = {cp: None for cp in range(0x110000) if unicodedata.combining(chr(cp))}
+    return _COMBINING
+
+
 @F.pandas_udf(StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """Lower-case then NFKD and drop combining marks (no Spark built-in)."""
+    table = _combining_table()
 
     def one(t):
         if t is None:
             return None
-        d = unicodedata.normalize("NFKD", t.lower())
-        return "".join(c for c in d if not unicodedata.combining(c))
+        low = t.lower()
+        if low.isascii():
+            return low
+        return unicodedata.normalize("NFKD", low).translate(table)
 
     return s.map(one)
 
@@ -285,9 +301,12 @@ def _sparse(size: Column, idx: Column, vals: Column) -> Column:
 
 def term_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """``key, term, tf`` for every document."""
-    # the pandas UDF runs in its own projection, the tokens are materialised
-    # once, and the bigram lambda only reads that column
-    folded = df.select(F.col(key_col), fold_accents(F.col(text_col)).alias("_folded"))
+    # Documents are hash-partitioned by key first: every later step is then
+    # partition-local (the per-document term count needs no shuffle of the
+    # exploded terms, which outnumber the raw text).  The pandas UDF runs in
+    # its own projection and the bigram lambda only reads the token column.
+    docs = df.select(F.col(key_col), F.col(text_col)).repartition(F.col(key_col))
+    folded = docs.select(F.col(key_col), fold_accents(F.col(text_col)).alias("_folded"))
     toks = folded.select(F.col(key_col), tfidf_tokens(F.col("_folded")).alias("_toks"))
     terms = toks.select(F.col(key_col), F.explode(with_bigrams(F.col("_toks"))).alias("term"))
     return terms.groupBy(key_col, "term").agg(F.count(F.lit(1)).alias("tf"))
