@@ -195,11 +195,12 @@ def threshold_summary(df: DataFrame, y_true: str, score: str, round_digits: int
     P = F.col("P").cast("double")
     N = F.col("N").cast("double")
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
-    area = (F.col("neg") / N) * (F.lit(2.0) * tp - F.col("pos")) / (F.lit(2.0) * P)
-    j = tp / P - fp / N
+    # try_divide: a single-class input has P or N = 0 (ANSI mode raises on /0)
+    area = F.try_divide(F.col("neg"), N) * F.try_divide(F.lit(2.0) * tp - F.col("pos"), F.lit(2.0) * P)
+    j = F.try_divide(tp, P) - F.try_divide(fp, N)
     # sweep candidates are the scores that occur, plus 0 and 1
     real = (F.col("pos") + F.col("neg")) > 0
-    f1 = F.lit(2.0) * tp / (F.lit(2.0) * tp + fp + (P - tp))
+    f1 = F.try_divide(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + (P - tp))
     both_sides = ((tp + fp) > 0) & ((tp + fp) < (P + N))
     agg = cum.agg(
         F.first("P").alias("P"),

@@ -77,8 +77,8 @@ def contingency(df: DataFrame, target: str, features: list[str] | None = None) -
     pairs = F.explode(
         F.array(*[F.struct(F.lit(c).alias("feature"), col(c).cast("string").alias("f")) for c in feats])
     )
-    long = df.select(col(target).cast("string").alias("t"), pairs.alias("p")).select(
-        "p.feature", "p.f", "t"
+    long = df.select(col(target).cast("string").alias("__t"), pairs.alias("__p")).select(
+        "__p.feature", "__p.f", F.col("__t").alias("t")
     )
     long = long.where(F.col("f").isNotNull() & F.col("t").isNotNull())
     return long.groupBy("feature", "f", "t").agg(F.count(F.lit(1)).alias("n"))
@@ -148,21 +148,24 @@ def pearson_with_target(df: DataFrame, target: str, features: list[str] | None =
         y_num = F.when(
             y_raw.rlike(NUMERIC_TEXT), F.expr(f"try_cast({'`' + target.replace('`', '``') + '`'} AS DOUBLE)")
         )
-    base = clean.select(y_raw.alias("y_raw"), y_num.alias("y"), *[col(c).cast("double").alias(c) for c in feats])
+    # internal names carry a double-underscore prefix so user columns never clash
+    base = clean.select(
+        y_raw.alias("__y_raw"), y_num.alias("__y"), *[col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(feats)]
+    )
     pairs = base.select(
-        "y_raw",
-        "y",
-        F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), col(c).alias("x")) for c in feats])).alias("p"),
-    ).select("p.feature", "p.x", "y", "y_raw")
-    pairs = pairs.where(F.col("x").isNotNull() & F.col("y_raw").isNotNull())
-    stats = pairs.groupBy("feature").agg(
+        "__y_raw",
+        "__y",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("__f"), F.col(f"__x{i}").alias("__x")) for i, c in enumerate(feats)])).alias("__p"),
+    ).select("__p.__f", "__p.__x", "__y", "__y_raw")
+    pairs = pairs.where(F.col("__x").isNotNull() & F.col("__y_raw").isNotNull())
+    stats = pairs.groupBy(F.col("__f").alias("feature")).agg(
         F.count(F.lit(1)).alias("n_pairs"),
-        F.count("y").alias("ny"),
-        F.covar_pop("x", "y").alias("cv"),
-        F.stddev_pop("x").alias("sx"),
-        F.stddev_pop("y").alias("sy"),
-        F.min("y_raw").alias("ylo"),
-        F.max("y_raw").alias("yhi"),
+        F.count("__y").alias("ny"),
+        F.covar_pop("__x", "__y").alias("cv"),
+        F.stddev_pop("__x").alias("sx"),
+        F.stddev_pop("__y").alias("sy"),
+        F.min("__y_raw").alias("ylo"),
+        F.max("__y_raw").alias("yhi"),
     )
     valid = (
         (F.col("n_pairs") >= MIN_PAIRS)
