@@ -79,3 +79,156 @@ def permutation_importance(
     )
     base.unpersist(blocking=False)
     return out.orderBy(F.col("importance").desc(), F.col("feature"))
+
+
+def _vector_rows(df: DataFrame, feature_columns: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=feature_columns, outputCol="features", handleInvalid="keep").transform(df)
+
+
+def shapley_summary(
+    model: Model,
+    rows: DataFrame,
+    background: DataFrame,
+    feature_columns: list[str],
+    key_cols: list[str],
+    n_rows: int = 100,
+    n_permutations: int = 10,
+    max_display: int = 15,
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """Mean |Shapley value| per feature by permutation sampling.
+
+    For each explained row (≤ ``n_rows``, chosen by md5 order), each seeded
+    permutation and each prefix length j, a hybrid row takes the first j
+    features of the permutation from the explained row and the rest from a
+    background row; all hybrids are scored in ONE transform.  The score is
+    the probability of the class predicted for the explained row; the
+    difference between consecutive prefixes is the contribution of the
+    feature added.  Returns ``feature, mean_abs_shap`` (top ``max_display``).
+    """
+    nf = len(feature_columns)
+    x = split.sample_n(rows.select(*key_cols, *feature_columns), n_rows, key_cols, seed)
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
+    x = x.withColumn("_i", F.row_number().over(Window.orderBy(order, *key_cols)) - 1)  # ≤ n_rows rows
+    bg = split.sample_n(background.select(*key_cols, *feature_columns), n_rows, key_cols, seed + 1)
+    bg = bg.withColumn("_b", F.row_number().over(Window.orderBy(order, *key_cols)) - 1)
+    n_bg = bg.count()
+    # explained row i uses background row i mod n_bg
+    xb = x.withColumn("_b", F.pmod(F.col("_i"), F.lit(n_bg))).join(
+        bg.select("_b", *[F.col(c).alias(f"_bg_{c}") for c in feature_columns]), "_b"
+    )
+    perms = xb.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("_p"))
+    # position of every feature in this row's permutation: rank of md5(seed|i|p|feature)
+    keyed = F.array(*[
+        F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_i").cast("string"), F.col("_p").cast("string"), F.lit(str(j)))).alias("h"),
+                 F.lit(j).alias("f"))
+        for j in range(nf)
+    ])
+    perms = perms.withColumn("_order", F.transform(F.array_sort(keyed), lambda s: s["f"]))
+    steps = perms.select("*", F.explode(F.sequence(F.lit(0), F.lit(nf))).alias("_j"))
+    hybrid = [
+        F.when(F.array_position(F.slice(F.col("_order"), 1, F.greatest(F.col("_j"), F.lit(1))), F.lit(j)) > 0,
+               F.when(F.col("_j") > 0, F.col(c)).otherwise(F.col(f"_bg_{c}")))
+        .otherwise(F.col(f"_bg_{c}")).cast("double").alias(c)
+        for j, c in enumerate(feature_columns)
+    ]
+    hyb = steps.select("_i", "_p", "_j", F.element_at("_order", F.greatest(F.col("_j"), F.lit(1))).alias("_added"), *hybrid)
+    scored = _with_proba(model, _vector_rows(hyb, feature_columns))
+    # the class to explain: the prediction for the full row (j = nf)
+    target = scored.where(F.col("_j") == nf).select("_i", "_p", F.col("pred").alias("_cls"))
+    s = scored.join(target, ["_i", "_p"]).select("_i", "_p", "_j", "_added",
+                                                  F.element_at("proba", F.col("_cls") + 1).alias("_v"))
+    w = Window.partitionBy("_i", "_p").orderBy("_j")  # nf + 1 rows per group
+    contrib = s.withColumn("_d", F.col("_v") - F.lag("_v").over(w)).where(F.col("_j") > 0)
+    per_row = contrib.groupBy("_i", "_added").agg(F.avg("_d").alias("phi"))
+    names = F.array(*[F.lit(c) for c in feature_columns])
+    summary = per_row.groupBy(F.element_at(names, F.col("_added") + 1).alias("feature")).agg(
+        F.avg(F.abs("phi")).alias("mean_abs_shap")
+    )
+    return summary.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(max_display)
+
+
+def lime_tabular(
+    model: Model,
+    instances: DataFrame,
+    train_stats: dict[str, tuple[float, float]],
+    feature_columns: list[str],
+    key_col: str,
+    num_samples: int = 1000,
+    num_features: int = 10,
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """LIME-style local explanations for a table of instances (E5).
+
+    Per instance: ``num_samples`` Gaussian perturbations scaled by the
+    training std (``train_stats[c] = (mean, std)``), scored in one transform
+    for the class predicted on the instance, weighted by an exponential
+    kernel (width 0.75·√F) on the standardised distance; a weighted ridge
+    (α = 1) per instance runs in ``applyInPandas``.  Returns
+    ``key, feature, weight`` for the ``num_features`` largest |weights|.
+    """
+    import numpy as np
+    import pandas as pd
+
+    nf = len(feature_columns)
+    base = instances.select(F.col(key_col).alias("_k"), *[F.col(c).cast("double").alias(c) for c in feature_columns])
+    samples = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(num_samples))).alias("_s"))
+    pert = []
+    zcols = []
+    for j, c in enumerate(feature_columns):
+        mean, std = train_stats[c]
+        std = std or 1.0
+        # seeded standard normal from two md5-derived uniforms (Box-Muller); sample 0 is the instance itself
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_k").cast("string"), F.col("_s").cast("string"), F.lit(str(j))))
+        u1 = (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 1.0) / F.lit(4294967297.0)
+        u2 = F.conv(F.substring(h, 9, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        z = F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2))
+        zcols.append(z.alias(f"_z{j}"))
+        pert.append((F.col(c) + z * F.lit(std)).alias(c))
+    perturbed = samples.select("_k", "_s", *zcols, *pert)
+    scored = _with_proba(model, _vector_rows(perturbed, feature_columns))
+    cls = scored.where(F.col("_s") == 0).select("_k", F.col("pred").alias("_cls"))
+    width = 0.75 * np.sqrt(nf)
+    dist = F.sqrt(sum((F.col(f"_z{j}") * F.col(f"_z{j}") for j in range(nf)), F.lit(0.0)))
+    data = scored.join(cls, "_k").select(
+        "_k", *[f"_z{j}" for j in range(nf)],
+        F.element_at("proba", F.col("_cls") + 1).alias("_y"),
+        F.exp(-(dist * dist) / F.lit(width * width)).alias("_w"),
+    )
+
+    def ridge(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = pdf[[f"_z{j}" for j in range(nf)]].to_numpy()
+        y = pdf["_y"].to_numpy()
+        w = pdf["_w"].to_numpy()
+        xm = np.average(X, axis=0, weights=w)
+        ym = np.average(y, weights=w)
+        Xc, yc = X - xm, y - ym
+        A = (Xc * w[:, None]).T @ Xc + np.eye(nf)
+        coef = np.linalg.solve(A, (Xc * w[:, None]).T @ yc)
+        top = np.argsort(-np.abs(coef))[:num_features]
+        return pd.DataFrame({"_k": pdf["_k"].iloc[0], "feature": [feature_columns[i] for i in top],
+                             "weight": coef[top]})
+
+    # one group per instance: bounded by num_samples + 1 rows
+    out = data.groupBy("_k").applyInPandas(ridge, f"_k {base.schema['_k'].dataType.simpleString()}, feature string, weight double")
+    return out.withColumnRenamed("_k", key_col)
+
+
+def comparison_table(results: DataFrame, selected: str, best_score: float, scoring: str = "balanced_accuracy") -> DataFrame:
+    """Comparison rows and selection reason from search results."""
+    best = results.groupBy("name").agg(
+        F.max(F.struct("stage", "score")).alias("_b"), F.max("fit_ok").alias("fit_ok")
+    )
+    reason = (
+        f"'{selected}' won successive-halving search with {scoring}={best_score:.4f}."
+        if best_score >= 0
+        else f"'{selected}' selected as fallback (search did not produce valid scores)."
+    )
+    return best.select(
+        "name",
+        F.col("_b.stage").alias("last_stage"),
+        F.col("_b.score").alias("score"),
+        "fit_ok",
+        (F.col("name") == F.lit(selected)).alias("selected"),
+        F.lit(reason).alias("reason"),
+    )
