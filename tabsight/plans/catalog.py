@@ -1014,6 +1014,21 @@ def e05(spark, d):
     return explain.lime_tabular(run.model, inst, stats, run.pre.feature_columns, "_key", num_samples=500)
 
 
+@register("E06_lime_text", None)
+def e06(spark, d):
+    from pyspark.ml.classification import LogisticRegression
+
+    ld = _labelled_docs(spark, d).withColumn("text", text.clean_text(F.col("text")))
+    tf = text.fit_tfidf(ld, "doc_id", "text")
+    vec = tf.vectors(ld, "doc_id", "text")
+    classes = sorted(r[0] for r in ld.select("quality").distinct().collect())
+    lab = ld.select("doc_id", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("quality")) - 1)
+                    .cast("double").alias("label"))
+    model = LogisticRegression(maxIter=100).fit(vec.join(lab, "doc_id"))
+    inst = split.sample_n(ld.select("doc_id", "text"), 5, ["doc_id"])
+    return explain.lime_text(model, tf, inst, "doc_id", "text", num_samples=200)
+
+
 @register("F18_selection_reason", None)
 def f18(spark, d):
     cust = _customer(spark, d)
