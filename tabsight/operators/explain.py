@@ -95,6 +95,7 @@ def shapley_summary(
     n_permutations: int = 10,
     max_display: int = 15,
     seed: int = DEFAULT_SEED,
+    per_row_values: bool = False,
 ) -> DataFrame:
     """Mean |Shapley value| per feature by permutation sampling.
 
@@ -104,7 +105,8 @@ def shapley_summary(
     background row; all hybrids are scored in ONE transform.  The score is
     the probability of the class predicted for the explained row; the
     difference between consecutive prefixes is the contribution of the
-    feature added.  Returns ``feature, mean_abs_shap`` (top ``max_display``).
+    feature added.  Returns ``feature, mean_abs_shap`` (top ``max_display``),
+    or with ``per_row_values`` the values ``_i, feature, phi, f_x, f_bg``.
     """
     nf = len(feature_columns)
     x = split.sample_n(rows.select(*key_cols, *feature_columns), n_rows, key_cols, seed)
@@ -142,9 +144,14 @@ def shapley_summary(
     contrib = s.withColumn("_d", F.col("_v") - F.lag("_v").over(w)).where(F.col("_j") > 0)
     per_row = contrib.groupBy("_i", "_added").agg(F.avg("_d").alias("phi"))
     names = F.array(*[F.lit(c) for c in feature_columns])
-    summary = per_row.groupBy(F.element_at(names, F.col("_added") + 1).alias("feature")).agg(
-        F.avg(F.abs("phi")).alias("mean_abs_shap")
-    )
+    values = per_row.select("_i", F.element_at(names, F.col("_added") + 1).alias("feature"), "phi")
+    if per_row_values:
+        ends = s.where(F.col("_j").isin(0, nf)).groupBy("_i").agg(
+            F.avg(F.when(F.col("_j") == nf, F.col("_v"))).alias("f_x"),
+            F.avg(F.when(F.col("_j") == 0, F.col("_v"))).alias("f_bg"),
+        )
+        return values.join(ends, "_i")
+    summary = values.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
     return summary.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(max_display)
 
 
