@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tabsight.errors import InputError
 from tabsight.functions.exprs import UNKNOWN_TOKEN, col, is_numeric_type, nan_to_null
 from tabsight.operators import validate
+from tabsight.operators.quantiles import exact_quantiles
 from tabsight.operators.ranking import index_within
 
 # Dictionaries up to this many entries become map literals in the plan;
@@ -63,17 +64,17 @@ def fit_dictionary(df: DataFrame, features: list[str], checkpoint: bool = True)
 def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int = 1_000_000) -> dict[str, float | None]:
     """Median of each numeric column, one aggregate.
 
-    Exact mode uses ``median`` (interpolating like pandas); its per-column
-    state grows with the distinct values, so ``exact=False`` switches to the
-    mergeable ``percentile_approx`` sketch for very large inputs.
+    Exact mode interpolates like pandas and never holds a column in one task
+    (:func:`exact_quantiles`); ``exact=False`` uses the ``percentile_approx``
+    sketch alone (one pass).
     """
     if not numeric:
         return {}
     clean = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in numeric]))
     if exact:
-        aggs = [F.median(col(c)).alias(f"m{i}") for i, c in enumerate(numeric)]
-    else:
-        aggs = [F.percentile_approx(col(c), 0.5, accuracy).alias(f"m{i}") for i, c in enumerate(numeric)]
+        q = exact_quantiles(clean, numeric, [0.5])
+        return {c: q[c][0] for c in numeric}
+    aggs = [F.percentile_approx(col(c), 0.5, accuracy).alias(f"m{i}") for i, c in enumerate(numeric)]
     row = clean.agg(*aggs).first()
     return {c: (None if row[f"m{i}"] is None else float(row[f"m{i}"])) for i, c in enumerate(numeric)}
 
@@ -83,13 +84,11 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     counts = df.where(col(label_col).isNotNull()).groupBy(col(label_col).cast("string").alias("class_name")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    # one row per class: the global window runs over the class list only
-    w = Window.partitionBy()
-    return (
-        counts.select("class_name", "n", F.sum("n").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("k"))
-        .where(F.col("k") > 1)
-        .select("class_name", "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
-    )
+    tot = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k")).first()  # two numbers
+    total, k = int(tot["total"] or 0), int(tot["k"] or 0)
+    if k <= 1:
+        return counts.where(F.lit(False)).select("class_name", "n", F.lit(None).cast("double").alias("weight"))
+    return counts.select("class_name", "n", (F.lit(float(total)) / (F.lit(k) * F.col("n"))).alias("weight"))
 
 
 @dataclass

@@ -48,10 +48,8 @@ def value_counts(df: DataFrame, target: str) -> DataFrame:
     _check_target(df, target)
     y = col(target).cast("string")
     counts = df.where(col(target).isNotNull()).groupBy(y.alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct value: the global window runs over the class list only
-    return counts.select(
-        "class_name", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("fraction")
-    )
+    total = df.where(col(target).isNotNull()).count()  # one number, no global window
+    return counts.select("class_name", "n", (F.col("n") / F.lit(float(total) if total else None)).alias("fraction"))
 
 
 def _categorical_features(df: DataFrame, target: str, features: list[str] | None) -> list[str]:
