@@ -58,6 +58,15 @@ def fit_dictionary(df: DataFrame, features: list[str], checkpoint: bool = True)
     if not features:
         return df.sparkSession.createDataFrame([], "feature string, value string, idx long")
     values = category_values(df, features)
+    # small dictionaries (they become map literals anyway) are sorted where
+    # they are collected; larger ones are ranked by the distributed index
+    probe = values.limit(MAP_LITERAL_LIMIT + 1).collect()
+    if len(probe) <= MAP_LITERAL_LIMIT:
+        rows = []
+        for feat in features:
+            vals = sorted(r["value"] for r in probe if r["feature"] == feat)  # code-point order, like Spark
+            rows += [(feat, v, i) for i, v in enumerate(vals)]
+        return df.sparkSession.createDataFrame(rows, "feature string, value string, idx long")
     return index_within(values, ["feature"], ["value"], checkpoint=checkpoint).select("feature", "value", "idx")
 
 
@@ -232,9 +241,15 @@ def fit_preprocess(
     target = target or base.columns[-1]
     if target not in base.columns:
         raise InputError(f"Target column '{target}' not found in DataFrame. Available columns: {base.columns}")
-    validate.require_min_rows(base, 2)
-    validate.reject_null_target(base, target)
-    n_classes = validate.target_stats(base, target).first()["n_classes"]
+    # row count, null targets and class count in one aggregate
+    st = base.agg(
+        F.count(F.lit(1)).alias("n"), F.count(col(target)).alias("nn"), F.count_distinct(col(target)).alias("k")
+    ).first()
+    if st["n"] < 2:
+        raise InputError(f"DataFrame has too few rows ({st['n']}). Minimum 2 rows required.")
+    if st["nn"] < st["n"]:
+        raise InputError(f"Target column '{target}' contains missing values. Label or remove those rows.")
+    n_classes = st["k"]
     if n_classes < 2:
         raise InputError(
             f"Target column has only {n_classes} unique label(s). Minimum 2 different labels required for classification."

@@ -10,6 +10,9 @@ one task, so a continuous column of a very large table does not fit.  Here:
 3. only the values inside the brackets are ranked, with the distributed
    :func:`index_within`, and the two ranks around each quantile are
    interpolated linearly (NumPy's default).
+
+Columns with at most ``SMALL_EXACT`` values skip steps 2-3 and use the
+built-in exact percentile, whose buffer that bound keeps small.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from tabsight.functions.exprs import col
 from tabsight.operators.ranking import index_within
 
 APPROX_ACCURACY = 10_000
+# Up to this many values per column the built-in exact percentile is used.
+SMALL_EXACT = 2_000_000
 BRACKET = 4.0 / APPROX_ACCURACY
 
 
@@ -32,6 +37,15 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
         return {}
     clean = df.select(*[F.when(~F.isnan(col(c).cast("double")), col(c).cast("double")).alias(f"v{i}")
                         for i, c in enumerate(columns)])
+    # several passes read the same narrow projection: keep it (memory, spilling to disk)
+    clean = clean.persist()
+    try:
+        return _quantiles(df, clean, columns, probs)
+    finally:
+        clean.unpersist()
+
+
+def _quantiles(df: DataFrame, clean: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     lo_p = [max(0.0, p - BRACKET) for p in probs]
     hi_p = [min(1.0, p + BRACKET) for p in probs]
     aggs = []
@@ -43,6 +57,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> di
             F.percentile_approx(v, hi_p, APPROX_ACCURACY).alias(f"hi{i}"),
         ]
     first = clean.agg(*aggs).first()  # one row: counts and bracket ends
+    if max(first[f"n{i}"] for i in range(len(columns))) <= SMALL_EXACT:
+        # small input: the built-in exact percentile's buffer is bounded by SMALL_EXACT values
+        pa = [F.percentile(F.col(f"v{i}"), F.array(*[F.lit(p) for p in probs])).alias(f"q{i}") for i in range(len(columns))]
+        row = clean.agg(*pa).first()
+        return {c: (list(row[f"q{i}"]) if first[f"n{i}"] else [None] * len(probs)) for i, c in enumerate(columns)}
     # ranks needed per column and probability
     need = {}
     for i in range(len(columns)):

@@ -94,14 +94,19 @@ SCORED5_SQL = (
 
 def scored5(spark: SparkSession, d: str) -> DataFrame:
     ev = read_table(spark, d, "events")
-    slices = [_md5_slice(F.col("event_id"), 1 + 6 * i) + F.lit(0.01) for i in range(5)]
-    total = slices[0]
-    for s in slices[1:]:
-        total = total + s
     y = F.lit(None).cast("int")
     for i, e in reversed(list(enumerate(EVENT_TYPES_SORTED))):
         y = F.when(F.col("event_type") == e, F.lit(i)).otherwise(y)
-    return ev.select("event_id", y.alias("y_true"), F.array(*[s / total for s in slices]).alias("proba"))
+    # one md5 per row, its slices as columns, then the normalised array
+    h = ev.select("event_id", y.alias("y_true"), F.md5(F.col("event_id").cast("string")).alias("_h"))
+    sl = h.select(
+        "event_id", "y_true",
+        *[(F.conv(F.substring("_h", 1 + 6 * i, 8), 16, 10).cast("long") / F.lit(4294967296.0) + F.lit(0.01)).alias(f"_s{i}")
+          for i in range(5)],
+    )
+    total = sum((F.col(f"_s{i}") for i in range(1, 5)), F.col("_s0"))
+    tot = sl.select("event_id", "y_true", *[f"_s{i}" for i in range(5)], total.alias("_t"))
+    return tot.select("event_id", "y_true", F.array(*[F.col(f"_s{i}") / F.col("_t") for i in range(5)]).alias("proba"))
 
 
 # --- hash helpers for splits ---------------------------------------------------

@@ -106,3 +106,29 @@ def test_class_weights(spark):
     w = {r["class_name"]: r["weight"] for r in prep.class_weights(df, "y").collect()}
     assert abs(w["a"] - 40 / (2 * 30)) < 1e-12 and abs(w["b"] - 40 / (2 * 10)) < 1e-12
     assert prep.class_weights(df.where("y = 'a'"), "y").count() == 0
+
+
+def test_exact_quantiles_bracket_path(spark, monkeypatch):
+    from tabsight.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL_EXACT", 10)
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=5001)
+    b = np.round(rng.random(5001) * 20)  # many ties
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b}))
+    got = quantiles.exact_quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0])
+    for name, arr in (("a", a), ("b", b)):
+        want = np.percentile(arr, [0, 25, 50, 90, 100])
+        assert np.allclose(got[name], want, rtol=0, atol=1e-12), (name, got[name], want)
+
+
+def test_large_dictionary_path_joins(spark, monkeypatch):
+    monkeypatch.setattr(prep, "MAP_LITERAL_LIMIT", 3)
+    pdf = pd.DataFrame({"c": [f"v{i % 7}" for i in range(40)], "n": range(40), "t": ["a", "b"] * 20})
+    df = spark.createDataFrame(pdf)
+    pre = prep.fit_preprocess(df, "t")
+    assert pre.maps == {}  # no map literal: the encode step joins the dictionary
+    got = {r["c"] for r in pre.encode(spark.createDataFrame([("v3", 1), ("zz", 2)], "c string, n long")).collect()}
+    d = {r["value"]: r["idx"] for r in pre.dictionary.collect()}
+    assert got == {float(d["v3"]), float(d[UNKNOWN_TOKEN])}
+    assert sorted(d, key=d.get) == sorted(d)
