@@ -173,12 +173,26 @@ def balanced_accuracy_value(pred: DataFrame, label_col: str = "label", pred_col:
     return float(row[0]) if row and row[0] is not None else 0.0
 
 
+def score_predictions(pred: DataFrame, scoring="balanced_accuracy", label_col: str = "label", pred_col: str = "pred") -> float:
+    """A metric name, or a function of the long confusion table ``true_class, pred_class, n``."""
+    if scoring == "balanced_accuracy":
+        return balanced_accuracy_value(pred, label_col, pred_col)
+    p = pred.select(F.col(label_col).cast("int").alias("y"), F.col(pred_col).cast("int").alias("p"))
+    if callable(scoring):
+        return float(scoring(evaluate.confusion_long(p, "y", "p")))
+    m = evaluate.core_metrics(p, "y", "p").first()
+    names = {"accuracy": "accuracy", "precision_weighted": "precision", "recall_weighted": "recall", "f1_weighted": "f1"}
+    if scoring not in names:
+        raise InputError(f"Unknown scoring '{scoring}'; use {sorted(names) + ['balanced_accuracy']} or a function.")
+    return float(m[names[scoring]] or 0.0)
+
+
 def score_fold(cand: Candidate, data: DataFrame, fold: int, n_features: int, n_classes: int,
-               label_col: str = "label", fold_col: str = "fold") -> float:
+               label_col: str = "label", fold_col: str = "fold", scoring="balanced_accuracy") -> float:
     train = data.where(F.col(fold_col) != fold)
     test = data.where(F.col(fold_col) == fold)
     model = cand.build(n_features, n_classes, label_col=label_col).fit(train)
-    return balanced_accuracy_value(with_proba(model, test), label_col)
+    return score_predictions(with_proba(model, test), scoring, label_col)
 
 
 def cross_val_score(
@@ -190,10 +204,12 @@ def cross_val_score(
     label_col: str = "label",
     fold_col: str = "fold",
     parallelism: int = 2,
+    scoring="balanced_accuracy",
 ) -> list[float]:
-    """Balanced accuracy of each of ``k`` folds (the fold column is already assigned)."""
+    """Score of each of ``k`` folds (the fold column is already assigned) (M4)."""
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = [pool.submit(score_fold, cand, data, f, n_features, n_classes, label_col, fold_col) for f in range(k)]
+        futures = [pool.submit(score_fold, cand, data, f, n_features, n_classes, label_col, fold_col, scoring)
+                   for f in range(k)]
         return [fu.result() for fu in futures]
 
 
@@ -224,6 +240,7 @@ def successive_halving(
     cv: int = CV_FOLDS,
     seed: int = DEFAULT_SEED,
     parallelism: int = 2,
+    scoring="balanced_accuracy",
 ):
     """Three-stage successive halving with stratified CV (M5).
 
@@ -260,7 +277,7 @@ def successive_halving(
             cand = candidates[idx]
             t0 = time.time()
             try:
-                scores = cross_val_score(cand, sample, k, n_features, n_classes, label_col, "fold", parallelism)
+                scores = cross_val_score(cand, sample, k, n_features, n_classes, label_col, "fold", parallelism, scoring)
                 mean = sum(scores) / len(scores)
                 std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
                 row = (cand.name, stage, round(mean, 4), round(std, 4), [round(s, 4) for s in scores], True, "",

@@ -108,3 +108,25 @@ def image_tensors(images: DataFrame, size: int = TENSOR_SIZE) -> DataFrame:
     return images.select("path", "height", "width", "nChannels", "data").mapInPandas(
         fn, "path string, tensor array<float>"
     )
+
+
+def extract_features(images: DataFrame, fn, dim: int, path_col: str = "path", bytes_col: str = "content") -> DataFrame:
+    """Run a user feature extractor over image bytes (X5), one Arrow batch at a time.
+
+    ``fn(list_of_bytes) -> array-like (n, dim)``, e.g. a pretrained backbone
+    loaded once per worker.  Returns ``path, embedding array<float>`` ready for
+    the vector candidates (M3).
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            feats = np.asarray(fn(list(pdf[bytes_col])), dtype=np.float32).reshape(len(pdf), dim)
+            yield pd.DataFrame({"path": pdf[path_col], "embedding": list(feats)})
+
+    return images.select(path_col, bytes_col).mapInPandas(run, "path string, embedding array<float>")
+
+
+def read_image_bytes(spark: SparkSession, root: str) -> DataFrame:
+    """``path, label, content`` for every image (the input of :func:`extract_features`)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return _labelled(files.where(F.col("path").rlike(IMAGE_EXTENSION_PATTERN)).select("path", "length", "content"), root)

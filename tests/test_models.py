@@ -127,3 +127,13 @@ def test_report_tables(spark):
                     "It relies most on 'age' to make its predictions. "
                     "Note: the training data has several quality issues (class imbalance, id column) that may affect reliability.")
     assert n[1].endswith("No major data quality issues were detected.")
+
+
+def test_scoring_options(spark):
+    df = spark.createDataFrame([(0.0, 0), (1.0, 1), (1.0, 0), (0.0, 0)], "label double, pred int")
+    assert models.score_predictions(df, "accuracy") == 0.75
+    assert models.score_predictions(df, "balanced_accuracy") == 0.75
+    custom = models.score_predictions(df, lambda cells: cells.where("true_class = pred_class").groupBy().sum("n").first()[0])
+    assert custom == 3.0
+    with pytest.raises(ValueError, match="Unknown scoring"):
+        models.score_predictions(df, "bogus")

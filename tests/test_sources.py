@@ -95,3 +95,13 @@ def test_registry_round_trip(spark, tmp_path):
     assert registry.get_run(spark, reg, "m1")["model_name"] == "RandomForest"
     assert registry.list_runs(spark, reg).count() == 2
     assert registry.get_run(spark, reg, "zzz") is None
+
+
+def test_feature_extractor_hook(spark, tmp_path):
+    for cls in ("a", "b"):
+        (tmp_path / cls).mkdir()
+        for i in range(3):
+            _png(tmp_path / cls / f"{i}.png", w=4, h=4)
+    imgs = images.read_image_bytes(spark, str(tmp_path))
+    emb = images.extract_features(imgs, lambda blobs: [[len(b), 1.0] for b in blobs], 2).collect()
+    assert len(emb) == 6 and all(len(r["embedding"]) == 2 and r["embedding"][1] == 1.0 for r in emb)
