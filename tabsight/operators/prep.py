@@ -66,11 +66,14 @@ def fit_dictionary(df: DataFrame, features: list[str], checkpoint: bool = True)
         for feat in features:
             vals = sorted(r["value"] for r in probe if r["feature"] == feat)  # code-point order, like Spark
             rows += [(feat, v, i) for i, v in enumerate(vals)]
-        return df.sparkSession.createDataFrame(rows, "feature string, value string, idx long")
+        out = df.sparkSession.createDataFrame(rows, "feature string, value string, idx long")
+        out._small_rows = rows  # lets the caller skip re-reading a dictionary it already holds
+        return out
     return index_within(values, ["feature"], ["value"], checkpoint=checkpoint).select("feature", "value", "idx")
 
 
-def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int = 1_000_000) -> dict[str, float | None]:
+def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int = 1_000_000,
+            n_rows_hint: int | None = None) -> dict[str, float | None]:
     """Median of each numeric column, one aggregate.
 
     Exact mode interpolates like pandas and never holds a column in one task
@@ -81,7 +84,7 @@ def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int
         return {}
     clean = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in numeric]))
     if exact:
-        q = exact_quantiles(clean, numeric, [0.5])
+        q = exact_quantiles(clean, numeric, [0.5], n_rows_hint=n_rows_hint)
         return {c: q[c][0] for c in numeric}
     aggs = [F.percentile_approx(col(c), 0.5, accuracy).alias(f"m{i}") for i, c in enumerate(numeric)]
     row = clean.agg(*aggs).first()
@@ -164,8 +167,11 @@ class Preprocessor:
         total = sum(self.dict_sizes.values())
         self.maps = {}
         if self.dictionary is not None and total <= MAP_LITERAL_LIMIT:
-            for r in self.dictionary.collect():  # bounded by MAP_LITERAL_LIMIT
-                self.maps.setdefault(r["feature"], {})[r["value"]] = int(r["idx"])
+            rows = getattr(self.dictionary, "_small_rows", None)
+            if rows is None:
+                rows = [(r["feature"], r["value"], r["idx"]) for r in self.dictionary.collect()]  # ≤ MAP_LITERAL_LIMIT
+            for f, v, i in rows:
+                self.maps.setdefault(f, {})[v] = int(i)
 
     # ---- transform -----------------------------------------------------------
     def unknown_index(self, feature: str) -> int | None:
@@ -267,13 +273,20 @@ def fit_preprocess(
     classes = sorted(
         r[0] for r in base.select(col(target).cast("string")).distinct().collect()
     )
-    fills = medians(base, numeric, exact=exact_median)
+    fills = medians(base, numeric, exact=exact_median, n_rows_hint=st["n"])
     empty = [c for c, v in fills.items() if v is None]
     if empty:
         raise InputError(f"Feature column '{empty[0]}' contains only missing values.")
     dictionary = fit_dictionary(base, categorical, checkpoint=checkpoint) if categorical else None
     sizes, unknown = {}, {}
-    if dictionary is not None:
+    small = getattr(dictionary, "_small_rows", None) if dictionary is not None else None
+    if small is not None:
+        # the small dictionary was collected while it was built: no further job
+        for f, v, i in small:
+            sizes[f] = sizes.get(f, 0) + 1
+            if v == UNKNOWN_TOKEN:
+                unknown[f] = i
+    elif dictionary is not None:
         # one row per categorical feature: size and the index of the unknown token
         per = dictionary.groupBy("feature").agg(
             F.count(F.lit(1)).alias("n"),
