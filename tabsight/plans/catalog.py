@@ -1145,6 +1145,19 @@ def s13(spark, d):
     return back
 
 
+@register(
+    "K06_top_predictions_preview",
+    f"SELECT event_id AS sample_index, list_extract({_NAMES_SQL}, y_pred + 1) AS predicted_label "
+    f"FROM {_S5_PRED} ORDER BY event_id LIMIT 20",
+)
+def k06(spark, d):
+    names = F.array(*[F.lit(n) for n in V.EVENT_TYPES_SORTED])
+    p = _scored5_pred(spark, d).select(
+        F.col("event_id").alias("sample_index"), F.element_at(names, F.col("y_pred") + 1).alias("predicted_label")
+    )
+    return tabular.preview(p, ["sample_index"], 20)
+
+
 @register(
     "S15_latest_per_key",
     "SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER "
