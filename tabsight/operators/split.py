@@ -25,6 +25,7 @@ DEFAULT_FOLDS = 3
 TEST_SIZE = 0.2
 MIN_SPLIT_ROWS = 10
 TAKE_ORDERED_LIMIT = 100_000
+EXACT_BELOW = 10_000
 
 
 def _order_key(key_cols: list[str], seed: int):
@@ -86,13 +87,16 @@ def stratified_holdout(
     key_cols: list[str],
     test_size: float = TEST_SIZE,
     seed: int = DEFAULT_SEED,
-    mode: str = "exact",
+    mode: str = "auto",
     out_col: str = "is_test",
 ) -> DataFrame:
     """Hold-out flag (K4): stratified when every class has ≥ 2 rows, else plain.
 
     Exact mode takes the first ⌈test_size·n_c⌉ rows of each class in
-    md5(seed|key) order (⌈test_size·n⌉ overall when not stratified).
+    md5(seed|key) order (⌈test_size·n⌉ overall when not stratified).  Hash
+    mode flags rows with md5(seed|key) < test_size: no shuffle, per-class
+    shares within sampling noise.  ``auto`` is exact while the smallest class
+    is below ``EXACT_BELOW`` rows and hash beyond.
     """
     stats = df.groupBy(col(label_col)).agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("rows"), F.min("n").alias("smallest")
@@ -101,6 +105,8 @@ def stratified_holdout(
     if rows < MIN_SPLIT_ROWS:
         raise InputError(f"Need at least {MIN_SPLIT_ROWS} rows for a hold-out split; got {rows}.")
     stratify = (stats["smallest"] or 0) >= 2
+    if mode == "auto":
+        mode = "exact" if (stats["smallest"] or 0) < EXACT_BELOW else "hash"
     if mode == "hash":
         return df.withColumn(out_col, hash_unit(key_cols, seed) < F.lit(float(test_size)))
     groups = [label_col] if stratify else []

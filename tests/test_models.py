@@ -137,3 +137,18 @@ def test_scoring_options(spark):
     assert custom == 3.0
     with pytest.raises(ValueError, match="Unknown scoring"):
         models.score_predictions(df, "bogus")
+
+
+def test_metrics_from_cells_matches_spark(spark):
+    from tabsight.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    yt = rng.integers(0, 4, 500)
+    yp = np.where(rng.random(500) < 0.5, yt, rng.integers(0, 5, 500))
+    df = spark.createDataFrame(pd.DataFrame({"y": yt, "p": yp}))
+    cells = [(r[0], r[1], r[2]) for r in evaluate.confusion_long(df, "y", "p").collect()]
+    got = train.metrics_from_cells(cells)
+    m = evaluate.core_metrics(df, "y", "p").first()
+    for k in ("accuracy", "precision", "recall", "f1"):
+        assert abs(got[k] - m[k]) < 1e-12
+    assert abs(got["balanced_accuracy"] - evaluate.balanced_accuracy(df, "y", "p").first()[0]) < 1e-12
