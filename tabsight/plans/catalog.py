@@ -670,11 +670,12 @@ def f17(spark, d):
 # text
 # ---------------------------------------------------------------------------
 
-_FIRST_LINE_SQL = "split_part(d.text, chr(10), 1)"
+# the whole document on one line: newlines become spaces
+_ONE_LINE_SQL = "replace(d.text, chr(10), ' ')"
 _TEXT_LINES_SQL = (
     "(SELECT d.doc_id AS line_key, CASE WHEN d.doc_id % 5 = 1 THEN CAST(l.quality AS VARCHAR) || ',' || "
-    f"{_FIRST_LINE_SQL} WHEN d.doc_id % 11 = 3 THEN {_FIRST_LINE_SQL} "
-    f"ELSE CAST(l.quality AS VARCHAR) || chr(9) || {_FIRST_LINE_SQL} END AS text "
+    f"{_ONE_LINE_SQL} WHEN d.doc_id % 11 = 3 THEN {_ONE_LINE_SQL} "
+    f"ELSE CAST(l.quality AS VARCHAR) || chr(9) || {_ONE_LINE_SQL} END AS text "
     "FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
 )
 _PY_TRIM_SQL = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -688,7 +689,7 @@ def _text_lines(spark, d):
     docs = t(spark, d, "documents")
     labels = t(spark, d, "labels")
     j = labels.join(docs, "doc_id")  # J4: equi-join on the document key
-    first = F.substring_index(F.col("text"), "\n", 1)
+    first = F.regexp_replace(F.col("text"), "\n", " ")  # the whole document as one line
     q = F.col("quality").cast("string")
     line = (
         F.when(F.col("doc_id") % 5 == 1, F.concat(q, F.lit(","), first))
@@ -737,12 +738,12 @@ def s05(spark, d):
     "S06_read_unlabelled_lines",
     "SELECT conv_id, turn, "
     + _trim_sql("CASE WHEN instr(line, chr(9)) > 0 THEN substr(line, instr(line, chr(9)) + 1) ELSE line END")
-    + " AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || chr(9) || split_part(text, chr(10), 1) "
-    "ELSE split_part(text, chr(10), 1) END AS line FROM conversations)",
+    + " AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || chr(9) || replace(text, chr(10), ' ') "
+    "ELSE replace(text, chr(10), ' ') END AS line FROM conversations)",
 )
 def s06(spark, d):
     c = t(spark, d, "conversations")
-    first = F.substring_index(F.col("text"), "\n", 1)
+    first = F.regexp_replace(F.col("text"), "\n", " ")  # the whole turn as one line
     lines = c.select(
         "conv_id", "turn",
         F.when(F.col("turn") % 2 == 0, F.concat(F.col("role"), F.lit("\t"), first)).otherwise(first).alias("text"),
