@@ -214,13 +214,24 @@ def cross_val_score(
 
 
 def stratified_stage_sample(
-    data: DataFrame, label_col: str, key_cols: list[str], fraction: float, seed: int, k: int
+    data: DataFrame, label_col: str, key_cols: list[str], fraction: float, seed: int, k: int,
+    smallest_class: int | None = None,
 ) -> DataFrame:
-    """Per-class sample of ⌈fraction·n_c⌉ rows (at least min(n_c, k)), with exact folds.
+    """Per-class sample of ⌈fraction·n_c⌉ rows (at least min(n_c, k)), with folds.
 
-    One ranking per class by md5(seed|key): the first rows form the sample and
-    the same rank deals the folds round-robin.
+    Exact (small classes): one ranking per class by md5(seed|key); the first
+    rows form the sample and the same rank deals the folds round-robin.
+    When every class has at least ``EXACT_BELOW`` rows the sample and folds
+    are row-local md5 draws instead (no shuffle, shares within noise).
     """
+    from tabsight.functions.exprs import hash_unit
+    from tabsight.operators.split import EXACT_BELOW
+
+    if smallest_class is not None and smallest_class >= EXACT_BELOW:
+        u = hash_unit(key_cols, seed)
+        inside = data.where(u < F.lit(float(fraction))) if fraction < 1.0 else data
+        fold = F.least(F.floor(hash_unit(key_cols, seed + 7919) * k), F.lit(k - 1)).cast("int")
+        return inside.withColumn("fold", fold)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
     ranked = index_within(data.withColumn("_h", order), [label_col], ["_h", *key_cols], "_i")
     sizes = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
@@ -264,7 +275,8 @@ def successive_halving(
     for stage, (fid, frac) in enumerate(zip(STAGE_FIDELITIES, STAGE_TIME_FRACTIONS), start=1):
         stage_start = time.time()
         budget = frac * time_budget_sec
-        sample = stratified_stage_sample(data, label_col, key_cols, fid, seed + stage - 1, cv).persist()
+        smallest = min(r["n"] for r in counts)
+        sample = stratified_stage_sample(data, label_col, key_cols, fid, seed + stage - 1, cv, smallest).persist()
         stage_counts = sample.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()
         n_sub = sum(r["n"] for r in stage_counts)
         k = min(cv, max(2, min(r["n"] for r in stage_counts)))
