@@ -90,17 +90,22 @@ def cramers_v(cells: DataFrame) -> DataFrame:
     the same |o−e| = D, so χ² = max(D − ½, 0)²·n³/(R₁R₂C₁C₂).
     Returns ``feature, n, r, k, chi2, v``.
     """
+    # Row margins by a window per (feature, value): each holds at most k cells.
+    # Column margins come from a (feature, target-value) aggregate - at most
+    # features × classes rows - joined back, so a high-cardinality feature
+    # never puts all cells of one class into one task.  r and k count the
+    # first cell of each row / column, keeping the per-feature aggregate
+    # algebraic (it combines map-side).
     wr = Window.partitionBy("feature", "f")
-    wc = Window.partitionBy("feature", "t")
-    # Margins by window over distinct cells (bounded by r×k per feature);
-    # r and k count the first cell of each row / column, so the per-feature
-    # aggregate below is algebraic and combines map-side.
-    marg = cells.select(
+    colm = cells.groupBy("feature", "t").agg(F.sum("n").alias("C"), F.min("f").alias("_fmin"))
+    # colm is features × target values: small for a class target, so the
+    # planner broadcasts it by its measured size (AQE); a huge one is shuffled
+    marg = cells.join(colm, ["feature", "t"]).select(
         "feature", "f", "t", "n",
         F.sum("n").over(wr).alias("R"),
-        F.sum("n").over(wc).alias("C"),
+        "C",
         (F.col("t") == F.min("t").over(wr)).alias("row_head"),
-        (F.col("f") == F.min("f").over(wc)).alias("col_head"),
+        (F.col("f") == F.col("_fmin")).alias("col_head"),
     )
     per = marg.groupBy("feature").agg(
         F.sum("n").alias("n"),
@@ -272,10 +277,10 @@ def detect_constant_columns(df: DataFrame, profile: DataFrame | None = None) ->
 def detect_imbalance(df: DataFrame, target: str, threshold: float = IMBALANCE_THRESHOLD) -> DataFrame:
     """Classes below 5 % of the non-null target rows."""
     vc = value_counts(df, target)
-    w = Window.orderBy(F.col("n").desc(), F.col("class_name"))
+    # one warning per class, so no ordering inside the gate is needed
     return vc.where(F.col("fraction") < threshold).select(
         F.lit(1).alias("gate"),
-        F.row_number().over(w).cast("int").alias("seq"),
+        F.lit(0).alias("seq"),
         F.lit(None).cast("string").alias("column_name"),
         "class_name",
         F.lit("class_imbalance").alias("issue"),

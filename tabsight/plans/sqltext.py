@@ -185,7 +185,7 @@ def warnings_sql(src: str, target: str, cols: list[str], num: list[str], cat: li
         f"CASE WHEN metric = 'pearson' THEN printf('Pearson r=%.4f with target (threshold 0.95)', value) "
         "ELSE printf('Cramers V=%.4f with target (too high)', value) END AS detail FROM lk "
         "WHERE abs(value) > 0.95 "
-        "UNION ALL SELECT 1, CAST(row_number() OVER (ORDER BY n DESC, class_name) AS INTEGER), NULL, class_name, 'class_imbalance', 'fraction', fraction, "
+        "UNION ALL SELECT 1, 0, NULL, class_name, 'class_imbalance', 'fraction', fraction, "
         "printf('''%s'' has %d samples (%.1f%%) — fewer than 5%%. This class may be hard to learn.', class_name, n, fraction * 100) "
         "FROM vc WHERE fraction < 0.05 "
         "UNION ALL SELECT 2, ordinal, column_name, NULL, 'id_column', 'n_unique', n_unique, "
