@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
+from pyspark.sql import types as T
+
 from tabsight.functions.exprs import (
+    FLOAT_TYPES,
     card_score_expr,
     col,
     nan_to_null,
@@ -47,6 +50,50 @@ def _unpivot_profile(df: DataFrame, stats: DataFrame, distinct_prefix: str = "u"
     )
 
 
+def _canonical_text(field) -> "F.Column":
+    """Injective text of a value for distinct counting (NaN → null, -0.0 → 0.0)."""
+    c = col(field.name)
+    if isinstance(field.dataType, FLOAT_TYPES):
+        c = F.when(F.isnan(c), F.lit(None)).when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
+    if isinstance(field.dataType, T.StringType):
+        return c
+    return c.cast("string")
+
+
+def _exact_profile(df: DataFrame) -> DataFrame:
+    """Exact profile by one unpivot and one keyed aggregate.
+
+    (column, value) pairs are counted with a map-side partial aggregate;
+    the per-column totals then come from a second, tiny aggregate.  This
+    avoids the Expand plan of many ``count(distinct)`` in one aggregate.
+    """
+    fields = df.schema.fields
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), _canonical_text(f).alias("v")) for i, f in enumerate(fields)
+    ]))
+    cells = df.select(pairs.alias("x")).select("x.ordinal", "x.v").groupBy("ordinal", "v").agg(
+        F.count(F.lit(1)).alias("cnt")
+    )
+    per = cells.groupBy("ordinal").agg(
+        F.sum("cnt").alias("n_rows"),
+        F.sum(F.when(F.col("v").isNotNull(), F.col("cnt")).otherwise(0)).alias("n_nonnull"),
+        F.count("v").alias("n_unique"),
+    )
+    meta = df.sparkSession.createDataFrame(
+        [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(fields)],
+        "column_name string, ordinal int, dtype string",
+    )
+    # one row per column on both sides
+    return meta.join(per, "ordinal").select(
+        "column_name",
+        F.col("ordinal").cast("int").alias("ordinal"),
+        "dtype",
+        F.col("n_rows").cast("long").alias("n_rows"),
+        F.col("n_nonnull").cast("long").alias("n_nonnull"),
+        F.col("n_unique").cast("long").alias("n_unique"),
+    )
+
+
 def profile_columns(df: DataFrame, mode: str = "exact", rsd: float = 0.02) -> DataFrame:
     """Rows, non-nulls and distinct non-null values for every column (A1).
 
@@ -57,11 +104,7 @@ def profile_columns(df: DataFrame, mode: str = "exact", rsd: float = 0.02) -> Da
         raise InputError("Cannot profile a table without columns.")
     clean = nan_to_null(df)
     if mode == "exact":
-        aggs = [F.count(F.lit(1)).alias("n_rows")]
-        for i, name in enumerate(df.columns):
-            aggs.append(F.count(col(name)).alias(f"nn{i}"))
-            aggs.append(F.count_distinct(col(name)).alias(f"u{i}"))
-        return _unpivot_profile(df, clean.agg(*aggs))
+        return _exact_profile(df)
     if mode not in ("approx", "auto"):
         raise InputError(f"Unknown profile mode '{mode}'; use exact, approx or auto.")
     aggs = [F.count(F.lit(1)).alias("n_rows")]

@@ -74,3 +74,10 @@ def test_entry_smoke(spark):
 
     df = E.entry(spark)
     assert df.count() == 11
+
+
+def test_negative_zero_and_types(spark):
+    rows = [(0.0, 1, "a", True), (-0.0, 1, "a", False), (float("nan"), None, None, None), (2.5, 3, "b", True)]
+    df = spark.createDataFrame(rows, "x double, i int, s string, b boolean")
+    got = {r["column_name"]: (r["n_nonnull"], r["n_unique"]) for r in profile.profile_columns(df).collect()}
+    assert got == {"x": (3, 2), "i": (3, 2), "s": (3, 2), "b": (3, 2)}
