@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
 from tabsight.functions.exprs import col, is_id_like_type, is_numeric_type, nan_to_null
-from tabsight.operators.profile import profile_columns
+from tabsight.operators.profile import PROFILE_SCHEMA, profile_columns
 
 # Gate thresholds.
 PEARSON_THRESHOLD = 0.95
@@ -299,7 +299,9 @@ def quality_warnings(df: DataFrame, target: str | None = None) -> DataFrame:
     The first warning in gate order (leakage, imbalance, id, constant) wins;
     ``row_number`` makes the survivor deterministic.
     """
-    prof = profile_columns(df)
+    # one row per column (bounded by the schema): computed once, reused by two gates
+    spark = df.sparkSession
+    prof = spark.createDataFrame(profile_columns(df).collect(), PROFILE_SCHEMA)
     parts = []
     if target is not None and target in df.columns:
         parts += [detect_leakage(df, target), detect_imbalance(df, target)]
