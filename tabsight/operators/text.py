@@ -257,9 +257,12 @@ class TfidfModel:
     terms: DataFrame
     n_docs: int
 
-    def transform(self, df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-        """Long-form ``key, term, idx, tf, weight`` with L2-normalised weights."""
-        tf = term_counts(df, key_col, text_col)
+    def transform(self, df: DataFrame, key_col: str, text_col: str, tf: DataFrame | None = None) -> DataFrame:
+        """Long-form ``key, term, idx, tf, weight`` with L2-normalised weights.
+
+        ``tf`` may pass precomputed :func:`term_counts` of ``df``.
+        """
+        tf = tf if tf is not None else term_counts(df, key_col, text_col)
         lut = F.broadcast(self.terms.select("term", "idx", "idf"))  # ≤ max_features rows
         w = tf.join(lut, "term").withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key_col)))
@@ -318,13 +321,14 @@ def fit_tfidf(
     text_col: str,
     max_features: int = TFIDF_MAX_FEATURES,
     min_df: int = TFIDF_MIN_DF,
+    tf: DataFrame | None = None,
 ) -> TfidfModel:
     """Vocabulary and smoothed idf like the reference's TF-IDF settings.
 
     Terms with df ≥ min_df, then the ``max_features`` most frequent over the
     corpus (ties alphabetical), indexed alphabetically; idf = ln((1+n)/(1+df)) + 1.
     """
-    tf = term_counts(df, key_col, text_col)
+    tf = tf if tf is not None else term_counts(df, key_col, text_col)
     n_docs = int(df.select(key_col).distinct().count())
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.where(F.col("df") >= min_df).orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
@@ -336,3 +340,18 @@ def fit_tfidf(
         (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
     )
     return TfidfModel(terms, n_docs)
+
+
+def fit_transform_tfidf(df: DataFrame, key_col: str, text_col: str, **kw) -> tuple[TfidfModel, DataFrame]:
+    """Fit and transform the same documents with ONE term-count pass.
+
+    The per-document counts are checkpointed to the shared checkpoint folder
+    (lineage cut, survives executor loss) and read by both the fit and the
+    transform.
+    """
+    from tabsight.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    tf = term_counts(df, key_col, text_col).checkpoint(eager=True)
+    model = fit_tfidf(df, key_col, text_col, tf=tf, **kw)
+    return model, model.transform(df, key_col, text_col, tf=tf)

@@ -831,8 +831,7 @@ _TFIDF_SQL = (
 @register("F11_tfidf", _TFIDF_SQL)
 def f11(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
-    model = text.fit_tfidf(docs, "doc_id", "text")
-    out = model.transform(docs, "doc_id", "text")
+    _model, out = text.fit_transform_tfidf(docs, "doc_id", "text")
     return out.select("doc_id", "term", "idx", "tf", F.round("weight", 8).alias("weight"))
 
 
