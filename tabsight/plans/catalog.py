@@ -944,6 +944,23 @@ def m02(spark, d):
     return results.drop("seconds")
 
 
+@register("M10_train_text", None)
+def m10t(spark, d):
+    ld = _labelled_docs(spark, d)
+    run = train.train_text(ld, "doc_id", "text", "quality",
+                           candidates=[c for c in models.text_candidates(0) if c.name != "LinearSVC"])
+    m = {k: v for k, v in run.metrics.items() if k != "confusion"}
+    return spark.createDataFrame([(run.model_name, k, float(v)) for k, v in m.items()], "model_name string, metric string, value double")
+
+
+@register("M11_predict_text", None)
+def m11t(spark, d):
+    ld = _labelled_docs(spark, d)
+    run = train.train_text(ld, "doc_id", "text", "quality", candidates=[models.fallback_candidate()], search=False)
+    lines = text.read_unlabelled_lines(t(spark, d, "benchmark").select("item_id", "text"))
+    return train.predict_text(run, lines, "item_id", "text")
+
+
 @register("M03_vector_candidates", None)
 def m03(spark, d):
     from pyspark.ml.functions import array_to_vector

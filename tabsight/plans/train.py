@@ -239,3 +239,97 @@ def predict_batch(run: FittedRun, df: DataFrame, key_col: str | None = None, det
         return prediction_detail(scored, "_key", "pred", "proba", run.classes)
     return scored.select(F.col("_key").alias("sample_index"), "pred", "proba",
                          run.pre.decode_target("pred", "predicted_class"))
+
+
+# ---------------------------------------------------------------------------
+# text (the text branch of M10 / M11)
+# ---------------------------------------------------------------------------
+
+@dataclass
+class FittedTextRun:
+    """TF-IDF vocabulary + classifier + class list for labelled text."""
+
+    tfidf: object  # text.TfidfModel
+    model: Model
+    model_name: str
+    classes: list[str]
+    metrics: dict = field(default_factory=dict)
+    search: DataFrame | None = None
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        self.tfidf.terms.write.mode("overwrite").parquet(path + "/tfidf_terms")
+        self.model.write().overwrite().save(path + "/model")
+        meta = {"model_name": self.model_name, "model_class": type(self.model).__name__, "dataset_type": "text",
+                "class_names": self.classes, "metrics": self.metrics, "n_docs": self.tfidf.n_docs}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(path + "/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FittedTextRun":
+        from tabsight.operators.text import TfidfModel
+
+        try:
+            meta = json.loads(spark.read.json(path + "/meta").first()["meta"])
+            terms = spark.read.parquet(path + "/tfidf_terms")
+            model = getattr(C, meta["model_class"]).load(path + "/model")
+        except Exception as exc:
+            raise InputError(f"Model folder '{path}' is incomplete: model, vocabulary and metadata must all be present.") from exc
+        return cls(TfidfModel(terms, int(meta["n_docs"])), model, meta["model_name"], meta["class_names"], meta.get("metrics") or {})
+
+
+def train_text(
+    df: DataFrame,
+    key_col: str,
+    text_col: str,
+    label_col: str,
+    candidates: list[models.Candidate] | None = None,
+    search: bool = True,
+    time_budget_sec: float = models.DEFAULT_TIME_BUDGET_SEC,
+    seed: int = DEFAULT_SEED,
+) -> FittedTextRun:
+    """Labelled text → cleaned text → TF-IDF → search → hold-out fit and metrics."""
+    from tabsight.operators import text as T
+
+    base = df.select(F.col(key_col), F.col(text_col).alias("_text"), F.col(label_col).cast("string").alias("_label"))
+    validate.require_min_rows(base, 2, "text dataset")
+    n_classes = validate.validate_target(base, "_label")
+    validate.reject_null_target(base, "_label")
+    cleaned = base.withColumn("_text", T.clean_text(F.col("_text")))
+    T.require_some_text(cleaned, "_text")
+    classes = sorted(r[0] for r in cleaned.select("_label").distinct().collect())  # ≤ 50, validated
+    tfidf, _ = T.fit_transform_tfidf(cleaned, key_col, "_text")
+    vec = tfidf.vectors(cleaned, key_col, "_text")
+    lab = cleaned.select(key_col, (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("_label")) - 1)
+                         .cast("double").alias(LABEL))
+    data = vec.join(lab, key_col).withColumn(ROW_KEY, F.col(key_col).cast("string")).persist()
+    n_rows = data.count()
+    n_features = tfidf._size()
+    cands = candidates or models.text_candidates(n_rows)
+    results = None
+    winner = cands[0]
+    if search:
+        try:
+            name, _s, results = models.successive_halving(cands, data, LABEL, [ROW_KEY], n_features,
+                                                          time_budget_sec=time_budget_sec, seed=seed)
+            winner = next((c for c in cands if c.name == name), cands[0])
+        except Exception:
+            winner = models.fallback_candidate()
+    model, pred, flagged = fit_winner(winner, data, [ROW_KEY], n_classes, seed)
+    metrics = holdout_metrics(pred)
+    flagged.unpersist()
+    data.unpersist()
+    return FittedTextRun(tfidf, model, winner.name, classes, metrics, results)
+
+
+def predict_text(run: FittedTextRun, df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """Score texts with the fitted vocabulary and model (text branch of M11)."""
+    from tabsight.operators import text as T
+
+    cleaned = df.select(F.col(key_col), T.clean_text(F.col(text_col)).alias("_text"))
+    vec = run.tfidf.vectors(cleaned, key_col, "_text")
+    scored = models.with_proba(run.model, vec)
+    names = F.array(*[F.lit(c) for c in run.classes])
+    return scored.select(
+        F.col(key_col).alias("sample_index"), "pred", F.element_at(names, F.col("pred") + 1).alias("predicted_class"),
+        F.array_max("proba").alias("confidence"),
+    )

@@ -152,3 +152,18 @@ def test_metrics_from_cells_matches_spark(spark):
     for k in ("accuracy", "precision", "recall", "f1"):
         assert abs(got[k] - m[k]) < 1e-12
     assert abs(got["balanced_accuracy"] - evaluate.balanced_accuracy(df, "y", "p").first()[0]) < 1e-12
+
+
+def test_text_train_predict_reload(spark, tmp_path):
+    good = [f"great film wonderful story number {i}" for i in range(30)]
+    bad = [f"awful film boring story number {i}" for i in range(30)]
+    df = spark.createDataFrame([(i, t, "pos" if i < 30 else "neg") for i, t in enumerate(good + bad)],
+                               "doc_id long, text string, label string")
+    run = train.train_text(df, "doc_id", "text", "label", candidates=[models.fallback_candidate()], search=False)
+    assert run.classes == ["neg", "pos"] and run.metrics["accuracy"] > 0.9
+    new = spark.createDataFrame([(100, "a wonderful great film"), (101, "boring awful")], "k long, t string")
+    got = {r["sample_index"]: r["predicted_class"] for r in train.predict_text(run, new, "k", "t").collect()}
+    assert got == {100: "pos", 101: "neg"}
+    run.save(str(tmp_path / "tm"))
+    again = train.FittedTextRun.load(spark, str(tmp_path / "tm"))
+    assert {r["sample_index"]: r["predicted_class"] for r in train.predict_text(again, new, "k", "t").collect()} == got
