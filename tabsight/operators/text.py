@@ -136,7 +136,8 @@ def clean_text(text: Column, normalize: bool = True) -> Column:
     t = F.regexp_replace(t, URL_PATTERN, " ")
     t = F.regexp_replace(t, CONTROL_PATTERN, "")
     t = F.regexp_replace(t, SPACE_PATTERN, " ")
-    return F.regexp_replace(t, TRIM_PATTERN, "")
+    # every whitespace run is now one space, so trimming spaces is the full strip
+    return F.trim(t)
 
 
 def require_some_text(df: DataFrame, col_name: str) -> None:
@@ -150,7 +151,7 @@ def keras_words(text: Column) -> Column:
     """Lower-case, punctuation → space, split on space, drop empty tokens."""
     filters = "[" + "".join("\\" + c if c in "\\[]^-" else c for c in KERAS_FILTERS) + "]"
     t = F.regexp_replace(F.lower(text), filters, " ")
-    return F.filter(F.split(t, " "), lambda w: F.length(w) > 0)
+    return F.array_remove(F.split(t, " "), "")
 
 
 @dataclass
@@ -161,6 +162,26 @@ class Vocabulary:
     num_words: int
 
 
+POS_BITS = 24
+
+
+def _first_occurrence_key(df: DataFrame, text_col: str, order_cols: list[str]) -> Column:
+    """Orderable key of (document order, position).
+
+    One non-negative integral order column and documents shorter than 2^24
+    characters (checked by one small aggregate over the documents, not the
+    words) pack into a long; anything else uses a struct.
+    """
+    from pyspark.sql.types import IntegralType
+
+    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, IntegralType):
+        o = F.col(order_cols[0])
+        row = df.agg(F.min(o).alias("lo"), F.max(o).alias("hi"), F.max(F.length(text_col)).alias("len")).first()
+        if row["lo"] is None or (row["lo"] >= 0 and row["hi"] < (1 << (63 - POS_BITS)) and (row["len"] or 0) < (1 << POS_BITS)):
+            return o.cast("long") * F.lit(1 << POS_BITS) + F.col("pos")
+    return F.struct(F.struct(*[F.col(c) for c in order_cols]), F.col("pos"))
+
+
 def fit_vocabulary(df: DataFrame, text_col: str, order_cols: list[str], num_words: int = NUM_WORDS) -> Vocabulary:
     """Rank words by count, ties by first occurrence (document order, then position) (F8).
 
@@ -168,12 +189,10 @@ def fit_vocabulary(df: DataFrame, text_col: str, order_cols: list[str], num_word
     below ``num_words`` are ever emitted, so only those words are kept: a
     TakeOrdered of ``num_words - 2`` rows.
     """
-    tokens = df.select(
-        F.struct(*[F.col(c) for c in order_cols]).alias("_doc"), F.posexplode(keras_words(F.col(text_col))).alias("pos", "word")
-    )
-    counts = tokens.groupBy("word").agg(
-        F.count(F.lit(1)).alias("count"), F.min(F.struct("_doc", "pos")).alias("first")
-    )
+    first = _first_occurrence_key(df, text_col, order_cols)
+    tokens = df.select(*[F.col(c) for c in order_cols], F.posexplode(keras_words(F.col(text_col))).alias("pos", "word"))
+    # a long key keeps the aggregate hash-based; a struct min would fall back to sorting
+    counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"))
     keep = max(num_words - 2, 0)
     top = counts.orderBy(F.col("count").desc(), F.col("first").asc()).limit(keep)
     w = Window.orderBy(F.col("count").desc(), F.col("first").asc())  # ≤ num_words rows
@@ -355,3 +374,23 @@ def fit_transform_tfidf(df: DataFrame, key_col: str, text_col: str, **kw) -> tup
     tf = term_counts(df, key_col, text_col).checkpoint(eager=True)
     model = fit_tfidf(df, key_col, text_col, tf=tf, **kw)
     return model, model.transform(df, key_col, text_col, tf=tf)
+
+
+def fit_transform_sequences(
+    df: DataFrame, key_col: str, text_col: str, order_cols: list[str] | None = None,
+    num_words: int = NUM_WORDS, max_len: int | None = None,
+) -> tuple[Vocabulary, DataFrame]:
+    """Clean once, fit the vocabulary and turn the same texts into id sequences.
+
+    The cleaned text is checkpointed to the shared checkpoint folder so the
+    Unicode normalisation runs once for both passes; ``max_len`` pads.
+    """
+    from tabsight.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cleaned = df.select(F.col(key_col), clean_text(F.col(text_col)).alias(text_col)).checkpoint(eager=True)
+    vocab = fit_vocabulary(cleaned, text_col, order_cols or [key_col], num_words)
+    seq = texts_to_sequences(cleaned, text_col, key_col, vocab)
+    if max_len is not None:
+        seq = seq.withColumn("ids", pad_sequences(F.col("ids"), max_len))
+    return vocab, seq

@@ -793,9 +793,9 @@ _SEQ_SQL = (
 
 @register("F09_texts_to_sequences", _SEQ_SQL)
 def f09(spark, d):
-    docs = _clean_docs(spark, d)
-    vocab = text.fit_vocabulary(docs, "text", ["doc_id"])
-    return text.texts_to_sequences(docs, "text", "doc_id", vocab).where(F.size("ids") > 0)
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    _vocab, seq = text.fit_transform_sequences(docs, "doc_id", "text")
+    return seq.where(F.size("ids") > 0)
 
 
 @register(
@@ -804,10 +804,9 @@ def f09(spark, d):
     "CASE WHEN len(ids) > 120 THEN ids[len(ids) - 119:] ELSE ids END) AS INTEGER[]) AS x FROM s",
 )
 def f10(spark, d):
-    docs = _clean_docs(spark, d)
-    vocab = text.fit_vocabulary(docs, "text", ["doc_id"])
-    seq = text.texts_to_sequences(docs, "text", "doc_id", vocab).where(F.size("ids") > 0)
-    return seq.select("doc_id", text.pad_sequences(F.col("ids"), 120).alias("x"))
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    _vocab, seq = text.fit_transform_sequences(docs, "doc_id", "text")
+    return seq.where(F.size("ids") > 0).select("doc_id", text.pad_sequences(F.col("ids"), 120).alias("x"))
 
 
 _TOK_SQL = (
