@@ -263,9 +263,10 @@ def tfidf_tokens(folded: Column) -> Column:
 
 def with_bigrams(toks: Column) -> Column:
     """Tokens followed by the bigrams of consecutive tokens (``toks`` must be a column reference)."""
-    nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(1)))
-    bigrams = F.when(F.size(toks) >= 2, F.zip_with(toks, nxt, lambda a, b: F.concat_ws(" ", a, b)))
-    bigrams = F.filter(F.coalesce(bigrams, F.array().cast("array<string>")), lambda x: x.isNotNull() & F.contains(x, F.lit(" ")))
+    m = F.greatest(F.size(toks) - 1, F.lit(1))
+    # two equal-length slices: token i with token i+1, no padding to filter out
+    pairs = F.zip_with(F.slice(toks, 1, m), F.slice(toks, 2, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    bigrams = F.when(F.size(toks) >= 2, pairs).otherwise(F.array().cast("array<string>"))
     return F.concat(toks, bigrams)
 
 
