@@ -167,3 +167,22 @@ def test_text_train_predict_reload(spark, tmp_path):
     run.save(str(tmp_path / "tm"))
     again = train.FittedTextRun.load(spark, str(tmp_path / "tm"))
     assert {r["sample_index"]: r["predicted_class"] for r in train.predict_text(again, new, "k", "t").collect()} == got
+
+
+def test_stream_restart_is_exactly_once(spark, tmp_path):
+    from tabsight.streaming.scoring import predict_stream, stream_source
+
+    df = _matrix(spark, 200, 2, seed=5)
+    run = train.train_tabular(df, "target", ["id"], candidates=[models.fallback_candidate()], search=False,
+                              importance=False, quality_check=False)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df.where("id < 100").write.parquet(src + "/a")
+    for _ in range(2):  # the second start finds nothing new in its checkpoint
+        q, _ = predict_stream(run, stream_source(spark, src + "/*", df), "id", out_path=out)
+        q.awaitTermination()
+    assert spark.read.parquet(out).count() == 100
+    df.where("id >= 100").write.parquet(src + "/b")
+    q, _ = predict_stream(run, stream_source(spark, src + "/*", df), "id", out_path=out)
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == 200 and got.select("sample_index").distinct().count() == 200
