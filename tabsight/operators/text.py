@@ -288,11 +288,12 @@ class TfidfModel:
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key_col)))
         return w.select(key_col, "term", "idx", "tf", (F.col("w") / norm).alias("weight"))
 
-    def vectors(self, df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-        """``key, features`` as ML SparseVectors (documents without kept terms get an empty vector)."""
-        from pyspark.ml.functions import array_to_vector  # noqa: F401  (ML import check)
+    def vectors(self, df: DataFrame, key_col: str, text_col: str, tf: DataFrame | None = None) -> DataFrame:
+        """``key, features`` as ML SparseVectors (documents without kept terms get an empty vector).
 
-        long = self.transform(df, key_col, text_col)
+        ``tf`` may pass precomputed :func:`term_counts` of ``df``.
+        """
+        long = self.transform(df, key_col, text_col, tf=tf)
         size = self._size()
         grouped = long.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("e"))
         keys = df.select(key_col).distinct()
@@ -369,12 +370,17 @@ def fit_transform_tfidf(df: DataFrame, key_col: str, text_col: str, **kw) -> tup
     (lineage cut, survives executor loss) and read by both the fit and the
     transform.
     """
+    tf = checkpointed_term_counts(df, key_col, text_col)
+    model = fit_tfidf(df, key_col, text_col, tf=tf, **kw)
+    return model, model.transform(df, key_col, text_col, tf=tf)
+
+
+def checkpointed_term_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """:func:`term_counts` written to the shared checkpoint folder (one pass, lineage cut)."""
     from tabsight.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    tf = term_counts(df, key_col, text_col).checkpoint(eager=True)
-    model = fit_tfidf(df, key_col, text_col, tf=tf, **kw)
-    return model, model.transform(df, key_col, text_col, tf=tf)
+    return term_counts(df, key_col, text_col).checkpoint(eager=True)
 
 
 def fit_transform_sequences(

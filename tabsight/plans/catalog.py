@@ -930,8 +930,9 @@ def _labelled_docs(spark, d):
 @register("M02_text_candidates", None)
 def m02(spark, d):
     ld = _labelled_docs(spark, d).withColumn("text", text.clean_text(F.col("text")))
-    tf = text.fit_tfidf(ld, "doc_id", "text")
-    vec = tf.vectors(ld, "doc_id", "text")
+    counts = text.checkpointed_term_counts(ld, "doc_id", "text")
+    tf = text.fit_tfidf(ld, "doc_id", "text", tf=counts)
+    vec = tf.vectors(ld, "doc_id", "text", tf=counts)
     classes = sorted(r[0] for r in ld.select("quality").distinct().collect())
     labelled = ld.select("doc_id", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("quality")) - 1)
                          .cast("double").alias("label"))
@@ -1035,8 +1036,9 @@ def e06(spark, d):
     from pyspark.ml.classification import LogisticRegression
 
     ld = _labelled_docs(spark, d).withColumn("text", text.clean_text(F.col("text")))
-    tf = text.fit_tfidf(ld, "doc_id", "text")
-    vec = tf.vectors(ld, "doc_id", "text")
+    counts = text.checkpointed_term_counts(ld, "doc_id", "text")
+    tf = text.fit_tfidf(ld, "doc_id", "text", tf=counts)
+    vec = tf.vectors(ld, "doc_id", "text", tf=counts)
     classes = sorted(r[0] for r in ld.select("quality").distinct().collect())
     lab = ld.select("doc_id", (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("quality")) - 1)
                     .cast("double").alias("label"))

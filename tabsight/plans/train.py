@@ -297,8 +297,10 @@ def train_text(
     cleaned = base.withColumn("_text", T.clean_text(F.col("_text")))
     T.require_some_text(cleaned, "_text")
     classes = sorted(r[0] for r in cleaned.select("_label").distinct().collect())  # ≤ 50, validated
-    tfidf, _ = T.fit_transform_tfidf(cleaned, key_col, "_text")
-    vec = tfidf.vectors(cleaned, key_col, "_text")
+    # one checkpointed term-count pass feeds both the fit and the vectors
+    tf = T.checkpointed_term_counts(cleaned, key_col, "_text")
+    tfidf = T.fit_tfidf(cleaned, key_col, "_text", tf=tf)
+    vec = tfidf.vectors(cleaned, key_col, "_text", tf=tf)
     lab = cleaned.select(key_col, (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("_label")) - 1)
                          .cast("double").alias(LABEL))
     data = vec.join(lab, key_col).withColumn(ROW_KEY, F.col(key_col).cast("string")).persist()
