@@ -1,0 +1,23 @@
+"""tabsight: classification data preparation, modelling and monitoring on Spark.
+
+The main entry points, re-exported for convenience::
+
+    from tabsight import rank_target_candidates, summarize_quality, train_tabular, predict_batch
+"""
+
+from tabsight.errors import InputError
+from tabsight.operators.evaluate import confusion_matrix, core_metrics, optimize_threshold, roc_curve
+from tabsight.operators.prep import fit_preprocess
+from tabsight.operators.profile import profile_columns, rank_target_candidates, resolve_target
+from tabsight.operators.quality import quality_warnings, summarize_quality
+from tabsight.operators.split import assign_folds, sample_n, stratified_holdout
+from tabsight.plans.train import FittedRun, FittedTextRun, predict_batch, predict_text, train_tabular, train_text
+from tabsight.session import get_spark
+from tabsight.sources.tabular import detect_dataset_type, read_tabular
+
+__all__ = [
+    "InputError", "FittedRun", "FittedTextRun", "assign_folds", "confusion_matrix", "core_metrics",
+    "detect_dataset_type", "fit_preprocess", "get_spark", "optimize_threshold", "predict_batch", "predict_text",
+    "profile_columns", "quality_warnings", "rank_target_candidates", "read_tabular", "resolve_target", "roc_curve",
+    "sample_n", "stratified_holdout", "summarize_quality", "train_tabular", "train_text",
+]
