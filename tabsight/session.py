@@ -12,6 +12,8 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from tabsight.errors import InputError
+
 # Defaults applied only when the session is created here (tests, bench).
 LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -48,11 +50,16 @@ def get_spark(master: str | None = None, app_name: str = "tabsight", **conf: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the launcher sets it to a shared file system; only when it
-    is unset (local tests) do we pick a scratch folder ourselves.
+    On a cluster the launcher sets it to a shared file system. Only on a
+    local master (tests) a scratch folder is picked when it is unset; any
+    other master without the setting is an error, because executors could not
+    see a folder of the driver.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise InputError("Set spark.checkpoint.dir to a folder that all executors share.")
         current = tempfile.mkdtemp(prefix="tabsight-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
