@@ -13,6 +13,7 @@ from tabsight.llm.decontaminate import find_overlaps, hit_words
 from tabsight.llm.licenses import scan_licenses
 from tabsight.llm.line_dedup import BLOCK_TAGS, drop_site_lines, host_of, page_lines
 from tabsight.llm.packing import pack_documents
+from tabsight.llm.simhash import near_groups
 from tabsight.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(read_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
     kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept")
@@ -79,6 +85,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
+    "op3_simhash": op3_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
 }
