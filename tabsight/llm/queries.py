@@ -14,6 +14,7 @@ from tabsight.llm.licenses import scan_licenses
 from tabsight.llm.line_dedup import BLOCK_TAGS, drop_site_lines, host_of, page_lines
 from tabsight.llm.packing import pack_documents
 from tabsight.llm.simhash import near_groups
+from tabsight.llm.substring_dedup import remove_repeats
 from tabsight.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -82,12 +83,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
     "op3_simhash": op3_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
 
