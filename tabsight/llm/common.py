@@ -96,11 +96,13 @@ SPACE_CLASS = np.minimum(TOKEN_CLASS, 1)
 _CHUNK = 1 << 20  # bytes hashed at once, so that very long texts need bounded memory
 
 
-def token_hashes(text: bytes, classes: np.ndarray, lower: bool = False) -> np.ndarray:
+def token_hashes(text: bytes, classes: np.ndarray, lower: bool = False, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """64-bit hashes of the runs of bytes of one non-zero class, in order.
 
     The hash of a run is a polynomial of its bytes modulo 2**64, mixed. Long
-    texts are cut at white space into bounded chunks first.
+    texts are cut at white space into bounded chunks first. With ``prefixes``
+    there is a row per run: its hash and those of its first so many bytes (0
+    if it is shorter).
     """
     if len(text) > _CHUNK + (_CHUNK >> 1):
         parts, at = [], 0
@@ -108,18 +110,18 @@ def token_hashes(text: bytes, classes: np.ndarray, lower: bool = False) -> np.nd
             end = min(len(text), at + _CHUNK)
             while end < len(text) and classes[text[end]] != 0:
                 end += 1
-            parts.append(_hash_runs(text[at:end], classes, lower))
+            parts.append(_hash_runs(text[at:end], classes, lower, prefixes))
             at = end
         return np.concatenate(parts)
-    return _hash_runs(text, classes, lower)
+    return _hash_runs(text, classes, lower, prefixes)
 
 
-def _hash_runs(text: bytes, classes: np.ndarray, lower: bool) -> np.ndarray:
+def _hash_runs(text: bytes, classes: np.ndarray, lower: bool, prefixes: tuple[int, ...]) -> np.ndarray:
     if lower:
         text = text.translate(_LOWER_TABLE)
     raw = np.frombuffer(text, dtype=np.uint8)
     if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty((0, 1 + len(prefixes)) if prefixes else 0, dtype=np.uint64)
     kind = classes[raw]
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     starts = np.concatenate(([0], edge))
@@ -129,4 +131,39 @@ def _hash_runs(text: bytes, classes: np.ndarray, lower: bool) -> np.ndarray:
     sums = np.empty(len(raw) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE_VALUE[raw] * powers(_BASE, len(raw)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_BASE_INV, len(raw))[starts])
+    back = powers(_BASE_INV, len(raw))[starts]
+    whole = mix((sums[ends] - sums[starts]) * back)
+    if not prefixes:
+        return whole
+    out = np.zeros((len(whole), 1 + len(prefixes)), dtype=np.uint64)
+    out[:, 0] = whole
+    for k, size in enumerate(prefixes, 1):
+        fits = ends - starts >= size
+        out[fits, k] = mix((sums[starts[fits] + size] - sums[starts[fits]]) * back[fits])
+    return out
+
+
+class KeyTable:
+    """Places of 64-bit keys (not 0) in a sorted array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.row = np.zeros(1 << bits, dtype=np.uint64), np.zeros(1 << bits, dtype=np.int32)
+        self.probes = 1
+        for row, (key, slot) in enumerate(zip(keys.tolist(), (keys >> self.shift).tolist(), strict=True)):
+            step = 0
+            while self.key[(slot + step) & self.mask]:
+                step += 1
+            self.key[(slot + step) & self.mask], self.row[(slot + step) & self.mask] = key, row
+            self.probes = max(self.probes, step + 1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted key, -1 if it is none of the keys."""
+        slot = (wanted >> self.shift).astype(np.int64)
+        found = np.full(wanted.shape, -1, dtype=np.int32)
+        for step in range(self.probes):
+            at = (slot + step) & self.mask
+            hit = (self.key[at] == wanted) & (wanted != 0)
+            found[hit] = self.row[at[hit]]
+        return found

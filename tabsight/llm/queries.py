@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabsight.llm.decontaminate import find_overlaps, hit_words
+from tabsight.llm.language import fit_languages, predict_languages
 from tabsight.llm.licenses import scan_licenses
 from tabsight.llm.line_dedup import BLOCK_TAGS, drop_site_lines, host_of, page_lines
 from tabsight.llm.packing import pack_documents
+from tabsight.llm.quality import fit_quality, fold, labelled_sample, score_quality
 from tabsight.llm.simhash import near_groups
 from tabsight.llm.substring_dedup import remove_repeats
+from tabsight.llm.toxicity import fit_toxicity, score_toxicity
 from tabsight.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +37,22 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, max_rows=1500)
+    scores = score_toxicity(docs, fit_toxicity(sample))
+    return scores.select("doc_id", _held_out(5, 0), "score", _predicted())
+
+
+def _held_out(parts: int, fold_no: int) -> Column:
+    """Whether the id is in the held-out fold; false for a null id, which no label has."""
+    return F.coalesce(fold(F.col("doc_id"), parts) == fold_no, F.lit(False)).alias("held_out")
+
+
+def _predicted() -> Column:
+    return (F.col("score") >= 0.5).cast("int").alias("predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
     kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept")
@@ -83,6 +102,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = predict_languages(docs, fit_languages(docs, fold(F.col("doc_id"), 4) != 2, docs_per_lang=1500))
+    return found.select("doc_id", _held_out(4, 2), "lang_pred", "score", "langs")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 3) != 1, max_rows=3000)
+    scores = score_quality(docs, fit_quality(sample))
+    return scores.select("doc_id", _held_out(3, 1), "score", _predicted())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_text=False)
 
@@ -91,8 +123,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_language_id": op8_language_id,
+    "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
