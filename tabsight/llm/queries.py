@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabsight.llm.decontaminate import find_overlaps, hit_words
+from tabsight.llm.embedding_dedup import near_vectors
 from tabsight.llm.language import fit_languages, predict_languages
 from tabsight.llm.licenses import scan_licenses
 from tabsight.llm.line_dedup import BLOCK_TAGS, drop_site_lines, host_of, page_lines
@@ -90,6 +91,10 @@ FROM p LEFT JOIN k USING (page_id)
 """
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -125,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
