@@ -19,8 +19,8 @@ def brute(rows, t=0.98):
     ok = {}
     for v, e, label in rows:
         if v is not None and label is not None and e and all(c is not None and math.isfinite(c) for c in e) and any(e):
-            with np.errstate(all="ignore"):
-                ok[v] = (label, np.nan_to_num(np.array(e) / np.linalg.norm(e)))
+            x = np.array(e) / np.abs(e).max()
+            ok[v] = (label, x / np.linalg.norm(x))
     links = {v: {u for u in ok if u != v and ok[u][0] == ok[v][0] and len(ok[u][1]) == len(ok[v][1]) and ok[u][1] @ ok[v][1] >= t} for v in ok}
     comp = {}
     for v in sorted(ok):
@@ -54,7 +54,6 @@ def test_matches_brute_force(spark):
     rows = table()
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, label int, n_links int").repartition(5)
     want = brute(rows)
-    want[9008] = want[9009] = (1, 9008)  # their squares leave the range of doubles
     for options in ({}, {"shard_rows": 40, "shard_limit": 50}):
         got = {r.vec_id: r for r in near_vectors(df, **options).collect()}
         assert len(got) == len(rows)
