@@ -140,11 +140,8 @@ SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = dict(QUERIES)
-    if corpus_pipeline.STAGES:
-        found["pipeline"] = corpus_pipeline.run
-    return found
+    return {**QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
