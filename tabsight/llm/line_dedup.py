@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabsight.llm.common import write_table
+
 
 def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
@@ -45,6 +47,7 @@ def site_lines(pages: DataFrame, host: Column, text: Column, ratio: float = 0.1,
         .groupBy("host", "page", "size")
         .agg(F.first("lines").alias("lines"))
     )
+    distinct = write_table(distinct, "distinct-pages")  # read twice
     totals = distinct.groupBy("host").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     counts = (
         distinct.select("host", F.explode("lines").alias("line"))
@@ -70,7 +73,8 @@ def drop_site_lines(
     min_count: int = 10,
 ) -> DataFrame:
     """``pages`` with column ``out`` holding the text without boilerplate lines."""
-    found = site_lines(pages, host, text, ratio, min_pages, min_count).select(
+    # written first: then the join has a plain table on this side, and a hot host's pages can be split
+    found = write_table(site_lines(pages, host, text, ratio, min_pages, min_count), "site-lines").select(
         F.col("host").alias("__site"), F.col("lines").alias("__drop")
     )
     kept = F.array_join(F.filter(_lines(F.col("__text")), lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _hash(x))), "\n")

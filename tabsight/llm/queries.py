@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tabsight.llm.common import write_table
 from tabsight.llm.decontaminate import find_overlaps, hit_words
 from tabsight.llm.embedding_dedup import near_vectors
 from tabsight.llm.language import fit_languages, predict_languages
@@ -56,6 +57,7 @@ def _predicted() -> Column:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
+    pages = write_table(pages, "page-text")  # the tags are taken out once
     kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept")
     return kept.select(
         "page_id",
