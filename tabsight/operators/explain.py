@@ -1,8 +1,8 @@
 """Model explanations as Spark plans.
 
-Permutation importance scores every (feature, repeat) variant of a bounded
-row sample in ONE ``model.transform``: the permuted values come from a
-rank-by-hash self-join, never from driver-side shuffling.
+Permutation importance scores every (feature, repeat) variant of all rows (or
+of a sample, on request) in ONE ``model.transform``: the permuted values come
+from a distributed rank-by-hash self-join, never from driver-side shuffling.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.functions.exprs import DEFAULT_SEED
+from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import split
+from tabsight.operators.ranking import index_within
+from tabsight.session import cut_lineage
 
 # Fixed values.
-IMPORTANCE_SAMPLE = 500
 IMPORTANCE_REPEATS = 5
 
 
@@ -32,25 +33,26 @@ def permutation_importance(
     feature_columns: list[str],
     key_cols: list[str],
     n_repeats: int = IMPORTANCE_REPEATS,
-    sample: int = IMPORTANCE_SAMPLE,
+    sample: int | None = None,
     seed: int = DEFAULT_SEED,
     label_col: str = "label",
 ) -> DataFrame:
     """``feature, importance, std`` sorted by importance.
 
     importance = baseline accuracy − mean permuted accuracy over ``n_repeats``
-    seeded permutations of the feature within a ``sample``-row sample; std is
-    the population std over repeats.
+    seeded permutations of the feature over all rows, or over ``sample`` of
+    them; std is the population std over repeats.  The result is written, so
+    reading it repeats nothing.
     """
-    base = split.sample_n(rows.select(*key_cols, label_col, *feature_columns), sample, key_cols, seed)
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
-    # the sample is bounded (≤ sample rows): a window over it is cheap
-    base = base.withColumn("_i", F.row_number().over(Window.orderBy(order, *key_cols)) - 1).persist()
+    base = rows.select(*key_cols, label_col, *feature_columns)
+    if sample is not None:
+        base = split.sample_n(base, sample, key_cols, seed)
+    base = cut_lineage(_numbered(base, key_cols, seed, "_i"), "importance-rows")
     feats = F.array(*[F.lit(c) for c in feature_columns])
     reps = F.sequence(F.lit(0), F.lit(n_repeats - 1))
     variants = base.select("_i", F.explode(feats).alias("_f")).select("_i", "_f", F.explode(reps).alias("_r"))
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_f"), F.col("_r").cast("string"), F.col("_i").cast("string")))
-    perm = variants.withColumn("_p", F.row_number().over(Window.partitionBy("_f", "_r").orderBy(h, "_i")) - 1)
+    perm = index_within(variants.withColumn("_h", h), ["_f", "_r"], ["_h", "_i"], "_p").drop("_h")
     vals = base.select(
         F.col("_i").alias("_src"),
         F.explode(F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v")) for c in feature_columns])).alias("x"),
@@ -77,10 +79,16 @@ def permutation_importance(
         (F.lit(b) - F.avg("acc")).alias("importance"),
         F.stddev_pop(F.lit(b) - F.col("acc")).alias("std"),
     )
-    base.unpersist(blocking=False)
+    out = cut_lineage(out, "importance")  # one row per feature
     return out.orderBy(F.col("importance").desc(), F.col("feature"))
 
 
+def _numbered(rows: DataFrame, key_cols: list[str], seed: int, out_col: str) -> DataFrame:
+    """Rows numbered from 0 by md5(seed|key), without a global window."""
+    keyed = rows.withColumn("_h", F.md5(key_string(key_cols, seed))).withColumn("_g", F.lit(0))
+    return index_within(keyed, ["_g"], ["_h", *key_cols], out_col).drop("_h", "_g")
+
+
 def _vector_rows(df: DataFrame, feature_columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=feature_columns, outputCol="features", handleInvalid="keep").transform(df)
 
@@ -91,29 +99,30 @@ def shapley_summary(
     background: DataFrame,
     feature_columns: list[str],
     key_cols: list[str],
-    n_rows: int = 100,
+    n_rows: int | None = None,
     n_permutations: int = 10,
-    max_display: int = 15,
+    max_display: int | None = None,
     seed: int = DEFAULT_SEED,
     per_row_values: bool = False,
 ) -> DataFrame:
     """Mean |Shapley value| per feature by permutation sampling.
 
-    For each explained row (≤ ``n_rows``, chosen by md5 order), each seeded
+    For each explained row (all, or ``n_rows`` chosen by md5 order), each seeded
     permutation and each prefix length j, a hybrid row takes the first j
     features of the permutation from the explained row and the rest from a
     background row; all hybrids are scored in ONE transform.  The score is
     the probability of the class predicted for the explained row; the
     difference between consecutive prefixes is the contribution of the
-    feature added.  Returns ``feature, mean_abs_shap`` (top ``max_display``),
+    feature added.  Returns ``feature, mean_abs_shap`` (the top ``max_display``, if given),
     or with ``per_row_values`` the values ``_i, feature, phi, f_x, f_bg``.
     """
     nf = len(feature_columns)
-    x = split.sample_n(rows.select(*key_cols, *feature_columns), n_rows, key_cols, seed)
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
-    x = x.withColumn("_i", F.row_number().over(Window.orderBy(order, *key_cols)) - 1)  # ≤ n_rows rows
-    bg = split.sample_n(background.select(*key_cols, *feature_columns), n_rows, key_cols, seed + 1)
-    bg = bg.withColumn("_b", F.row_number().over(Window.orderBy(order, *key_cols)) - 1)
+    x = rows.select(*key_cols, *feature_columns)
+    bg = background.select(*key_cols, *feature_columns)
+    if n_rows is not None:
+        x, bg = split.sample_n(x, n_rows, key_cols, seed), split.sample_n(bg, n_rows, key_cols, seed + 1)
+    x = _numbered(x, key_cols, seed, "_i")
+    bg = cut_lineage(_numbered(bg, key_cols, seed + 1, "_b"), "background-rows")
     n_bg = bg.count()
     # explained row i uses background row i mod n_bg
     xb = x.withColumn("_b", F.pmod(F.col("_i"), F.lit(n_bg))).join(
@@ -152,7 +161,8 @@ def shapley_summary(
         )
         return values.join(ends, "_i")
     summary = values.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
-    return summary.orderBy(F.col("mean_abs_shap").desc(), "feature").limit(max_display)
+    ordered = summary.orderBy(F.col("mean_abs_shap").desc(), "feature")
+    return ordered if max_display is None else ordered.limit(max_display)
 
 
 def lime_tabular(
@@ -227,9 +237,9 @@ def comparison_table(results: DataFrame, selected: str, best_score: float, scori
         F.max(F.struct("stage", "score")).alias("_b"), F.max("fit_ok").alias("fit_ok")
     )
     reason = (
-        f"'{selected}' won successive-halving search with {scoring}={best_score:.4f}."
+        f"{selected}: highest {scoring} of the last stage, {best_score:.4f}"
         if best_score >= 0
-        else f"'{selected}' selected as fallback (search did not produce valid scores)."
+        else f"{selected}: fallback, no trial ended with a score"
     )
     return best.select(
         "name",

@@ -7,6 +7,7 @@ keeps one row of scores per trial.  Crashes are isolated per trial.
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import time
@@ -26,11 +27,11 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
-from tabsight.functions.exprs import DEFAULT_SEED
+from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate
 from tabsight.operators.ranking import index_within
 
@@ -213,32 +214,30 @@ def cross_val_score(
         return [fu.result() for fu in futures]
 
 
+def stage_sizes(counts: dict, fraction: float, cv: int) -> tuple[dict, int]:
+    """Rows per class of a stage, ⌈fraction·n_c⌉ but at least min(n_c, cv), and its number of folds."""
+    sizes = {c: max(math.ceil(n * fraction), min(n, cv)) for c, n in counts.items()}
+    return sizes, min(cv, max(2, min(sizes.values())))
+
+
 def stratified_stage_sample(
-    data: DataFrame, label_col: str, key_cols: list[str], fraction: float, seed: int, k: int,
-    smallest_class: int | None = None,
+    data: DataFrame, label_col: str, key_cols: list[str], fraction: float, seed: int, cv: int, k: int
 ) -> DataFrame:
-    """Per-class sample of ⌈fraction·n_c⌉ rows (at least min(n_c, k)), with folds.
+    """Per-class sample of ⌈fraction·n_c⌉ rows (at least min(n_c, cv)), with ``k`` folds.
 
-    Exact (small classes): one ranking per class by md5(seed|key); the first
-    rows form the sample and the same rank deals the folds round-robin.
-    When every class has at least ``EXACT_BELOW`` rows the sample and folds
-    are row-local md5 draws instead (no shuffle, shares within noise).
+    One ranking per class by md5(seed|key), at every size: the first rows form
+    the sample and the same rank deals the folds round-robin.  Only keys and
+    labels are ranked; the rows join their rank.  Rows that repeat a key share one.
     """
-    from tabsight.functions.exprs import hash_unit
-    from tabsight.operators.split import EXACT_BELOW
-
-    if smallest_class is not None and smallest_class >= EXACT_BELOW:
-        u = hash_unit(key_cols, seed)
-        inside = data.where(u < F.lit(float(fraction))) if fraction < 1.0 else data
-        fold = F.least(F.floor(hash_unit(key_cols, seed + 7919) * k), F.lit(k - 1)).cast("int")
-        return inside.withColumn("fold", fold)
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
-    ranked = index_within(data.withColumn("_h", order), [label_col], ["_h", *key_cols], "_i")
+    order = F.md5(key_string(key_cols, seed))
+    keys = data.select(label_col, *key_cols).distinct().withColumn("_h", order)
+    ranked = index_within(keys, [label_col], ["_h", *key_cols], "_i")
     sizes = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
-    want = F.greatest(F.ceil(F.col("_n") * F.lit(float(fraction))), F.least(F.col("_n"), F.lit(k)))
-    # one row per class (≤ 50): broadcast
-    out = ranked.join(F.broadcast(sizes), label_col).where(F.col("_i") < want)
-    return out.withColumn("fold", F.pmod(F.col("_i"), F.lit(k)).cast("int")).drop("_h", "_i", "_n")
+    want = F.greatest(F.ceil(F.col("_n") * F.lit(float(fraction))), F.least(F.col("_n"), F.lit(cv)))
+    # one row per class: Spark broadcasts it if it is small
+    picked = ranked.join(sizes, label_col).where(F.col("_i") < want)
+    picked = picked.select(label_col, *key_cols, F.pmod(F.col("_i"), F.lit(k)).cast("int").alias("fold"))
+    return data.join(picked, [label_col, *key_cols])
 
 
 def successive_halving(
@@ -255,60 +254,60 @@ def successive_halving(
 ):
     """Three-stage successive halving with stratified CV (M5).
 
-    Returns ``(best_name | None, best_score, results DataFrame)``.  Stage
-    budgets stop *new* trials; crashed trials score 0.0 with ``fit_ok`` false;
+    Returns ``(best_name | None, best_score, results DataFrame)``.  A stage's
+    clock starts at its first trial, one trial is always run, and the budget
+    stops *new* trials; crashed trials score 0.0 with ``fit_ok`` false;
     ``max(1, ⌊m/2⌋)`` of the m evaluated candidates are promoted; the winner
-    is the best ``fit_ok`` trial of stage 3.
+    is the best ``fit_ok`` trial of stage 3.  A caller's cache of ``data`` stays.
     """
     spark = data.sparkSession
     schema = (
         "name string, stage int, score double, std double, cv_scores array<double>, fit_ok boolean, "
-        "error string, n_sub long, fidelity double, seconds double"
+        "error string, n_sub long, fidelity double, seconds double, description string, params string"
     )
     if not candidates:
         return None, -1.0, spark.createDataFrame([], schema)
-    data = data.persist()
-    counts = data.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
-    n_classes = len(counts)
+    cached = data.storageLevel.useMemory or data.storageLevel.useDisk
+    if not cached:
+        data = data.persist()
+    # one row per class
+    counts = {r[0]: r["n"] for r in data.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     alive = list(range(len(candidates)))
     rows = []
     for stage, (fid, frac) in enumerate(zip(STAGE_FIDELITIES, STAGE_TIME_FRACTIONS), start=1):
+        sizes, k = stage_sizes(counts, fid, cv)
+        n_sub = sum(sizes.values())
+        sample = stratified_stage_sample(data, label_col, key_cols, fid, seed + stage - 1, cv, k).persist()
+        sample.count()  # drawn before the clock starts
         stage_start = time.time()
-        budget = frac * time_budget_sec
-        smallest = min(r["n"] for r in counts)
-        sample = stratified_stage_sample(data, label_col, key_cols, fid, seed + stage - 1, cv, smallest).persist()
-        stage_counts = sample.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).collect()
-        n_sub = sum(r["n"] for r in stage_counts)
-        k = min(cv, max(2, min(r["n"] for r in stage_counts)))
-        if k != cv:
-            sample = sample.withColumn("fold", F.pmod(F.col("fold"), F.lit(k)).cast("int"))
-        stage_rows = []
+        trials = {}
         for idx in alive:
-            if time.time() - stage_start > budget:
+            if trials and time.time() - stage_start > frac * time_budget_sec:
                 break
             cand = candidates[idx]
             t0 = time.time()
             try:
-                scores = cross_val_score(cand, sample, k, n_features, n_classes, label_col, "fold", parallelism, scoring)
+                scores = cross_val_score(cand, sample, k, n_features, len(counts), label_col, "fold", parallelism, scoring)
                 mean = sum(scores) / len(scores)
                 std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
-                row = (cand.name, stage, round(mean, 4), round(std, 4), [round(s, 4) for s in scores], True, "",
-                       n_sub, fid, round(time.time() - t0, 3))
+                result = (round(mean, 4), round(std, 4), [round(s, 4) for s in scores], True, "")
             except Exception as exc:  # a crashed candidate scores 0.0
-                row = (cand.name, stage, 0.0, 0.0, [], False, str(exc)[:500], n_sub, fid, round(time.time() - t0, 3))
-            stage_rows.append((idx, row))
-            rows.append(row)
+                result = (0.0, 0.0, [], False, str(exc)[:500])
+            trials[idx] = result[0]
+            spent = round(time.time() - t0, 3)
+            rows.append((cand.name, stage, *result, n_sub, fid, spent, cand.description, json.dumps(cand.params, sort_keys=True)))
         sample.unpersist()
-        stage_rows.sort(key=lambda t: t[1][2], reverse=True)  # stable: list order breaks ties
-        keep = max(1, int(len(stage_rows) * PROMOTION_FRACTION))
-        alive = [i for i, _ in stage_rows[:keep]]
-    data.unpersist()
-    final = [r for r in rows if r[1] == 3 and r[5]]
-    final.sort(key=lambda r: r[2], reverse=True)
+        # best first; list order breaks ties
+        ranked = sorted(trials, key=trials.get, reverse=True)
+        alive = ranked[: max(1, int(len(ranked) * PROMOTION_FRACTION))]
+    if not cached:
+        data.unpersist()
     results = spark.createDataFrame(rows, schema)
+    final = [r for r in rows if r[1] == 3 and r[5]]
     if not final:
         return None, -1.0, results
-    return final[0][0], final[0][2], results
+    best = max(final, key=lambda r: r[2])  # the first of equals
+    return best[0], best[2], results
 
 
 def promotion_table(results: DataFrame) -> DataFrame:
@@ -323,18 +322,38 @@ def promotion_table(results: DataFrame) -> DataFrame:
 
 # ---- final fit, recommendation, random search (M6, M8, M9) -------------------------------------
 
+# Fixed values: (data type, most rows, most features, baseline), the first rule that holds;
+# None is no bound.
+BASELINE_RULES = (
+    ("tabular", 500, None, "MLP-Small"),
+    ("tabular", None, 20, "MLP-Small"),
+    ("tabular", None, 100, "MLP-Medium"),
+    ("tabular", None, None, "MLP-Large"),
+    ("image", None, None, "LogisticRegression"),
+    ("text", 499, None, "LogisticRegression"),
+    ("text", None, None, "LinearSVC"),
+)
+
+
+def baseline_expr(data_type: Column, n_features: Column, n_samples: Column) -> Column:
+    """The baseline name by ``BASELINE_RULES`` (M8); null for an unknown data type."""
+    out = F.lit(None).cast("string")
+    for kind, rows, features, name in reversed(BASELINE_RULES):
+        rule = data_type == kind
+        if rows is not None:
+            rule = rule & (F.coalesce(n_samples, F.lit(0)) <= rows)
+        if features is not None:
+            rule = rule & (n_features <= features)
+        out = F.when(rule, F.lit(name)).otherwise(out)
+    return out
+
+
 def recommend_baseline(data_type: str, n_features: int, n_samples: int | None) -> str:
-    """Scale-based baseline name (M8)."""
-    n = n_samples or 0
-    if data_type == "tabular":
-        if n <= 500 or n_features <= 20:
-            return "MLP-Small"
-        return "MLP-Medium" if n_features <= 100 else "MLP-Large"
-    if data_type == "image":
-        return "LogisticRegression"
-    if data_type == "text":
-        return "LogisticRegression" if n < 500 else "LinearSVC"
-    raise InputError(f"Unsupported data_type: {data_type}")
+    """Scale-based baseline name (M8), the driver-side form of :func:`baseline_expr`."""
+    for kind, rows, features, name in BASELINE_RULES:
+        if kind == data_type and (rows is None or (n_samples or 0) <= rows) and (features is None or n_features <= features):
+            return name
+    raise InputError(f"No baseline for data type {data_type!r}.")
 
 
 def select_candidate(candidates: list[Candidate], data_type: str, n_features: int, n_samples: int,

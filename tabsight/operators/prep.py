@@ -7,11 +7,11 @@ Fit is two passes over the data plus one pass over distinct values:
    one aggregate for all numeric medians;
 2. one aggregate of mean and population std over the encoded, imputed columns.
 
-Transform is a single narrow projection: each categorical column looks its
-value up in the dictionary (a map literal when the dictionary is small, a
-broadcast join under a checked size, a shuffle join beyond it), numerics are
-cast and filled, then scaled.  Driver-side state is bounded: one number per
-feature, the class list (≤ 50), and small dictionaries only.
+Transform joins each categorical column with its dictionary, at every size by
+the same plan: a dictionary is broadcast while the measured bytes of all
+broadcast dictionaries stay under a limit, and shuffled beyond it; null values
+are kept out of the joins.  Numerics are cast and filled, then scaled.
+Driver-side state is bounded: one number per feature and the class list (≤ 50).
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from tabsight.functions.exprs import UNKNOWN_TOKEN, col, is_numeric_type, nan_to
 from tabsight.operators import validate
 from tabsight.operators.quantiles import exact_quantiles
 from tabsight.operators.ranking import index_within
+from tabsight.session import cut_lineage
 
-# Dictionaries up to this many entries become map literals in the plan;
-# larger ones stay DataFrames and are joined.
-MAP_LITERAL_LIMIT = 20_000
-BROADCAST_ROWS_LIMIT = 2_000_000
+# Bytes of dictionary values (plus ROW_BYTES each) that one transform may broadcast in all.
+BROADCAST_BYTES = 32 * 1024 * 1024
+ROW_BYTES = 64
+# Null values of a shuffled dictionary join are spread over this many keys.
+NULL_KEYS = 1024
 
 
 def category_values(df: DataFrame, features: list[str]) -> DataFrame:
@@ -57,23 +59,11 @@ def fit_dictionary(df: DataFrame, features: list[str], checkpoint: bool = True)
     """
     if not features:
         return df.sparkSession.createDataFrame([], "feature string, value string, idx long")
-    values = category_values(df, features)
-    # small dictionaries (they become map literals anyway) are sorted where
-    # they are collected; larger ones are ranked by the distributed index
-    probe = values.limit(MAP_LITERAL_LIMIT + 1).collect()
-    if len(probe) <= MAP_LITERAL_LIMIT:
-        rows = []
-        for feat in features:
-            vals = sorted(r["value"] for r in probe if r["feature"] == feat)  # code-point order, like Spark
-            rows += [(feat, v, i) for i, v in enumerate(vals)]
-        out = df.sparkSession.createDataFrame(rows, "feature string, value string, idx long")
-        out._small_rows = rows  # lets the caller skip re-reading a dictionary it already holds
-        return out
-    return index_within(values, ["feature"], ["value"], checkpoint=checkpoint).select("feature", "value", "idx")
+    ranked = index_within(category_values(df, features), ["feature"], ["value"], checkpoint=checkpoint)
+    return cut_lineage(ranked.select("feature", "value", "idx"), "dictionary")
 
 
-def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int = 1_000_000,
-            n_rows_hint: int | None = None) -> dict[str, float | None]:
+def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int = 1_000_000) -> dict[str, float | None]:
     """Median of each numeric column, one aggregate.
 
     Exact mode interpolates like pandas and never holds a column in one task
@@ -84,7 +74,7 @@ def medians(df: DataFrame, numeric: list[str], exact: bool = True, accuracy: int
         return {}
     clean = nan_to_null(df.select(*[col(c).cast("double").alias(c) for c in numeric]))
     if exact:
-        q = exact_quantiles(clean, numeric, [0.5], n_rows_hint=n_rows_hint)
+        q = exact_quantiles(clean, numeric, [0.5])
         return {c: q[c][0] for c in numeric}
     aggs = [F.percentile_approx(col(c), 0.5, accuracy).alias(f"m{i}") for i, c in enumerate(numeric)]
     row = clean.agg(*aggs).first()
@@ -118,7 +108,7 @@ class Preprocessor:
     dictionary: DataFrame | None = None
     dict_sizes: dict[str, int] = field(default_factory=dict)
     unknown: dict[str, int] = field(default_factory=dict)
-    maps: dict[str, dict[str, int]] = field(default_factory=dict)
+    dict_bytes: dict[str, int] = field(default_factory=dict)
 
     # ---- spec round trip (S14) -------------------------------------------
     def spec(self) -> dict:
@@ -132,6 +122,7 @@ class Preprocessor:
             "scales": self.scales,
             "classes": self.classes,
             "dict_sizes": self.dict_sizes,
+            "dict_bytes": self.dict_bytes,
             "unknown": self.unknown,
         }
 
@@ -147,7 +138,7 @@ class Preprocessor:
     def load(cls, spark: SparkSession, path: str) -> "Preprocessor":
         spec = json.loads(spark.read.json(path + "/spec").first()["spec"])
         dictionary = spark.read.parquet(path + "/dictionary") if spec["categorical"] else None
-        pre = cls(
+        return cls(
             target=spec["target"],
             feature_columns=spec["feature_columns"],
             categorical=spec["categorical"],
@@ -159,19 +150,18 @@ class Preprocessor:
             dictionary=dictionary,
             dict_sizes={k: int(v) for k, v in spec["dict_sizes"].items()},
             unknown={k: int(v) for k, v in spec["unknown"].items()},
+            dict_bytes={k: int(v) for k, v in spec["dict_bytes"].items()},
         )
-        pre._load_maps()
-        return pre
-
-    def _load_maps(self) -> None:
-        total = sum(self.dict_sizes.values())
-        self.maps = {}
-        if self.dictionary is not None and total <= MAP_LITERAL_LIMIT:
-            rows = getattr(self.dictionary, "_small_rows", None)
-            if rows is None:
-                rows = [(r["feature"], r["value"], r["idx"]) for r in self.dictionary.collect()]  # ≤ MAP_LITERAL_LIMIT
-            for f, v, i in rows:
-                self.maps.setdefault(f, {})[v] = int(i)
+
+    def broadcast_features(self) -> set[str]:
+        """The features whose dictionaries fit, smallest first, into the broadcast limit."""
+        out, used = set(), 0
+        for c in sorted(self.categorical, key=lambda c: (self.dict_bytes[c], c)):
+            used += self.dict_bytes[c]
+            if used > BROADCAST_BYTES:
+                break
+            out.add(c)
+        return out
 
     # ---- transform -----------------------------------------------------------
     def unknown_index(self, feature: str) -> int | None:
@@ -183,27 +173,23 @@ class Preprocessor:
         base = validate.dedupe_columns(df)
         missing = sorted(set(self.feature_columns) - set(base.columns))
         if missing:
-            raise InputError(f"Missing required feature columns: {missing}")
+            raise InputError(f"Features absent from the data: {missing}")
         out = base
-        joined: list[str] = []
-        for c in self.categorical:
-            key = F.coalesce(col(c).cast("string"), F.lit(UNKNOWN_TOKEN))
-            if c in self.maps:
-                m = self.maps[c]
-                lookup = F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.lit(v))])
-                out = out.withColumn(c, F.coalesce(F.element_at(lookup, key), F.lit(m[UNKNOWN_TOKEN])).cast("double"))
+        small = self.broadcast_features()
+        for i, c in enumerate(self.categorical):
+            entries = self.dictionary.where(F.col("feature") == c)
+            entries = entries.select(F.col("value").alias(f"_v{i}"), F.col("idx").alias(f"_i{i}"))
+            value = col(c).cast("string")
+            if c in small:
+                entries = F.broadcast(entries)  # bytes measured at fit time
             else:
-                joined.append(c)
-        for c in joined:
-            d = self.dictionary.where(F.col("feature") == c)
-            d = d.select(F.col("value").alias(f"_v_{c}"), F.col("idx").alias(f"_i_{c}"))
-            if self.dict_sizes.get(c, 0) <= BROADCAST_ROWS_LIMIT:
-                d = F.broadcast(d)  # size checked at fit time
-            out = out.withColumn(f"_k_{c}", F.coalesce(col(c).cast("string"), F.lit(UNKNOWN_TOKEN)))
-            out = out.join(d, F.col(f"_k_{c}") == F.col(f"_v_{c}"), "left")
-            out = out.withColumn(c, F.coalesce(F.col(f"_i_{c}"), F.lit(self.unknown[c])).cast("double")).drop(
-                f"_k_{c}", f"_v_{c}", f"_i_{c}"
-            )
+                # a null would meet all other nulls in one task: it gets a key of its own kind
+                spread = F.pmod(F.xxhash64(*[col(x) for x in base.columns]), F.lit(NULL_KEYS))
+                value = F.coalesce(value, F.concat(F.lit("\u0000"), spread.cast("string")))
+            out = out.withColumn(f"_k{i}", value).join(entries, F.col(f"_k{i}") == F.col(f"_v{i}"), "left")
+            known = F.when(col(c).isNotNull(), F.col(f"_i{i}"))
+            out = out.withColumn(c, F.coalesce(known, F.lit(self.unknown[c])).cast("double"))
+            out = out.drop(f"_k{i}", f"_v{i}", f"_i{i}")
         for c in self.numeric:
             x = F.expr(f"try_cast({'`' + c.replace('`', '``') + '`'} AS DOUBLE)")
             x = F.when(F.isnan(x), F.lit(None)).otherwise(x)
@@ -241,27 +227,23 @@ def fit_preprocess(
     """Fit the tabular preprocessor (F6); default target is the last column."""
     base = validate.dedupe_columns(df)
     if len(base.columns) < 2:
-        raise InputError(
-            f"DataFrame has too few columns ({len(base.columns)}). Minimum 2 columns required (1 feature + 1 target)."
-        )
+        raise InputError(f"{len(base.columns)} column(s); a feature and a target are needed.")
     target = target or base.columns[-1]
     if target not in base.columns:
-        raise InputError(f"Target column '{target}' not found in DataFrame. Available columns: {base.columns}")
+        raise InputError(f"No column '{target}'; there are {base.columns}.")
     # row count, null targets and class count in one aggregate
     st = base.agg(
         F.count(F.lit(1)).alias("n"), F.count(col(target)).alias("nn"), F.count_distinct(col(target)).alias("k")
     ).first()
     if st["n"] < 2:
-        raise InputError(f"DataFrame has too few rows ({st['n']}). Minimum 2 rows required.")
+        raise InputError(f"{st['n']} row(s); two are needed.")
     if st["nn"] < st["n"]:
-        raise InputError(f"Target column '{target}' contains missing values. Label or remove those rows.")
+        raise InputError(f"Some rows have no value of target '{target}'.")
     n_classes = st["k"]
     if n_classes < 2:
-        raise InputError(
-            f"Target column has only {n_classes} unique label(s). Minimum 2 different labels required for classification."
-        )
+        raise InputError(f"Target '{target}' has {n_classes} distinct value(s); two or more are needed.")
     if n_classes > max_classes:
-        raise InputError(f"Target column '{target}' has {n_classes} distinct classes, exceeding the maximum of {max_classes}.")
+        raise InputError(f"Target '{target}' has {n_classes} distinct values; {max_classes} is the limit.")
     features = [c for c in base.columns if c != target]
     for c in features:
         dt = base.schema[c].dataType
@@ -273,27 +255,20 @@ def fit_preprocess(
     classes = sorted(
         r[0] for r in base.select(col(target).cast("string")).distinct().collect()
     )
-    fills = medians(base, numeric, exact=exact_median, n_rows_hint=st["n"])
+    fills = medians(base, numeric, exact=exact_median)
     empty = [c for c, v in fills.items() if v is None]
     if empty:
-        raise InputError(f"Feature column '{empty[0]}' contains only missing values.")
+        raise InputError(f"Feature '{empty[0]}' has no value in any row.")
     dictionary = fit_dictionary(base, categorical, checkpoint=checkpoint) if categorical else None
-    sizes, unknown = {}, {}
-    small = getattr(dictionary, "_small_rows", None) if dictionary is not None else None
-    if small is not None:
-        # the small dictionary was collected while it was built: no further job
-        for f, v, i in small:
-            sizes[f] = sizes.get(f, 0) + 1
-            if v == UNKNOWN_TOKEN:
-                unknown[f] = i
-    elif dictionary is not None:
-        # one row per categorical feature: size and the index of the unknown token
-        per = dictionary.groupBy("feature").agg(
+    sizes, unknown, width = {}, {}, {}
+    if dictionary is not None:
+        # one row per categorical feature: entries, bytes and the index of the unknown token
+        for r in dictionary.groupBy("feature").agg(
             F.count(F.lit(1)).alias("n"),
+            F.sum(F.octet_length("value") + ROW_BYTES).alias("bytes"),
             F.max(F.when(F.col("value") == UNKNOWN_TOKEN, F.col("idx"))).alias("unk"),
-        ).collect()
-        sizes = {r["feature"]: int(r["n"]) for r in per}
-        unknown = {r["feature"]: int(r["unk"]) for r in per}
+        ).collect():
+            sizes[r["feature"]], width[r["feature"]], unknown[r["feature"]] = int(r["n"]), int(r["bytes"]), int(r["unk"])
     pre = Preprocessor(
         target=target,
         feature_columns=features,
@@ -306,8 +281,8 @@ def fit_preprocess(
         dictionary=dictionary,
         dict_sizes=sizes,
         unknown=unknown,
+        dict_bytes=width,
     )
-    pre._load_maps()
     enc = pre.encode(base)
     aggs = []
     for i, c in enumerate(features):

@@ -210,7 +210,7 @@ def resolve_target_table(ranked: DataFrame) -> DataFrame:
     return agg.select(
         status.alias("status"),
         F.when(status.isin("weak_auto", "strong_auto"), F.col("top_col")).alias("target"),
-        F.when(status == "human_required", F.concat_ws(",", F.col("top_col"), F.col("second_col"))).alias("candidates"),
+        F.when(status == "human_required", F.array("top_col", "second_col")).alias("candidates"),
         F.col("top_score"),
         F.col("second_score"),
         F.col("n_candidates"),
@@ -221,14 +221,12 @@ def resolve_target(df: DataFrame, target_col: str | None = None, mode: str = "ex
     """``(column | [col1, col2] | None, status)`` like the escalation rule (A4)."""
     if target_col is not None:
         if target_col not in df.columns:
-            raise InputError(
-                f"Override target column '{target_col}' not found in data; available columns: {df.columns}"
-            )
+            raise InputError(f"No column '{target_col}' to use as target; there are {df.columns}.")
         return target_col, "override"
     row = resolve_target_table(rank_target_candidates(df, mode=mode)).first()
     status = row["status"]
     if status == "human_required":
-        return row["candidates"].split(","), status
+        return list(row["candidates"]), status
     return row["target"], status
 
 

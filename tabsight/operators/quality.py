@@ -209,8 +209,8 @@ def detect_leakage(df: DataFrame, target: str) -> DataFrame:
     flagged = scores.where(F.abs(F.col("value")) > F.when(F.col("metric") == "pearson", PEARSON_THRESHOLD).otherwise(CRAMERS_V_THRESHOLD))
     detail = F.when(
         F.col("metric") == "pearson",
-        F.format_string(f"Pearson r=%.4f with target (threshold {PEARSON_THRESHOLD})", F.col("value")),
-    ).otherwise(F.format_string("Cramers V=%.4f with target (too high)", F.col("value")))
+        F.format_string(f"correlation %.4f with the target; limit {PEARSON_THRESHOLD}", F.col("value")),
+    ).otherwise(F.format_string("association V %.4f with the target", F.col("value")))
     return flagged.select(
         F.lit(0).alias("gate"),
         F.element_at(_ordinal_map(feats), F.col("feature")).cast("int").alias("seq"),
@@ -253,9 +253,7 @@ def detect_id_columns(df: DataFrame, profile: DataFrame | None = None) -> DataFr
         F.lit("id_column").alias("issue"),
         F.lit("n_unique").alias("metric"),
         F.col("n_unique").cast("double").alias("value"),
-        F.format_string(
-            "Every row has a unique value & dtype is %s — this is likely an ID, not a feature.", F.col("dtype")
-        ).alias("detail"),
+        F.format_string("one %s value per row, as a row key has", F.col("dtype")).alias("detail"),
     )
 
 
@@ -270,7 +268,7 @@ def detect_constant_columns(df: DataFrame, profile: DataFrame | None = None) ->
         F.lit("constant_column").alias("issue"),
         F.lit("n_unique").alias("metric"),
         F.col("n_unique").cast("double").alias("value"),
-        F.lit("Column has only 1 unique value — adds no information").alias("detail"),
+        F.lit("no two different values").alias("detail"),
     )
 
 
@@ -287,7 +285,7 @@ def detect_imbalance(df: DataFrame, target: str, threshold: float = IMBALANCE_TH
         F.lit("fraction").alias("metric"),
         F.col("fraction").alias("value"),
         F.format_string(
-            "'%s' has %d samples (%.1f%%) — fewer than %d%%. This class may be hard to learn.",
+            "class %s: %d rows, %.1f%%; limit %d%%",
             F.col("class_name"), F.col("n"), F.col("fraction") * 100, F.lit(int(round(threshold * 100))),
         ).alias("detail"),
     )
@@ -325,7 +323,7 @@ def summarize_quality(df: DataFrame, target: str | None = None) -> DataFrame:
     return agg.select(
         (F.col("n_issues") == 0).alias("passed"),
         "n_issues",
-        F.when(F.col("n_issues") == 0, F.lit("All quality checks passed. No data issues detected."))
-        .otherwise(F.format_string("Found %d issue(s): %s.", F.col("n_issues"), F.array_join("names", ", ")))
+        F.when(F.col("n_issues") == 0, F.lit("no findings"))
+        .otherwise(F.format_string("%d findings: %s", F.col("n_issues"), F.array_join("names", ", ")))
         .alias("summary"),
     )

@@ -4,9 +4,9 @@ Row identity comes from a stable key (``key_cols``), never from
 ``monotonically_increasing_id`` or ``rand``: the same rows land in the same
 fold whatever the partitioning.  Two modes:
 
-* ``hash`` (default) — row-local: a row's fold or side depends only on
+* ``hash`` (default of the folds) — row-local: a row's fold or side depends only on
   md5(seed|key).  No shuffle; per-class sizes are even up to sampling noise.
-* ``exact`` — per class, rows are ordered by md5(seed|key) and dealt out
+* ``exact`` (default of the hold-out) — per class, rows are ordered by md5(seed|key) and dealt out
   round-robin (folds) or cut at an exact count (hold-out, samples).  Uses
   :func:`index_within`, so a dominant class is spread over many tasks.
 """
@@ -25,7 +25,6 @@ DEFAULT_FOLDS = 3
 TEST_SIZE = 0.2
 MIN_SPLIT_ROWS = 10
 TAKE_ORDERED_LIMIT = 100_000
-EXACT_BELOW = 10_000
 
 
 def _order_key(key_cols: list[str], seed: int):
@@ -87,16 +86,15 @@ def stratified_holdout(
     key_cols: list[str],
     test_size: float = TEST_SIZE,
     seed: int = DEFAULT_SEED,
-    mode: str = "auto",
+    mode: str = "exact",
     out_col: str = "is_test",
 ) -> DataFrame:
     """Hold-out flag (K4): stratified when every class has ≥ 2 rows, else plain.
 
-    Exact mode takes the first ⌈test_size·n_c⌉ rows of each class in
+    Exact mode (the default, at every size) takes the first ⌈test_size·n_c⌉ rows of each class in
     md5(seed|key) order (⌈test_size·n⌉ overall when not stratified).  Hash
     mode flags rows with md5(seed|key) < test_size: no shuffle, per-class
-    shares within sampling noise.  ``auto`` is exact while the smallest class
-    is below ``EXACT_BELOW`` rows and hash beyond.
+    shares within sampling noise.
     """
     stats = df.groupBy(col(label_col)).agg(F.count(F.lit(1)).alias("n")).agg(
         F.sum("n").alias("rows"), F.min("n").alias("smallest")
@@ -105,10 +103,10 @@ def stratified_holdout(
     if rows < MIN_SPLIT_ROWS:
         raise InputError(f"Need at least {MIN_SPLIT_ROWS} rows for a hold-out split; got {rows}.")
     stratify = (stats["smallest"] or 0) >= 2
-    if mode == "auto":
-        mode = "exact" if (stats["smallest"] or 0) < EXACT_BELOW else "hash"
     if mode == "hash":
         return df.withColumn(out_col, hash_unit(key_cols, seed) < F.lit(float(test_size)))
+    if mode != "exact":
+        raise InputError(f"Unknown split mode '{mode}'; use hash or exact.")
     groups = [label_col] if stratify else []
     base = df.withColumn("_h", _order_key(key_cols, seed))
     if not groups:
@@ -116,8 +114,8 @@ def stratified_holdout(
         groups = ["_g"]
     ranked = index_within(base, groups, ["_h", *key_cols], "_i")
     sizes = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per class of a validated target (≤ 50): safe to broadcast
-    out = ranked.join(F.broadcast(sizes), on=groups, how="inner")
+    # one row per class; Spark broadcasts it if it is small
+    out = ranked.join(sizes, on=groups, how="inner")
     out = out.withColumn(out_col, F.col("_i") < F.ceil(F.col("_n") * F.lit(float(test_size))))
     return out.drop("_h", "_i", "_n", "_g")
 

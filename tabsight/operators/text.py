@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tabsight.errors import InputError
+from tabsight.sources.tabular import decoded, detect_encoding
 
 # Fixed values.
 NUM_WORDS = 10_000
@@ -39,23 +40,25 @@ TRIM_PATTERN = r"(?U)^\s+|\s+$"
 def read_text_lines(spark: SparkSession, path: str, min_lines: int = 10) -> DataFrame:
     """Non-blank, stripped lines of text files in file order.
 
-    Returns ``file, line_key, text``; ``line_key`` (block start, row id)
-    orders lines within a file without numbering them on one task.
+    Returns ``file, line_key, text``; ``line_key`` (file, block start, row id)
+    orders lines without numbering them on one task.  Files that are not valid
+    UTF-8 are read as ISO-8859-1.
     """
+    encoding = detect_encoding(spark, path)
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_row"),
-        F.regexp_replace(F.col("value"), TRIM_PATTERN, "").alias("text"),
+        F.regexp_replace(decoded(F.col("value"), encoding), TRIM_PATTERN, "").alias("text"),
     )
     lines = raw.where(F.length("text") > 0).select(
-        "file", F.struct("_blk", "_row").alias("line_key"), "text"
+        "file", F.struct("file", "_blk", "_row").alias("line_key"), "text"
     )
     have = lines.limit(max(min_lines, 1)).count()
     if have == 0:
-        raise InputError(f"Text file contains no valid lines: {path}.")
+        raise InputError(f"'{path}' has no line with text.")
     if have < min_lines:
-        raise InputError(f"Text file has too few lines ({have}). Minimum {min_lines} line(s) required.")
+        raise InputError(f"'{path}' has {have} line(s) with text; {min_lines} are needed.")
     return lines
 
 
@@ -92,13 +95,11 @@ def parse_labelled_lines(lines: DataFrame, text_col: str = "text", order_col: st
     if stats["first_none"] is not None and (stats["first_valid"] is None or stats["first_none"] < stats["first_valid"]):
         return None
     if stats["n_valid"] == 0:
-        raise InputError("No valid labelled text lines found. Expected 'label<TAB>text' or 'label,text' per line.")
+        raise InputError("No line has the form label, separator (tab or comma), text.")
     if stats["n_valid"] < 2:
-        raise InputError(f"Too few valid text samples ({stats['n_valid']}). Minimum 2 samples required for training.")
+        raise InputError("Only one labelled line; training needs two or more.")
     if stats["n_labels"] < 2:
-        raise InputError(
-            f"Dataset has only {stats['n_labels']} unique label(s). Minimum 2 different labels required for classification."
-        )
+        raise InputError("All labelled lines carry the same label; classification needs two or more.")
     return parsed.where(F.col("kind") == "valid").select(
         F.col("_ord").alias(order_col), "label", F.col("body").alias("text")
     )
@@ -114,7 +115,7 @@ def read_unlabelled_lines(lines: DataFrame, text_col: str = "text") -> DataFrame
     """Apply :func:`unlabelled_text`; an all-blank input raises."""
     out = lines.withColumn(text_col, F.regexp_replace(unlabelled_text(F.col(text_col)), TRIM_PATTERN, ""))
     if out.where(F.length(text_col) > 0).isEmpty():
-        raise InputError("No valid text found in file. Ensure the file contains text data.")
+        raise InputError("All lines are blank.")
     return out
 
 
@@ -142,7 +143,7 @@ def clean_text(text: Column, normalize: bool = True) -> Column:
 
 def require_some_text(df: DataFrame, col_name: str) -> None:
     if df.where(F.length(col_name) > 0).isEmpty():
-        raise InputError("All texts became empty after cleaning. Check the text data format.")
+        raise InputError("Cleaning left no text in any row.")
 
 
 # ---- vocabulary and sequences (F8-F10) ------------------------------------------------------
@@ -208,13 +209,14 @@ def texts_to_sequences(df: DataFrame, text_col: str, key_col: str, vocab: Vocabu
     partial aggregate already assembles each document on the map side.
     """
     # partition by document first: gathering ids back per document is then local
-    docs = df.select(F.col(key_col), F.col(text_col)).repartition(F.col(key_col))
-    tok = docs.select(F.col(key_col), F.posexplode_outer(keras_words(F.col(text_col))).alias("pos", "word"))
+    # (a row id keeps texts that repeat a key apart)
+    docs = df.select(F.col(key_col), F.monotonically_increasing_id().alias("_rid"), F.col(text_col)).repartition(F.col(key_col))
+    tok = docs.select(F.col(key_col), "_rid", F.posexplode_outer(keras_words(F.col(text_col))).alias("pos", "word"))
     lut = F.broadcast(vocab.words.select(F.col("word").alias("_w"), F.col("index").alias("_id")))
     ids = tok.join(lut, tok["word"] == lut["_w"], "left").select(
-        key_col, "pos", F.when(F.col("word").isNull(), F.lit(None)).otherwise(F.coalesce("_id", F.lit(OOV_INDEX))).alias("id")
+        key_col, "_rid", "pos", F.when(F.col("word").isNull(), F.lit(None)).otherwise(F.coalesce("_id", F.lit(OOV_INDEX))).alias("id")
     )
-    seq = ids.groupBy(key_col).agg(
+    seq = ids.groupBy(key_col, "_rid").agg(
         F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("_p")
     )
     return seq.select(key_col, F.transform("_p", lambda x: x["id"]).cast("array<int>").alias(out_col))
@@ -311,16 +313,14 @@ class TfidfModel:
 def _sparse(size: Column, idx: Column, vals: Column) -> Column:
     """ML SparseVector from index/value arrays.
 
-    Spark SQL has no constructor for the ML vector type, so this one step is
-    a small Python UDF; the weights themselves are computed JVM-side.
+    Spark SQL has no constructor for the ML vector type; its JSON reader makes
+    one from the type's fields (type 0 is sparse), without leaving the JVM.
     """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    @F.udf(VectorUDT())
-    def build(n, i, v):
-        return SparseVector(int(n), list(i or []), list(v or []))
+    from pyspark.ml.linalg import VectorUDT
 
-    return build(size, idx, vals)
+    fields = F.struct(F.lit(0).cast("byte").alias("type"), size.cast("int").alias("size"), idx.alias("indices"), vals.alias("values"))
+    read = F.from_json(F.to_json(F.struct(fields.alias("v"))), StructType([StructField("v", VectorUDT())]))
+    return read["v"]
 
 
 def term_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -350,7 +350,10 @@ def fit_tfidf(
     corpus (ties alphabetical), indexed alphabetically; idf = ln((1+n)/(1+df)) + 1.
     """
     tf = tf if tf is not None else term_counts(df, key_col, text_col)
-    n_docs = int(df.select(key_col).distinct().count())
+    rows = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key_col).alias("keys")).first()
+    if rows["n"] != rows["keys"]:
+        raise InputError(f"'{key_col}' must name every text once; {rows['n']} texts have {rows['keys']} keys.")
+    n_docs = int(rows["n"])
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     kept = stats.where(F.col("df") >= min_df).orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
     w = Window.orderBy("term")  # ≤ max_features rows

@@ -79,6 +79,7 @@ def a04(spark, d):
     out = None
     for name in _RESOLVE_TABLES:
         one = profile.resolve_target_table(profile.rank_target_candidates(t(spark, d, name)))
+        one = one.withColumn("candidates", F.array_join("candidates", ","))
         one = one.select(F.lit(name).alias("table_name"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -603,7 +604,7 @@ def a27(spark, d):
     + f" FROM {_S5_PRED}",
 )
 def f15(spark, d):
-    return report.prediction_detail(_scored5_pred(spark, d), "event_id", "y_pred", "proba", V.EVENT_TYPES_SORTED)
+    return report.prediction_detail(_scored5_pred(spark, d), "event_id", "y_pred", "proba", V.EVENT_TYPES_SORTED, classes="predicted")
 
 
 @register(
@@ -629,11 +630,10 @@ _F17_SQL = (
     f"f AS (SELECT feature FROM ({_IMPORTANCE_SQL}) ORDER BY importance DESC, feature LIMIT 1), "
     f"w AS (SELECT list_sort(list_distinct(list(replace(issue, '_', ' ')))) AS fr, count(*) AS n FROM ({_warn_sql('l_returnflag')})) "
     "SELECT 'argmax' AS model_name, acc AS accuracy, feature AS top_feature, "
-    "'The model (argmax) achieves ' || printf('%.0f', acc * 100) || '% accuracy on the held-out validation set. ' || "
-    "'It relies most on ' || chr(39) || feature || chr(39) || ' to make its predictions. ' || "
-    "CASE WHEN n = 0 THEN 'No major data quality issues were detected.' "
-    "WHEN len(fr) = 1 THEN 'Note: the training data has a potential ' || fr[1] || ' issue that may affect reliability.' "
-    "ELSE 'Note: the training data has several quality issues (' || array_to_string(fr, ', ') || ') that may affect reliability.' END "
+    "'argmax predicted ' || printf('%.0f', acc * 100) || ' of 100 held-out rows correctly. ' || "
+    "'Strongest feature: ' || feature || '. ' || "
+    "CASE WHEN n = 0 THEN 'Data checks: nothing found.' "
+    "ELSE 'Data checks found: ' || array_to_string(fr, ', ') || '.' END "
     "AS narrative FROM a, f, w"
 )
 
@@ -786,8 +786,9 @@ def f08(spark, d):
 
 
 _SEQ_SQL = (
-    f"WITH v AS ({_VOCAB_SQL}) SELECT t.doc_id, CAST(list(coalesce(v.index, 1) ORDER BY t.pos) AS INTEGER[]) AS ids "
-    f"FROM {_DOC_TOKENS_SQL} t LEFT JOIN v ON t.word = v.word GROUP BY t.doc_id"
+    f"WITH v AS ({_VOCAB_SQL}), s AS (SELECT t.doc_id, CAST(list(coalesce(v.index, 1) ORDER BY t.pos) AS INTEGER[]) AS ids "
+    f"FROM {_DOC_TOKENS_SQL} t LEFT JOIN v ON t.word = v.word GROUP BY t.doc_id) "
+    "SELECT d.doc_id, coalesce(s.ids, CAST([] AS INTEGER[])) AS ids FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id"
 )
 
 
@@ -795,7 +796,7 @@ _SEQ_SQL = (
 def f09(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
     _vocab, seq = text.fit_transform_sequences(docs, "doc_id", "text")
-    return seq.where(F.size("ids") > 0)
+    return seq
 
 
 @register(
@@ -806,7 +807,7 @@ def f09(spark, d):
 def f10(spark, d):
     docs = t(spark, d, "documents").select("doc_id", "text")
     _vocab, seq = text.fit_transform_sequences(docs, "doc_id", "text")
-    return seq.where(F.size("ids") > 0).select("doc_id", text.pad_sequences(F.col("ids"), 120).alias("x"))
+    return seq.select("doc_id", text.pad_sequences(F.col("ids"), 120).alias("x"))
 
 
 _TOK_SQL = (
@@ -888,15 +889,30 @@ def m06(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double")
 
 
-@register("M11_predict_batch", None)
+@register(
+    "M11_predict_batch",
+    "SELECT o_orderkey AS sample_index, true AS label_of_class, true AS confidence_is_largest, CAST(1.0 AS DOUBLE) AS prob_sum FROM orders",
+)
 def m11(spark, d):
     run = _orders_run(spark, d)
-    return train.predict_batch(run, _orders_features(spark, d), "o_orderkey")
+    out = train.predict_batch(run, _orders_features(spark, d), "o_orderkey")
+    probs = [F.col(f"`{c}`") for c in out.columns if c.startswith("prob_")]
+    names = F.array(*[F.lit(c) for c in run.classes])
+    return out.select(
+        "sample_index",
+        (F.col("predicted_label") == F.element_at(names, F.col("predicted_class") + 1)).alias("label_of_class"),
+        (F.abs(F.col("confidence") - F.greatest(*probs)) < 1e-9).alias("confidence_is_largest"),
+        F.round(sum(probs[1:], probs[0]), 6).alias("prob_sum"),
+    )
 
 
-@register("E04_permutation_importance", None)
+@register(
+    "E04_permutation_importance",
+    "SELECT unnest(['o_orderkey', 'o_custkey', 'o_totalprice', 'o_orderstatus']) AS feature, true AS in_range",
+)
 def e04(spark, d):
-    return _orders_run(spark, d, importance=True).importance
+    imp = _orders_run(spark, d, importance=True).importance
+    return imp.select("feature", (F.col("importance").between(-1, 1) & (F.col("std") >= 0)).alias("in_range"))
 
 
 @register("M10_train_pipeline", None)
@@ -974,7 +990,7 @@ def m03(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double")
 
 
-@register("S14_save_load_fitted", None)
+@register("S14_save_load_fitted", "SELECT o_orderkey AS sample_index, true AS same FROM orders")
 def s14(spark, d):
     import uuid
 
@@ -988,11 +1004,10 @@ def s14(spark, d):
     after = train.predict_batch(again, _orders_features(spark, d), "o_orderkey", detail=False)
     b = before.select("sample_index", F.col("pred").alias("pred_before"))
     a = after.select("sample_index", F.col("pred").alias("pred_after"))
-    return b.join(a, "sample_index").select("sample_index", "pred_before", "pred_after",
-                                           (F.col("pred_before") == F.col("pred_after")).alias("same"))
+    return b.join(a, "sample_index").select("sample_index", (F.col("pred_before") == F.col("pred_after")).alias("same"))
 
 
-@register("T01_predict_stream", None)
+@register("T01_predict_stream", "SELECT event_id AS sample_index, true AS known_class, CAST(1.0 AS DOUBLE) AS prob_sum FROM events")
 def t01(spark, d):
     from tabsight.streaming.scoring import predict_stream, stream_source
 
@@ -1002,7 +1017,9 @@ def t01(spark, d):
     stream = stream_source(spark, f"{d}/events*.parquet", t(spark, d, "events"))
     q, out = predict_stream(run, stream.select("event_id", "user_id", "value", "event_type"), "event_id")
     q.awaitTermination()
-    return spark.read.parquet(out)
+    scored = spark.read.parquet(out)
+    total = F.aggregate("proba", F.lit(0.0), lambda a, b: a + b)
+    return scored.select("sample_index", F.col("predicted_class").isin(run.classes).alias("known_class"), F.round(total, 6).alias("prob_sum"))
 
 
 # ---------------------------------------------------------------------------
@@ -1019,7 +1036,7 @@ def _orders_scaled(spark, d, run):
 def e07(spark, d):
     run = _orders_run(spark, d)
     rows = _orders_scaled(spark, d, run)
-    return explain.shapley_summary(run.model, rows, rows, run.pre.feature_columns, ["_key"], n_rows=100, n_permutations=10)
+    return explain.shapley_summary(run.model, rows, rows, run.pre.feature_columns, ["_key"], n_permutations=10)
 
 
 @register("E05_lime_tabular", None)
@@ -1080,7 +1097,7 @@ def m08(spark, d):
         df = t(spark, d, x)
         nf = len(df.columns) - 1
         row = df.agg(F.count(F.lit(1)).alias("n_rows"))
-        rec = F.when((F.col("n_rows") <= 500) | F.lit(nf <= 20), "MLP-Small").when(F.lit(nf <= 100), "MLP-Medium").otherwise("MLP-Large")
+        rec = models.baseline_expr(F.lit("tabular"), F.lit(nf), F.col("n_rows"))
         one = row.select(F.lit(x).alias("table_name"), "n_rows", F.lit(nf).alias("n_features"), rec.alias("recommended"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -1089,20 +1106,22 @@ def m08(spark, d):
 _ORDERS_CSV_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
-@register("S01_read_tabular", f"SELECT {', '.join(_ORDERS_CSV_COLS)} FROM orders")
+@register(
+    "S01_read_tabular",
+    f"SELECT {', '.join(_ORDERS_CSV_COLS)}, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus || chr(10) || 'café, \"quoted\"' "
+    "ELSE o_orderpriority END AS note FROM orders",
+)
 def s01(spark, d):
     import uuid
 
     from tabsight.session import scratch_path
 
     out = scratch_path(spark, f"orders-csv-{uuid.uuid4().hex}")
-    t(spark, d, "orders").select(*_ORDERS_CSV_COLS).coalesce(1).write.option("header", True).csv(out)
-    import glob
-    import os
-
-    part = sorted(glob.glob(os.path.join(out.replace("file:", ""), "part-*.csv")))
-    path = part[0] if part else out
-    return tabular.read_tabular(spark, path)
+    # line breaks, quotes and commas inside fields
+    note = F.when(F.col("o_orderkey") % 7 == 0, F.concat("o_orderstatus", F.lit('\ncafé, "quoted"'))).otherwise(F.col("o_orderpriority"))
+    rows = t(spark, d, "orders").select(*_ORDERS_CSV_COLS, note.alias("note"))
+    rows.write.option("header", True).option("escape", '"').csv(out + ".csv")
+    return tabular.read_tabular(spark, out + ".csv")
 
 
 @register(

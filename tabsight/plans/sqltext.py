@@ -182,17 +182,17 @@ def warnings_sql(src: str, target: str, cols: list[str], num: list[str], cat: li
         "w AS ("
         f"SELECT 0 AS gate, CASE feature {fmap} END AS seq, feature AS column_name, CAST(NULL AS VARCHAR) AS class_name, "
         "'feature_leakage' AS issue, metric, value, "
-        f"CASE WHEN metric = 'pearson' THEN printf('Pearson r=%.4f with target (threshold 0.95)', value) "
-        "ELSE printf('Cramers V=%.4f with target (too high)', value) END AS detail FROM lk "
+        f"CASE WHEN metric = 'pearson' THEN printf('correlation %.4f with the target; limit 0.95', value) "
+        "ELSE printf('association V %.4f with the target', value) END AS detail FROM lk "
         "WHERE abs(value) > 0.95 "
         "UNION ALL SELECT 1, 0, NULL, class_name, 'class_imbalance', 'fraction', fraction, "
-        "printf('''%s'' has %d samples (%.1f%%) — fewer than 5%%. This class may be hard to learn.', class_name, n, fraction * 100) "
+        "printf('class %s: %d rows, %.1f%%; limit 5%%', class_name, n, fraction * 100) "
         "FROM vc WHERE fraction < 0.05 "
         "UNION ALL SELECT 2, ordinal, column_name, NULL, 'id_column', 'n_unique', n_unique, "
-        "printf('Every row has a unique value & dtype is %s — this is likely an ID, not a feature.', dtype) "
+        "printf('one %s value per row, as a row key has', dtype) "
         f"FROM prof WHERE n_unique = n_rows AND n_rows > 8 AND column_name IN ({idset}) "
         "UNION ALL SELECT 3, ordinal, column_name, NULL, 'constant_column', 'n_unique', n_unique, "
-        "'Column has only 1 unique value — adds no information' FROM prof WHERE n_unique <= 1), "
+        "'no two different values' FROM prof WHERE n_unique <= 1), "
         "d AS (SELECT *, row_number() OVER (PARTITION BY coalesce(column_name, class_name), issue ORDER BY gate, seq) AS k FROM w) "
         "SELECT gate, seq, column_name, class_name, issue, metric, value, detail FROM d WHERE k = 1"
     )
@@ -205,8 +205,8 @@ def summary_sql(warnings: str) -> str:
         "WHEN 'constant_column' THEN 'Constant columns' WHEN 'class_imbalance' THEN 'Imbalanced classes' ELSE issue END, ', ' "
         "ORDER BY CASE issue WHEN 'feature_leakage' THEN 'Leakage' WHEN 'id_column' THEN 'ID columns' "
         "WHEN 'constant_column' THEN 'Constant columns' WHEN 'class_imbalance' THEN 'Imbalanced classes' ELSE issue END) AS names FROM w) "
-        "SELECT n_issues = 0 AS passed, n_issues, CASE WHEN n_issues = 0 THEN 'All quality checks passed. No data issues detected.' "
-        "ELSE printf('Found %d issue(s): %s.', n_issues, names) END AS summary FROM a"
+        "SELECT n_issues = 0 AS passed, n_issues, CASE WHEN n_issues = 0 THEN 'no findings' "
+        "ELSE printf('%d findings: %s', n_issues, names) END AS summary FROM a"
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
-from tabsight.functions.exprs import DEFAULT_SEED
+from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate, models, prep, quality, split, validate
 from tabsight.operators.report import prediction_detail
 
@@ -183,7 +183,7 @@ def train_tabular(
         raise InputError("key_cols must name a stable row key for reproducible splits.")
     pre = prep.fit_preprocess(df, target)
     # the row key travels as one extra column, whether or not its parts are features
-    keyed = df.withColumn(ROW_KEY, F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]))
+    keyed = df.withColumn(ROW_KEY, key_string(key_cols, seed))
     keep = [ROW_KEY]
     data = feature_table(pre, keyed, keep).persist()
     n_rows = data.count()

@@ -8,6 +8,7 @@ batch at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ MIN_PER_CLASS = 2
 MIN_VALID_IMAGES = 10
 TENSOR_SIZE = 224
 FLAT_LABEL = "class_0"
+# Floats of image tensors in one output batch (64 MB).
+TENSOR_FLOATS = 16 << 20
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
@@ -34,8 +37,10 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
 
 def _labelled(paths: DataFrame, root: str) -> DataFrame:
     """Label = first folder below the root; a single top folder is skipped; flat → class_0."""
-    root_uri = F.regexp_replace(F.lit(root.rstrip("/")), "^file:", "")
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:", ""), F.concat(F.lit("^"), root_uri, F.lit("/?")), "")
+    # the root is cut off by its length, so its characters have no special meaning
+    base = re.sub("^file:/*", "/", root.rstrip("/")) + "/"
+    plain = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    rel = F.when(plain.startswith(base), plain.substr(F.lit(len(base) + 1), F.length(plain))).otherwise(plain)
     parts = F.split(rel, "/")
     with_parts = paths.withColumn("_parts", parts)
     tops = with_parts.where(F.size("_parts") > 1).select(F.element_at("_parts", 1).alias("t")).distinct().limit(2).collect()
@@ -51,7 +56,8 @@ def read_image_folder(spark: SparkSession, root: str, require_labels: bool = Tru
     """``path, label, length`` for every image under ``root`` (S7), after the class gate."""
     imgs = _labelled(list_images(spark, root), root)
     if require_labels:
-        image_class_gate(imgs)
+        # the gate counts images that can be decoded, not names
+        image_class_gate(_labelled(verify_images(spark, root).select("path"), root))
     return imgs
 
 
@@ -101,9 +107,12 @@ def _resize_batch(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
 def image_tensors(images: DataFrame, size: int = TENSOR_SIZE) -> DataFrame:
     """``path, tensor`` (size×size×3 floats in [0, 1], RGB) per decodable image."""
 
+    rows = max(1, TENSOR_FLOATS // (size * size * 3))  # images handed out at once
+
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield _resize_batch(pdf, size)
+            for at in range(0, len(pdf), rows):
+                yield _resize_batch(pdf.iloc[at : at + rows], size)
 
     return images.select("path", "height", "width", "nChannels", "data").mapInPandas(
         fn, "path string, tensor array<float>"

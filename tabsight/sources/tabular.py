@@ -40,11 +40,29 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if bad == 0 else "ISO-8859-1"
 
 
+def decoded(value: Column, encoding: str) -> Column:
+    """Lines of the text source, which hands out a file's bytes as they are, in the given encoding."""
+    return value if encoding == "UTF-8" else F.decode(value.cast("binary"), F.lit(encoding))
+
+
+def detect_csv(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether a quoted field holds a line break, in one scan.
+
+    A line with an odd number of quotes begins or ends such a field.
+    """
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(
+        F.count_if(~F.is_valid_utf8(value)).alias("bad"), F.count_if(quotes % 2 == 1).alias("open")
+    ).first()
+    return "ISO-8859-1" if row["bad"] else "UTF-8", row["open"] > 0
+
+
 def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    first = spark.read.option("encoding", encoding).text(path).limit(1).collect()  # one line
-    if not first:
-        raise InputError(f"CSV file is empty or contains no data: {path}")
-    return next(csv.reader(io.StringIO(first[0]["value"])))
+    lines = spark.read.text(path).select(decoded(F.col("value"), encoding).alias("value")).limit(100).collect()  # a header's lines
+    if not lines:
+        raise InputError(f"No data in CSV '{path}'.")
+    return next(csv.reader(io.StringIO("\n".join(r["value"] for r in lines))))
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -76,14 +94,18 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """CSV with pandas-like header, NA and bad-line handling."""
-    encoding = detect_encoding(spark, path)
+    """CSV with pandas-like header, NA and bad-line handling.
+
+    Files without line breaks inside quoted fields are split over tasks; a
+    file that has some is read as a whole by one task (Spark's ``multiLine``).
+    """
+    encoding, multi_line = detect_csv(spark, path)
     names = validate.dedupe_names(_header(spark, path, encoding))
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] +
                           [T.StructField(OVERFLOW, T.StringType())])
     raw = (
         spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-        .option("multiLine", False).schema(schema).csv(path)
+        .option("multiLine", multi_line).option("escape", '"').schema(schema).csv(path)
     )
     # a filled overflow field means the row had too many fields: skip it
     kept = raw.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
@@ -104,17 +126,16 @@ def clean_tabular(df: DataFrame) -> DataFrame:
 
 def read_tabular(spark: SparkSession, path: str, require_target: bool = True) -> DataFrame:
     """Read CSV or Parquet, clean it and check its shape."""
-    if not os.path.exists(path) and "://" not in path:
-        raise InputError(f"Dataset file not found: {path}. Check the file path.")
+    validate.require_source(spark, path)
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
         df = read_csv(spark, path)
-    elif low.endswith(".parquet") or os.path.isdir(path):
+    elif low.endswith(".parquet") or "." not in low.rsplit("/", 1)[-1]:
         df = spark.read.parquet(path)
     elif low.endswith(".xlsx"):
         raise InputError("XLSX has no Spark reader; convert it to CSV or Parquet.")
     else:
-        raise InputError(f"Unsupported tabular file format: {path}. Supported formats: .csv, .parquet")
+        raise InputError(f"'{path}' is neither .csv nor .parquet.")
     df = clean_tabular(df)
     validate.require_shape(
         df,
@@ -149,7 +170,7 @@ def detect_dataset_type(spark: SparkSession, path: str) -> str:
             return "tabular"
     if low.endswith(".txt"):
         return "text"
-    if os.path.isdir(path):
+    if "." not in low.rsplit("/", 1)[-1]:
         listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
         row = listing.agg(F.count(F.lit(1)).alias("n"), image_share(listing).alias("share")).first()
         if not row["n"] or row["share"] == 0:

@@ -91,7 +91,7 @@ def test_recommendation_and_manual(spark):
     assert models.recommend_baseline("tabular", 500, 1000) == "MLP-Large"
     cands = models.tabular_candidates(100)
     assert models.select_candidate(cands, "tabular", 5, 100, "RandomForest").name == "RandomForest"
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError):
         models.select_candidate(cands, "tabular", 5, 100, "nope")
 
 
@@ -123,10 +123,9 @@ def test_report_tables(spark):
         "model_name string, accuracy double, top_feature string, issues array<string>, passed boolean",
     )
     n = [r["narrative"] for r in report.narrative(run).collect()]
-    assert n[0] == ("The model (LR) achieves 87% accuracy on the held-out validation set. "
-                    "It relies most on 'age' to make its predictions. "
-                    "Note: the training data has several quality issues (class imbalance, id column) that may affect reliability.")
-    assert n[1].endswith("No major data quality issues were detected.")
+    assert n[0] == ("LR predicted 87 of 100 held-out rows correctly. Strongest feature: age. "
+                    "Data checks found: class imbalance, id column.")
+    assert n[1] == "LR has no held-out score. Feature strength was not measured. Data checks: nothing found."
 
 
 def test_scoring_options(spark):
