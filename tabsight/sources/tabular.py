@@ -42,7 +42,7 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 
 def decoded(value: Column, encoding: str) -> Column:
     """Lines of the text source, which hands out a file's bytes as they are, in the given encoding."""
-    return value if encoding == "UTF-8" else F.decode(value.cast("binary"), F.lit(encoding))
+    return value if encoding == "UTF-8" else F.decode(value.cast("binary"), encoding)
 
 
 def detect_csv(spark: SparkSession, path: str) -> tuple[str, bool]:
