@@ -50,14 +50,20 @@ def _unpivot_profile(df: DataFrame, stats: DataFrame, distinct_prefix: str = "u"
     )
 
 
-def _canonical_text(field) -> "F.Column":
-    """Injective text of a value for distinct counting (NaN → null, -0.0 → 0.0)."""
+def _value_key(field) -> tuple["F.Column", "F.Column"]:
+    """Two longs that stand for a value in distinct counting; the first is null for null (and NaN).
+
+    Integral values stand for themselves; others are hashed to 64 + 64 bits,
+    so no text crosses the network.
+    """
     c = col(field.name)
+    if isinstance(field.dataType, T.IntegralType):
+        return c.cast("long"), F.lit(0).cast("long")
     if isinstance(field.dataType, FLOAT_TYPES):
         c = F.when(F.isnan(c), F.lit(None)).when(c == 0, F.lit(0.0)).otherwise(c.cast("double"))
-    if isinstance(field.dataType, T.StringType):
-        return c
-    return c.cast("string")
+    elif not isinstance(field.dataType, T.AtomicType):
+        c = c.cast("string")
+    return F.when(c.isNotNull(), F.xxhash64(c)), F.xxhash64(F.lit(1), c)
 
 
 def _exact_profile(df: DataFrame) -> DataFrame:
@@ -68,10 +74,12 @@ def _exact_profile(df: DataFrame) -> DataFrame:
     avoids the Expand plan of many ``count(distinct)`` in one aggregate.
     """
     fields = df.schema.fields
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("ordinal"), _canonical_text(f).alias("v")) for i, f in enumerate(fields)
-    ]))
-    cells = df.select(pairs.alias("x")).select("x.ordinal", "x.v").groupBy("ordinal", "v").agg(
+    structs = []
+    for i, f in enumerate(fields):
+        v, w = _value_key(f)
+        structs.append(F.struct(F.lit(i).alias("ordinal"), v.alias("v"), w.alias("w")))
+    pairs = F.explode(F.array(*structs))
+    cells = df.select(pairs.alias("x")).select("x.ordinal", "x.v", "x.w").groupBy("ordinal", "v", "w").agg(
         F.count(F.lit(1)).alias("cnt")
     )
     per = cells.groupBy("ordinal").agg(

@@ -48,8 +48,9 @@ def value_counts(df: DataFrame, target: str) -> DataFrame:
     _check_target(df, target)
     y = col(target).cast("string")
     counts = df.where(col(target).isNotNull()).groupBy(y.alias("class_name")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.where(col(target).isNotNull()).count()  # one number, no global window
-    return counts.select("class_name", "n", (F.col("n") / F.lit(float(total) if total else None)).alias("fraction"))
+    # one row: the sum of the same counts, whose exchange Spark reuses; no second scan, no global window
+    total = counts.agg(F.sum("n").alias("_total"))
+    return counts.join(F.broadcast(total)).select("class_name", "n", (F.col("n") / F.col("_total")).alias("fraction"))
 
 
 def _categorical_features(df: DataFrame, target: str, features: list[str] | None) -> list[str]:
