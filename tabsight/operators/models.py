@@ -64,9 +64,9 @@ class Candidate:
 
 # ---- candidate lists (M1-M3) ---------------------------------------------------------
 
-def _mlp(hidden: list[int]):
+def _mlp(hidden: list[int], iterations: int):
     def make(n_features: int, n_classes: int) -> Estimator:
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=200, seed=DEFAULT_SEED)
+        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=iterations, seed=DEFAULT_SEED)
 
     return make
 
@@ -77,13 +77,18 @@ def _gbt(n_features: int, n_classes: int) -> Estimator:
     return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
 
 
+def _l2(n_rows: int) -> float:
+    """Spark's penalty on the mean loss that equals a penalty of 1/2·|w|² on the summed loss."""
+    return 1.0 / max(1, n_rows)
+
+
 def tabular_candidates(n_rows: int) -> list[Candidate]:
-    """MLP 64 / 128-64 / 256-128-64, GBT(100, depth 3, lr 0.1), RF, LogReg(500) (M1)."""
+    """MLP 64 / 128-64 / 256-128-64, GBT(100, depth 3, lr 0.1), RF, LogReg(500, L2) (M1)."""
     trees = max(100, min(400, n_rows))
     return [
-        Candidate("MLP-Small", _mlp([64]), "MLP with 64 hidden units", {"layers": [64]}),
-        Candidate("MLP-Medium", _mlp([128, 64]), "MLP 128-64", {"layers": [128, 64]}),
-        Candidate("MLP-Large", _mlp([256, 128, 64]), "MLP 256-128-64", {"layers": [256, 128, 64]}),
+        Candidate("MLP-Small", _mlp([64], 150), "MLP with 64 hidden units", {"layers": [64], "maxIter": 150}),
+        Candidate("MLP-Medium", _mlp([128, 64], 200), "MLP 128-64", {"layers": [128, 64], "maxIter": 200}),
+        Candidate("MLP-Large", _mlp([256, 128, 64], 250), "MLP 256-128-64", {"layers": [256, 128, 64], "maxIter": 250}),
         Candidate("GradientBoosting", _gbt, "Gradient-boosted trees", {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}),
         Candidate(
             "RandomForest",
@@ -93,27 +98,27 @@ def tabular_candidates(n_rows: int) -> list[Candidate]:
         ),
         Candidate(
             "LogisticRegression",
-            lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER),
-            "Multinomial logistic regression",
-            {"maxIter": FALLBACK_MAX_ITER},
+            lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER, regParam=_l2(n_rows)),
+            "Multinomial logistic regression with L2",
+            {"maxIter": FALLBACK_MAX_ITER, "regParam": _l2(n_rows)},
         ),
     ]
 
 
 def text_candidates(n_rows: int) -> list[Candidate]:
-    """TF-IDF heads: calibrated linear SVM, logistic regression, complement NB (M2)."""
+    """TF-IDF heads: linear SVM, logistic regression, complement NB (M2)."""
     return [
         Candidate(
             "LinearSVC",
             lambda f, k: OneVsRest(classifier=LinearSVC(maxIter=100)),
-            "One-vs-rest linear SVM; scores calibrated by a sigmoid and normalised",
+            "One-vs-rest linear SVM; sigmoids of the margins, normalised (not fitted)",
             {"maxIter": 100},
         ),
         Candidate(
             "LogisticRegression",
-            lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER),
-            "Logistic regression on TF-IDF",
-            {"maxIter": FALLBACK_MAX_ITER},
+            lambda f, k: LogisticRegression(maxIter=2 * FALLBACK_MAX_ITER, regParam=_l2(n_rows)),
+            "Logistic regression with L2 on TF-IDF",
+            {"maxIter": 2 * FALLBACK_MAX_ITER, "regParam": _l2(n_rows)},
         ),
         Candidate(
             "ComplementNB",
@@ -361,7 +366,7 @@ def select_candidate(candidates: list[Candidate], data_type: str, n_features: in
     """Manual choice if it names a candidate, else the recommendation (M8)."""
     names = [c.name for c in candidates]
     if manual is not None and manual not in names:
-        raise InputError(f"Manual selection '{manual}' not found. Available models: {sorted(names)}")
+        raise InputError(f"No candidate '{manual}'; there are {sorted(names)}.")
     want = manual or recommend_baseline(data_type, n_features, n_samples)
     for c in candidates:
         if c.name == want:
@@ -373,6 +378,9 @@ PARAM_SPACES = {
     "LogisticRegression": {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0], "maxIter": [100, 500]},
     "RandomForest": {"numTrees": [50, 100, 200], "maxDepth": [3, 5, 8]},
     "MLP": {"hidden": [[32], [64], [128, 64]], "stepSize": [0.01, 0.03, 0.1], "maxIter": [100, 200]},
+    "GradientBoosting": {"maxIter": [20, 50, 100], "maxDepth": [2, 3, 5], "stepSize": [0.05, 0.1, 0.2]},
+    "LinearSVC": {"regParam": [0.0, 0.001, 0.01, 0.1], "maxIter": [50, 100]},
+    "NaiveBayes": {"smoothing": [0.1, 0.5, 1.0, 2.0], "modelType": ["multinomial", "complement"]},
 }
 
 
@@ -385,6 +393,11 @@ def _estimator_for(kind: str, params: dict, n_features: int, n_classes: int) ->
         p = dict(params)
         hidden = p.pop("hidden")
         return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], seed=DEFAULT_SEED, **p)
+    if kind == "NaiveBayes":
+        return NaiveBayes(**params)
+    if kind in ("GradientBoosting", "LinearSVC"):
+        binary = GBTClassifier(seed=DEFAULT_SEED, **params) if kind == "GradientBoosting" else LinearSVC(**params)
+        return binary if kind == "GradientBoosting" and n_classes <= 2 else OneVsRest(classifier=binary)
     raise InputError(f"No parameter space for '{kind}'.")
 
 

@@ -996,10 +996,14 @@ def s14(spark, d):
 
     from tabsight.session import scratch_path
 
-    run = _orders_run(spark, d)
-    path = scratch_path(spark, f"model-{uuid.uuid4().hex}")
-    run.save(path)
-    again = train.FittedRun.load(spark, path)
+    base = scratch_path(spark, f"model-{uuid.uuid4().hex}")
+    run = train.train_tabular(
+        _orders_features(spark, d), "o_orderpriority", ["o_orderkey"], candidates=[models.fallback_candidate()], search=False,
+        importance=False, quality_check=False, save_path=base + "/model", registry_path=base + "/runs",
+    )
+    # the run is looked up in the runs table and loaded from there
+    found = registry.list_runs(spark, base + "/runs").where(F.col("model_name") == run.model_name).first()
+    again = train.FittedRun.load(spark, found["model_dir"])
     before = train.predict_batch(run, _orders_features(spark, d), "o_orderkey", detail=False)
     after = train.predict_batch(again, _orders_features(spark, d), "o_orderkey", detail=False)
     b = before.select("sample_index", F.col("pred").alias("pred_before"))

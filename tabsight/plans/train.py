@@ -23,6 +23,7 @@ from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate, models, prep, quality, split, validate
 from tabsight.operators.report import prediction_detail
+from tabsight.sources.registry import register_run
 
 FEATURES = "features"
 LABEL = "label"
@@ -43,6 +44,8 @@ class FittedRun:
     importance: DataFrame | None = None
     quality: dict | None = None
     dataset_type: str = "tabular"
+    fallback: bool = False
+    error: str | None = None
 
     @property
     def classes(self) -> list[str]:
@@ -56,6 +59,9 @@ class FittedRun:
             "class_names": self.classes,
             "binary_threshold": self.threshold,
             "metrics": self.metrics,
+            "quality": self.quality,
+            "fallback": self.fallback,
+            "error": self.error,
             "seed": DEFAULT_SEED,
             "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
         }
@@ -169,8 +175,12 @@ def train_tabular(
     importance: bool = True,
     quality_check: bool = True,
     seed: int = DEFAULT_SEED,
+    save_path: str | None = None,
+    registry_path: str | None = None,
 ) -> FittedRun:
-    """The training composition."""
+    """The training composition (M10); saved to ``save_path`` and entered in the
+    runs table ``registry_path`` if given.  A failed search leaves its error in
+    the result's ``error``; ``fallback`` tells that no search winner was fitted."""
     df = validate.dedupe_columns(df)
     validate.require_min_rows(df, validate.MIN_TRAIN_ROWS)
     n_classes = validate.validate_target(df, target)
@@ -191,6 +201,7 @@ def train_tabular(
     cands = candidates or models.tabular_candidates(n_rows)
     winner = None
     results = None
+    fallback, error = False, None
     if search:
         try:
             name, _score, results = models.successive_halving(
@@ -198,9 +209,9 @@ def train_tabular(
             )
             winner = next((c for c in cands if c.name == name), None)
             if winner is None and cands:
-                winner = cands[0]  # no stage-3 survivor: first candidate (M7)
-        except Exception:
-            winner = models.fallback_candidate()  # search failed (M7)
+                winner, fallback = cands[0], True  # no stage-3 survivor: first candidate (M7)
+        except Exception as exc:
+            winner, fallback, error = models.fallback_candidate(), True, str(exc)  # search failed (M7)
     else:
         winner = models.select_candidate(cands, "tabular", n_features, n_rows, manual)
     model, pred, flagged = fit_winner(winner, data, keep, n_classes, seed)
@@ -220,7 +231,12 @@ def train_tabular(
         imp = permutation_importance(model, flagged.where(F.col("is_test")), pre.feature_columns, keep, seed=seed)
     flagged.unpersist()
     data.unpersist()
-    return FittedRun(pre, model, winner.name, threshold, metrics, results, imp, qual)
+    run = FittedRun(pre, model, winner.name, threshold, metrics, results, imp, qual, fallback=fallback, error=error)
+    if save_path is not None:
+        run.save(save_path)
+        if registry_path is not None:
+            register_run(df.sparkSession, registry_path, save_path, run.meta())
+    return run
 
 
 def predict_batch(run: FittedRun, df: DataFrame, key_col: str | None = None, detail: bool = True) -> DataFrame:
