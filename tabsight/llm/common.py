@@ -31,6 +31,17 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bounds the texts of one Arrow batch, in Spark and in the Python worker.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB, where the session names no size of its own:
+    the row limit alone lets a batch grow with the length of the texts."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, "4m")
+
+
 # ------------------------------------------------------------------ words
 #: A-Z to a-z; 0-9, a-z and all bytes of non-ASCII characters stay; the rest becomes a space.
 _WORD_TABLE = bytes(

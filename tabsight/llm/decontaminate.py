@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import ascii_words, utf8
+from tabsight.llm.common import ascii_words, bound_batches, utf8
 
 #: Words of a text that is not lower-cased yet, for their places in it.
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -205,6 +205,7 @@ def find_overlaps(
     """``keep`` columns (default: all) of each document with ``spans`` (merged,
     in words), ``items`` (ids as strings, sorted), ``n_words`` and ``longest``
     (longest match in words), in a struct column ``overlap``."""
+    bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     kept_schema = rows.drop("__text").schema

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
-from tabsight.llm.common import utf8
+from tabsight.llm.common import bound_batches, utf8
 
 BUCKETS = 1 << 16
 #: Lower-cases A-Z; bytes of non-ASCII characters stay; the rest becomes a space.
@@ -107,6 +107,7 @@ def fit_languages(docs: DataFrame, train: Column, docs_per_lang: int = 1500, max
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at])], names=["lang", "bucket", "n"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sample = _sample(rows, train, docs_per_lang, max_langs).select("text", "lang")
     total = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -184,5 +185,6 @@ def predict_languages(
                 [b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(entry))], names=["doc_id", "lang_pred", "score", "langs"]
             )
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<struct<lang:string,share:double>>")

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import ascii_words, utf8
+from tabsight.llm.common import ascii_words, bound_batches, utf8
 
 # Phrases and labels of the exact search.
 PHRASES = (
@@ -154,6 +154,8 @@ def scan_licenses(
     A notice of L characters may differ by L // ``chars_per_edit`` edits.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices, chars_per_edit)
         for b in batches:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import write_table
+from tabsight.llm.common import bound_batches, write_table
 
 PIECES = T.StructType(
     [
@@ -257,6 +257,7 @@ def pack_documents(
 
         return run
 
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     done, round_, tasks = None, 0, 0
     table = write_table(source.mapInArrow(first, PIECES), "pack-0")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import TOKEN_CLASS, mix, token_hashes, utf8
+from tabsight.llm.common import TOKEN_CLASS, bound_batches, mix, token_hashes, utf8
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -37,6 +37,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
     """``doc_id, text, label, weight`` of at most ``max_rows`` ids of each label
     (0, 1): those that satisfy ``train`` (on ``doc_id``) and whose hashes come
     first; ``weight`` is the number of labelled ids that each one stands for."""
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IN (0, 1)").where(train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
@@ -148,5 +149,6 @@ def score_quality(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id",
             scores = [score_text(t or b"", weights, scale) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import lower_ascii, space_words, utf8, write_table
+from tabsight.llm.common import bound_batches, lower_ascii, space_words, utf8, write_table
 from tabsight.llm.components import connected_components, local_roots
 
 _DIGESTS_AT_ONCE = 1 << 16
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash(t or b"", shingle) for t in utf8(b.column(2))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "text_hash", "fp"])
 
+    bound_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")

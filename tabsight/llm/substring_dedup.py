@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
-from tabsight.llm.common import SPACE_CLASS, mix, powers, space_words, token_hashes, utf8, write_table
+from tabsight.llm.common import SPACE_CLASS, bound_batches, mix, powers, space_words, token_hashes, utf8, write_table
 
 # Odd bases of the polynomial hashes over word hashes, with their inverses.
 _BASES = {k: (np.uint64(b), np.uint64(pow(b, -1, 2**64))) for k, b in enumerate((0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))}
@@ -79,6 +79,7 @@ def anchors(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
