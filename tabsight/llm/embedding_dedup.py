@@ -8,7 +8,7 @@ component are one *class* and stand in the graph once, with their number.
    ``shard_rows`` classes each, ``max_centres`` in all.
 2. Shards: every class goes to its ``overlap`` nearest centres of its label. A
    shard larger than ``shard_limit`` is divided by hash into parts; then each
-   part holds its own rows and is searched for all of the shard's.
+   part holds its own rows and is searched for those of every part in turn.
 3. Graph: each shard's rows get neighbour lists by robust pruning, with reverse
    links. A class's lists from all its shards are united.
 4. Search: in each shard every class is a query. A greedy beam search from the
@@ -119,16 +119,19 @@ def assign_shards(classes: DataFrame, centres: dict[tuple[str, int], np.ndarray]
 
 
 def divide_shards(rows: DataFrame, shard_limit: int) -> DataFrame:
-    """Adds ``part`` and ``indexed``: rows of a shard over the limit are spread
-    over parts by hash and meet every other part as queries only."""
-    parts = rows.groupBy("shard").count().select("shard", F.ceil(F.col("count") / shard_limit).alias("parts")).where("parts > 1")
-    parts = write_table(parts, "large-shards")
-    if parts.isEmpty():
-        return rows.withColumn("part", F.lit(0).cast("long")).withColumn("indexed", F.lit(True))
-    small = rows.join(parts, "shard", "left_anti").withColumn("part", F.lit(0).cast("long")).withColumn("indexed", F.lit(True))
-    large = rows.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    large = large.withColumn("indexed", F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part")).drop("parts")
-    return small.unionByName(large.select(small.columns))
+    """Adds ``part, chunk, indexed, query``: a shard over the limit is dealt by
+    hash to P parts, and every part meets the rows of every chunk (part number
+    of the queries) in a group of its own, so a group has two parts at most."""
+    parts = rows.groupBy("shard").count().select("shard", F.ceil(F.col("count") / shard_limit).cast("long").alias("parts"))
+    rows = rows.join(write_table(parts, "shard-parts"), "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+
+    def place(part, chunk, indexed, query):
+        return F.struct(part.alias("part"), chunk.alias("chunk"), indexed.alias("indexed"), query.alias("query"))
+
+    others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    held = F.transform(others, lambda x: place(F.col("own"), x, F.lit(True), x == F.col("own")))
+    asked = F.transform(F.filter(others, lambda x: x != F.col("own")), lambda x: place(x, F.col("own"), F.lit(False), F.lit(True)))
+    return rows.withColumn("at", F.explode(F.concat(held, asked))).select("node", "size", "vector", "shards", "shard", "at.*")
 
 
 def _build(candidates: int, degree: int, alpha: float):
@@ -149,18 +152,18 @@ def _find(threshold: float, beam: int):
         # rows that repeat a node (one id, several vectors) stay apart here and share their node outside
         node, size = pdf["node"].to_numpy(), pdf["size"].to_numpy()
         x = _unit(pdf["vector"])
-        held = np.flatnonzero(pdf["indexed"].to_numpy())
-        if not len(held):
-            return pd.DataFrame({"node": [], "links": [], "other": []})
+        held, asked = np.flatnonzero(pdf["indexed"].to_numpy()), np.flatnonzero(pdf["query"].to_numpy())
+        if not len(held) or not len(asked):
+            return pd.DataFrame({"node": node, "links": 0, "other": node})
         place = {n: i for i, n in enumerate(node[held].tolist())}
         lists = [sorted({place[n] for n in near if n in place}) for near in (pdf["neighbours"][i] for i in held)]
         table = np.full((len(held), max(1, max(map(len, lists)))), -1, dtype=np.int64)
         for i, own in enumerate(lists):
             table[i, : len(own)] = own
         x32 = x.astype(np.float32)
-        a, b = range_search(x32[held], table, x32, medoid(x32[held]), radius2, beam)
-        b = held[b]
-        if len(held) == len(node):  # a pair found from one side holds for the other
+        a, b = range_search(x32[held], table, x32[asked], medoid(x32[held]), radius2, beam)
+        a, b = asked[a], held[b]
+        if len(held) == len(asked) == len(node):  # a pair found from one side holds for the other
             a, b = np.concatenate((a, b)), np.concatenate((b, a))
         pair = np.unique(a * np.int64(len(node)) + b)
         a, b = pair // len(node), pair % len(node)
@@ -193,11 +196,11 @@ def find_links(
     """``node, links, other``: rows whose ``links`` add up to each node's links
     to other classes, and whose (node, other) pairs connect its component."""
     rows = write_table(divide_shards(assign_shards(classes, fit_centres(classes, shard_rows, max_centres, sample_rows), overlap), shard_limit), "shards")
-    lists = rows.where("indexed").groupBy("shard", "part").applyInPandas(_build(candidates, degree, alpha), "node long, neighbours array<long>")
+    lists = rows.where("indexed AND part = chunk").groupBy("shard", "part").applyInPandas(_build(candidates, degree, alpha), "node long, neighbours array<long>")
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     graph = write_table(graph, "graph")
     return write_table(
-        rows.join(graph, "node").groupBy("shard", "part").applyInPandas(_find(threshold, beam), "node long, links long, other long"), "found-links"
+        rows.join(graph, "node").groupBy("shard", "part", "chunk").applyInPandas(_find(threshold, beam), "node long, links long, other long"), "found-links"
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import TOKEN_CLASS, bound_batches, mix, token_hashes, utf8
+from tabsight.llm.common import TOKEN_CLASS, bound_batches, mix, token_hashes, utf8, write_table
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -35,16 +35,21 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, label, weight`` of at most ``max_rows`` ids of each label
-    (0, 1): those that satisfy ``train`` (on ``doc_id``) and whose hashes come
-    first; ``weight`` is the number of labelled ids that each one stands for."""
+    (0, 1) that satisfy ``train`` (on ``doc_id``), drawn by id hashes; ``weight`` is the number of labelled ids that each one stands for."""
     bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IN (0, 1)").where(train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
-    parts = [known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for y in (0, 1)]
-    size = known.groupBy("label").agg(F.count("*").alias("n"))
-    picked = parts[0].unionByName(parts[1]).join(F.broadcast(size), "label")  # two rows
-    picked = picked.select("doc_id", "label", (F.col("n") / F.least("n", F.lit(max_rows))).alias("weight"))
+    known = write_table(known, "labelled")
+    size = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
+    parts = []
+    for y in (0, 1):
+        n = size.get(y, 0)
+        # about twice the wanted rows by one hash, then the first of them by another
+        near = F.pmod(F.xxhash64(F.lit(y), "doc_id"), F.lit(1 << 30)) < int(min(1.0, 2 * max_rows / max(1, n)) * (1 << 30))
+        some = known.where(F.col("label") == y).where(near).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+        parts.append(some.withColumn("weight", F.lit(n / max(1, min(n, max_rows)))))
+    picked = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "weight")  # 2 * max_rows small rows
 
