@@ -192,6 +192,55 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: i
     return parts
 
 
+def _hits(items: list[tuple], n: int, at: int, first: bool):
+    """A function from a batch to its rows' overlaps: text in column ``at``,
+    overlaps with earlier blocks (unless this is the first) in the last column."""
+    key = (n, hash(tuple(items)))
+
+    def run(b: pa.RecordBatch) -> list[dict]:
+        auto = _automaton(key, items, n)
+        before = None if first else b.column(b.num_columns - 1).to_pylist()
+        found = []
+        for k, text in enumerate(utf8(b.column(at))):
+            words = ascii_words(text or b"")
+            spans, ids, longest = auto.match(words)
+            ids = {x for x in ids if x is not None}
+            if before is not None:
+                old = before[k]
+                spans = _merge(spans, [(x["first"], x["end"]) for x in old["spans"]])
+                ids |= set(old["items"])
+                longest = max(longest, old["longest"])
+            found.append({"spans": [{"first": x, "end": y} for x, y in spans], "items": sorted(ids), "n_words": len(words), "longest": longest})
+        return found
+
+    return run
+
+
+_OVERLAP = pa.struct(
+    [("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("n_words", pa.int64()), ("longest", pa.int64())]
+)
+
+
+def _scan(rows: DataFrame, blocks: list[list[tuple]], n: int, at: int) -> DataFrame:
+    """``rows`` with a last column ``__overlap``, by one pass per block in one stage."""
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("__overlap", T.StructType.fromDDL(_HITS))])
+
+    def scan(items: list[tuple], first: bool):
+        hits = _hits(items, n, at, first)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols = [b.column(i) for i in range(len(names))] + [pa.array(hits(b), _OVERLAP)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "__overlap"])
+
+        return run
+
+    for k, items in enumerate(blocks):
+        rows = rows.mapInArrow(scan(items, k == 0), schema)
+    return rows
+
+
 def find_overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -208,41 +257,8 @@ def find_overlaps(
     bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
-    kept_schema = rows.drop("__text").schema
-    schema = T.StructType([*rows.schema.fields, T.StructField("overlap", T.StructType.fromDDL(_HITS))])
-    out_type = pa.struct(
-        [("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("n_words", pa.int64()), ("longest", pa.int64())]
-    )
-    blocks = item_blocks(benchmark, item_col, item_text, block_bytes)
-
-    def scan(items: list[tuple], first: bool):
-        key = (n, hash(tuple(items)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(key, items, n)
-            for b in batches:
-                at = b.schema.get_field_index("__text")
-                before = None if first else b.column(at + 1).to_pylist()
-                found = []
-                for k, text in enumerate(utf8(b.column(at))):
-                    words = ascii_words(text or b"")
-                    spans, ids, longest = auto.match(words)
-                    ids = {x for x in ids if x is not None}
-                    if before is not None:
-                        old = before[k]
-                        spans = _merge(spans, [(x["first"], x["end"]) for x in old["spans"]])
-                        ids |= set(old["items"])
-                        longest = max(longest, old["longest"])
-                    found.append({"spans": [{"first": x, "end": y} for x, y in spans], "items": sorted(ids), "n_words": len(words), "longest": longest})
-                cols = [b.column(i) for i in range(at + 1)] + [pa.array(found, out_type)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names[: at + 1], "overlap"])
-
-        return run
-
-    out = rows
-    for k, items in enumerate(blocks):
-        out = out.mapInArrow(scan(items, k == 0), schema)
-    return out.select(*[F.col(c) for c in kept_schema.names], "overlap")
+    out = _scan(rows, item_blocks(benchmark, item_col, item_text, block_bytes), n, len(keep))
+    return out.select(*[F.col(c) for c in keep if c != "overlap"], F.col("__overlap").alias("overlap"))
 
 
 def hit_words() -> F.Column:
@@ -263,21 +279,25 @@ def remove_overlaps(
 ) -> DataFrame:
     """``docs`` without the spans of at least ``min_words`` words that occur in
     items; documents with more than ``max_coverage`` of their words hit go."""
-    columns = docs.columns
-    found = find_overlaps(docs, benchmark, text_col, item_col, item_text, n, columns, block_bytes)
-    found = found.where(hit_words() <= F.lit(max_coverage) * F.col("overlap.n_words"))
+    bound_batches(docs.sparkSession)
+    columns, blocks = docs.columns, item_blocks(benchmark, item_col, item_text, block_bytes)
     at = columns.index(text_col)
+    # the last block's pass cuts the texts too: one Python operator for a benchmark of one block
+    found = _scan(docs, blocks[:-1], n, at)
+    hits = _hits(blocks[-1], n, at, len(blocks) == 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(at).to_pylist()
-            for k, hit in enumerate(b.column(len(columns)).to_pylist()):
-                spans = [(x["first"], x["end"]) for x in hit["spans"] if x["end"] - x["first"] >= min_words]
-                if spans:
+            texts, keep = b.column(at).to_pylist(), []
+            for k, hit in enumerate(hits(b)):
+                spans = [(x["first"], x["end"]) for x in hit["spans"]]
+                keep.append(sum(y - x for x, y in spans) <= max_coverage * hit["n_words"])
+                spans = [(x, y) for x, y in spans if y - x >= min_words]
+                if spans and keep[-1]:
                     texts[k] = _without(texts[k], spans)
             cols = [b.column(i) for i in range(len(columns))]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+            yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep, pa.bool_()))
 
     return found.mapInArrow(cut, docs.schema)
 

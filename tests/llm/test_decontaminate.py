@@ -67,6 +67,8 @@ def test_remove(spark):
     got = {r.doc_id: r.text for r in remove_overlaps(df, bench, max_coverage=0.9).collect()}
     assert got[1] == "Start  stop" and got[2] is None and got[4] == "one two three" and None not in got
     assert got[7] == "filler " * 30_000 + " " + "pad " * 30_000
+    many = spark.createDataFrame(ITEMS[:1] * 2 + [(50 + i, f"unrelated item number {i} " * 4) for i in range(12)], "item_id long, text string")
+    assert {r.doc_id: r.text for r in remove_overlaps(df, many, max_coverage=0.9, block_bytes=100).collect()} == got
     none = remove_overlaps(df, bench.where(F.lit(False)))
     assert none.columns == df.columns and none.count() == len(DOCS)
     assert remove_overlaps(df.where(F.lit(False)), bench).count() == 0
