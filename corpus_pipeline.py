@@ -6,7 +6,8 @@ the columns of ``documents``; the last returns packed token sequences' pieces.
 
 1. ``toxicity``: documents that the classifier scores 0.5 or more go. It learns
    from ``labels`` of the training fold, by the texts of this stage's input.
-2. ``line_dedup``: lines on more than a tenth of a source's distinct documents go.
+2. ``line_dedup``: lines on more than a tenth of a source's distinct documents,
+   and on two at least, go; sources of every size are judged.
 3. ``simhash_dedup``: one document of each near-duplicate group stays.
 4. ``decontamination``: spans shared with ``benchmark`` items go, and documents
    of which more than half the words are hit.

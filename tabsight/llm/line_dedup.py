@@ -5,8 +5,10 @@ number of the host's pages containing it by the host's page total. Lines whose
 share exceeds ``ratio`` are boilerplate of that host and are dropped from its
 pages. Pages of one host with the same text count as one page, both in the
 number and in the total, so a group of exact copies alone is never taken for
-boilerplate; a host with fewer than ``min_pages`` such pages is left alone, and
-so is a line on fewer than ``min_count`` pages.
+boilerplate. The share decides on hosts of every size; a line on fewer than
+``min_count`` pages repeats nothing and stays (on a host of under 1 / ratio
+pages every line's share is over the ratio). ``min_pages`` leaves hosts with
+fewer pages alone where a caller asks for it.
 
 Only built-in expressions are used. Lines are compared by a 64-bit hash within
 their host. Each count is an aggregate with a partial step on the map side, so
@@ -37,7 +39,7 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def site_lines(pages: DataFrame, host: Column, text: Column, ratio: float = 0.1, min_pages: int = 20, min_count: int = 10) -> DataFrame:
+def site_lines(pages: DataFrame, host: Column, text: Column, ratio: float = 0.1, min_pages: int = 1, min_count: int = 2) -> DataFrame:
     """Boilerplate per host: ``host, n_pages, lines`` (an array of line hashes)."""
     judged = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _hash))
     distinct = (
@@ -69,8 +71,8 @@ def drop_site_lines(
     text: Column,
     out: str = "text",
     ratio: float = 0.1,
-    min_pages: int = 20,
-    min_count: int = 10,
+    min_pages: int = 1,
+    min_count: int = 2,
 ) -> DataFrame:
     """``pages`` with column ``out`` holding the text without boilerplate lines."""
     # written first: then the join has a plain table on this side, and a hot host's pages can be split

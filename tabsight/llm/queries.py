@@ -58,7 +58,8 @@ def _predicted() -> Column:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
     pages = write_table(pages, "page-text")  # the tags are taken out once
-    kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept")
+    # the limits of OP5_SQL; drop_site_lines alone judges every host
+    kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept", min_pages=20, min_count=10)
     return kept.select(
         "page_id",
         "host",

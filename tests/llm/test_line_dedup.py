@@ -22,6 +22,18 @@ def test_matches_brute_force(spark):
     assert drop_site_lines(df.where("false"), F.col("host"), F.col("text")).count() == 0
 
 
+def test_share_decides_on_hosts_of_every_size(spark):
+    rows = [(f"h{n}", f"{'menu' if i < max(2, n // 8) else 'own'}\nbody {n} {i}\nown {n} {i}") for n in (1, 2, 3, 8, 19, 24, 75, 133) for i in range(n)]
+    df = spark.createDataFrame(rows, "host string, text string")
+    got = drop_site_lines(df, F.col("host"), F.col("text")).collect()
+    total = Counter(h for h, _ in rows)
+    share = Counter((h, x) for h, t in rows for x in set(t.split("\n")))
+    bad = {k for k, n in share.items() if n >= 2 and n / total[k[0]] > 0.1}
+    assert {h for h, x in bad if x == "menu"} == set(total) - {"h1"}
+    want = [(h, "\n".join(x for x in t.split("\n") if (h, x) not in bad)) for h, t in rows]
+    assert sorted((r.host, r.text) for r in got) == sorted(want)
+
+
 def test_page_text(spark):
     html = "<html><head><title>T</title><style>p{}</style></head><body><p class=x>One <b>bold</b><br/>two</p><!-- no --><pre>in  line</pre></body></html>"
     r = spark.createDataFrame([(html, "HTTPS://User.Example.ORG:80/x"), (None, "nothing")], "h string, u string").select(page_lines(F.col("h")), host_of(F.col("u"))).collect()
