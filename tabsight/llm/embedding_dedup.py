@@ -12,7 +12,8 @@ component are one *class* and stand in the graph once, with their number.
 3. Graph: each shard's rows get neighbour lists by robust pruning, with reverse
    links. A class's lists from all its shards are united.
 4. Search: in each shard every class is a query. A greedy beam search from the
-   shard's medoid is followed by expanding all rows in range. Every pair found
+   shard's medoid, and from one row of every part of the graph that the medoid
+   does not reach, is followed by expanding all rows in range. Every pair found
    is verified in double precision (cosine >= ``threshold``).
 5. A pair counts in the first shard that both classes share; a shard hands out
    one count per class and a spanning forest of its links, so nothing grows
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.common import write_table
 from tabsight.llm.components import connected_components, local_roots
-from tabsight.llm.vector_graph import medoid, range_search, robust_prune, with_reverse
+from tabsight.llm.vector_graph import entry_points, medoid, range_search, robust_prune, with_reverse
 
 
 def _unit(vectors: list | pd.Series) -> np.ndarray:
@@ -161,7 +162,7 @@ def _find(threshold: float, beam: int):
         for i, own in enumerate(lists):
             table[i, : len(own)] = own
         x32 = x.astype(np.float32)
-        a, b = range_search(x32[held], table, x32[asked], medoid(x32[held]), radius2, beam)
+        a, b = range_search(x32[held], table, x32[asked], entry_points(table, medoid(x32[held])), radius2, beam)
         a, b = asked[a], held[b]
         if len(held) == len(asked) == len(node):  # a pair found from one side holds for the other
             a, b = np.concatenate((a, b)), np.concatenate((b, a))

@@ -66,10 +66,32 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(axis=0)).argmax())
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def entry_points(lists: np.ndarray, first: int) -> np.ndarray:
+    """``first`` and further rows, so that every row can be reached from one of
+    them along ``lists`` (padded with -1)."""
+    reached = np.zeros(len(lists) + 1, dtype=bool)  # the last place stands for padding
+    reached[-1] = True
+    starts = []
+    at = first
+    while True:
+        starts.append(at)
+        reached[at] = True
+        new = np.array([at])
+        while len(new):
+            nb = np.unique(lists[new])
+            new = nb[~reached[nb]]
+            reached[new] = True
+        at = int(reached.argmin())
+        if reached[at]:
+            return np.array(starts, dtype=np.int64)
+
+
+def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int | np.ndarray, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs within squared distance ``radius2``, found by greedy
-    beam search from ``start`` for all queries at once, then by expanding every
-    row in range until no new one appears. ``lists`` is padded with -1."""
+    beam search from the nearest of the ``start`` rows for all queries at once,
+    then by expanding every row in range until no new one appears. ``lists`` is
+    padded with -1."""
+    start = np.atleast_1d(start)
     found_q, found_x = [], []
     per = max(1, min(_ROWS, (1 << 26) // max(1, len(x))))  # the table of seen rows stays within 64 MB
     for at in range(0, len(queries), per):
@@ -80,16 +102,21 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: i
     return (np.concatenate(found_q), np.concatenate(found_x)) if found_q else (none, none)
 
 
-def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: int, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: np.ndarray, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     m = len(q)
     rows = np.arange(m)
     seen = np.zeros((m, len(x) + 1), dtype=bool)  # the last column stands for padding
-    seen[:, start] = seen[:, -1] = True
+    seen[:, -1] = True
     ids = np.full((m, beam), -1, dtype=np.int64)
     dist = np.full((m, beam), np.inf, dtype=x.dtype)
     done = np.ones((m, beam), dtype=bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = start, np.maximum(2 - 2 * (q @ x[start]), 0), False
-    near_q, near_x = [rows[dist[:, 0] <= radius2]], [ids[dist[:, 0] <= radius2, 0]]
+    d = np.maximum(2 - 2 * (q @ x[start].T), 0)
+    k = min(beam, len(start))
+    pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+    ids[:, :k], dist[:, :k], done[:, :k] = start[pick], np.take_along_axis(d, pick, axis=1), False
+    i, j = np.nonzero(d <= radius2)
+    near_q, near_x = [i], [start[j]]
+    seen[rows[:, None], ids[:, :k]] = seen[i, start[j]] = True
     active = rows
     while len(active):
         open_ = np.where(done[active], np.inf, dist[active])

@@ -4,7 +4,7 @@ import numpy as np
 
 from tabsight.llm.embedding_dedup import audit_recall, find_links, near_vectors, vector_classes
 from tabsight.llm.queries import queries
-from tabsight.llm.vector_graph import medoid, range_search, robust_prune, with_reverse
+from tabsight.llm.vector_graph import entry_points, medoid, range_search, robust_prune, with_reverse
 
 SF = "/root/testdata/sf0.01"
 
@@ -103,3 +103,20 @@ def test_audit_and_query(spark):
     want = brute(rows)
     got = {r.vec_id: r for r in queries()["op6_embedding_dedup"](spark, SF).collect()}
     assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
+def test_shards_of_near_copies_alone():
+    rng = np.random.default_rng(11)
+    for groups, size in ((10, 100), (5, 200), (2, 2000), (60, 90)):
+        x = np.repeat(unit(rng, groups, 32), size, axis=0) + rng.normal(size=(groups * size, 32)) * 0.004
+        x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+        own = with_reverse(robust_prune(x, 64, 24, 1.2), 24)
+        table = np.full((len(x), max(map(len, own))), -1)
+        for i, o in enumerate(own):
+            table[i, : len(o)] = o
+        starts = entry_points(table, medoid(x))
+        a, b = range_search(x, table, x, starts, 0.04, 48)
+        exact = (np.maximum(2 - 2 * (x @ x.T), 0) <= 0.04).sum(axis=1)
+        have = np.bincount(a, minlength=len(x))
+        assert (have <= exact + 1).all() and (have / exact).min() > 0.95
+        assert len(np.unique(a * np.int64(len(x)) + b)) == len(a)
