@@ -18,9 +18,11 @@ component are one *class* and stand in the graph once, with their number.
 5. A pair counts in the first shard that both classes share; a shard hands out
    one count per class and a spanning forest of its links, so nothing grows
    with the square of a group. Components are joined by distributed rounds.
-6. ``audit_recall`` compares the links of a bounded sample of vectors with
-   brute force over all rows; below ``least_recall`` the search is repeated
-   with twice the beam and one more centre per class.
+6. ``audit_shares`` compares the links of a bounded sample of vectors with
+   brute force over all rows, per link and per class; where either is below
+   ``least_recall`` the search is repeated with twice the beam and one more
+   centre per class. After ``tries`` searches the shards are searched exactly
+   in blocks; if that is below the limit too, an error is raised.
 
 Defined results: null, zero or non-finite vectors, null components, null labels
 and null ids link with nothing (their component is their own id); vectors of
@@ -31,6 +33,7 @@ gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +44,9 @@ from pyspark.sql import functions as F
 
 from tabsight.llm.common import write_table
 from tabsight.llm.components import connected_components, local_roots
-from tabsight.llm.vector_graph import entry_points, medoid, range_search, robust_prune, with_reverse
+from tabsight.llm.vector_graph import entry_points, exact_search, medoid, range_search, robust_prune, with_reverse
+
+log = logging.getLogger(__name__)
 
 
 def _unit(vectors: list | pd.Series) -> np.ndarray:
@@ -145,7 +150,7 @@ def _build(candidates: int, degree: int, alpha: float):
     return run
 
 
-def _find(threshold: float, beam: int):
+def _find(threshold: float, beam: int, exact: bool):
     radius2 = 2 - 2 * threshold + 1e-5  # single precision finds, double precision decides
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -156,13 +161,16 @@ def _find(threshold: float, beam: int):
         held, asked = np.flatnonzero(pdf["indexed"].to_numpy()), np.flatnonzero(pdf["query"].to_numpy())
         if not len(held) or not len(asked):
             return pd.DataFrame({"node": node, "links": 0, "other": node})
-        place = {n: i for i, n in enumerate(node[held].tolist())}
-        lists = [sorted({place[n] for n in near if n in place}) for near in (pdf["neighbours"][i] for i in held)]
-        table = np.full((len(held), max(1, max(map(len, lists)))), -1, dtype=np.int64)
-        for i, own in enumerate(lists):
-            table[i, : len(own)] = own
         x32 = x.astype(np.float32)
-        a, b = range_search(x32[held], table, x32[asked], entry_points(table, medoid(x32[held])), radius2, beam)
+        if exact:
+            a, b = exact_search(x32[held], x32[asked], radius2)
+        else:
+            place = {n: i for i, n in enumerate(node[held].tolist())}
+            lists = [sorted({place[n] for n in near if n in place}) for near in (pdf["neighbours"][i] for i in held)]
+            table = np.full((len(held), max(1, max(map(len, lists)))), -1, dtype=np.int64)
+            for i, own in enumerate(lists):
+                table[i, : len(own)] = own
+            a, b = range_search(x32[held], table, x32[asked], entry_points(table, medoid(x32[held])), radius2, beam)
         a, b = asked[a], held[b]
         if len(held) == len(asked) == len(node):  # a pair found from one side holds for the other
             a, b = np.concatenate((a, b)), np.concatenate((b, a))
@@ -193,24 +201,34 @@ def find_links(
     degree: int = 24,
     alpha: float = 1.2,
     beam: int = 48,
+    exact: bool = False,
 ) -> DataFrame:
     """``node, links, other``: rows whose ``links`` add up to each node's links
-    to other classes, and whose (node, other) pairs connect its component."""
+    to other classes, and whose (node, other) pairs connect its component.
+    ``exact`` compares all rows of a shard and builds no graph."""
     rows = write_table(divide_shards(assign_shards(classes, fit_centres(classes, shard_rows, max_centres, sample_rows), overlap), shard_limit), "shards")
+    if exact:
+        return write_table(rows.groupBy("shard", "part", "chunk").applyInPandas(_find(threshold, beam, True), "node long, links long, other long"), "found-links")
     lists = rows.where("indexed AND part = chunk").groupBy("shard", "part").applyInPandas(_build(candidates, degree, alpha), "node long, neighbours array<long>")
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     graph = write_table(graph, "graph")
     return write_table(
-        rows.join(graph, "node").groupBy("shard", "part", "chunk").applyInPandas(_find(threshold, beam), "node long, links long, other long"), "found-links"
+        rows.join(graph, "node").groupBy("shard", "part", "chunk").applyInPandas(_find(threshold, beam, False), "node long, links long, other long"), "found-links"
     )
 
 
 def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, queries: int = 256) -> float:
-    """The share of the links of up to ``queries`` classes that ``found`` has,
-    by brute force of those classes against all rows."""
+    """The lower of the two shares of ``audit_shares``."""
+    return min(audit_shares(classes, found, threshold, queries))
+
+
+def audit_shares(classes: DataFrame, found: DataFrame, threshold: float, queries: int = 256) -> tuple[float, float]:
+    """The share of the links of up to ``queries`` classes that ``found`` has, by
+    brute force of those classes against all rows: over all links, and as the
+    mean over the classes with links, where a large group weighs no more a class."""
     sample = classes.orderBy(F.xxhash64("h1", "node"), "node").limit(queries).select("node", "label", "dim", "vector").collect()
     if not sample:
-        return 1.0
+        return 1.0, 1.0
     by: dict[tuple[str, int], list] = {}
     for r in sample:
         by.setdefault((r["label"], r["dim"]), []).append((r["node"], r["vector"]))
@@ -230,8 +248,9 @@ def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, queries
 
     exact = classes.select("node", "size", "label", "dim", "vector").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("exact"))
     have = found.groupBy("node").agg(F.sum("links").alias("have"))
-    row = exact.join(have, "node", "left").agg(F.sum("exact"), F.sum(F.least("exact", F.coalesce("have", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    have_of = F.least("exact", F.coalesce("have", F.lit(0)))
+    row = exact.where("exact > 0").join(have, "node", "left").agg(F.sum("exact"), F.sum(have_of), F.avg(have_of / F.col("exact"))).first()
+    return (1.0, 1.0) if not row[0] else (row[1] / row[0], row[2])
 
 
 def near_vectors(
@@ -247,11 +266,18 @@ def near_vectors(
     """``vec_id, n_links, component_id, kept`` per row; ``options`` go to ``find_links``."""
     rows, classes = vector_classes(vectors, id_col, vector_col, label_col)
     settings = {"overlap": 2, "beam": 48} | options
-    for left in range(tries - 1, -1, -1):
-        found = find_links(classes, threshold, **settings)
-        if left == 0 or audit_recall(classes, found, threshold) >= least_recall:
+    for k in range(tries + 1):
+        exact = k == tries
+        found = find_links(classes, threshold, **settings, exact=exact)
+        shares = audit_shares(classes, found, threshold)
+        if min(shares) >= least_recall:
             break
-        settings |= {"overlap": settings["overlap"] + 1, "beam": settings["beam"] * 2}
+        told = f"recall {shares[0]:.3f} per link and {shares[1]:.3f} per class, under {least_recall}"
+        if exact:
+            raise RuntimeError(f"near_vectors: {told}, with shards searched exactly (overlap {settings['overlap']})")
+        log.warning("near_vectors, search %d: %s; searched again", k + 1, told)
+        if k < tries - 1:
+            settings |= {"overlap": settings["overlap"] + 1, "beam": settings["beam"] * 2}
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.join(counts, "node").join(roots, "node", "left").select(

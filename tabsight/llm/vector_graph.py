@@ -102,6 +102,16 @@ def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: i
     return (np.concatenate(found_q), np.concatenate(found_x)) if found_q else (none, none)
 
 
+def exact_search(x: np.ndarray, queries: np.ndarray, radius2: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, row) pairs within squared distance ``radius2``, a block of queries at once."""
+    found_q, found_x = [], []
+    for at in range(0, len(queries), _ROWS):
+        a, b = np.nonzero(2 - 2 * (queries[at : at + _ROWS] @ x.T) <= radius2)
+        found_q.append(a + at)
+        found_x.append(b)
+    return np.concatenate(found_q), np.concatenate(found_x)
+
+
 def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: np.ndarray, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     m = len(q)
     rows = np.arange(m)

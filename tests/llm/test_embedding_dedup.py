@@ -1,8 +1,10 @@
 import math
 
 import numpy as np
+import pytest
 
-from tabsight.llm.embedding_dedup import audit_recall, find_links, near_vectors, vector_classes
+from tabsight.llm import embedding_dedup
+from tabsight.llm.embedding_dedup import audit_recall, audit_shares, find_links, near_vectors, vector_classes
 from tabsight.llm.queries import queries
 from tabsight.llm.vector_graph import entry_points, medoid, range_search, robust_prune, with_reverse
 
@@ -120,3 +122,27 @@ def test_shards_of_near_copies_alone():
         have = np.bincount(a, minlength=len(x))
         assert (have <= exact + 1).all() and (have / exact).min() > 0.95
         assert len(np.unique(a * np.int64(len(x)) + b)) == len(a)
+
+
+def test_every_try_is_audited(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(c) for c in x], 0) for i, x in enumerate(np.repeat(unit(rng, 4, 16), 40, axis=0) + rng.normal(size=(160, 16)) * 0.004)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute(rows)
+    monkeypatch.setattr(embedding_dedup, "range_search", None)  # only the exact search can answer
+    got = near_vectors(df, tries=0).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    monkeypatch.setattr(embedding_dedup, "audit_shares", lambda *a: (1.0, 0.9))
+    with pytest.raises(RuntimeError, match="per class"):
+        near_vectors(df, tries=0)
+
+
+def test_recall_per_class(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([np.repeat(unit(rng, 1, 16), 60, axis=0), np.repeat(unit(rng, 20, 16), 2, axis=0)])
+    df = spark.createDataFrame([(i, [float(c) for c in y], 0) for i, y in enumerate(x + rng.normal(size=x.shape) * 0.004)], "vec_id long, embedding array<double>, label int")
+    _, classes = vector_classes(df, "vec_id", "embedding", "label")
+    found = find_links(classes, 0.98, exact=True)
+    assert audit_shares(classes, found, 0.98) == (1.0, 1.0)
+    link, per_class = audit_shares(classes, found.where("node < 60"), 0.98)  # the 20 pairs are missed
+    assert link > 0.95 and abs(per_class - 0.6) < 0.01
