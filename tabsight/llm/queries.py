@@ -12,17 +12,21 @@ import corpus_pipeline
 from tabsight.llm.common import write_table
 from tabsight.llm.decontaminate import find_overlaps, hit_words
 from tabsight.llm.embedding_dedup import near_vectors
+from tabsight.llm.filter_audit import audit_filters, document_flags
 from tabsight.llm.language import fit_languages, predict_languages
 from tabsight.llm.licenses import scan_licenses
 from tabsight.llm.line_dedup import BLOCK_TAGS, drop_site_lines, host_of, page_lines
 from tabsight.llm.packing import pack_documents
 from tabsight.llm.quality import fit_quality, fold, labelled_sample, score_quality
 from tabsight.llm.simhash import near_groups
+from tabsight.llm.spelling import planted_typos, variant_forms
 from tabsight.llm.substring_dedup import remove_repeats
+from tabsight.llm.token_counts import count_tokens
 from tabsight.llm.toxicity import fit_toxicity, score_toxicity
 from tabsight.sources.tables import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +131,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), window=50, with_text=False)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = count_tokens(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(document_flags(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = planted_typos(read_table(spark, sf_dir, "documents"), least=7, every=31)
+    return variant_forms(write_table(words.where("n >= 2"), "vocabulary"), ratio=10)
+
+
 _WORDS = (
     "coalesce(regexp_extract_all(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -159,6 +177,36 @@ k AS (SELECT u.doc_id, string_agg(u.word, ' ' ORDER BY u.p) AS kept
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
 """
+#: The five filters per document, every order as a product of letters, and each step counted by its own sums over masks.
+OP12_SQL = """
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+             + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+             + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask FROM w),
+g AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE toxic) AS n_toxic
+      FROM f LEFT JOIN g ON g.doc_id = f.doc_id GROUP BY part, mask),
+l(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM l a, l b, l c, l d, l e WHERE (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS before
+      FROM (SELECT filter_order, bits, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, bit,
+             sum(CASE WHEN (mask & (before | bit)) = 0 THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN (mask & before) = 0 AND (mask & bit) <> 0 THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN (mask & before) <> 0 AND (mask & bit) <> 0 THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN (mask & before) = 0 AND (mask & bit) <> 0 THEN n_good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN (mask & before) = 0 AND (mask & bit) <> 0 THEN n_toxic ELSE 0 END) AS toxic_lost
+      FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -171,8 +219,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op7_decontamination": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op12_filter_audit": OP12_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
