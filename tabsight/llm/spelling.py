@@ -53,6 +53,8 @@ _SHORT_BITS, _SHORT_SET = 16, 6
 _LONG_BITS, _LONG_SET = 64, 12
 #: Edits probed at once.
 _PROBES = 1 << 20
+#: Words whose edits one task generates.
+_TASK_WORDS = 25_000
 
 
 # -------------------------------------------------------------------- words
@@ -323,6 +325,8 @@ def near_words(vocabulary: DataFrame, filter_bytes: int = 64 << 20) -> DataFrame
         chars = vocabulary.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()
         letters = np.array(sorted(ord(r.c) for r in chars), dtype=np.uint32)
         table = _build_filters(vocabulary.where("word <> ''"), shards)
+        # a word's edits are hundreds of probes, so words are dealt by number, not by file size
+        vocabulary = vocabulary.repartition(-(-sum(r.n for r in stats) // _TASK_WORDS), "word")
         for wanted in shards.rounds(filter_bytes):
             hits = _hits(vocabulary, letters, shards, table, wanted)
             pairs = hits if pairs is None else pairs.unionByName(hits)
