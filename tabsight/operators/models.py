@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate
+from tabsight.operators.calibration import CalibratedLinearSVC
 from tabsight.operators.ranking import index_within
 
 # Search schedule.
@@ -52,13 +53,19 @@ class Candidate:
     factory: Callable[[int, int], Estimator]
     description: str = ""
     params: dict = field(default_factory=dict)
+    #: Weight of 1/2·|w|² beside the summed loss; none leaves the factory's own.
+    l2: float | None = None
 
-    def build(self, n_features: int, n_classes: int, features_col: str = "features", label_col: str = "label") -> Estimator:
+    def build(self, n_features: int, n_classes: int, features_col: str = "features", label_col: str = "label",
+              n_rows: int | None = None) -> Estimator:
+        """The estimator for a fit on ``n_rows`` rows (they scale the penalty on Spark's mean loss)."""
         est = self.factory(n_features, n_classes)
         est = est.copy()
         for p, v in (("featuresCol", features_col), ("labelCol", label_col)):
             if est.hasParam(p):
                 est._set(**{p: v})
+        if self.l2 is not None and n_rows is not None:
+            est._set(regParam=self.l2 / max(1, n_rows))
         return est
 
 
@@ -74,12 +81,7 @@ def _mlp(hidden: list[int], iterations: int):
 def _gbt(n_features: int, n_classes: int) -> Estimator:
     gbt = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=DEFAULT_SEED)
     # GBT is binary-only in Spark ML: one-vs-rest for more classes
-    return gbt if n_classes <= 2 else OneVsRest(classifier=gbt)
-
-
-def _l2(n_rows: int) -> float:
-    """Spark's penalty on the mean loss that equals a penalty of 1/2·|w|² on the summed loss."""
-    return 1.0 / max(1, n_rows)
+    return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, parallelism=n_classes)
 
 
 def tabular_candidates(n_rows: int) -> list[Candidate]:
@@ -98,27 +100,30 @@ def tabular_candidates(n_rows: int) -> list[Candidate]:
         ),
         Candidate(
             "LogisticRegression",
-            lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER, regParam=_l2(n_rows)),
+            lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER),
             "Multinomial logistic regression with L2",
-            {"maxIter": FALLBACK_MAX_ITER, "regParam": _l2(n_rows)},
+            {"maxIter": FALLBACK_MAX_ITER},
+            l2=1.0,
         ),
     ]
 
 
-def text_candidates(n_rows: int) -> list[Candidate]:
-    """TF-IDF heads: linear SVM, logistic regression, complement NB (M2)."""
+def text_candidates() -> list[Candidate]:
+    """TF-IDF heads: calibrated linear SVM, logistic regression, complement NB (M2)."""
     return [
         Candidate(
             "LinearSVC",
-            lambda f, k: OneVsRest(classifier=LinearSVC(maxIter=100)),
-            "One-vs-rest linear SVM; sigmoids of the margins, normalised (not fitted)",
-            {"maxIter": 100},
+            lambda f, k: CalibratedLinearSVC(k, num_folds=CV_FOLDS, maxIter=100),
+            "One-vs-rest linear SVM with probabilities fitted out of fold",
+            {"maxIter": 100, "calibration_folds": CV_FOLDS},
+            l2=1.0,
         ),
         Candidate(
             "LogisticRegression",
-            lambda f, k: LogisticRegression(maxIter=2 * FALLBACK_MAX_ITER, regParam=_l2(n_rows)),
+            lambda f, k: LogisticRegression(maxIter=2 * FALLBACK_MAX_ITER),
             "Logistic regression with L2 on TF-IDF",
-            {"maxIter": 2 * FALLBACK_MAX_ITER, "regParam": _l2(n_rows)},
+            {"maxIter": 2 * FALLBACK_MAX_ITER},
+            l2=1.0,
         ),
         Candidate(
             "ComplementNB",
@@ -131,23 +136,21 @@ def text_candidates(n_rows: int) -> list[Candidate]:
 
 def vector_candidates() -> list[Candidate]:
     """Logistic-regression head over pre-extracted embedding vectors (M3)."""
-    return [
-        Candidate(
-            "LogisticRegression",
-            lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER),
-            "Logistic regression head on embedding features",
-            {"maxIter": FALLBACK_MAX_ITER},
-        )
-    ]
+    return [_logistic("Logistic regression head on embedding features")]
 
 
 def fallback_candidate() -> Candidate:
     """The baseline used when the search fails or names no winner (M7)."""
+    return _logistic("Fallback baseline")
+
+
+def _logistic(description: str) -> Candidate:
     return Candidate(
         "LogisticRegression",
         lambda f, k: LogisticRegression(maxIter=FALLBACK_MAX_ITER),
-        "Fallback baseline",
+        description,
         {"maxIter": FALLBACK_MAX_ITER},
+        l2=1.0,
     )
 
 
@@ -194,10 +197,12 @@ def score_predictions(pred: DataFrame, scoring="balanced_accuracy", label_col: s
 
 
 def score_fold(cand: Candidate, data: DataFrame, fold: int, n_features: int, n_classes: int,
-               label_col: str = "label", fold_col: str = "fold", scoring="balanced_accuracy") -> float:
+               label_col: str = "label", fold_col: str = "fold", scoring="balanced_accuracy", n_rows: int | None = None) -> float:
     train = data.where(F.col(fold_col) != fold)
     test = data.where(F.col(fold_col) == fold)
-    model = cand.build(n_features, n_classes, label_col=label_col).fit(train)
+    if n_rows is None and cand.l2 is not None:
+        n_rows = train.count()
+    model = cand.build(n_features, n_classes, label_col=label_col, n_rows=n_rows).fit(train)
     return score_predictions(with_proba(model, test), scoring, label_col)
 
 
@@ -211,10 +216,14 @@ def cross_val_score(
     fold_col: str = "fold",
     parallelism: int = 2,
     scoring="balanced_accuracy",
+    n_train: int | None = None,
 ) -> list[float]:
-    """Score of each of ``k`` folds (the fold column is already assigned) (M4)."""
+    """Score of each of ``k`` folds (the fold column is already assigned) (M4).
+
+    ``n_train`` is the number of rows each fit sees, where the caller knows it.
+    """
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futures = [pool.submit(score_fold, cand, data, f, n_features, n_classes, label_col, fold_col, scoring)
+        futures = [pool.submit(score_fold, cand, data, f, n_features, n_classes, label_col, fold_col, scoring, n_train)
                    for f in range(k)]
         return [fu.result() for fu in futures]
 
@@ -292,7 +301,9 @@ def successive_halving(
             cand = candidates[idx]
             t0 = time.time()
             try:
-                scores = cross_val_score(cand, sample, k, n_features, len(counts), label_col, "fold", parallelism, scoring)
+                scores = cross_val_score(
+                    cand, sample, k, n_features, len(counts), label_col, "fold", parallelism, scoring, n_sub - n_sub // k
+                )
                 mean = sum(scores) / len(scores)
                 std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
                 result = (round(mean, 4), round(std, 4), [round(s, 4) for s in scores], True, "")

@@ -955,7 +955,7 @@ def m02(spark, d):
     data = vec.join(labelled, "doc_id")
     n_feat = tf._size()
     _name, _score, results = models.successive_halving(
-        models.text_candidates(data.count()), data, "label", ["doc_id"], n_feat
+        models.text_candidates(), data, "label", ["doc_id"], n_feat
     )
     return results.drop("seconds")
 
@@ -963,8 +963,7 @@ def m02(spark, d):
 @register("M10_train_text", None)
 def m10t(spark, d):
     ld = _labelled_docs(spark, d)
-    run = train.train_text(ld, "doc_id", "text", "quality",
-                           candidates=[c for c in models.text_candidates(0) if c.name != "LinearSVC"])
+    run = train.train_text(ld, "doc_id", "text", "quality")
     m = {k: v for k, v in run.metrics.items() if k != "confusion"}
     return spark.createDataFrame([(run.model_name, k, float(v)) for k, v in m.items()], "model_name string, metric string, value double")
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate, models, prep, quality, split, validate
+from tabsight.operators.calibration import CalibratedSVCModel
 from tabsight.operators.report import prediction_detail
 from tabsight.sources.registry import register_run
 
@@ -62,32 +63,52 @@ class FittedRun:
             "quality": self.quality,
             "fallback": self.fallback,
             "error": self.error,
+            "tables": [n for n in ("search", "importance") if getattr(self, n) is not None],
             "seed": DEFAULT_SEED,
             "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
         }
 
     # ---- persistence (S14) ----------------------------------------------------------
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
         self.pre.save(path + "/preprocessor")
         self.model.write().overwrite().save(path + "/model")
-        spark.createDataFrame([(json.dumps(self.meta()),)], "meta string").coalesce(1).write.mode("overwrite").json(
-            path + "/meta"
-        )
+        _save_tables(path, search=self.search, importance=self.importance)
+        _save_meta(path, self.meta())
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FittedRun":
         try:
             meta = json.loads(spark.read.json(path + "/meta").first()["meta"])
             pre = prep.Preprocessor.load(spark, path + "/preprocessor")
-            model_cls = getattr(C, meta["model_class"])
-            model = model_cls.load(path + "/model")
+            model = load_model(meta["model_class"], path + "/model")
         except Exception as exc:
             raise InputError(
                 f"Model folder '{path}' is incomplete: model, preprocessor and metadata must all be present."
             ) from exc
         return cls(pre, model, meta["model_name"], meta.get("binary_threshold"), meta.get("metrics") or {},
-                   dataset_type=meta.get("dataset_type", "tabular"))
+                   _load_table(spark, path, meta, "search"), _load_table(spark, path, meta, "importance"), meta.get("quality"),
+                   meta.get("dataset_type", "tabular"), meta.get("fallback", False), meta.get("error"))
+
+
+def _save_tables(path: str, **tables: DataFrame | None) -> None:
+    """The run's small result tables beside its model."""
+    for name, df in tables.items():
+        if df is not None:
+            df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def _load_table(spark: SparkSession, path: str, meta: dict, name: str) -> DataFrame | None:
+    return spark.read.parquet(f"{path}/{name}") if name in meta.get("tables", []) else None
+
+
+def _save_meta(path: str, meta: dict) -> None:
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(path + "/meta")
+
+
+def load_model(class_name: str, path: str) -> Model:
+    """A saved Spark ML model, or one of this package's own."""
+    return (CalibratedSVCModel if class_name == CalibratedSVCModel.__name__ else getattr(C, class_name)).load(path)
 
 
 def assemble(df: DataFrame, feature_columns: list[str]) -> DataFrame:
@@ -143,7 +164,7 @@ def fit_winner(cand: models.Candidate, data: DataFrame, key_cols: list[str], n_c
     flagged = split.stratified_holdout(data, LABEL, key_cols, seed=seed).persist()
     train = flagged.where(~F.col("is_test"))
     test = flagged.where(F.col("is_test"))
-    est = cand.build(_n_features(data), n_classes)
+    est = cand.build(_n_features(data), n_classes, n_rows=train.count() if cand.l2 is not None else None)
     if class_weights:
         w = prep.class_weights(train, LABEL).select(F.col("class_name").alias("_c"), F.col("weight").alias("_w"))
         train = train.join(F.broadcast(w), train[LABEL].cast("string") == F.col("_c"), "left").drop("_c")
@@ -271,14 +292,29 @@ class FittedTextRun:
     classes: list[str]
     metrics: dict = field(default_factory=dict)
     search: DataFrame | None = None
+    fallback: bool = False
+    error: str | None = None
+
+    def meta(self) -> dict:
+        return {
+            "model_name": self.model_name,
+            "model_class": type(self.model).__name__,
+            "dataset_type": "text",
+            "class_names": self.classes,
+            "metrics": self.metrics,
+            "n_docs": self.tfidf.n_docs,
+            "tables": ["search"] if self.search is not None else [],
+            "fallback": self.fallback,
+            "error": self.error,
+            "seed": DEFAULT_SEED,
+            "created_at": _dt.datetime.now(_dt.timezone.utc).isoformat(),
+        }
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
         self.tfidf.terms.write.mode("overwrite").parquet(path + "/tfidf_terms")
         self.model.write().overwrite().save(path + "/model")
-        meta = {"model_name": self.model_name, "model_class": type(self.model).__name__, "dataset_type": "text",
-                "class_names": self.classes, "metrics": self.metrics, "n_docs": self.tfidf.n_docs}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").json(path + "/meta")
+        _save_tables(path, search=self.search)
+        _save_meta(path, self.meta())
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FittedTextRun":
@@ -287,10 +323,11 @@ class FittedTextRun:
         try:
             meta = json.loads(spark.read.json(path + "/meta").first()["meta"])
             terms = spark.read.parquet(path + "/tfidf_terms")
-            model = getattr(C, meta["model_class"]).load(path + "/model")
+            model = load_model(meta["model_class"], path + "/model")
         except Exception as exc:
             raise InputError(f"Model folder '{path}' is incomplete: model, vocabulary and metadata must all be present.") from exc
-        return cls(TfidfModel(terms, int(meta["n_docs"])), model, meta["model_name"], meta["class_names"], meta.get("metrics") or {})
+        return cls(TfidfModel(terms, int(meta["n_docs"])), model, meta["model_name"], meta["class_names"], meta.get("metrics") or {},
+                   _load_table(spark, path, meta, "search"), meta.get("fallback", False), meta.get("error"))
 
 
 def train_text(
@@ -302,8 +339,11 @@ def train_text(
     search: bool = True,
     time_budget_sec: float = models.DEFAULT_TIME_BUDGET_SEC,
     seed: int = DEFAULT_SEED,
+    save_path: str | None = None,
+    registry_path: str | None = None,
 ) -> FittedTextRun:
-    """Labelled text → cleaned text → TF-IDF → search → hold-out fit and metrics."""
+    """Labelled text → cleaned text → TF-IDF → search → hold-out fit and metrics;
+    saved and entered in the runs table like a tabular run, with the same ``fallback`` and ``error``."""
     from tabsight.operators import text as T
 
     base = df.select(F.col(key_col), F.col(text_col).alias("_text"), F.col(label_col).cast("string").alias("_label"))
@@ -320,23 +360,28 @@ def train_text(
     lab = cleaned.select(key_col, (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("_label")) - 1)
                          .cast("double").alias(LABEL))
     data = vec.join(lab, key_col).withColumn(ROW_KEY, F.col(key_col).cast("string")).persist()
-    n_rows = data.count()
     n_features = tfidf._size()
-    cands = candidates or models.text_candidates(n_rows)
-    results = None
-    winner = cands[0]
+    cands = candidates or models.text_candidates()
+    results, winner = None, cands[0]
+    fallback, error = False, None
     if search:
         try:
             name, _s, results = models.successive_halving(cands, data, LABEL, [ROW_KEY], n_features,
                                                           time_budget_sec=time_budget_sec, seed=seed)
+            fallback = name is None  # no stage-3 survivor: first candidate (M7)
             winner = next((c for c in cands if c.name == name), cands[0])
-        except Exception:
-            winner = models.fallback_candidate()
+        except Exception as exc:
+            winner, fallback, error = models.fallback_candidate(), True, str(exc)  # search failed (M7)
     model, pred, flagged = fit_winner(winner, data, [ROW_KEY], n_classes, seed)
     metrics = holdout_metrics(pred)
     flagged.unpersist()
     data.unpersist()
-    return FittedTextRun(tfidf, model, winner.name, classes, metrics, results)
+    run = FittedTextRun(tfidf, model, winner.name, classes, metrics, results, fallback, error)
+    if save_path is not None:
+        run.save(save_path)
+        if registry_path is not None:
+            register_run(df.sparkSession, registry_path, save_path, run.meta())
+    return run
 
 
 def predict_text(run: FittedTextRun, df: DataFrame, key_col: str, text_col: str) -> DataFrame:
