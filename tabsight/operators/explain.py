@@ -1,15 +1,16 @@
 """Model explanations as Spark plans.
 
 Permutation importance scores every (feature, repeat) variant of all rows (or
-of a sample, on request) in ONE ``model.transform``: the permuted values come
-from a distributed rank-by-hash self-join, never from driver-side shuffling.
+of a sample, on request) in ONE ``model.transform``. A row's partner in a repeat
+comes from a keyed bijection of the row numbers, computed row by row, so nothing
+is sorted per repeat and the rows are joined once per repeat.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.functions.exprs import DEFAULT_SEED, key_string
@@ -48,21 +49,14 @@ def permutation_importance(
     if sample is not None:
         base = split.sample_n(base, sample, key_cols, seed)
     base = cut_lineage(_numbered(base, key_cols, seed, "_i"), "importance-rows")
-    feats = F.array(*[F.lit(c) for c in feature_columns])
-    reps = F.sequence(F.lit(0), F.lit(n_repeats - 1))
-    variants = base.select("_i", F.explode(feats).alias("_f")).select("_i", "_f", F.explode(reps).alias("_r"))
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_f"), F.col("_r").cast("string"), F.col("_i").cast("string")))
-    perm = index_within(variants.withColumn("_h", h), ["_f", "_r"], ["_h", "_i"], "_p").drop("_h")
-    vals = base.select(
-        F.col("_i").alias("_src"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("_f"), F.col(c).cast("double").alias("_v")) for c in feature_columns])).alias("x"),
-    ).select("_src", "x._f", "x._v")
-    moved = perm.join(vals, (perm["_p"] == vals["_src"]) & (perm["_f"] == vals["_f"])).select(
-        perm["_i"], perm["_f"], perm["_r"], vals["_v"]
-    )
-    rows_v = moved.join(base, "_i").select(
+    n = base.count()
+    repeats = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("_r"))
+    partner = base.select(F.col("_i").alias("_p"), F.struct(*[F.col(c).cast("double").alias(c) for c in feature_columns]).alias("_other"))
+    # all features of a repeat share its permutation: one join of the rows per repeat
+    pairs = repeats.withColumn("_p", permuted_index(F.col("_i"), F.col("_r"), n, seed)).join(partner, "_p")
+    rows_v = pairs.select("*", F.explode(F.array(*[F.lit(c) for c in feature_columns])).alias("_f")).select(
         "_f", "_r", label_col,
-        *[F.when(F.col("_f") == c, F.col("_v")).otherwise(F.col(c).cast("double")).alias(c) for c in feature_columns],
+        *[F.when(F.col("_f") == c, F.col("_other")[c]).otherwise(F.col(c).cast("double")).alias(c) for c in feature_columns],
     )
     baseline = base.select(F.lit("__baseline__").alias("_f"), F.lit(-1).alias("_r"), label_col,
                            *[F.col(c).cast("double").alias(c) for c in feature_columns])
@@ -83,6 +77,35 @@ def permutation_importance(
     return out.orderBy(F.col("importance").desc(), F.col("feature"))
 
 
+_ROUNDS = 3
+_WALK_STEPS = 32
+
+
+def permuted_index(i: Column, key: Column, n: int, seed: int = DEFAULT_SEED) -> Column:
+    """Where a keyed bijection of 0..n-1 sends ``i``; every ``key`` has its own.
+
+    A number is split into two digits (a place on an a x b board with a*b >= n,
+    fewer than a places beyond n); rounds add a hash of one digit to the other,
+    which permutes the board. A result beyond n-1 is mapped again until it is
+    below n (cycle walking). Up to 1,000 rows the board has at most 32 such
+    places; beyond, a walk of 32 steps would have to miss n rows out of n + sqrt(n)
+    each time.
+    """
+    a = max(1, int(n**0.5))
+    b = max(1, -(-n // a))
+
+    def rounds(x: Column) -> Column:
+        low, high = F.pmod(x, F.lit(a)), F.floor(x / F.lit(a))
+        for r in range(_ROUNDS):
+            low = F.pmod(low + F.pmod(F.xxhash64(F.lit(seed), key, F.lit(2 * r), high), F.lit(a)), F.lit(a))
+            high = F.pmod(high + F.pmod(F.xxhash64(F.lit(seed), key, F.lit(2 * r + 1), low), F.lit(b)), F.lit(b))
+        return (low + high * F.lit(a)).cast("long")
+
+    first = rounds(i.cast("long"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK_STEPS)), first, lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    return F.when(first < n, first).otherwise(walk) if a * b > n else first
+
+
 def _numbered(rows: DataFrame, key_cols: list[str], seed: int, out_col: str) -> DataFrame:
     """Rows numbered from 0 by md5(seed|key), without a global window."""
     keyed = rows.withColumn("_h", F.md5(key_string(key_cols, seed))).withColumn("_g", F.lit(0))

@@ -68,3 +68,21 @@ def test_lime_text_runs_and_ranks_signal(spark):
     out = explain.lime_text(model, tf, docs.where("doc_id = 0"), "doc_id", "text", num_samples=100, num_features=3)
     words = [r["word"] for r in out.orderBy(F.abs("weight").desc()).collect()]
     assert words and words[0] in {"great", "wonderful"}
+
+
+def test_keyed_bijection_permutes_every_size(spark):
+    from tabsight.operators.explain import permuted_index
+
+    seen = set()
+    for n in (1, 2, 3, 5, 17, 101, 1009):
+        ids = spark.range(n).select(F.col("id").alias("i"), F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+        got = ids.select("k", "i", permuted_index(F.col("i"), F.col("k"), n, 7).alias("p")).collect()
+        for k in range(3):
+            order = [r.p for r in sorted(got, key=lambda r: r.i) if r.k == k]
+            assert sorted(order) == list(range(n))
+            if n > 100:
+                seen.add(tuple(order))
+                fixed = sum(i == p for i, p in enumerate(order))
+                apart = sum(abs(i - p) for i, p in enumerate(order)) / n
+                assert fixed < 10 and 0.2 * n < apart < 0.5 * n  # a third of n for a random order
+    assert len(seen) == 6
