@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, col, hash_unit, key_string
 from tabsight.operators.ranking import index_within
+from tabsight.operators.selection import first_k, hash_bin
 
 # Fixed values.
 DEFAULT_FOLDS = 3
 TEST_SIZE = 0.2
 MIN_SPLIT_ROWS = 10
-TAKE_ORDERED_LIMIT = 100_000
 
 
 def _order_key(key_cols: list[str], seed: int):
@@ -35,12 +35,8 @@ def _order_key(key_cols: list[str], seed: int):
 
 def sample_n(df: DataFrame, n: int, key_cols: list[str], seed: int = DEFAULT_SEED) -> DataFrame:
     """Exactly ``n`` rows (all if fewer), chosen by md5(seed|key) order (K2)."""
-    order = _order_key(key_cols, seed)
-    if n <= TAKE_ORDERED_LIMIT:
-        # TakeOrdered: each task keeps its n smallest, the merge sees n × tasks rows
-        return df.withColumn("_h", order).orderBy("_h", *key_cols).limit(n).drop("_h")
-    ranked = index_within(df.withColumn("_h", order).withColumn("_g", F.lit(0)), ["_g"], ["_h", *key_cols], "_i")
-    return ranked.where(F.col("_i") < n).drop("_h", "_g", "_i")
+    hashed = df.withColumn("_h", _order_key(key_cols, seed))
+    return first_k(hashed, hash_bin(F.col("_h")), ["_h", *key_cols], n).drop("_h")
 
 
 def sample_fraction(df: DataFrame, fraction: float, key_cols: list[str], seed: int = DEFAULT_SEED) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tabsight.errors import InputError
+from tabsight.operators.selection import descending_count_bin, first_k
+from tabsight.session import cut_lineage
 from tabsight.sources.tabular import decoded, detect_encoding
 
 # Fixed values.
@@ -187,15 +189,14 @@ def fit_vocabulary(df: DataFrame, text_col: str, order_cols: list[str], num_word
     """Rank words by count, ties by first occurrence (document order, then position) (F8).
 
     Index = rank + 1 (1-based rank; index 1 is the OOV token).  Only indexes
-    below ``num_words`` are ever emitted, so only those words are kept: a
-    TakeOrdered of ``num_words - 2`` rows.
+    below ``num_words`` are ever emitted, so only those words are kept.
     """
     first = _first_occurrence_key(df, text_col, order_cols)
     tokens = df.select(*[F.col(c) for c in order_cols], F.posexplode(keras_words(F.col(text_col))).alias("pos", "word"))
     # a long key keeps the aggregate hash-based; a struct min would fall back to sorting
     counts = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("first"))
-    keep = max(num_words - 2, 0)
-    top = counts.orderBy(F.col("count").desc(), F.col("first").asc()).limit(keep)
+    counts = cut_lineage(counts, "word-counts")
+    top = first_k(counts, descending_count_bin(F.col("count")), [F.col("count").desc(), F.col("first").asc()], max(num_words - 2, 0))
     w = Window.orderBy(F.col("count").desc(), F.col("first").asc())  # ≤ num_words rows
     words = top.select("word", "count", (F.row_number().over(w) + 1).alias("index"))
     return Vocabulary(words, num_words)
@@ -284,27 +285,34 @@ class TfidfModel:
 
         ``tf`` may pass precomputed :func:`term_counts` of ``df``.
         """
+        docs = self._gathered(df, key_col, text_col, tf).select(key_col, "_norm", F.explode("_terms").alias("e"))
+        return docs.select(key_col, "e.term", "e.idx", "e.tf", (F.col("e.w") / F.col("_norm")).alias("weight"))
+
+    def _gathered(self, df: DataFrame, key_col: str, text_col: str, tf: DataFrame | None) -> DataFrame:
+        """Per document its kept terms with tf and tf-idf, by index, and the norm of the latter.
+
+        Counts stay partitioned by document, so gathering them moves no rows.
+        """
         tf = tf if tf is not None else term_counts(df, key_col, text_col)
         lut = F.broadcast(self.terms.select("term", "idx", "idf"))  # ≤ max_features rows
-        w = tf.join(lut, "term").withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key_col)))
-        return w.select(key_col, "term", "idx", "tf", (F.col("w") / norm).alias("weight"))
+        w = tf.join(lut, "term", "left").withColumn("w", (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf"))
+        terms = F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("idx", "term", "tf", "w"))))
+        docs = w.groupBy(key_col).agg(terms.alias("_terms"))
+        norm = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, e: total + e["w"] * e["w"]))
+        return docs.select(key_col, "_terms", norm.alias("_norm"))
 
     def vectors(self, df: DataFrame, key_col: str, text_col: str, tf: DataFrame | None = None) -> DataFrame:
         """``key, features`` as ML SparseVectors (documents without kept terms get an empty vector).
 
         ``tf`` may pass precomputed :func:`term_counts` of ``df``.
         """
-        long = self.transform(df, key_col, text_col, tf=tf)
         size = self._size()
-        grouped = long.groupBy(key_col).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("e"))
-        keys = df.select(key_col).distinct()
-        full = keys.join(grouped, key_col, "left")
-        return full.select(
-            key_col,
-            _sparse(F.lit(size), F.coalesce(F.transform("e", lambda x: x["idx"].cast("int")), F.array().cast("array<int>")),
-                    F.coalesce(F.transform("e", lambda x: x["weight"]), F.array().cast("array<double>"))).alias("features"),
-        )
+        docs = self._gathered(df, key_col, text_col, tf)
+        idx = F.transform("_terms", lambda e: e["idx"].cast("int"))
+        vals = F.transform("_terms", lambda e: e["w"])
+        # the norm joins in where the arrays are read: a lambda sees the row's columns
+        scaled = F.transform(vals, lambda v: v / F.col("_norm"))
+        return docs.select(key_col, _sparse(F.lit(size), idx, scaled).alias("features"))
 
     def _size(self) -> int:
         return int(self.terms.agg(F.count(F.lit(1))).first()[0])
@@ -324,7 +332,7 @@ def _sparse(size: Column, idx: Column, vals: Column) -> Column:
 
 
 def term_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """``key, term, tf`` for every document."""
+    """``key, term, tf`` for every document; one without terms has a row with a null term."""
     # Documents are hash-partitioned by key first: every later step is then
     # partition-local (the per-document term count needs no shuffle of the
     # exploded terms, which outnumber the raw text).  The pandas UDF runs in
@@ -332,7 +340,7 @@ def term_counts(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     docs = df.select(F.col(key_col), F.col(text_col)).repartition(F.col(key_col))
     folded = docs.select(F.col(key_col), fold_accents(F.col(text_col)).alias("_folded"))
     toks = folded.select(F.col(key_col), tfidf_tokens(F.col("_folded")).alias("_toks"))
-    terms = toks.select(F.col(key_col), F.explode(with_bigrams(F.col("_toks"))).alias("term"))
+    terms = toks.select(F.col(key_col), F.explode_outer(with_bigrams(F.col("_toks"))).alias("term"))
     return terms.groupBy(key_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -354,8 +362,9 @@ def fit_tfidf(
     if rows["n"] != rows["keys"]:
         raise InputError(f"'{key_col}' must name every text once; {rows['n']} texts have {rows['keys']} keys.")
     n_docs = int(rows["n"])
-    stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = stats.where(F.col("df") >= min_df).orderBy(F.col("cf").desc(), F.col("term")).limit(max_features)
+    stats = tf.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    stats = cut_lineage(stats.where(F.col("df") >= min_df), "term-stats")
+    kept = first_k(stats, descending_count_bin(F.col("cf")), [F.col("cf").desc(), F.col("term").asc()], max_features)
     w = Window.orderBy("term")  # ≤ max_features rows
     terms = kept.select(
         "term",
