@@ -21,8 +21,9 @@ component are one *class* and stand in the graph once, with their number.
 6. ``audit_shares`` compares the links of a bounded sample of vectors with
    brute force over all rows, per link and per class; where either is below
    ``least_recall`` the search is repeated with twice the beam and one more
-   centre per class. After ``tries`` searches the shards are searched exactly
-   in blocks; if that is below the limit too, an error is raised.
+   centre per class. After ``tries`` searches, or where no class drawn has a
+   link to measure by, ``exact_links`` compares all rows in reach of each other
+   across shards, pruned by the distances of centres.
 
 Defined results: null, zero or non-finite vectors, null components, null labels
 and null ids link with nothing (their component is their own id); vectors of
@@ -43,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import write_table
-from tabsight.llm.components import connected_components, local_roots
-from tabsight.llm.vector_graph import entry_points, exact_search, medoid, range_search, robust_prune, with_reverse
+from tabsight.llm.components import connected_components
+from tabsight.llm.vector_graph import entry_points, exact_hits, hit_components, medoid, range_hits, robust_prune, verify_hits, with_reverse
 
 log = logging.getLogger(__name__)
 
@@ -97,9 +98,10 @@ def fit_centres(classes: DataFrame, shard_rows: int, max_centres: int, sample_ro
     return centres
 
 
-def assign_shards(classes: DataFrame, centres: dict[tuple[str, int], np.ndarray], overlap: int) -> DataFrame:
+def assign_shards(classes: DataFrame, centres: dict[tuple[str, int], np.ndarray], overlap: int, with_angle: bool = False) -> DataFrame:
     """``node, size, vector, shard, shards``: a row per class and shard; labels
-    without centres (none in the sample) are a shard each."""
+    without centres (none in the sample) are a shard each. ``with_angle`` adds
+    the angle to the nearest centre."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,19 +111,23 @@ def assign_shards(classes: DataFrame, centres: dict[tuple[str, int], np.ndarray]
             for i, key in enumerate(keys):
                 by.setdefault(key, []).append(i)
             vectors = b.column(4).to_pylist()
+            angles = np.zeros(b.num_rows)
             for (label, dim), rows in by.items():
                 c = centres.get((label, dim))
-                if c is None or len(c) == 1:
+                if c is None or len(c) == 1 and not with_angle:
                     names = np.zeros((len(rows), 1), dtype=np.int64)
                 else:
-                    near = _unit([vectors[i] for i in rows]) @ c.T
+                    unit = c / np.maximum(np.linalg.norm(c.astype(np.float64), axis=1, keepdims=True), 1e-300)
+                    near = _unit([vectors[i] for i in rows]) @ unit.T
                     names = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
+                    angles[rows] = np.arccos(np.clip(near.max(axis=1), -1, 1))
                 for i, own in zip(rows, names.tolist(), strict=True):
                     shards[i] = sorted(f"{dim}:{k}:{label}" for k in own)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(shards, pa.list_(pa.string()))], names=["node", "size", "vector", "shards"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(shards, pa.list_(pa.string())), pa.array(angles)], names=["node", "size", "vector", "shards", "angle"])
 
-    rows = classes.select("node", "size", "label", "dim", "vector").mapInArrow(run, "node long, size long, vector array<double>, shards array<string>")
-    return rows.select("node", "size", "vector", "shards", F.explode("shards").alias("shard"))
+    rows = classes.select("node", "size", "label", "dim", "vector").mapInArrow(run, "node long, size long, vector array<double>, shards array<string>, angle double")
+    rows = rows.select("*", F.explode("shards").alias("shard"))
+    return rows if with_angle else rows.drop("angle")
 
 
 def divide_shards(rows: DataFrame, shard_limit: int) -> DataFrame:
@@ -151,44 +157,119 @@ def _build(candidates: int, degree: int, alpha: float):
 
 
 def _find(threshold: float, beam: int, exact: bool):
+    """Links and forest of one group. The pairs are a table of bits' worth of
+    (queries x rows) booleans, at most ``shard_limit`` squared; every other
+    array is made for a block of it, so a group of near copies costs no more
+    memory than any other rows. ``exact`` compares all rows and counts links on
+    both sides, as a pair of rows then meets in one group only."""
     radius2 = 2 - 2 * threshold + 1e-5  # single precision finds, double precision decides
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
         # rows that repeat a node (one id, several vectors) stay apart here and share their node outside
         node, size = pdf["node"].to_numpy(), pdf["size"].to_numpy()
-        x = _unit(pdf["vector"])
         held, asked = np.flatnonzero(pdf["indexed"].to_numpy()), np.flatnonzero(pdf["query"].to_numpy())
         if not len(held) or not len(asked):
             return pd.DataFrame({"node": node, "links": 0, "other": node})
+        x = _unit(pdf["vector"])
         x32 = x.astype(np.float32)
         if exact:
-            a, b = exact_search(x32[held], x32[asked], radius2)
+            blocks = exact_hits(x32[held], x32[asked], radius2)
         else:
             place = {n: i for i, n in enumerate(node[held].tolist())}
             lists = [sorted({place[n] for n in near if n in place}) for near in (pdf["neighbours"][i] for i in held)]
             table = np.full((len(held), max(1, max(map(len, lists)))), -1, dtype=np.int64)
             for i, own in enumerate(lists):
                 table[i, : len(own)] = own
-            a, b = range_search(x32[held], table, x32[asked], entry_points(table, medoid(x32[held])), radius2, beam)
-        a, b = asked[a], held[b]
-        if len(held) == len(asked) == len(node):  # a pair found from one side holds for the other
-            a, b = np.concatenate((a, b)), np.concatenate((b, a))
-        pair = np.unique(a * np.int64(len(node)) + b)
-        a, b = pair // len(node), pair % len(node)
-        ok = (a != b) & (np.einsum("nd,nd->n", x[a], x[b]) >= threshold)
-        shards, here = pdf["shards"].tolist(), pdf["shard"].iloc[0]
-        sets = [frozenset(s) for s in shards]
-        a, b = a[ok], b[ok]
-        first = np.array([min(sets[i] & sets[j]) == here for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+            blocks = range_hits(x32[held], table, x32[asked], entry_points(table, medoid(x32[held])), radius2, beam)
+        hit = np.zeros((len(asked), len(held)), dtype=bool)
+        for at, block in blocks:
+            hit[at : at + len(block)] = block
+        same = np.array_equal(asked, held)
+        if same:  # a pair found from one side holds for the other
+            hit |= hit.T.copy()
+            np.fill_diagonal(hit, False)
+        verify_hits(hit, x[asked], x[held], threshold)
         links = np.zeros(len(node), dtype=np.int64)
-        np.add.at(links, a[first], size[b[first]])
-        root = local_roots(len(node), a, b)
-        return pd.DataFrame({"node": node, "links": links, "other": node[root]})
+        known = pdf["shards"].tolist()
+        numbers = {name: i for i, name in enumerate(sorted({s for own in known for s in own}))}
+        shards = np.full((len(node), max(map(len, known))), -1, dtype=np.int64)
+        for i, own in enumerate(known):
+            shards[i, : len(own)] = [numbers[s] for s in own]
+        here = numbers[pdf["shard"].iloc[0]]
+        # shards before this one: a pair that shares one of them counts there
+        earlier = np.where(shards < here, shards, -1)
+        per = max(1, (1 << 20) // len(held))
+        for at in range(0, len(asked), per):
+            i, j = np.nonzero(hit[at : at + per])
+            a, b = asked[at + i], held[j]
+            counted = np.ones(len(a), dtype=bool)
+            for s in range(shards.shape[1]):
+                for t in range(shards.shape[1]):
+                    counted &= (earlier[a, s] < 0) | (earlier[a, s] != earlier[b, t])
+            a, b = a[counted], b[counted]
+            links += np.bincount(a, weights=size[b], minlength=len(node)).astype(np.int64)
+            if exact and not same:
+                links += np.bincount(b, weights=size[a], minlength=len(node)).astype(np.int64)
+        return pd.DataFrame({"node": node, "links": links, "other": node[hit_components(hit, asked, held, len(node))]})
 
     return run
 
 
+def exact_links(
+    classes: DataFrame, threshold: float, shard_rows: int = 1000, shard_limit: int = 6000, max_centres: int = 4096, sample_rows: int = 16384, **_
+) -> DataFrame:
+    """The rows of ``find_links`` by comparing everything that can be in range.
+
+    Every class stands in the cell of its nearest centre, divided by hash into
+    parts of ``shard_limit`` rows at most. Two cells are compared if the angle
+    of their centres less both cells' widest angles is within the threshold's
+    angle; a pair of parts is one group, so any two rows meet at most once."""
+    centres = fit_centres(classes, shard_rows, max_centres, sample_rows)
+    cells = assign_shards(classes, centres, 1, with_angle=True)
+    cells = write_table(cells.select("node", "size", "vector", "shard", "angle"), "cells")
+    # a row per cell; labels outside the sample are a cell each, which meets itself only
+    sizes = cells.groupBy("shard").agg(F.count("*").alias("n"), F.max("angle").alias("reach"))
+    known = {f"{dim}:{k}:{label}": (label, dim, k) for (label, dim), c in centres.items() for k in range(len(c))}  # max_centres names
+    listed = spark_frame(classes, [(name,) for name in known], "shard string")
+    reach = {r.shard: r.reach for r in sizes.join(listed, "shard").collect()}
+    limit = float(np.arccos(threshold)) + 1e-6
+    pairs = []
+    for (label, dim), c in centres.items():
+        names = [f"{dim}:{k}:{label}" for k in range(len(c))]
+        have = [k for k, name in enumerate(names) if name in reach]
+        wide = np.array([reach[names[k]] for k in have])
+        unit = c[have].astype(np.float64)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+        near = np.arccos(np.clip(unit @ unit.T, -1, 1)) - wide[:, None] - wide[None, :] <= limit
+        pairs += [(names[have[i]], names[have[j]]) for i, j in zip(*np.nonzero(near), strict=True) if i != j]
+    meets = spark_frame(classes, pairs, "shard string, other string")
+    parts = write_table(sizes.select("shard", F.ceil(F.col("n") / shard_limit).cast("long").alias("parts")), "cell-parts")
+    others = meets.join(parts.select(F.col("shard").alias("other"), F.col("parts").alias("other_parts")), "other").unionByName(
+        parts.select(F.col("shard").alias("other"), "shard", F.col("parts").alias("other_parts"))
+    )
+    # (cell, part) meets (other cell, part); the pair's lesser side is the queries
+    own = F.concat_ws("/", F.lpad(F.col("part").cast("string"), 12, "0"), "shard")
+    their = F.concat_ws("/", F.lpad(F.col("q").cast("string"), 12, "0"), "other")
+    placed = (
+        cells.join(parts, "shard")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        .join(others, "shard")
+        .withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_parts") - 1)))
+        .select("node", "size", "vector", own.alias("own"), their.alias("their"))
+        .select(
+            "node", "size", "vector", F.concat_ws("|", F.least("own", "their"), F.greatest("own", "their")).alias("shard"),
+            (F.col("own") >= F.col("their")).alias("indexed"), (F.col("own") <= F.col("their")).alias("query"),
+        )
+    )
+    placed = placed.withColumn("shards", F.array("shard"))
+    return write_table(placed.groupBy("shard").applyInPandas(_find(threshold, 0, True), "node long, links long, other long"), "exact-links")
+
+
+def spark_frame(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    return like.sparkSession.createDataFrame(rows, schema)
+
+
 def find_links(
     classes: DataFrame,
     threshold: float,
@@ -201,14 +282,10 @@ def find_links(
     degree: int = 24,
     alpha: float = 1.2,
     beam: int = 48,
-    exact: bool = False,
 ) -> DataFrame:
     """``node, links, other``: rows whose ``links`` add up to each node's links
-    to other classes, and whose (node, other) pairs connect its component.
-    ``exact`` compares all rows of a shard and builds no graph."""
+    to other classes, and whose (node, other) pairs connect its component."""
     rows = write_table(divide_shards(assign_shards(classes, fit_centres(classes, shard_rows, max_centres, sample_rows), overlap), shard_limit), "shards")
-    if exact:
-        return write_table(rows.groupBy("shard", "part", "chunk").applyInPandas(_find(threshold, beam, True), "node long, links long, other long"), "found-links")
     lists = rows.where("indexed AND part = chunk").groupBy("shard", "part").applyInPandas(_build(candidates, degree, alpha), "node long, neighbours array<long>")
     graph = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     graph = write_table(graph, "graph")
@@ -217,18 +294,35 @@ def find_links(
     )
 
 
-def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, queries: int = 256) -> float:
+def audit_recall(classes: DataFrame, found: DataFrame, threshold: float, queries: int = 256) -> float | None:
     """The lower of the two shares of ``audit_shares``."""
-    return min(audit_shares(classes, found, threshold, queries))
-
-
-def audit_shares(classes: DataFrame, found: DataFrame, threshold: float, queries: int = 256) -> tuple[float, float]:
-    """The share of the links of up to ``queries`` classes that ``found`` has, by
-    brute force of those classes against all rows: over all links, and as the
-    mean over the classes with links, where a large group weighs no more a class."""
+    shares = audit_shares(classes, found, threshold, queries)
+    return None if shares is None else min(shares)
+
+
+def audit_shares(classes: DataFrame, found: DataFrame, threshold: float, queries: int = 256, most: int = 4096) -> tuple[float, float] | None:
+    """The share of the links of some classes that ``found`` has, by brute force
+    of those classes against all rows: over all links, and as the mean over the
+    classes with links, where a large group weighs no more a class.
+
+    ``queries`` classes are drawn by hash, and four times as many as long as
+    fewer than 8 of them have links, up to ``most``. None: no class drawn has a
+    link, so nothing is measured (an exact search must answer)."""
+    while True:
+        rows, shares, linked = _audit(classes, found, threshold, queries)
+        if rows < queries and linked:  # all classes were drawn
+            return shares
+        if linked >= 8:
+            return shares
+        if rows < queries or queries >= most:
+            return shares if linked else None
+        queries = min(most, 4 * queries)
+
+
+def _audit(classes: DataFrame, found: DataFrame, threshold: float, queries: int) -> tuple[int, tuple[float, float], int]:
     sample = classes.orderBy(F.xxhash64("h1", "node"), "node").limit(queries).select("node", "label", "dim", "vector").collect()
     if not sample:
-        return 1.0, 1.0
+        return 0, (1.0, 1.0), 1  # an empty table has no link to miss
     by: dict[tuple[str, int], list] = {}
     for r in sample:
         by.setdefault((r["label"], r["dim"]), []).append((r["node"], r["vector"]))
@@ -249,8 +343,8 @@ def audit_shares(classes: DataFrame, found: DataFrame, threshold: float, queries
     exact = classes.select("node", "size", "label", "dim", "vector").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("exact"))
     have = found.groupBy("node").agg(F.sum("links").alias("have"))
     have_of = F.least("exact", F.coalesce("have", F.lit(0)))
-    row = exact.where("exact > 0").join(have, "node", "left").agg(F.sum("exact"), F.sum(have_of), F.avg(have_of / F.col("exact"))).first()
-    return (1.0, 1.0) if not row[0] else (row[1] / row[0], row[2])
+    row = exact.where("exact > 0").join(have, "node", "left").agg(F.sum("exact"), F.sum(have_of), F.avg(have_of / F.col("exact")), F.count("*")).first()
+    return len(sample), ((1.0, 1.0) if not row[0] else (row[1] / row[0], row[2])), row[3]
 
 
 def near_vectors(
@@ -266,18 +360,19 @@ def near_vectors(
     """``vec_id, n_links, component_id, kept`` per row; ``options`` go to ``find_links``."""
     rows, classes = vector_classes(vectors, id_col, vector_col, label_col)
     settings = {"overlap": 2, "beam": 48} | options
-    for k in range(tries + 1):
-        exact = k == tries
-        found = find_links(classes, threshold, **settings, exact=exact)
+    for k in range(tries):
+        found = find_links(classes, threshold, **settings)
         shares = audit_shares(classes, found, threshold)
+        if shares is None:
+            log.warning("near_vectors: no class drawn for the audit has a link; recall not measured, searched exactly")
+            found = exact_links(classes, threshold, **settings)
+            break
         if min(shares) >= least_recall:
             break
-        told = f"recall {shares[0]:.3f} per link and {shares[1]:.3f} per class, under {least_recall}"
-        if exact:
-            raise RuntimeError(f"near_vectors: {told}, with shards searched exactly (overlap {settings['overlap']})")
-        log.warning("near_vectors, search %d: %s; searched again", k + 1, told)
-        if k < tries - 1:
-            settings |= {"overlap": settings["overlap"] + 1, "beam": settings["beam"] * 2}
+        log.warning("near_vectors, search %d: recall %.3f per link and %.3f per class, under %s", k + 1, *shares, least_recall)
+        settings |= {"overlap": settings["overlap"] + 1, "beam": settings["beam"] * 2}
+    else:
+        found = exact_links(classes, threshold, **settings)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     named = classes.join(counts, "node").join(roots, "node", "left").select(

@@ -6,6 +6,8 @@ Vectors are rows of unit length; distances are Euclidean (for unit vectors
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _ROWS = 1024  # rows compared with all others at once
@@ -86,37 +88,94 @@ def entry_points(lists: np.ndarray, first: int) -> np.ndarray:
             return np.array(starts, dtype=np.int64)
 
 
-def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int | np.ndarray, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs within squared distance ``radius2``, found by greedy
-    beam search from the nearest of the ``start`` rows for all queries at once,
-    then by expanding every row in range until no new one appears. ``lists`` is
-    padded with -1."""
+#: Cells of the (query, row) tables and components gathered at once.
+_CELLS, _GATHER = 1 << 20, 1 << 22
+
+
+def range_hits(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int | np.ndarray, radius2: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks (first query, table of queries x rows) of the rows within squared
+    distance ``radius2``, found by greedy beam search from the nearest of the
+    ``start`` rows, then by expanding every row in range until no new one
+    appears. ``lists`` is padded with -1. A block has at most ``_CELLS`` cells,
+    so memory does not grow with the number of pairs in range."""
     start = np.atleast_1d(start)
-    found_q, found_x = [], []
-    per = max(1, min(_ROWS, (1 << 26) // max(1, len(x))))  # the table of seen rows stays within 64 MB
+    per = max(1, min(_ROWS, _CELLS // max(1, len(x))))
+    for at in range(0, len(queries), per):
+        yield at, _search_block(x, lists, queries[at : at + per], start, radius2, beam)
+
+
+def exact_hits(x: np.ndarray, queries: np.ndarray, radius2: float) -> Iterator[tuple[int, np.ndarray]]:
+    """The same blocks by comparing all."""
+    per = max(1, min(_ROWS, _CELLS // max(1, len(x))))
     for at in range(0, len(queries), per):
-        a, b = _search_block(x, lists, queries[at : at + per], start, radius2, beam)
-        found_q.append(a + at)
-        found_x.append(b)
+        yield at, 2 - 2 * (queries[at : at + per] @ x.T) <= radius2
+
+
+def range_search(x: np.ndarray, lists: np.ndarray, queries: np.ndarray, start: int | np.ndarray, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (query, row) pairs of ``range_hits``."""
+    blocks = [(at, np.nonzero(hit)) for at, hit in range_hits(x, lists, queries, start, radius2, beam)]
     none = np.empty(0, np.int64)
-    return (np.concatenate(found_q), np.concatenate(found_x)) if found_q else (none, none)
+    return (np.concatenate([a + at for at, (a, _) in blocks]), np.concatenate([b for _, (_, b) in blocks])) if blocks else (none, none)
 
 
-def exact_search(x: np.ndarray, queries: np.ndarray, radius2: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, row) pairs within squared distance ``radius2``, a block of queries at once."""
-    found_q, found_x = [], []
-    for at in range(0, len(queries), _ROWS):
-        a, b = np.nonzero(2 - 2 * (queries[at : at + _ROWS] @ x.T) <= radius2)
-        found_q.append(a + at)
-        found_x.append(b)
-    return np.concatenate(found_q), np.concatenate(found_x)
+def verify_hits(hit: np.ndarray, queries: np.ndarray, rows: np.ndarray, threshold: float) -> None:
+    """Take out the hits whose cosine, in double precision, is below ``threshold``.
+
+    Blocks with few hits gather their pairs, full ones multiply matrices; both
+    hold a bounded number of components."""
+    size = queries.shape[1]
+    per = max(1, min(_ROWS, _CELLS // max(1, len(rows))))
+    step = max(1, _GATHER // max(1, size))
+    for at in range(0, len(queries), per):
+        block = hit[at : at + per]
+        a, b = np.nonzero(block)
+        if len(a) > block.size // 16:
+            block &= queries[at : at + per] @ rows.T >= threshold
+            continue
+        for k in range(0, len(a), step):
+            i, j = a[k : k + step], b[k : k + step]
+            block[i, j] = np.einsum("nd,nd->n", queries[at + i], rows[j]) >= threshold
+
+
+def hit_components(hit: np.ndarray, asked: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+    """For rows 0..n-1 of which ``hit`` links ``asked`` and ``held`` ones: the
+    smallest row of each one's component. Every table row is read once or twice."""
+    root = np.arange(n)
+    by_held = hit.T if hit.shape[0] * hit.shape[1] == 0 else np.ascontiguousarray(hit.T)
+    new_a, new_h = hit.any(axis=1), by_held.any(axis=1)  # linked and not reached yet
+    while new_a.any():
+        side_a = [np.array([int(new_a.argmax())])]
+        new_a[side_a[0]] = False
+        side_h: list[np.ndarray] = []
+        grow_a = side_a[0]
+        while len(grow_a):
+            grow_h = np.flatnonzero(hit[grow_a].any(axis=0) & new_h)
+            new_h[grow_h] = False
+            side_h.append(grow_h)
+            grow_a = np.flatnonzero(by_held[grow_h].any(axis=0) & new_a) if len(grow_h) else grow_h
+            new_a[grow_a] = False
+            side_a.append(grow_a)
+        members = np.concatenate((asked[np.concatenate(side_a)], held[np.concatenate(side_h)]))
+        root[members] = members.min()
+    return root
+
+
+def _near_pairs(x: np.ndarray, q: np.ndarray, i: np.ndarray, j: np.ndarray, radius2: float) -> np.ndarray:
+    """Whether each pair (query i, row j) is within the radius, a bounded number at once."""
+    out = np.empty(len(i), dtype=bool)
+    step = max(1, _GATHER // max(1, x.shape[1]))
+    for at in range(0, len(i), step):
+        k = slice(at, at + step)
+        out[k] = np.maximum(2 - 2 * np.einsum("qd,qd->q", q[i[k]], x[j[k]]), 0) <= radius2
+    return out
 
 
-def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: np.ndarray, radius2: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: np.ndarray, radius2: float, beam: int) -> np.ndarray:
     m = len(q)
     rows = np.arange(m)
     seen = np.zeros((m, len(x) + 1), dtype=bool)  # the last column stands for padding
     seen[:, -1] = True
+    hit = np.zeros((m, len(x) + 1), dtype=bool)
     ids = np.full((m, beam), -1, dtype=np.int64)
     dist = np.full((m, beam), np.inf, dtype=x.dtype)
     done = np.ones((m, beam), dtype=bool)
@@ -125,7 +184,7 @@ def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: np.nda
     pick = np.argpartition(d, k - 1, axis=1)[:, :k]
     ids[:, :k], dist[:, :k], done[:, :k] = start[pick], np.take_along_axis(d, pick, axis=1), False
     i, j = np.nonzero(d <= radius2)
-    near_q, near_x = [i], [start[j]]
+    hit[i, start[j]] = True
     seen[rows[:, None], ids[:, :k]] = seen[i, start[j]] = True
     active = rows
     while len(active):
@@ -142,26 +201,23 @@ def _search_block(x: np.ndarray, lists: np.ndarray, q: np.ndarray, start: np.nda
         d = np.maximum(2 - 2 * np.einsum("qd,qkd->qk", q[active], x[nb]), 0)
         d[~fresh] = np.inf
         i, j = np.nonzero(d <= radius2)
-        near_q.append(active[i])
-        near_x.append(nb[i, j])
+        hit[active[i], nb[i, j]] = True
         all_d = np.concatenate((dist[active], d), axis=1)
         all_id = np.concatenate((ids[active], nb), axis=1)
         all_done = np.concatenate((done[active], ~fresh), axis=1)
         best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
         dist[active], ids[active] = np.take_along_axis(all_d, best, axis=1), np.take_along_axis(all_id, best, axis=1)
         done[active] = np.take_along_axis(all_done, best, axis=1) | np.isinf(dist[active])
-    new_q, new_x = np.concatenate(near_q), np.concatenate(near_x)
-    out_q, out_x = [new_q], [new_x]
+    new_q, new_x = np.nonzero(hit)
+    step = max(1, _CELLS // max(1, lists.shape[1]))
     while len(new_q):  # rows in range lead to more rows in range
-        nb = lists[new_x]
-        qi = np.repeat(new_q, nb.shape[1])
-        nb = nb.ravel()
-        fresh = ~seen[qi, nb]
-        pair = np.unique(qi[fresh] * np.int64(len(x)) + nb[fresh])
-        qi, nb = pair // len(x), pair % len(x)
-        seen[qi, nb] = True
-        near = np.maximum(2 - 2 * np.einsum("qd,qd->q", q[qi], x[nb]), 0) <= radius2
-        new_q, new_x = qi[near], nb[near]
-        out_q.append(new_q)
-        out_x.append(new_x)
-    return np.concatenate(out_q), np.concatenate(out_x)
+        more = np.zeros_like(seen)
+        for at in range(0, len(new_q), step):  # a bounded part of the frontier at once
+            more[new_q[at : at + step, None], lists[new_x[at : at + step]]] = True
+        more &= ~seen
+        seen |= more
+        i, j = np.nonzero(more)
+        near = _near_pairs(x, q, i, j, radius2)
+        new_q, new_x = i[near], j[near]
+        hit[new_q, new_x] = True
+    return hit[:, :-1]

@@ -1,12 +1,14 @@
 import math
+import tracemalloc
 
 import numpy as np
-import pytest
+import pandas as pd
 
 from tabsight.llm import embedding_dedup
-from tabsight.llm.embedding_dedup import audit_recall, audit_shares, find_links, near_vectors, vector_classes
+from tabsight.llm.components import local_roots
+from tabsight.llm.embedding_dedup import _build, _find, audit_recall, audit_shares, exact_links, find_links, near_vectors, vector_classes
 from tabsight.llm.queries import queries
-from tabsight.llm.vector_graph import entry_points, medoid, range_search, robust_prune, with_reverse
+from tabsight.llm.vector_graph import entry_points, hit_components, medoid, range_search, robust_prune, with_reverse
 
 SF = "/root/testdata/sf0.01"
 
@@ -124,17 +126,61 @@ def test_shards_of_near_copies_alone():
         assert len(np.unique(a * np.int64(len(x)) + b)) == len(a)
 
 
-def test_every_try_is_audited(spark, monkeypatch):
+def test_exact_search_answers(spark, monkeypatch):
     rng = np.random.default_rng(13)
-    rows = [(i, [float(c) for c in x], 0) for i, x in enumerate(np.repeat(unit(rng, 4, 16), 40, axis=0) + rng.normal(size=(160, 16)) * 0.004)]
+    x = np.concatenate((np.repeat(unit(rng, 4, 16), 40, axis=0) + rng.normal(size=(160, 16)) * 0.004, unit(rng, 200, 16)))
+    rows = [(i, [float(c) for c in v], int(i % 7 == 0)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     want = brute(rows)
-    monkeypatch.setattr(embedding_dedup, "range_search", None)  # only the exact search can answer
-    got = near_vectors(df, tries=0).collect()
-    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
-    monkeypatch.setattr(embedding_dedup, "audit_shares", lambda *a: (1.0, 0.9))
-    with pytest.raises(RuntimeError, match="per class"):
-        near_vectors(df, tries=0)
+    monkeypatch.setattr(embedding_dedup, "range_hits", None)  # only the exact search can answer
+    for options in ({}, {"shard_rows": 20, "shard_limit": 15}):  # many cells, each in many parts
+        got = near_vectors(df, tries=0, **options).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
+def test_low_recall_and_rare_links_are_searched_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    x = unit(rng, 900, 16)
+    x[77] = x[500] + 0.001
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    _, classes = vector_classes(df, "vec_id", "embedding", "label")
+    found = find_links(classes, 0.98)
+    assert audit_shares(classes, found.where("false"), 0.98, queries=4, most=4) is None  # no link drawn: not measured
+    assert audit_shares(classes, found.where("false"), 0.98, queries=4) == (0.0, 0.0)  # drawn on until the one pair is seen
+    assert audit_shares(classes, found, 0.98, queries=4) == (1.0, 1.0)
+    for shares in ((0.2, 0.9), None):
+        monkeypatch.setattr(embedding_dedup, "audit_shares", lambda *a, s=shares: s)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, tries=1).collect()}
+        assert got[77] == got[500] == (1, 77) and sum(n for n, _ in got.values()) == 2
+
+
+def test_a_group_of_near_copies_needs_bounded_memory():
+    rng = np.random.default_rng(23)
+    n = 4000
+    x = np.repeat(unit(rng, 1, 64), n, axis=0) + rng.normal(size=(n, 64)) * 0.004
+    pdf = pd.DataFrame({"node": np.arange(n), "size": 1, "vector": list(x), "shards": [["s"]] * n, "shard": "s", "indexed": True, "query": True})
+    lists = _build(64, 24, 1.2)(pdf[["node", "vector"]])
+    pdf = pdf.merge(lists, on="node")
+    tracemalloc.start()
+    got = _find(0.98, 48, False)(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    unit_x = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit_x @ unit_x.T >= 0.98).sum(axis=1) - 1
+    assert (got["links"].to_numpy() <= want).all() and got["links"].sum() > 0.95 * want.sum()
+    assert (got["other"] == 0).all() and peak < 300e6  # every pair gathered in double precision would be 16 GB
+
+
+def test_components_of_a_table():
+    rng = np.random.default_rng(29)
+    for n_a, n_h, same in ((40, 40, True), (30, 50, False), (5, 0, False)):
+        hit = rng.random((n_a, n_h)) < 0.02
+        asked, held = np.arange(n_a), np.arange(n_h) if same else n_a + np.arange(n_h)
+        if same:
+            hit |= hit.T
+        n = n_a if same else n_a + n_h
+        a, b = np.nonzero(hit)
+        assert np.array_equal(hit_components(hit, asked, held, n), local_roots(n, asked[a], held[b]))
 
 
 def test_recall_per_class(spark):
@@ -142,7 +188,7 @@ def test_recall_per_class(spark):
     x = np.concatenate([np.repeat(unit(rng, 1, 16), 60, axis=0), np.repeat(unit(rng, 20, 16), 2, axis=0)])
     df = spark.createDataFrame([(i, [float(c) for c in y], 0) for i, y in enumerate(x + rng.normal(size=x.shape) * 0.004)], "vec_id long, embedding array<double>, label int")
     _, classes = vector_classes(df, "vec_id", "embedding", "label")
-    found = find_links(classes, 0.98, exact=True)
+    found = exact_links(classes, 0.98)
     assert audit_shares(classes, found, 0.98) == (1.0, 1.0)
     link, per_class = audit_shares(classes, found.where("node < 60"), 0.98)  # the 20 pairs are missed
     assert link > 0.95 and abs(per_class - 0.6) < 0.01
