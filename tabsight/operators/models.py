@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate
-from tabsight.operators.calibration import CalibratedLinearSVC
+from tabsight.operators.calibration import TOLERANCE, CalibratedLinearSVC
 from tabsight.operators.ranking import index_within
 
 # Search schedule.
@@ -43,6 +43,8 @@ CV_FOLDS = 3
 PROMOTION_FRACTION = 0.5
 DEFAULT_TIME_BUDGET_SEC = 600.0
 FALLBACK_MAX_ITER = 500
+#: Rows of a trial that one task holds.
+TASK_ROWS = 50_000
 
 
 @dataclass
@@ -263,7 +265,7 @@ def successive_halving(
     time_budget_sec: float = DEFAULT_TIME_BUDGET_SEC,
     cv: int = CV_FOLDS,
     seed: int = DEFAULT_SEED,
-    parallelism: int = 2,
+    parallelism: int = CV_FOLDS,
     scoring="balanced_accuracy",
 ):
     """Three-stage successive halving with stratified CV (M5).
@@ -291,7 +293,9 @@ def successive_halving(
     for stage, (fid, frac) in enumerate(zip(STAGE_FIDELITIES, STAGE_TIME_FRACTIONS), start=1):
         sizes, k = stage_sizes(counts, fid, cv)
         n_sub = sum(sizes.values())
-        sample = stratified_stage_sample(data, label_col, key_cols, fid, seed + stage - 1, cv, k).persist()
+        sample = stratified_stage_sample(data, label_col, key_cols, fid, seed + stage - 1, cv, k)
+        # every step of a fit is a job over all partitions: no more of them than the rows need
+        sample = sample.coalesce(max(1, -(-n_sub // TASK_ROWS))).persist()
         sample.count()  # drawn before the clock starts
         stage_start = time.time()
         trials = {}
@@ -407,8 +411,8 @@ def _estimator_for(kind: str, params: dict, n_features: int, n_classes: int) ->
     if kind == "NaiveBayes":
         return NaiveBayes(**params)
     if kind in ("GradientBoosting", "LinearSVC"):
-        binary = GBTClassifier(seed=DEFAULT_SEED, **params) if kind == "GradientBoosting" else LinearSVC(**params)
-        return binary if kind == "GradientBoosting" and n_classes <= 2 else OneVsRest(classifier=binary)
+        binary = GBTClassifier(seed=DEFAULT_SEED, **params) if kind == "GradientBoosting" else LinearSVC(tol=TOLERANCE, **params)
+        return binary if kind == "GradientBoosting" and n_classes <= 2 else OneVsRest(classifier=binary, parallelism=n_classes)
     raise InputError(f"No parameter space for '{kind}'.")
 
 
@@ -442,7 +446,8 @@ def random_search(
             break
     from tabsight.functions.exprs import hash_unit
 
-    split = data.withColumn("_val", hash_unit(key_cols, seed) < F.lit(float(validation_split))).persist()
+    split = data.withColumn("_val", hash_unit(key_cols, seed) < F.lit(float(validation_split)))
+    split = split.coalesce(max(1, -(-data.count() // TASK_ROWS))).persist()
     train, val = split.where(~F.col("_val")), split.where(F.col("_val"))
     rows = []
     best = (None, -1.0)

@@ -20,6 +20,7 @@ from tabsight.errors import InputError
 from tabsight.functions.exprs import col
 from tabsight.operators import validate
 from tabsight.operators.quality import NUMERIC_TEXT
+from tabsight.sources.quoted_csv import parse_records, quoted_breaks, read_records
 
 # pandas' default missing-value tokens.
 NA_TOKENS = [
@@ -51,9 +52,8 @@ def detect_csv(spark: SparkSession, path: str) -> tuple[str, bool]:
     A line with an odd number of quotes begins or ends such a field.
     """
     value = F.col("value")
-    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
     row = spark.read.text(path).agg(
-        F.count_if(~F.is_valid_utf8(value)).alias("bad"), F.count_if(quotes % 2 == 1).alias("open")
+        F.count_if(~F.is_valid_utf8(value)).alias("bad"), F.count_if(quoted_breaks(value)).alias("open")
     ).first()
     return "ISO-8859-1" if row["bad"] else "UTF-8", row["open"] > 0
 
@@ -73,8 +73,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         # pattern checks first: a failed cast is costly, a regex test is not
         aggs += [
             F.count(v).alias(f"n{i}"),
-            F.count(F.when(v.rlike(INT_TEXT), F.expr(f"try_cast(`{c}` AS BIGINT)"))).alias(f"l{i}"),
-            F.count(F.when(v.rlike(NUMERIC_TEXT), F.expr(f"try_cast(`{c}` AS DOUBLE)"))).alias(f"d{i}"),
+            F.count(F.when(v.rlike(INT_TEXT), v.try_cast("bigint"))).alias(f"l{i}"),
+            F.count(F.when(v.rlike(NUMERIC_TEXT), v.try_cast("double"))).alias(f"d{i}"),
             F.count(F.when(v.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}"),
         ]
     row = df.agg(*aggs).first()
@@ -83,9 +83,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         n = row[f"n{i}"]
         v = col(c)
         if n > 0 and row[f"l{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c))
+            out.append(v.try_cast("bigint").alias(c))
         elif n > 0 and row[f"d{i}"] == n:
-            out.append(F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c))
+            out.append(v.try_cast("double").alias(c))
         elif n > 0 and row[f"b{i}"] == n:
             out.append(v.isin(TRUE_TOKENS).alias(c))
         else:
@@ -96,17 +96,19 @@ def infer_types(df: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     """CSV with pandas-like header, NA and bad-line handling.
 
-    Files without line breaks inside quoted fields are split over tasks; a
-    file that has some is read as a whole by one task (Spark's ``multiLine``).
+    Files are split over tasks whether or not quoted fields hold line breaks;
+    where some do, ``quoted_csv`` finds the records first.
     """
     encoding, multi_line = detect_csv(spark, path)
     names = validate.dedupe_names(_header(spark, path, encoding))
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] +
                           [T.StructField(OVERFLOW, T.StringType())])
-    raw = (
-        spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-        .option("multiLine", multi_line).option("escape", '"').schema(schema).csv(path)
-    )
+    options = {"mode": "PERMISSIVE", "escape": '"'}
+    if multi_line:
+        records = read_records(spark, path, lambda value: decoded(value, encoding))
+        raw = parse_records(records, schema.toDDL(), options)
+    else:
+        raw = spark.read.options(**options).option("header", True).option("encoding", encoding).schema(schema).csv(path)
     # a filled overflow field means the row had too many fields: skip it
     kept = raw.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
     na = F.array(*[F.lit(x) for x in NA_TOKENS])
