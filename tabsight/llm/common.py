@@ -23,6 +23,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def free_name(base: str, *taken: list[str]) -> str:
+    """``base``, with underscores in front until no column has that name (in any case)."""
+    used = {c.lower() for names in taken for c in names}
+    while base.lower() in used:
+        base = "_" + base
+    return base
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     spark = df.sparkSession

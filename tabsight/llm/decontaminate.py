@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsight.llm.common import ascii_words, bound_batches, utf8
+from tabsight.llm.common import ascii_words, bound_batches, free_name, utf8
 
 #: Words of a text that is not lower-cased yet, for their places in it.
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
@@ -222,9 +222,10 @@ _OVERLAP = pa.struct(
 
 
 def _scan(rows: DataFrame, blocks: list[list[tuple]], n: int, at: int) -> DataFrame:
-    """``rows`` with a last column ``__overlap``, by one pass per block in one stage."""
+    """``rows`` with a last column of overlaps, by one pass per block in one stage."""
     names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("__overlap", T.StructType.fromDDL(_HITS))])
+    last = free_name("__overlap", names)
+    schema = T.StructType([*rows.schema.fields, T.StructField(last, T.StructType.fromDDL(_HITS))])
 
     def scan(items: list[tuple], first: bool):
         hits = _hits(items, n, at, first)
@@ -232,7 +233,7 @@ def _scan(rows: DataFrame, blocks: list[list[tuple]], n: int, at: int) -> DataFr
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 cols = [b.column(i) for i in range(len(names))] + [pa.array(hits(b), _OVERLAP)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "__overlap"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, last])
 
         return run
 
@@ -256,9 +257,9 @@ def find_overlaps(
     (longest match in words), in a struct column ``overlap``."""
     bound_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias(free_name("__text", keep)))
     out = _scan(rows, item_blocks(benchmark, item_col, item_text, block_bytes), n, len(keep))
-    return out.select(*[F.col(c) for c in keep if c != "overlap"], F.col("__overlap").alias("overlap"))
+    return out.select(*[F.col(c) for c in keep if c != "overlap"], F.col(out.columns[-1]).alias("overlap"))
 
 
 def hit_words() -> F.Column:
@@ -278,7 +279,8 @@ def remove_overlaps(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``docs`` without the spans of at least ``min_words`` words that occur in
-    items; documents with more than ``max_coverage`` of their words hit go."""
+    items, nor those of whole items of fewer than ``n`` words; documents with
+    more than ``max_coverage`` of their words hit go."""
     bound_batches(docs.sparkSession)
     columns, blocks = docs.columns, item_blocks(benchmark, item_col, item_text, block_bytes)
     at = columns.index(text_col)
@@ -292,7 +294,7 @@ def remove_overlaps(
             for k, hit in enumerate(hits(b)):
                 spans = [(x["first"], x["end"]) for x in hit["spans"]]
                 keep.append(sum(y - x for x, y in spans) <= max_coverage * hit["n_words"])
-                spans = [(x, y) for x, y in spans if y - x >= min_words]
+                spans = [(x, y) for x, y in spans if y - x >= min_words or y - x < n]
                 if spans and keep[-1]:
                     texts[k] = _without(texts[k], spans)
             cols = [b.column(i) for i in range(len(columns))]

@@ -111,11 +111,16 @@ def fit_languages(docs: DataFrame, train: Column, docs_per_lang: int = 1500, max
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sample = _sample(rows, train, docs_per_lang, max_langs).select("text", "lang")
     total = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = total.groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).orderBy("lang").collect()
+
+    def pack(rows: pa.Table) -> pa.Table:  # one language's counts as bytes
+        dense = np.zeros(BUCKETS, dtype=np.int64)
+        dense[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+        return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([dense.tobytes()], pa.binary())})
+
+    found = total.groupBy("lang").applyInArrow(pack, "lang string, counts binary").orderBy("lang").collect()
     logp = np.zeros((BUCKETS, len(found)), dtype=np.float32)
     for k, r in enumerate(found):
-        seen = np.full(BUCKETS, smooth)
-        seen[np.array(r["at"], dtype=np.int64)] += np.array(r["n"])
+        seen = np.frombuffer(r["counts"], dtype=np.int64) + smooth
         logp[:, k] = np.log(seen / seen.sum())
     return LanguageModel([r["lang"] for r in found], logp)
 
@@ -138,20 +143,28 @@ def mixture(likelihood: np.ndarray, starts: np.ndarray, allowed: np.ndarray, ste
     return share, np.add.reduceat(total, starts)
 
 
-def choose(likelihood: np.ndarray, starts: np.ndarray, steps: int = 10, penalty: float = 1.0, most: int = 4) -> np.ndarray:
-    """Shares of the language set with the best penalised likelihood; 0 outside it."""
+def choose(likelihood: np.ndarray, starts: np.ndarray, steps: int = 10, penalty: float = 1.0) -> np.ndarray:
+    """Shares of the language set with the best penalised likelihood; 0 outside
+    it. A document's set grows as long as one more language improves that value."""
     docs, langs = len(starts), likelihood.shape[1]
     sizes = np.diff(np.append(starts, len(likelihood)))
     first, _ = mixture(likelihood, starts, np.ones((docs, langs)), steps)
     order = np.argsort(-first, axis=1, kind="stable")
     best, best_value = np.zeros((docs, langs)), np.full(docs, -np.inf)
-    for k in range(1, min(langs, most) + 1):
-        allowed = np.zeros((docs, langs))
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        share, total = mixture(likelihood, starts, allowed, steps if k > 1 else 1)
-        value = total - penalty * (k - 1) * np.log(sizes + 1.0)
-        better = value > best_value
-        best[better], best_value[better] = share[better], value[better]
+    doc_of = np.repeat(np.arange(docs), sizes)
+    growing = np.arange(docs)
+    for k in range(1, langs + 1):
+        if not len(growing):
+            break
+        some = np.isin(doc_of, growing) if len(growing) < docs else slice(None)
+        own = sizes[growing]
+        allowed = np.zeros((len(growing), langs))
+        np.put_along_axis(allowed, order[growing, :k], 1.0, axis=1)
+        share, total = mixture(likelihood[some], np.cumsum(own) - own, allowed, steps if k > 1 else 1)
+        value = total - penalty * (k - 1) * np.log(own + 1.0)
+        better = value > best_value[growing]
+        growing, share, value = growing[better], share[better], value[better]
+        best[growing], best_value[growing] = share, value
     return best
 
 

@@ -19,8 +19,10 @@ repeated rows are scanned one by one; extra columns are not read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -82,11 +84,11 @@ class Notice:
                 a -= 1
             while b < len(plain) and plain[b] & 0xC0 == 0x80:
                 b += 1
-            window = plain[a:b].decode()
+            window, char, byte = plain[a:b].decode(), 0, a
             for m in self.pattern.finditer(window):
-                first = a + len(window[: m.start()].encode())
-                end = first + len(m.group().encode())
-                out.append((first, end, sum(m.fuzzy_counts)))
+                first = byte + len(window[char : m.start()].encode())
+                byte, char = first + len(m.group().encode()), m.end()
+                out.append((first, byte, sum(m.fuzzy_counts)))
         return out
 
 
@@ -98,20 +100,27 @@ class Scanner:
     def scan(self, text: bytes) -> dict:
         words = ascii_words(text)
         plain = b" " + b" ".join(words) + b" "
-        count = plain.count
+        spaces = np.flatnonzero(np.frombuffer(plain, dtype=np.uint8) == 32)
+
+        def before(at: int) -> int:  # spaces in front of a place
+            return int(np.searchsorted(spaces, at))
+
         places, base = [], set()
         for phrase, label in self.phrases:
             at = plain.find(phrase)
             while at >= 0:
-                places.append(count(b" ", 0, at))
+                places.append(before(at))
                 base.add(label)
                 at = plain.find(phrase, at + 1)
         found = []
         for notice in self.notices:
             found += [(e, -len(notice.text), notice.label, a, b, notice.edits) for a, b, e in notice.spans(plain)]
         taken: list[tuple] = []
+        ends: list[tuple[int, int]] = []  # of the spans taken, which do not overlap, in text order
         for hit in sorted(found):
-            if all(hit[4] <= t[3] or hit[3] >= t[4] for t in taken):
+            at = bisect_left(ends, (hit[3] + 1,))  # the first that ends after this one begins
+            if at == len(ends) or ends[at][1] >= hit[4]:
+                ends.insert(at, (hit[4], hit[3]))
                 taken.append(hit)
         score = 1.0 if places else max((1.0 - t[0] / (t[5] + 1) for t in taken), default=0.0)
         return {
@@ -124,7 +133,7 @@ class Scanner:
             "score": score,
             # words: the word in which the span begins, and the one after that in which it ends
             "spans": [
-                {"label": t[2], "first": count(b" ", 0, t[3] + 1) - 1, "end": count(b" ", 0, t[4] - 1), "edits": t[0]}
+                {"label": t[2], "first": before(t[3] + 1) - 1, "end": before(t[4] - 1), "edits": t[0]}
                 for t in sorted(taken, key=lambda t: (t[3], t[2]))
             ],
         }

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm.common import write_table
+from tabsight.llm.common import free_name, write_table
 
 
 def _hash(line: Column) -> Column:
@@ -76,16 +76,16 @@ def drop_site_lines(
 ) -> DataFrame:
     """``pages`` with column ``out`` holding the text without boilerplate lines."""
     # written first: then the join has a plain table on this side, and a hot host's pages can be split
+    own_host, own_text, site, drop = (free_name(n, pages.columns, [out]) for n in ("__host", "__text", "__site", "__drop"))
     found = write_table(site_lines(pages, host, text, ratio, min_pages, min_count), "site-lines").select(
-        F.col("host").alias("__site"), F.col("lines").alias("__drop")
+        F.col("host").alias(site), F.col("lines").alias(drop)
     )
-    kept = F.array_join(F.filter(_lines(F.col("__text")), lambda x: (F.trim(x) == "") | ~F.array_contains("__drop", _hash(x))), "\n")
+    kept = F.array_join(F.filter(_lines(F.col(own_text)), lambda x: (F.trim(x) == "") | ~F.array_contains(drop, _hash(x))), "\n")
     return (
-        pages.withColumn("__host", host)
-        .withColumn("__text", text)
-        .join(found, F.col("__host") == F.col("__site"), "left")
-        .withColumn(out, F.when(F.col("__drop").isNull(), F.col("__text")).otherwise(kept))
-        .drop("__host", "__text", "__site", "__drop")
+        pages.select("*", host.alias(own_host), text.alias(own_text))
+        .join(found, F.col(own_host) == F.col(site), "left")
+        .withColumn(out, F.when(F.col(drop).isNull(), F.col(own_text)).otherwise(kept))
+        .drop(own_host, own_text, site, drop)
     )
 
 

@@ -35,7 +35,7 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, text, label, weight`` of at most ``max_rows`` ids of each label
-    (0, 1) that satisfy ``train`` (on ``doc_id``), drawn by id hashes; ``weight`` is the number of labelled ids that each one stands for."""
+    (0, 1) that satisfy ``train`` (on ``doc_id``), drawn by id hashes, one row each; ``weight`` is the number of labelled ids that each one stands for."""
     bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IN (0, 1)").where(train)
@@ -51,7 +51,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
         parts.append(some.withColumn("weight", F.lit(n / max(1, min(n, max_rows)))))
     picked = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "weight")  # 2 * max_rows small rows
+    found = rows.join(F.broadcast(picked), "doc_id")  # 2 * max_rows small rows
+    # one row per id, however often the documents repeat it: that of the smallest text hash
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label", "weight")).alias("row"))
+    return one.select("doc_id", "row.text", "row.label", "row.weight")
 
 
 def features(text: bytes, buckets: int) -> np.ndarray:

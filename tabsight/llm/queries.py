@@ -62,8 +62,7 @@ def _predicted() -> Column:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_lines(F.col("html")).alias("text"))
     pages = write_table(pages, "page-text")  # the tags are taken out once
-    # the limits of OP5_SQL; drop_site_lines alone judges every host
-    kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept", min_pages=20, min_count=10)
+    kept = drop_site_lines(pages, F.col("host"), F.col("text"), out="kept")
     return kept.select(
         "page_id",
         "host",
@@ -85,10 +84,10 @@ WITH p AS (
            '^\n|\n$', '', 'g') AS text
   FROM pages),
 u AS (SELECT DISTINCT host, text FROM p WHERE host IS NOT NULL AND text IS NOT NULL),
-t AS (SELECT host, count(*) AS n_pages FROM u GROUP BY host HAVING count(*) >= 20),
+t AS (SELECT host, count(*) AS n_pages FROM u GROUP BY host),
 l AS (SELECT DISTINCT host, text, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM u),
 b AS (SELECT l.host, line FROM l JOIN t ON l.host = t.host WHERE line <> ''
-      GROUP BY l.host, line, n_pages HAVING count(*) >= 10 AND count(*) / n_pages > 0.1),
+      GROUP BY l.host, line, n_pages HAVING count(*) >= 2 AND count(*) / n_pages > 0.1),
 x AS (SELECT page_id, host, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM p),
 k AS (SELECT x.page_id, string_agg(x.line, chr(10) ORDER BY x.at) AS kept, count(*) AS n
       FROM x LEFT JOIN b ON b.host = x.host AND b.line = trim(x.line, ' ') WHERE b.line IS NULL GROUP BY x.page_id)

@@ -146,3 +146,26 @@ def test_pooling_matches_plain_convolution():
     assert np.allclose(model.pooled(rows)[0], top)
     z = np.maximum(top, 0) @ model.out + model.shift[0]
     assert abs(model.probability(words) - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_sample_has_one_row_per_repeated_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "b"), (3, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", F.lit(True), 10).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3]
+    again = labelled_sample(docs.repartition(7), labels, "quality", F.lit(True), 10).collect()
+    assert {r.doc_id: r.text for r in again} == {r.doc_id: r.text for r in got}
+
+
+def test_language_set_of_five(spark):
+    rnd = np.random.default_rng(3)
+    letters = ["abc", "def", "ghi", "jkl", "mno", "pqr"]
+    text = lambda k, n: " ".join("".join(rnd.choice(list(letters[k]), 5)) for _ in range(n))
+    train = [(i, text(i % 6, 60), f"l{i % 6}") for i in range(120)]
+    model = fit_languages(spark.createDataFrame(train, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.langs == [f"l{k}" for k in range(6)]
+    mixed = " ".join(text(k, 80) for k in range(5))
+    alone = predict_languages(spark.createDataFrame([(1, mixed), (2, text(5, 40))], "doc_id long, text string"), model).collect()
+    got = {r.doc_id: {e.lang: e.share for e in r.langs} for r in alone}
+    assert set(got[1]) == {f"l{k}" for k in range(5)} and all(abs(v - 0.2) < 0.03 for v in got[1].values())
+    assert set(got[2]) == {"l5"}

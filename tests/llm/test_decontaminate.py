@@ -72,3 +72,17 @@ def test_remove(spark):
     none = remove_overlaps(df, bench.where(F.lit(False)))
     assert none.columns == df.columns and none.count() == len(DOCS)
     assert remove_overlaps(df.where(F.lit(False)), bench).count() == 0
+
+
+def test_short_items_go_and_names_may_clash(spark):
+    from tabsight.llm.decontaminate import find_overlaps, remove_overlaps
+
+    filler = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"{filler} one two three four five six end", "a", 5), (2, filler, "b", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __overlap string, __text int")
+    items = spark.createDataFrame([(1, "One two three four five six")], "item_id long, text string")
+    got = {r.doc_id: r for r in remove_overlaps(docs, items).collect()}
+    assert got[1].text == f"{filler}  end" and got[2].text == filler and (got[1]["__overlap"], got[1]["__text"]) == ("a", 5)
+    found = find_overlaps(docs, items)
+    assert found.columns == [*docs.columns, "overlap"]
+    assert {r.doc_id: [(s.first, s.end) for s in r.overlap.spans] for r in found.collect()} == {1: [(50, 56)], 2: []}

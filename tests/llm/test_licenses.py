@@ -74,3 +74,22 @@ def test_fuzzy_labels_match_edit_distance(data):
 
 def test_empty(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_places_in_one_text():
+    """Places and overlaps are counted without walking the text anew for each."""
+    import time
+
+    from tabsight.llm.licenses import NOTICES, Scanner
+
+    notice = NOTICES[0][0]
+    scanner = Scanner()
+    unit = f"x {notice} under the mit license é y "
+    one, some = scanner.scan(unit.encode()), scanner.scan((unit * 50).encode())
+    size = one["n_words"]
+    assert some["n_words"] == 50 * size and some["n_base"] == 50 * one["n_base"] and len(some["spans"]) == 50 * len(one["spans"])
+    assert [(s["first"], s["end"]) for s in some["spans"]] == [(k * size + s["first"], k * size + s["end"]) for k in range(50) for s in one["spans"]]
+    text = (unit * 6000).encode()
+    start = time.time()
+    assert scanner.scan(text)["n_base"] == 6000 * one["n_base"]
+    assert time.time() - start < 60

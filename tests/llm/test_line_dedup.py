@@ -38,3 +38,20 @@ def test_page_text(spark):
     html = "<html><head><title>T</title><style>p{}</style></head><body><p class=x>One <b>bold</b><br/>two</p><!-- no --><pre>in  line</pre></body></html>"
     r = spark.createDataFrame([(html, "HTTPS://User.Example.ORG:80/x"), (None, "nothing")], "h string, u string").select(page_lines(F.col("h")), host_of(F.col("u"))).collect()
     assert r[0][0] == "T\nOne bold\ntwo\nin  line" and r[0][1] == "user.example.org" and r[1][0] is None and r[1][1] is None
+
+
+def test_names_of_the_operator_as_user_columns(spark):
+    rows = [("h", f"menu\nown {i}", 7, "u", 8, 9) for i in range(4)]
+    df = spark.createDataFrame(rows, "host string, text string, __drop int, __host string, __site int, __text int")
+    got = drop_site_lines(df, F.col("host"), F.col("text"))
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [("h", f"own {i}", 7, "u", 8, 9) for i in range(4)]
+
+
+def test_query_drops_lines(spark, duck):
+    from tabsight.llm.queries import SQL, queries
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.page_id: (r.n_lines, r.n_kept, r.kept_sha256) for r in queries()["op5_line_dedup"](spark, sf).collect()}
+    want = {r[0]: r[2:] for r in duck.execute(SQL["op5_line_dedup"]).fetchall()}
+    assert got == want and sum(a - b for a, b, _ in got.values()) > 100
