@@ -66,31 +66,36 @@ def _value_key(field) -> tuple["F.Column", "F.Column"]:
     return F.when(c.isNotNull(), F.xxhash64(c)), F.xxhash64(F.lit(1), c)
 
 
-def _exact_profile(df: DataFrame) -> DataFrame:
-    """Exact profile by one unpivot and one keyed aggregate.
+def value_cells(df: DataFrame) -> DataFrame:
+    """``ordinal, v, w, cnt``: how often each column has each value; null values have a null ``v``.
 
-    (column, value) pairs are counted with a map-side partial aggregate;
-    the per-column totals then come from a second, tiny aggregate.  This
-    avoids the Expand plan of many ``count(distinct)`` in one aggregate.
+    (column, value) pairs are counted with a map-side partial aggregate.
     """
-    fields = df.schema.fields
     structs = []
-    for i, f in enumerate(fields):
+    for i, f in enumerate(df.schema.fields):
         v, w = _value_key(f)
         structs.append(F.struct(F.lit(i).alias("ordinal"), v.alias("v"), w.alias("w")))
     pairs = F.explode(F.array(*structs))
-    cells = df.select(pairs.alias("x")).select("x.ordinal", "x.v", "x.w").groupBy("ordinal", "v", "w").agg(
+    return df.select(pairs.alias("x")).select("x.ordinal", "x.v", "x.w").groupBy("ordinal", "v", "w").agg(
         F.count(F.lit(1)).alias("cnt")
     )
+
+
+def column_meta(df: DataFrame) -> DataFrame:
+    """``column_name, ordinal, dtype``: one row per column."""
+    return df.sparkSession.createDataFrame(
+        [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)],
+        "column_name string, ordinal int, dtype string",
+    )
+
+
+def profile_of_cells(meta: DataFrame, cells: DataFrame) -> DataFrame:
+    """The exact profile from the counted values of every column."""
     per = cells.groupBy("ordinal").agg(
         F.sum("cnt").alias("n_rows"),
         F.sum(F.when(F.col("v").isNotNull(), F.col("cnt")).otherwise(0)).alias("n_nonnull"),
         F.count("v").alias("n_unique"),
     )
-    meta = df.sparkSession.createDataFrame(
-        [(f.name, i, f.dataType.simpleString()) for i, f in enumerate(fields)],
-        "column_name string, ordinal int, dtype string",
-    )
     # one row per column on both sides
     return meta.join(per, "ordinal").select(
         "column_name",
@@ -102,6 +107,22 @@ def _exact_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _exact_profile(df: DataFrame) -> DataFrame:
+    """Exact profile by one unpivot and one keyed aggregate.
+
+    The per-column totals come from a second, tiny aggregate.  This
+    avoids the Expand plan of many ``count(distinct)`` in one aggregate.
+    """
+    return profile_of_cells(column_meta(df), value_cells(df))
+
+
+def near_boundary(n_rows: int, n_unique: float, rsd: float) -> bool:
+    """Whether an estimated distinct count could lie on the other side of a rule's limit."""
+    slack = 4 * rsd
+    limits = [1, 2, min(50, int(0.05 * n_rows)), 0.5 * n_rows, n_rows]
+    return n_unique <= 64 or any(abs(n_unique - b) <= slack * max(b, 1) + 1 for b in limits)
+
+
 def profile_columns(df: DataFrame, mode: str = "exact", rsd: float = 0.02) -> DataFrame:
     """Rows, non-nulls and distinct non-null values for every column (A1).
 
@@ -125,13 +146,7 @@ def profile_columns(df: DataFrame, mode: str = "exact", rsd: float = 0.02) -> Da
     # auto: recount exactly where the approximate value could flip a decision.
     rows = approx.collect()  # one row per column: bounded by the schema width
     n = rows[0]["n_rows"] if rows else 0
-    slack = 4 * rsd
-    boundaries = [1, 2, min(50, int(0.05 * n)), 0.5 * n, n]
-    recount = []
-    for r in rows:
-        u = r["n_unique"]
-        if u <= 64 or any(abs(u - b) <= slack * max(b, 1) + 1 for b in boundaries):
-            recount.append(r["ordinal"])
+    recount = [r["ordinal"] for r in rows if near_boundary(n, r["n_unique"], rsd)]
     if not recount:
         return approx
     exact_aggs = [F.count_distinct(col(df.columns[i])).alias(f"e{i}") for i in recount]
