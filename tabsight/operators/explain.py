@@ -188,72 +188,6 @@ def shapley_summary(
     return ordered if max_display is None else ordered.limit(max_display)
 
 
-def lime_tabular(
-    model: Model,
-    instances: DataFrame,
-    train_stats: dict[str, tuple[float, float]],
-    feature_columns: list[str],
-    key_col: str,
-    num_samples: int = 1000,
-    num_features: int = 10,
-    seed: int = DEFAULT_SEED,
-) -> DataFrame:
-    """LIME-style local explanations for a table of instances (E5).
-
-    Per instance: ``num_samples`` Gaussian perturbations scaled by the
-    training std (``train_stats[c] = (mean, std)``), scored in one transform
-    for the class predicted on the instance, weighted by an exponential
-    kernel (width 0.75·√F) on the standardised distance; a weighted ridge
-    (α = 1) per instance runs in ``applyInPandas``.  Returns
-    ``key, feature, weight`` for the ``num_features`` largest |weights|.
-    """
-    import numpy as np
-    import pandas as pd
-
-    nf = len(feature_columns)
-    base = instances.select(F.col(key_col).alias("_k"), *[F.col(c).cast("double").alias(c) for c in feature_columns])
-    samples = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(num_samples))).alias("_s"))
-    pert = []
-    zcols = []
-    for j, c in enumerate(feature_columns):
-        mean, std = train_stats[c]
-        std = std or 1.0
-        # seeded standard normal from two md5-derived uniforms (Box-Muller); sample 0 is the instance itself
-        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_k").cast("string"), F.col("_s").cast("string"), F.lit(str(j))))
-        u1 = (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 1.0) / F.lit(4294967297.0)
-        u2 = F.conv(F.substring(h, 9, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-        z = F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * np.pi) * u2))
-        zcols.append(z.alias(f"_z{j}"))
-        pert.append((F.col(c) + z * F.lit(std)).alias(c))
-    perturbed = samples.select("_k", "_s", *zcols, *pert)
-    scored = _with_proba(model, _vector_rows(perturbed, feature_columns))
-    cls = scored.where(F.col("_s") == 0).select("_k", F.col("pred").alias("_cls"))
-    width = 0.75 * np.sqrt(nf)
-    dist = F.sqrt(sum((F.col(f"_z{j}") * F.col(f"_z{j}") for j in range(nf)), F.lit(0.0)))
-    data = scored.join(cls, "_k").select(
-        "_k", *[f"_z{j}" for j in range(nf)],
-        F.element_at("proba", F.col("_cls") + 1).alias("_y"),
-        F.exp(-(dist * dist) / F.lit(width * width)).alias("_w"),
-    )
-
-    def ridge(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = pdf[[f"_z{j}" for j in range(nf)]].to_numpy()
-        y = pdf["_y"].to_numpy()
-        w = pdf["_w"].to_numpy()
-        xm = np.average(X, axis=0, weights=w)
-        ym = np.average(y, weights=w)
-        Xc, yc = X - xm, y - ym
-        A = (Xc * w[:, None]).T @ Xc + np.eye(nf)
-        coef = np.linalg.solve(A, (Xc * w[:, None]).T @ yc)
-        top = np.argsort(-np.abs(coef))[:num_features]
-        return pd.DataFrame({"_k": pdf["_k"].iloc[0], "feature": [feature_columns[i] for i in top],
-                             "weight": coef[top]})
-
-    # one group per instance: bounded by num_samples + 1 rows
-    out = data.groupBy("_k").applyInPandas(ridge, f"_k {base.schema['_k'].dataType.simpleString()}, feature string, weight double")
-    return out.withColumnRenamed("_k", key_col)
-
-
 def comparison_table(results: DataFrame, selected: str, best_score: float, scoring: str = "balanced_accuracy") -> DataFrame:
     """Comparison rows and selection reason from search results."""
     best = results.groupBy("name").agg(

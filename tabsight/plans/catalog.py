@@ -8,6 +8,7 @@ only a row check applies.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,9 +16,11 @@ from pyspark.ml.feature import MinMaxScaler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import evaluate, explain, models, prep, profile, quality, report, split, text, validate
-from tabsight.plans import train
-from tabsight.sources import registry, tabular
+from tabsight.operators import evaluate, explain, kernel_shap, lime_quartile, models, prep, profile, quality, report, split, text, validate
+from tabsight.operators.profile_store import ProfileStore
+from tabsight.plans import train, vectors
+from tabsight.session import scratch_path
+from tabsight.sources import images, registry, tabular
 from tabsight.plans import sqltext as S
 from tabsight.plans import views as V
 from tabsight.sources.tables import read_table
@@ -55,6 +58,16 @@ def a01(spark, d):
     return profile.profile_columns(t(spark, d, "lineitem"))
 
 
+@register("A01_profile_batches", S.profile_sql("lineitem"))
+def a01b(spark, d):
+    """``lineitem`` added to a profile store in four batches, each read once."""
+    li = t(spark, d, "lineitem")
+    store = ProfileStore(spark, scratch_path(spark, f"profile-{uuid.uuid4().hex}"))
+    for i in range(4):
+        store.add(f"part-{i}", li.where(F.pmod(F.col("l_orderkey"), F.lit(4)) == i))
+    return store.profile()
+
+
 @register(
     "A02_target_likelihood",
     f"SELECT column_name, ordinal, score, name_score, card_score FROM ({S.scored_profile_sql('orders')})",
@@ -714,8 +727,6 @@ def j04(spark, d):
     f"WHERE length({_trim_sql('line')}) > 0",
 )
 def s04(spark, d):
-    import uuid
-
     from tabsight.session import scratch_path
 
     out = scratch_path(spark, f"text-lines-{uuid.uuid4().hex}")
@@ -1005,12 +1016,25 @@ def m03(spark, d):
     return spark.createDataFrame([(k, float(v)) for k, v in m.items()], "metric string, value double")
 
 
-@register("S14_save_load_fitted", "SELECT o_orderkey AS sample_index, true AS same FROM orders")
-def s14(spark, d):
-    import uuid
+@register("M10_train_vectors", "SELECT vec_id AS sample_index, true AS same, true AS confidence_is_largest FROM embeddings")
+def m10v(spark, d):
+    """A head trained on ``embeddings``, saved, found in the runs table, loaded and applied to all rows."""
+    base = scratch_path(spark, f"vectors-{uuid.uuid4().hex}")
+    emb = t(spark, d, "embeddings")
+    run = vectors.train_vectors(emb, "vec_id", "embedding", "label", save_path=base + "/model", registry_path=base + "/runs")
+    found = registry.list_runs(spark, base + "/runs").where(F.col("dataset_type") == "vector").first()
+    again = vectors.FittedVectorRun.load(spark, found["model_dir"])
+    before = vectors.predict_vectors(run, emb, "vec_id", "embedding").select("sample_index", F.col("predicted_label").alias("_before"))
+    after = vectors.predict_vectors(again, emb, "vec_id", "embedding")
+    probs = [F.col(f"`{c}`") for c in after.columns if c.startswith("prob_")]
+    return after.join(before, "sample_index").select(
+        "sample_index", (F.col("_before") == F.col("predicted_label")).alias("same"),
+        (F.abs(F.col("confidence") - F.greatest(*probs)) < 1e-9).alias("confidence_is_largest"),
+    )
 
-    from tabsight.session import scratch_path
 
+@register("S14_save_load_fitted", "SELECT o_orderkey AS sample_index, true AS same FROM orders")
+def s14(spark, d):
     base = scratch_path(spark, f"model-{uuid.uuid4().hex}")
     run = train.train_tabular(
         _orders_features(spark, d), "o_orderpriority", ["o_orderkey"], candidates=[models.fallback_candidate()], search=False,
@@ -1058,13 +1082,22 @@ def e07(spark, d):
     return explain.shapley_summary(run.model, rows, rows, run.pre.feature_columns, ["_key"], n_permutations=10)
 
 
+@register("E07_kernel_shapley", None)
+def e07k(spark, d):
+    run = _orders_run(spark, d)
+    rows = _orders_scaled(spark, d, run)
+    background = kernel_shap.background_summary(rows, run.pre.feature_columns)
+    values = kernel_shap.kernel_shapley(run.model, rows, background, run.pre.feature_columns, ["_key"])
+    return kernel_shap.shapley_importance(values, run.pre.feature_columns)
+
+
 @register("E05_lime_tabular", None)
 def e05(spark, d):
     run = _orders_run(spark, d)
     rows = _orders_scaled(spark, d, run)
     inst = rows.where("_key % 20 = 0")  # the queries: every id divisible by 20
-    stats = {c: (0.0, 1.0) for c in run.pre.feature_columns}  # the transform standardises every feature
-    return explain.lime_tabular(run.model, inst, stats, run.pre.feature_columns, "_key")
+    bins = lime_quartile.fit_quartile_bins(rows, run.pre.feature_columns)
+    return lime_quartile.lime_quartile(run.model, inst, bins, run.pre.feature_columns, "_key")
 
 
 @register("E06_lime_text", None)
@@ -1127,8 +1160,6 @@ _ORDERS_CSV_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
     "ELSE o_orderpriority END AS note FROM orders",
 )
 def s01(spark, d):
-    import uuid
-
     from tabsight.session import scratch_path
 
     out = scratch_path(spark, f"orders-csv-{uuid.uuid4().hex}")
@@ -1162,14 +1193,69 @@ def s02(spark, d):
     "AS dataset_type FROM pages",
 )
 def s11(spark, d):
-    listing = t(spark, d, "pages").select(F.col("url").alias("path"))
-    agg = listing.agg(F.count(F.lit(1)).alias("n_files"), tabular.image_share(listing).alias("image_share"))
-    kind = (
-        F.when((F.col("n_files") == 0) | (F.col("image_share") == 0), "unknown")
-        .when(F.col("image_share") >= 0.5, "image")
-        .otherwise("unknown")
-    )
-    return agg.select("n_files", "image_share", kind.alias("dataset_type"))
+    return tabular.listing_type(t(spark, d, "pages"), "url")
+
+
+# one row per table: its counts and whether the rule holds
+_SHAPES = {"region": ("region", 2), "orders": ("orders", 6), "lineitem_nulls": (V.LI_NULLS_SQL, 11)}
+
+
+@register(
+    "S03_require_shape",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows, {k} AS n_columns, "
+        + ("CASE WHEN count(l_empty) = 0 THEN 'l_empty' ELSE '' END" if name == "lineitem_nulls" else "''")
+        + " AS empty_columns, count(*) >= 10"
+        + (" AND count(l_empty) > 0" if name == "lineitem_nulls" else "")
+        + f" AS usable FROM {src}"
+        for name, (src, k) in _SHAPES.items()
+    ),
+)
+def s03(spark, d):
+    out = None
+    for name in _SHAPES:
+        df = V.li_nulls(spark, d) if name == "lineitem_nulls" else t(spark, d, name)
+        one = validate.shape_report(df).select(
+            F.lit(name).alias("table_name"), "n_rows", "n_columns", F.concat_ws(",", "empty_columns").alias("empty_columns"), "usable")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("S10_image_class_gate", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def s10(spark, d):
+    return images.image_class_gate(t(spark, d, "embeddings"))
+
+
+_EXPECTED = ["o_orderkey", "o_totalprice", "o_discount", "o_orderstatus", "o_clerk"]
+_HAVE = "(SELECT column_name FROM (DESCRIBE orders))"
+_WANT = "(SELECT unnest([" + ", ".join(f"'{c}'" for c in _EXPECTED) + "]) AS column_name)"
+_PROBLEMS_SQL = (
+    f"SELECT column_name, 'missing' AS problem FROM (SELECT * FROM {_WANT} EXCEPT SELECT * FROM {_HAVE}) "
+    f"UNION ALL SELECT column_name, 'unexpected' FROM (SELECT * FROM {_HAVE} EXCEPT SELECT * FROM {_WANT})"
+)
+
+
+@register("V06_check_prediction_columns", _PROBLEMS_SQL)
+def v06(spark, d):
+    return validate.check_prediction_columns(t(spark, d, "orders"), _EXPECTED, strict=False)
+
+
+_WORTH_SQL = (
+    "(SELECT o_orderstatus AS stage, o_custkey % 25 AS ordinal, max(o_totalprice) AS score FROM orders GROUP BY ALL)"
+)
+
+
+@register(
+    "W05_promotion",
+    "SELECT stage, ordinal, score, CAST(row_number() OVER w AS INTEGER) AS rank, "
+    "row_number() OVER w <= greatest(1, floor(count(*) OVER (PARTITION BY stage) * 0.5)) AS promoted "
+    f"FROM {_WORTH_SQL} WINDOW w AS (PARTITION BY stage ORDER BY score DESC, ordinal)",
+)
+def w05(spark, d):
+    # one score per (status, group of customers) stands for (stage, candidate)
+    scores = t(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("stage"), (F.col("o_custkey") % 25).alias("ordinal")).agg(
+        F.max("o_totalprice").alias("score"))
+    return models.promotion_table(scores)
 
 
 @register("S12_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5")
@@ -1183,8 +1269,6 @@ def s12(spark, d):
     f"list_extract({_NAMES_SQL}, y_pred + 1) AS label FROM {_S5_PRED}",
 )
 def s13(spark, d):
-    import uuid
-
     from tabsight.session import scratch_path
 
     p = _scored5_pred(spark, d)

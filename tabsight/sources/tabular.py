@@ -161,6 +161,15 @@ def image_share(paths: DataFrame, path_col: str = "path") -> Column:
     return F.avg(F.when(F.col(path_col).rlike(DETECT_IMAGE_PATTERN), 1.0).otherwise(0.0))
 
 
+def listing_type(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """``n_files, image_share, dataset_type`` of a listing of files: one row.
+
+    ``image`` from half the entries on; else, and for an empty listing, ``unknown``.
+    """
+    row = paths.agg(F.count(F.lit(1)).alias("n_files"), image_share(paths, path_col).alias("image_share"))
+    return row.select("n_files", "image_share", F.when(F.col("image_share") >= 0.5, "image").otherwise("unknown").alias("dataset_type"))
+
+
 def detect_dataset_type(spark: SparkSession, path: str) -> str:
     """``tabular | text | image | unknown``."""
     low = path.lower().rstrip("/")
@@ -174,10 +183,7 @@ def detect_dataset_type(spark: SparkSession, path: str) -> str:
         return "text"
     if "." not in low.rsplit("/", 1)[-1]:
         listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
-        row = listing.agg(F.count(F.lit(1)).alias("n"), image_share(listing).alias("share")).first()
-        if not row["n"] or row["share"] == 0:
-            return "unknown"
-        return "image" if row["share"] >= 0.5 else "unknown"
+        return listing_type(listing).first()["dataset_type"]
     return "unknown"
 
 

@@ -37,15 +37,6 @@ def test_permutation_importance_ranks_signal_first(spark):
     assert all(r["std"] >= 0 for r in imp)
 
 
-def test_lime_tabular_shape(spark):
-    df, model = _data(spark, seed=2)
-    inst = df.limit(3)
-    out = explain.lime_tabular(model, inst, {c: (0.0, 1.0) for c in "abc"}, ["a", "b", "c"], "id",
-                               num_samples=300, num_features=2)
-    rows = out.collect()
-    assert len(rows) == 6 and {r["feature"] for r in rows} <= {"a", "b", "c"}
-
-
 def test_promotion_table(spark):
     rows = [("m1", 1, 0.5, 0), ("m2", 1, 0.7, 1), ("m3", 1, 0.7, 2), ("m4", 1, 0.1, 3), ("m2", 2, 0.8, 1), ("m3", 2, 0.6, 2)]
     res = spark.createDataFrame(rows, "name string, stage int, score double, ordinal int")
