@@ -35,6 +35,7 @@ from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate
 from tabsight.operators.calibration import TOLERANCE, CalibratedLinearSVC
 from tabsight.operators.ranking import index_within
+from tabsight.operators.relu_net import ReluNetClassifier
 
 # Search schedule.
 STAGE_FIDELITIES = (0.1, 0.5, 1.0)
@@ -73,11 +74,10 @@ class Candidate:
 
 # ---- candidate lists (M1-M3) ---------------------------------------------------------
 
-def _mlp(hidden: list[int], iterations: int):
-    def make(n_features: int, n_classes: int) -> Estimator:
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, n_classes], maxIter=iterations, seed=DEFAULT_SEED)
-
-    return make
+def _mlp(name: str, hidden: list[int], epochs: int, alpha: float) -> Candidate:
+    params = {"layers": hidden, "maxIter": epochs, "alpha": alpha}
+    shape = "-".join(map(str, hidden))
+    return Candidate(name, lambda f, k: ReluNetClassifier(hidden, k, alpha, epochs), f"ReLU network {shape}, L2, early stopping", params)
 
 
 def _gbt(n_features: int, n_classes: int) -> Estimator:
@@ -87,12 +87,12 @@ def _gbt(n_features: int, n_classes: int) -> Estimator:
 
 
 def tabular_candidates(n_rows: int) -> list[Candidate]:
-    """MLP 64 / 128-64 / 256-128-64, GBT(100, depth 3, lr 0.1), RF, LogReg(500, L2) (M1)."""
+    """ReLU networks 64 / 128-64 / 256-128-64, GBT(100, depth 3, lr 0.1), RF, LogReg(500, L2) (M1)."""
     trees = max(100, min(400, n_rows))
     return [
-        Candidate("MLP-Small", _mlp([64], 150), "MLP with 64 hidden units", {"layers": [64], "maxIter": 150}),
-        Candidate("MLP-Medium", _mlp([128, 64], 200), "MLP 128-64", {"layers": [128, 64], "maxIter": 200}),
-        Candidate("MLP-Large", _mlp([256, 128, 64], 250), "MLP 256-128-64", {"layers": [256, 128, 64], "maxIter": 250}),
+        _mlp("MLP-Small", [64], 150, 1e-3),
+        _mlp("MLP-Medium", [128, 64], 200, 1e-3),
+        _mlp("MLP-Large", [256, 128, 64], 250, 1e-4),
         Candidate("GradientBoosting", _gbt, "Gradient-boosted trees", {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}),
         Candidate(
             "RandomForest",

@@ -23,6 +23,7 @@ from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, key_string
 from tabsight.operators import evaluate, models, prep, quality, split, validate
 from tabsight.operators.calibration import CalibratedSVCModel
+from tabsight.operators.relu_net import ReluNetModel
 from tabsight.operators.report import prediction_detail
 from tabsight.sources.registry import register_run
 
@@ -108,7 +109,8 @@ def _save_meta(path: str, meta: dict) -> None:
 
 def load_model(class_name: str, path: str) -> Model:
     """A saved Spark ML model, or one of this package's own."""
-    return (CalibratedSVCModel if class_name == CalibratedSVCModel.__name__ else getattr(C, class_name)).load(path)
+    own = {c.__name__: c for c in (CalibratedSVCModel, ReluNetModel)}
+    return own.get(class_name, getattr(C, class_name, None)).load(path)
 
 
 def assemble(df: DataFrame, feature_columns: list[str]) -> DataFrame:
