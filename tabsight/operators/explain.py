@@ -206,92 +206,3 @@ def comparison_table(results: DataFrame, selected: str, best_score: float, scori
         (F.col("name") == F.lit(selected)).alias("selected"),
         F.lit(reason).alias("reason"),
     )
-
-
-def lime_text(
-    model: Model,
-    tfidf,
-    instances: DataFrame,
-    key_col: str,
-    text_col: str,
-    num_samples: int = 500,
-    num_features: int = 10,
-    seed: int = DEFAULT_SEED,
-) -> DataFrame:
-    """LIME-style word weights for a table of texts.
-
-    Per instance the distinct words (split on non-word characters) are the
-    features.  Sample 0 is the text itself; sample s removes a seeded random
-    number (1 … d−1) of distinct words.  Every variant is vectorised by the
-    fitted TF-IDF model and scored in one transform for the class predicted
-    on the original; weights use the cosine-distance kernel
-    √exp(−(100·d)²/25²); a weighted ridge per instance runs in
-    ``applyInPandas``.  Returns ``key, word, weight`` (top ``num_features``).
-    """
-    import numpy as np
-    import pandas as pd
-
-    base = instances.select(F.col(key_col).cast("string").alias("_k"), F.col(text_col).alias("_t"))
-    base = base.withColumn("_tok", F.filter(F.split("_t", r"(?U)\W+"), lambda w: F.length(w) > 0))
-    base = base.withColumn("_words", F.array_distinct("_tok")).withColumn("_d", F.size("_words"))
-    samples = base.select("_k", "_tok", "_words", "_d", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))).alias("_s"))
-
-    def make_variants(batches):
-        import hashlib
-
-        for pdf in batches:
-            out = {"_k": [], "_s": [], "_d": [], "_mask": [], "_text": [], "_vk": []}
-            for k, toks, words, d, s_ in zip(pdf["_k"], pdf["_tok"], pdf["_words"], pdf["_d"], pdf["_s"]):
-                words = list(words)
-                if s_ == 0 or d <= 1:
-                    removed = set()
-                else:
-                    h = hashlib.md5(f"{seed}|{k}|{s_}".encode()).hexdigest()
-                    rng = np.random.default_rng(int(h[:16], 16))
-                    n_rm = int(rng.integers(1, d))
-                    removed = set(rng.choice(d, n_rm, replace=False).tolist())
-                gone = {words[i] for i in removed}
-                out["_k"].append(k)
-                out["_s"].append(int(s_))
-                out["_d"].append(int(d))
-                out["_mask"].append([0 if i in removed else 1 for i in range(d)])
-                out["_text"].append(" ".join(t for t in toks if t not in gone))
-                out["_vk"].append(f"{k}|{s_}")
-            yield pd.DataFrame(out)
-
-    # per-row Python only builds each variant (set lookups, linear in the text)
-    variants = samples.mapInPandas(
-        make_variants, "_k string, _s int, _d int, _mask array<int>, _text string, _vk string"
-    )
-    vecs = tfidf.vectors(variants.select("_vk", "_text"), "_vk", "_text")
-    scored = _with_proba(model, vecs).select("_vk", "proba", "pred")
-    joined = variants.join(scored, "_vk")
-    cls = joined.where(F.col("_s") == 0).select("_k", F.col("pred").alias("_cls"))
-    kept = F.aggregate("_mask", F.lit(0), lambda a, b: a + b)
-    dist = (F.lit(1.0) - F.sqrt(kept / F.greatest(F.col("_d"), F.lit(1)))) * F.lit(100.0)
-    data = joined.join(cls, "_k").select(
-        "_k", "_mask",
-        F.element_at("proba", F.col("_cls") + 1).alias("_y"),
-        F.sqrt(F.exp(-(dist * dist) / F.lit(25.0 * 25.0))).alias("_w"),
-    )
-    words = base.select("_k", "_words")
-    data = data.join(words, "_k")
-
-    def ridge(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.array(pdf["_mask"].tolist(), dtype=float)
-        y = pdf["_y"].to_numpy()
-        w = pdf["_w"].to_numpy()
-        names = list(pdf["_words"].iloc[0])
-        if X.size == 0 or X.shape[1] == 0:
-            return pd.DataFrame({"_k": [], "word": [], "weight": []})
-        xm = np.average(X, axis=0, weights=w)
-        ym = np.average(y, weights=w)
-        Xc, yc = X - xm, y - ym
-        A = (Xc * w[:, None]).T @ Xc + np.eye(X.shape[1])
-        coef = np.linalg.solve(A, (Xc * w[:, None]).T @ yc)
-        top = np.argsort(-np.abs(coef))[:num_features]
-        return pd.DataFrame({"_k": pdf["_k"].iloc[0], "word": [names[i] for i in top], "weight": coef[top]})
-
-    # one group per instance: num_samples rows of one mask each
-    out = data.groupBy("_k").applyInPandas(ridge, "_k string, word string, weight double")
-    return out.withColumnRenamed("_k", key_col)

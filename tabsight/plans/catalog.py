@@ -16,7 +16,7 @@ from pyspark.ml.feature import MinMaxScaler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.operators import evaluate, explain, kernel_shap, lime_quartile, models, prep, profile, quality, report, split, text, validate
+from tabsight.operators import evaluate, explain, kernel_shap, lime_quartile, lime_words, models, prep, profile, quality, report, split, text, validate
 from tabsight.operators.profile_store import ProfileStore
 from tabsight.plans import train, vectors
 from tabsight.session import scratch_path
@@ -1113,7 +1113,7 @@ def e06(spark, d):
                     .cast("double").alias("label"))
     model = LogisticRegression(maxIter=100).fit(vec.join(lab, "doc_id"))
     inst = ld.where("doc_id % 20 = 0").select("doc_id", "text")  # the queries: every id divisible by 20
-    return explain.lime_text(model, tf, inst, "doc_id", "text")
+    return lime_words.lime_text(model, tf, inst, "doc_id", "text")
 
 
 @register("F18_selection_reason", None)

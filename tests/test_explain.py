@@ -45,22 +45,6 @@ def test_promotion_table(spark):
     assert got[(2, "m2")] == (1, True) and got[(2, "m3")] == (2, False)
 
 
-def test_lime_text_runs_and_ranks_signal(spark):
-    from pyspark.sql import functions as F
-
-    from tabsight.operators import text as T
-
-    good = [f"great film wonderful story {i}" for i in range(20)]
-    bad = [f"awful film boring story {i}" for i in range(20)]
-    docs = spark.createDataFrame([(i, t, float(i < 20)) for i, t in enumerate(good + bad)], "doc_id long, text string, label double")
-    tf = T.fit_tfidf(docs, "doc_id", "text")
-    vec = tf.vectors(docs, "doc_id", "text").join(docs.select("doc_id", "label"), "doc_id")
-    model = LogisticRegression(maxIter=50).fit(vec)
-    out = explain.lime_text(model, tf, docs.where("doc_id = 0"), "doc_id", "text", num_samples=100, num_features=3)
-    words = [r["word"] for r in out.orderBy(F.abs("weight").desc()).collect()]
-    assert words and words[0] in {"great", "wonderful"}
-
-
 def test_keyed_bijection_permutes_every_size(spark):
     from tabsight.operators.explain import permuted_index
 
