@@ -14,8 +14,9 @@ starts from. The fit ends when this accuracy has not risen by more than ``tol``
 for ``patience`` epochs, and keeps the best weights. Without held-out rows the
 mean training loss takes its place.
 
-Rows with null features or label are not fitted on; rows with null features get
-a null probability and prediction. A fit without rows raises InputError.
+Rows with null features or label, or a NaN among the features, are not fitted on;
+rows with null features get a null probability and prediction. A fit without rows
+raises InputError.
 """
 
 from __future__ import annotations
@@ -185,10 +186,11 @@ class ReluNetClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasMaxIter):
     def _rows(self, data: DataFrame) -> DataFrame:
         features, label = F.col(self.getFeaturesCol()), F.col(self.getLabelCol())
         draw = F.xxhash64(F.lit(self.seed), vector_to_array(features))
-        return data.where(features.isNotNull() & label.isNotNull()).select(
+        rows = data.where(features.isNotNull() & label.isNotNull()).select(
             vector_to_array(features).alias("x"), label.cast("long").alias("y"), draw.alias("draw"),
             (F.pmod(draw, F.lit(HELD_OUT_ONE_IN)) == 0).alias("held"),
         )
+        return rows.where(~F.exists("x", F.isnan))
 
     def _fit(self, data: DataFrame) -> "ReluNetModel":
         spark = data.sparkSession

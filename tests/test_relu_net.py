@@ -1,11 +1,12 @@
 import numpy as np
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
 from tabsight.operators import models, relu_net
 from tabsight.operators.relu_net import Adam, ReluNetClassifier, ReluNetModel, loss_and_gradient
+from tabsight.plans import train
 
 
 def rings(spark, n=1200, seed=3, parts=4):
@@ -93,7 +94,9 @@ def test_penalty_shrinks_the_weights(spark):
 def test_nulls_repeated_rows_and_no_rows(spark):
     same = spark.range(50).select(F.lit(1.0).alias("label"), array_to_vector(F.array(F.lit(0.5), F.lit(2.0))).alias("features"))
     nulls = spark.range(2).select(F.lit(0.0).alias("label"), F.lit(None).cast(same.schema["features"].dataType).alias("features"))
-    model = ReluNetClassifier([4], 2, maxIter=5).fit(same.unionByName(nulls))
+    nan = same.limit(1).select("label", array_to_vector(F.array(F.lit(float("nan")), F.lit(1.0))).alias("features"))
+    model = ReluNetClassifier([4], 2, maxIter=5).fit(same.unionByName(nulls).unionByName(nan))
+    assert np.isfinite(model.weights).all()
     out = model.transform(nulls.unionByName(same.limit(1))).collect()
     assert [r["probability"] is None for r in out] == [True, True, False]
     assert [r["prediction"] is None for r in out] == [True, True, False]
@@ -112,6 +115,17 @@ def test_saved_and_loaded(spark, tmp_path):
     assert want == got
 
 
+def test_a_run_keeps_its_network(spark, tmp_path):
+    x = rings(spark, 200).select("id", F.concat(F.lit("c"), F.col("label").cast("int")).alias("target"), vector_to_array("features").alias("v"))
+    df = x.select("id", "target", F.col("v")[0].alias("a"), F.col("v")[1].alias("b"))
+    small = models.Candidate("Net", lambda f, k: ReluNetClassifier([8], k, maxIter=5))
+    run = train.train_tabular(df, "target", ["id"], candidates=[small], search=False, importance=False, quality_check=False)
+    run.save(str(tmp_path / "run"))
+    again = train.FittedRun.load(spark, str(tmp_path / "run"))
+    want, got = ({r["sample_index"]: r["pred"] for r in train.predict_batch(m, df, "id", detail=False).collect()} for m in (run, again))
+    assert want == got and len(want) == 200
+
+
 def test_candidates_use_the_network():
     nets = {c.name: c.build(4, 3) for c in models.tabular_candidates(1000) if c.name.startswith("MLP")}
     assert {n: (e.hidden, e.getMaxIter(), e.alpha) for n, e in nets.items()} == {
