@@ -61,3 +61,31 @@ def test_keyed_bijection_permutes_every_size(spark):
                 apart = sum(abs(i - p) for i, p in enumerate(order)) / n
                 assert fixed < 10 and 0.2 * n < apart < 0.5 * n  # a third of n for a random order
     assert len(seen) == 6
+
+
+def test_shapley_shuffles_no_hybrids(spark):
+    df, model = _data(spark)
+    values = explain.shapley_summary(model, df, df, ["a", "b", "c"], ["id"], n_permutations=4, per_row_values=True)
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    above, join, _ = plan.partition("SortMergeJoin [_b#")  # each row meets its background row here
+    if not join:
+        above, join, _ = plan.partition("BroadcastHashJoin [_b#")
+    assert join and above.count("Generate explode") == 3 and "Exchange" not in above and "Window" not in above
+
+
+def test_regressions_scored_by_expressions_equal_their_transform(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3)) * [1.0, 50.0, 0.01]
+    df = spark.createDataFrame([(i, *map(float, v), float(v[0] > 0), float(i % 3)) for i, v in enumerate(x)], "id long, a double, b double, c double, two double, three double")
+    vectors = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features", handleInvalid="keep")
+    odd = df.union(spark.createDataFrame([(900, float("nan"), 1.0, 2.0, 0.0, 0.0), (901, 1e300, -1e300, 0.0, 0.0, 0.0)], df.schema))
+    for label in ("two", "three"):
+        model = LogisticRegression(labelCol=label, maxIter=20).fit(vectors.transform(df))
+        want = {r["id"]: r for r in models.with_proba(model, vectors.transform(odd)).select("id", "proba", "pred").collect()}
+        scored = models.with_proba_of_columns(model, odd, ["a", "b", "c"])
+        assert "UDF" not in scored._jdf.queryExecution().executedPlan().toString()
+        got = scored.select("id", "proba", "pred").collect()
+        assert len(got) == len(want) == 202
+        for r in got:
+            assert np.allclose(r["proba"], want[r["id"]]["proba"], rtol=1e-12, atol=1e-15, equal_nan=True)
+            assert r["pred"] == want[r["id"]]["pred"]
