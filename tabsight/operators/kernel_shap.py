@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
 from tabsight.functions.exprs import DEFAULT_SEED, col
-from tabsight.operators.models import with_proba
+from tabsight.operators.models import with_proba_of_columns
 
 BACKGROUND_CENTRES = 10
 EXTRA_COALITIONS = 2048
@@ -139,7 +139,7 @@ def kernel_shapley(
     base = rows.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)],
                        *[col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(feature_columns)])
     inputs = [f"_x{j}" for j in range(nf)]
-    target = with_proba(model, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(base))
+    target = with_proba_of_columns(model, base, inputs)
     hybrids = target.select(
         *base.columns, F.col("pred").alias("_cls"),
         F.explode(F.from_json(F.lit(json.dumps(table)), "array<struct<z:array<int>,c:array<double>,e:int>>")).alias("_s"),
@@ -148,7 +148,7 @@ def kernel_shapley(
         *[c for c in base.columns if c.startswith("_k")], "_cls", F.col("_s.c").alias("_c"), F.col("_s.e").alias("_e"), F.col("_b.w").alias("_w"),
         *[F.when(F.col("_s.z")[j] == 1, F.col(x)).otherwise(F.col("_b.x")[j]).alias(x) for j, x in enumerate(inputs)],
     )
-    scored = with_proba(model, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(hybrids))
+    scored = with_proba_of_columns(model, hybrids, inputs)
     v = F.col("_w") * F.element_at("proba", F.col("_cls") + 1)
     copies = F.sum(F.when(F.col("_e") == 1, F.col("_w")))  # 1 for each row of the key
     keys = [c for c in base.columns if c.startswith("_k")]
