@@ -58,3 +58,18 @@ def test_signal_words_lead_and_empty_texts_give_nothing(spark):
     assert {r["doc_id"] for r in rows} == {"0", "25"} and len(rows) == 6
     assert rows[0]["word"] in {"great", "wonderful"} and rows[3]["word"] in {"awful", "boring"}
     assert lime_words.lime_text(model, tf, some.where("false"), "doc_id", "text", num_samples=20).count() == 0
+
+
+def test_sample_vectors_are_those_of_the_samples_texts(spark):
+    odd = "Ein Straßen-Café, ΟΔΟΣ οδος naïve NAÏVE x1 a b ① ½ ﬁne fine don't don't 3x"
+    docs = spark.createDataFrame([("1", odd), ("2", odd + " good film good film"), ("3", "good film, a b c d " * 30), ("4", ""), ("5", None), ("6", "a")], "_k string, _t string")
+    tf = T.fit_tfidf(docs, "_k", "_t")
+    masks = lime_words.word_masks(docs, "_k", "_t", 12).where("_d > 0").withColumn("_vk", F.concat_ws("|", "_k", "_s"))
+    want = {r["_vk"]: r["features"] for r in tf.vectors(masks, "_vk", "_text").collect()}
+    got = lime_words.sample_vectors(tf, docs, 12).collect()
+    assert len(got) == len(want) == 4 * 12
+    for r in got:
+        v = want[f"{r['_k']}|{r['_s']}"]
+        assert v.size == r["features"].size and np.array_equal(v.indices, r["features"].indices)
+        assert np.allclose(v.values, r["features"].values, rtol=1e-12)
+    assert any(len(v.indices) > 8 for v in want.values())
