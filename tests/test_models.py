@@ -102,6 +102,24 @@ def test_random_search(spark):
     assert results.count() == 3 and params is not None and model is not None
 
 
+def test_search_rows_are_dealt_by_their_number(spark, monkeypatch):
+    seen = []
+
+    class Watched(LogisticRegression):
+        def _fit(self, dataset):
+            seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(models, "TASK_ROWS", 50)
+    monkeypatch.setattr(models, "_estimator_for", lambda kind, p, f, k: Watched(**p))
+    data = _features(spark, _matrix(spark, 200, 2, seed=3))[1].coalesce(1)  # as one small file comes
+    params, _model, _results = models.random_search("LogisticRegression", data, "label", [train.ROW_KEY], 4, 2, n_trials=2)
+    assert params is not None and [n for n, _ in seen] == [4, 4, 4] and seen[-1][1] == 200
+    seen.clear()
+    models.successive_halving([models.Candidate("lr", lambda f, k: Watched())], data, "label", [train.ROW_KEY], 4, cv=2, parallelism=1)
+    assert [n for n, _ in seen] == [1, 1, 3, 3, 4, 4]
+
+
 def test_report_tables(spark):
     rows = [(0, [0.9, 0.1]), (0, [0.6, 0.4]), (1, [0.3, 0.7]), (0, [0.55, 0.45]), (1, [0.05, 0.95])]
     df = spark.createDataFrame(rows, "pred int, proba array<double>")
