@@ -36,7 +36,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
-    sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, max_rows=1500)
+    sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0)
     return drop_toxic(docs, fit_toxicity(sample))
 
 

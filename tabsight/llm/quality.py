@@ -4,16 +4,17 @@ Features are the words and word pairs of a text (letters, digits and non-ASCII
 characters on one side, runs of other signs on the other; A-Z lower-cased) and
 the words that come again within four words, hashed into ``buckets`` places and weighted by their share of the text. The
 model is trained by follow-the-regularised-leader (proximal) updates, example by
-example, on a bounded sample of labelled rows: ``max_rows`` documents of each
-label, those whose id hashes come first, in one task. Texts are turned into sparse rows
-where they are read, so that task sees only bucket numbers and weights. The
+example, on all labelled rows: shards of about ``shard_rows`` of them take their own
+updates for an epoch, then each number of the model becomes the mean over the shards,
+weighted by what they learned of it (``shards.py``). With one shard this is plain FTRL.
+Texts are turned into sparse rows once, so an epoch sees only bucket numbers and weights. The
 model, ``buckets`` numbers, is what is sent to the executors; each text is then
 scored whole as a sparse dot product in one pass without a shuffle.
 
 Defined results: an empty or null text has no features and gets the score of
 the intercept; labels that are null, or contradict each other for one id, are
 not used; repeated rows are scored one by one; extra columns are not read; an
-empty or one-sided training sample gives the share of ones (0.5 if none) as every score.
+empty or one-sided training set gives the share of ones (0.5 if none) as every score.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm.common import TOKEN_CLASS, bound_batches, mix, token_hashes, utf8, write_table
+from tabsight.llm.shards import deal, epoch_sum, mean_of, pack, state_batch, unpack
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -33,14 +35,17 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(parts))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, label, weight`` of at most ``max_rows`` ids of each label
-    (0, 1) that satisfy ``train`` (on ``doc_id``), drawn by id hashes, one row each; ``weight`` is the number of labelled ids that each one stands for."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: Column, max_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, text, label, weight`` of all ids with a label (0, 1) that satisfy ``train`` (on ``doc_id``),
+    one row each, or of at most ``max_rows`` of each label, drawn by id hashes; ``weight`` is the number of labelled ids that each one stands for."""
     bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IN (0, 1)").where(train)
     known = known.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("doc_id", "label")
     known = write_table(known, "labelled")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if max_rows is None:  # the labels grow with the documents: never broadcast; one shuffle serves the join and the grouping
+        return _one_text(rows.join(known.withColumn("weight", F.lit(1.0)).hint("merge"), "doc_id"))
     size = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
     parts = []
     for y in (0, 1):
@@ -50,9 +55,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
         some = known.where(F.col("label") == y).where(near).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
         parts.append(some.withColumn("weight", F.lit(n / max(1, min(n, max_rows)))))
     picked = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(F.broadcast(picked), "doc_id")  # 2 * max_rows small rows
-    # one row per id, however often the documents repeat it: that of the smallest text hash
+    return _one_text(rows.join(F.broadcast(picked), "doc_id"))  # 2 * max_rows small rows
+
+
+def _one_text(found: DataFrame) -> DataFrame:
+    """One row per id, however often the documents repeat it: that of the smallest text hash."""
     one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label", "weight")).alias("row"))
     return one.select("doc_id", "row.text", "row.label", "row.weight")
 
@@ -86,30 +93,13 @@ class FtrlModel:
         self.n[at] += g * g
 
 
-def train_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
-    """Weights (the last is the intercept) from (buckets, shares, label) rows."""
-    ones = sum(y for *_, y in rows)
-    if not rows or ones in (0, len(rows)):
-        out = np.zeros(buckets + 1)
-        share = ones / len(rows) if rows else 0.5
-        out[-1] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
-        return out
-    model = FtrlModel(buckets, alpha, beta, l1, l2)
-    order = np.random.default_rng(0)
-    for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            at, x, y = rows[i]
-            model.update(np.append(at, buckets), np.append(x, 1.0), y)
-    return model.weights(slice(None))
-
-
 def shares(at: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
     places, count = np.unique(at, return_counts=True)
     return places, count * (scale / max(1, len(at)))
 
 
 def fit_quality(
-    sample: DataFrame,
+    rows: DataFrame,
     buckets: int = 1 << 18,
     epochs: int = 6,
     alpha: float = 1.0,
@@ -117,30 +107,55 @@ def fit_quality(
     l1: float = 0.02,
     l2: float = 0.1,
     scale: float = 20.0,
+    shard_rows: int = 1 << 15,
 ) -> np.ndarray:
-    """Model weights from ``doc_id, text, label`` rows (a bounded sample)."""
+    """Model weights (the last is the intercept) from ``doc_id, text, label`` rows."""
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, text, label in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
-                at, x = shares(features(text or b"", buckets), scale)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id], pa.int64()), pa.array([label], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([x.astype(np.float32).tobytes()])],
-                    names=["doc_id", "label", "places", "x"],
-                )
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for b in batches:
-            for doc_id, label, at, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append((doc_id, at, np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), label))
-        rows.sort(key=lambda r: r[:2])  # the order of arrival must not matter
-        w = train_ftrl([r[2:] for r in rows], buckets, epochs, alpha, beta, l1, l2)
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()])], names=["w"])
-
-    found = sample.select("doc_id", "text", "label").mapInArrow(sparse, "doc_id long, label int, places binary, x binary")
-    rows = found.repartition(1).mapInArrow(train, "w binary").collect()
-    return np.frombuffer(rows[0][0], np.float32).copy() if rows else train_ftrl([], buckets, 0, alpha, beta, l1, l2).astype(np.float32)
+            found = [shares(features(t or b"", buckets), scale) for t in utf8(b.column(1))]
+            places, x = [pack(at.astype(np.int32)) for at, _ in found], [pack(v.astype(np.float32)) for _, v in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(places, pa.binary()), pa.array(x, pa.binary())], names=["doc_id", "label", "places", "x"])
+
+    def epoch(number: int):
+        def task(shared):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                start = np.frombuffer(shared.value).reshape(2, -1)
+                model = FtrlModel(buckets, alpha, beta, l1, l2)
+                model.z, model.n = start.copy()
+                for k, b in enumerate(batches):
+                    _, labels, places, x = (c.to_pylist() for c in b.columns)
+                    for i in np.random.default_rng([number, k]).permutation(len(labels)):
+                        model.update(np.append(unpack(places[i], np.int32), buckets), np.append(unpack(x[i], np.float32), 1.0), labels[i])
+                learned = model.n - start[1]
+                yield state_batch(np.concatenate([learned, learned * model.z, learned * model.n]))
+
+            return run
+
+        return task
+
+    bound_batches(rows.sparkSession)
+    rows = write_table(rows.select("doc_id", "text", "label"), "quality-rows")
+    size = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # two rows
+    n = sum(size.values())
+    if len(size) < 2:
+        share = size.get(1, 0) / n if n else 0.5
+        out = np.zeros(buckets + 1, np.float32)
+        out[-1] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
+        return out
+    dealt, shards = deal(rows, n, shard_rows)
+    # the order of arrival must not matter
+    dealt = dealt.mapInArrow(sparse, "doc_id long, label int, places binary, x binary").sortWithinPartitions("doc_id", "places").persist()
+    state = np.zeros((2, buckets + 1))
+    try:
+        for number in range(epochs):
+            learned, z, squares = epoch_sum(dealt, shards, state, epoch(number)).reshape(3, -1)
+            state = np.stack([mean_of(z, learned, state[0]), mean_of(squares, learned, state[1])])
+    finally:
+        dealt.unpersist()
+    model = FtrlModel(buckets, alpha, beta, l1, l2)
+    model.z, model.n = state
+    return model.weights(slice(None)).astype(np.float32)
 
 
 def score_text(text: bytes, weights: np.ndarray, scale: float = 20.0) -> float:

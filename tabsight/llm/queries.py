@@ -45,7 +45,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0, max_rows=1500)
+    sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "toxic", fold(F.col("doc_id"), 5) != 0)
     scores = score_toxicity(docs, fit_toxicity(sample))
     return scores.select("doc_id", _held_out(5, 0), "score", _predicted())
 
@@ -121,7 +121,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 3) != 1, max_rows=3000)
+    sample = labelled_sample(docs, read_table(spark, sf_dir, "labels"), "quality", fold(F.col("doc_id"), 3) != 1)
     scores = score_quality(docs, fit_quality(sample))
     return scores.select("doc_id", _held_out(3, 1), "score", _predicted())
 

@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabsight.errors import InputError
+from tabsight.llm import queries as llm_queries
 from tabsight.llm.common import SPACE_CLASS, TOKEN_CLASS, KeyTable, space_words, token_hashes
 from tabsight.llm.language import fit_languages, mixture, predict_languages
-from tabsight.llm.quality import features, fit_quality, fold, labelled_sample, score_quality, score_text
+from tabsight.llm.quality import FtrlModel, features, fit_quality, fold, labelled_sample, score_quality, score_text, shares
 from tabsight.llm.queries import queries
-from tabsight.llm.toxicity import Cnn, bend, drop_toxic, fit_toxicity, score_toxicity, train_cnn, word_parts
+from tabsight.llm.toxicity import Cnn, bend, best_threshold, drop_toxic, fit_toxicity, score_toxicity, train_cnn, word_parts
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, " \n"), (4, "!!! 123"), (5, "é"), (6, "word " * 300_000), (6, "word"), (None, "no id")]
@@ -169,3 +171,57 @@ def test_language_set_of_five(spark):
     got = {r.doc_id: {e.lang: e.share for e in r.langs} for r in alone}
     assert set(got[1]) == {f"l{k}" for k in range(5)} and all(abs(v - 0.2) < 0.03 for v in got[1].values())
     assert set(got[2]) == {"l5"}
+
+
+@pytest.mark.parametrize(("name", "fit", "parts", "held"), [("op9_quality", "fit_quality", 3, 1), ("op4_toxicity", "fit_toxicity", 5, 0), ("pipeline", "fit_toxicity", 5, 0)])
+def test_every_labelled_row_is_learned_from(spark, tmp_path, monkeypatch, name, fit, parts, held):
+    n = 10_000
+    spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "int(id % 2) AS quality", "int(id % 2) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = []
+    module = corpus_pipeline if name == "pipeline" else llm_queries
+    monkeypatch.setattr(module, fit, lambda rows: got.extend(rows.select("doc_id", "weight").collect()) or (np.zeros(17, np.float32) if fit == "fit_quality" else train_cnn([], np.empty(0, int), np.empty(0))))
+    _ = corpus_pipeline.toxicity(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)) if name == "pipeline" else queries()[name](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got) == [i for i in range(n) if zlib.crc32(str(i).encode()) % parts != held]
+    assert {r.weight for r in got} == {1.0}
+
+
+def toxic_rows(n):
+    return [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(30)) + (f" nastyw{i} here" if i % 3 == 0 else ""), int(i % 3 == 0), 1.0) for i in range(n)]
+
+
+def test_toxicity_shards(spark):
+    rows = toxic_rows(300)
+    data = spark.createDataFrame(rows, "doc_id long, text string, label int, weight double").repartition(5)
+    aside = {r.doc_id for r in data.where(F.pmod(F.xxhash64(F.lit("aside"), "doc_id"), F.lit(4)) == 0).collect()}
+    one = fit_toxicity(data)
+    plain = train_cnn([word_parts(r[1].encode()) for r in rows], np.array([r[2] for r in rows]), np.ones(300), np.array([r[0] in aside for r in rows]))
+    assert np.array_equal(one.keys, plain.keys) and np.allclose(one.thresholds, plain.thresholds)
+    for a, b in zip(one.params(), plain.params(), strict=True):
+        assert np.allclose(a, b)
+    many = fit_toxicity(data, shard_rows=10)  # 30 shards, added up in tasks
+    texts = [(r[1].encode(), r[2]) for r in toxic_rows(600)[300:]]
+    assert np.mean([(many.score(t) >= 0.5) == y for t, y in texts]) >= 0.97
+
+
+def test_threshold_sums():
+    rng = np.random.default_rng(5)
+    p, y, w = rng.random(200).round(2), rng.integers(0, 2, 200), rng.random(200)
+    cuts = np.unique(p)
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, 0.5)
+    f1 = lambda c: 2 * w[(p >= c) & (y == 1)].sum() / (w[p >= c].sum() + w[y == 1].sum())
+    assert abs(f1(best_threshold(p, y, w)) - max(f1(c) for c in cuts if 0.02 < c < 0.98)) < 1e-12
+
+
+def test_quality_shards(spark):
+    rows = [(i, ("good plain words " if i % 2 else "junk $$$ ### ") * (1 + i % 5) + f"w{i % 7}", i % 2) for i in range(60)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(5)
+    w = fit_quality(data, buckets=1 << 10, epochs=2)
+    model = FtrlModel(1 << 10, 1.0, 1.0, 0.02, 0.1)
+    for epoch in range(2):
+        for i in np.random.default_rng([epoch, 0]).permutation(60):
+            at, x = shares(features(rows[i][1].encode(), 1 << 10), 20.0)
+            model.update(np.append(at, 1 << 10), np.append(x.astype(np.float32), 1.0), rows[i][2])
+    assert np.allclose(w, model.weights(slice(None)), atol=1e-5) and np.abs(w).max() > 0.1
+    many = fit_quality(data, shard_rows=10)
+    assert all((score_text(t.encode(), many) > 0.5) == y for _, t, y in rows)
