@@ -45,7 +45,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
     known = write_table(known, "labelled")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if max_rows is None:  # the labels grow with the documents: never broadcast; one shuffle serves the join and the grouping
-        return _one_text(rows.join(known.withColumn("weight", F.lit(1.0)).hint("merge"), "doc_id"))
+        near = _likely_known(rows.where(train), known)  # texts without a label are hardly shuffled
+        return _one_text(near.join(known.withColumn("weight", F.lit(1.0)).hint("merge"), "doc_id"))
     size = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
     parts = []
     for y in (0, 1):
@@ -58,6 +59,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, train: C
     return _one_text(rows.join(F.broadcast(picked), "doc_id"))  # 2 * max_rows small rows
 
 
+#: Most bits of the filter of ``_likely_known`` (16 MB); and bits of one of its rows, as ``bitmap_construct_agg`` has them.
+_MAX_BITS = 1 << 27
+_ROW_BITS = 1 << 15
+
+
+def _likely_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``doc_id`` is in ``known`` (without null), and a few others: up to an
+    eighth of them, more only where ``known`` has over ``_MAX_BITS / 8`` ids. A bit per id hash is
+    broadcast, at most ``_MAX_BITS`` of them; an exact join follows."""
+    bits = min(_MAX_BITS, max(_ROW_BITS, 1 << (8 * known.count() - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    block, place = F.shiftright(slot, _ROW_BITS.bit_length() - 1), slot.bitwiseAND(F.lit(_ROW_BITS - 1))
+    # dealt by block first: each row of bits is built once
+    built = known.select(block.alias("block"), place.alias("place")).repartition("block").groupBy("block").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (place % 8).cast("int")) == 1
+    return rows.join(F.broadcast(built), (block == F.col("block")) & is_set, "left_semi")
+
+
 def _one_text(found: DataFrame) -> DataFrame:
     """One row per id, however often the documents repeat it: that of the smallest text hash."""
     one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label", "weight")).alias("row"))

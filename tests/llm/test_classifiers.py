@@ -186,6 +186,32 @@ def test_every_labelled_row_is_learned_from(spark, tmp_path, monkeypatch, name,
     assert {r.weight for r in got} == {1.0}
 
 
+def shuffled_rows(plan):
+    """Rows written by each exchange of an executed plan (by key, no broadcast)."""
+    name = plan.getClass().getSimpleName()
+    if name == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if name in ("ResultQueryStageExec", "ShuffleQueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = [plan.metrics().apply("shuffleRecordsWritten").value()] if name == "ShuffleExchangeExec" else []
+    children = plan.children()
+    return own + [n for i in range(children.size()) for n in shuffled_rows(children.apply(i))]
+
+
+@pytest.mark.parametrize("n_labels", [0, 1, 400])
+def test_texts_without_a_label_are_not_shuffled(spark, n_labels):
+    n = 20_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'no id'"))
+    labels = spark.range(n_labels).selectExpr("id * 49 - 7 AS doc_id", "int(id % 2) AS toxic").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
+    train = fold(F.col("doc_id"), 5) != 0
+    got = labelled_sample(docs, labels, "toxic", train)
+    rows = got.collect()
+    known = [i * 49 - 7 for i in range(n_labels) if zlib.crc32(str(i * 49 - 7).encode()) % 5]
+    assert sorted((r.doc_id, r.text, r.label) for r in rows) == [(i, f"text {i}", (i + 7) // 49 % 2) for i in known if 0 <= i < n]
+    sent = shuffled_rows(got._jdf.queryExecution().executedPlan())
+    assert sum(sent) <= 2 * len(known) + n // 8 and (len(sent) == 2 or not rows)  # Spark leaves out a join of nothing
+
+
 def toxic_rows(n):
     return [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(30)) + (f" nastyw{i} here" if i % 3 == 0 else ""), int(i % 3 == 0), 1.0) for i in range(n)]
 
