@@ -147,13 +147,20 @@ def fit_quality(
                     _, labels, places, x = (c.to_pylist() for c in b.columns)
                     for i in np.random.default_rng([number, k]).permutation(len(labels)):
                         model.update(np.append(unpack(places[i], np.int32), buckets), np.append(unpack(x[i], np.float32), 1.0), labels[i])
-                learned = model.n - start[1]
-                yield state_batch(np.concatenate([learned, learned * model.z, learned * model.n]))
+                yield state_batch(np.stack([model.n - start[1], model.z]).astype(sent))
 
             return run
 
         return task
 
+    def weigh(shared):
+        def read(state: bytes) -> np.ndarray:
+            learned, z = np.frombuffer(state, sent).astype(float).reshape(2, -1)
+            squares = np.frombuffer(shared.value).reshape(2, -1)[1] + learned
+            return np.concatenate([learned, learned * z, learned * squares])
+
+        return read
+
     bound_batches(rows.sparkSession)
     rows = write_table(rows.select("doc_id", "text", "label"), "quality-rows")
     size = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}  # two rows
@@ -164,12 +171,13 @@ def fit_quality(
         out[-1] = np.log(max(share, 1e-6) / max(1 - share, 1e-6))
         return out
     dealt, shards = deal(rows, n, shard_rows)
+    sent = np.float32 if shards > 1 else np.float64  # several shards' states are shuffled, in half the bytes
     # the order of arrival must not matter
     dealt = dealt.mapInArrow(sparse, "doc_id long, label int, places binary, x binary").sortWithinPartitions("doc_id", "places").persist()
     state = np.zeros((2, buckets + 1))
     try:
         for number in range(epochs):
-            learned, z, squares = epoch_sum(dealt, shards, state, epoch(number)).reshape(3, -1)
+            learned, z, squares = epoch_sum(dealt, shards, state, epoch(number), weigh).reshape(3, -1)
             state = np.stack([mean_of(z, learned, state[0]), mean_of(squares, learned, state[1])])
     finally:
         dealt.unpersist()

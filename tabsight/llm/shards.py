@@ -37,29 +37,34 @@ def deal(rows: DataFrame, n_rows: int, per_shard: int) -> tuple[DataFrame, int]:
     return rows.coalesce(shards), shards
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in batches:
-        for state in b.column(0):
-            one = np.frombuffer(state.as_buffer())
-            total = one if total is None else total + one
-    if total is not None:
-        yield state_batch(total)
+def _adder(read: Callable) -> Callable:
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for state in b.column(0):
+                one = read(state.as_buffer())
+                total = one if total is None else total + one
+        if total is not None:
+            yield state_batch(total)
+
+    return add_up
 
 
 def state_batch(state: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([state.tobytes()], pa.binary())], names=["state"])
 
 
-def epoch_sum(rows: DataFrame, shards: int, start: np.ndarray, task: Callable) -> np.ndarray:
+def epoch_sum(rows: DataFrame, shards: int, start: np.ndarray, task: Callable, weigh: Callable | None = None) -> np.ndarray:
     """The sum over the shards of what ``task(shared)``, a function of Arrow
-    batches, gives back; ``shared`` broadcasts the bytes of ``start``."""
+    batches, gives back; ``shared`` broadcasts the bytes of ``start``. With ``weigh``,
+    ``weigh(shared)`` makes what is added up from the bytes of a shard, after their shuffle."""
     shared = rows.sparkSession.sparkContext.broadcast(start.tobytes())
     sums = rows.mapInArrow(task(shared), STATE_SCHEMA)
+    read = weigh(shared) if weigh else np.frombuffer
     while shards > 1:
         shards = math.isqrt(shards)
-        sums = sums.repartition(shards).mapInArrow(_add_up, STATE_SCHEMA)
-    total = np.frombuffer(sums.first()[0])
+        sums, read = sums.repartition(shards).mapInArrow(_adder(read), STATE_SCHEMA), np.frombuffer
+    total = read(sums.first()[0])
     shared.destroy()
     return total
 
