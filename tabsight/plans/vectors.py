@@ -87,7 +87,7 @@ def train_vectors(
     label_col: str,
     candidates: list[models.Candidate] | None = None,
     search: bool = False,
-    time_budget_sec: float = models.DEFAULT_TIME_BUDGET_SEC,
+    time_budget_sec: float | None = models.DEFAULT_TIME_BUDGET_SEC,
     seed: int = DEFAULT_SEED,
     save_path: str | None = None,
     registry_path: str | None = None,

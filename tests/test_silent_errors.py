@@ -2,6 +2,7 @@
 
 import struct
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,20 @@ def test_search_runs_one_trial_and_keeps_the_callers_cache(spark):
     data.unpersist()
 
 
+def test_search_without_a_budget_tries_every_candidate_however_long_it_takes(spark, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+
+    clock = iter(range(0, 10**9, 10_000))
+    monkeypatch.setattr(models, "time", SimpleNamespace(time=lambda: float(next(clock))))
+    df = spark.createDataFrame([(i, float(i % 2), float(i % 2) + i / 100) for i in range(60)], "k long, label double, x double")
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(df)
+    candidates = [models.fallback_candidate()] * 4
+    _name, _score, results = models.successive_halving(candidates, data, "label", ["k"], 1)
+    assert [r.stage for r in results.orderBy("stage").collect()] == [1, 1, 1, 1, 2, 2, 3]
+    _name, _score, results = models.successive_halving(candidates, data, "label", ["k"], 1, time_budget_sec=600.0)
+    assert results.where("stage = 1").count() == 1
+
+
 def test_holdout_default_is_exact_at_every_size(spark):
     df = spark.range(30_000).selectExpr("id", "id % 2 AS y")
     got = {(r.y, r.is_test): r["count"] for r in split.stratified_holdout(df, "y", ["id"]).groupBy("y", "is_test").count().collect()}
