@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tabsight.errors import InputError
+from tabsight.functions.hashing import hash_ints
 from tabsight.operators import lime_quartile as L
 
 COLS = ["a", "b", "c"]
@@ -63,6 +64,32 @@ def test_result_does_not_depend_on_partitions_and_keeps_the_top(spark):
         assert a["rule"] == b["rule"] and abs(a["weight"] - b["weight"]) < 1e-9
 
 
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_blocks_equal_the_plan_over_samples(spark, monkeypatch, n_classes):
+    """The numpy form draws, scores and explains the same samples as the plan that serves any model."""
+    _, df, model = _data(spark)
+    if n_classes == 3:
+        three = df.withColumn("label", F.when(F.col("b") > 1, 2.0).otherwise(F.col("label")))
+        model = LogisticRegression(maxIter=20).fit(VectorAssembler(inputCols=COLS, outputCol="features").transform(three))
+    bins = L.fit_quartile_bins(df, COLS)
+    some = df.where("id < 30").union(df.where("id < 3"))  # keys 0 to 2 come twice
+    some = some.withColumn("id", F.when(F.col("id") != 7, F.col("id")))  # and one is null
+    run = lambda: {(r["id"], r["feature"]): (r["rule"], r["weight"]) for r in L.lime_quartile(model, some, bins, COLS, "id", 400, num_features=2).collect()}
+    blocks = run()
+    monkeypatch.setattr(L, "_MAX_PATTERN_FEATURES", -1)
+    plan = run()
+    assert blocks.keys() == plan.keys() and len(blocks) == 60
+    for k, (rule, weight) in plan.items():
+        assert blocks[k][0] == rule and blocks[k][1] == pytest.approx(weight, rel=1e-9, abs=1e-12)
+
+
+def test_hashes_are_sparks(spark):
+    rows = spark.range(2000).select(F.col("id"), (F.col("id") * 2654435761 % 4294967296 - 2147483648).cast("int").alias("v"))
+    got = rows.select("v", F.xxhash64(F.lit(42), "id").alias("h"), F.xxhash64(F.lit(42), "id", "v").alias("hv"), F.xxhash64(F.lit(42), "id", "v", F.lit(3)).alias("hv3")).toPandas()
+    hv = hash_ints(got["v"].to_numpy(), got["h"].to_numpy())
+    assert (hv == got["hv"]).all() and (hash_ints(np.int64(3), hv) == got["hv3"]).all()
+
+
 def test_feature_without_values_raises(spark):
     with pytest.raises(InputError):
         L.fit_quartile_bins(spark.createDataFrame([(None, 1.0)], "a double, b double"), ["a", "b"])
