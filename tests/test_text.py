@@ -127,3 +127,19 @@ def test_read_text_lines(spark, tmp_path):
     assert got[:2] == ["first", "second"] and len(got) == 12
     with pytest.raises(InputError):
         T.read_text_lines(spark, str(p), min_lines=50)
+
+
+def test_train_text_query_searches_every_head(spark, monkeypatch):
+    from tabsight.plans import catalog
+
+    rows = [(i, f"{'good film' if i % 2 else 'bad film'} number {i % 7}", str(i % 2)) for i in range(40)]
+    monkeypatch.setattr(catalog, "_labelled_docs", lambda _spark, _dir: spark.createDataFrame(rows, "doc_id long, text string, quality string"))
+    tried = []
+
+    def search(candidates, *_args, **_options):
+        tried.extend(c.name for c in candidates)
+        return "LogisticRegression", 1.0, spark.createDataFrame([], "name string")
+
+    monkeypatch.setattr(catalog.models, "successive_halving", search)
+    names = {r["model_name"] for r in catalog.REGISTRY["M10_train_text"].build(spark, "").collect()}
+    assert tried == ["LinearSVC", "LogisticRegression", "ComplementNB"] and names == {"LogisticRegression"}
