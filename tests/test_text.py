@@ -143,3 +143,16 @@ def test_train_text_query_searches_every_head(spark, monkeypatch):
     monkeypatch.setattr(catalog.models, "successive_halving", search)
     names = {r["model_name"] for r in catalog.REGISTRY["M10_train_text"].build(spark, "").collect()}
     assert tried == ["LinearSVC", "LogisticRegression", "ComplementNB"] and names == {"LogisticRegression"}
+
+
+def test_tfidf_moves_texts_and_no_terms(spark):
+    docs = spark.createDataFrame([(i, f"good film number {i % 7} of Café {i % 3}") for i in range(30)], "doc_id long, text string")
+    tf = T.checkpointed_term_counts(docs, "doc_id", "text")
+    model = T.fit_tfidf(docs, "doc_id", "text", tf=tf)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (tf, model.transform(docs, "doc_id", "text", tf=tf), T.term_counts(docs, "doc_id", "text")):
+        assert plan(df).count("Exchange hashpartitioning(doc_id") == 1 and "hashpartitioning(doc_id#0L, term" not in plan(df)
+    assert not re.search(r"hashpartitioning\(doc_id[^)]*term", plan(model.transform(docs, "doc_id", "text", tf=tf)))
+    # the norm is summed up once a document, not within the lambda that divides by it
+    assert not re.search(r"lambdafunction\(\(\w+ ?[^)]*/ SQRT\(aggregate", plan(model.vectors(docs, "doc_id", "text", tf=tf)), re.I)
+    assert tf.where("term = 'cafe'").count() == 30 and tf.where("term = 'of cafe'").agg(F.sum("tf")).first()[0] == 30
