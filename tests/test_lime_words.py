@@ -73,3 +73,24 @@ def test_sample_vectors_are_those_of_the_samples_texts(spark):
         assert v.size == r["features"].size and np.array_equal(v.indices, r["features"].indices)
         assert np.allclose(v.values, r["features"].values, rtol=1e-12)
     assert any(len(v.indices) > 8 for v in want.values())
+
+
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_explained_in_place_as_by_vectors(spark, monkeypatch, n_classes):
+    """A logistic regression is applied where a text lies: the same samples, words and weights as through the vectors."""
+    rnd = np.random.default_rng(3)
+    names = [f"Wört{i}" for i in range(40)] + ["good-film", "x", "naïve y"]
+    docs = [(i, " ".join(rnd.choice(names, int(rnd.integers(1, 90)))), float(i % n_classes)) for i in range(60)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, label double")
+    tf = T.fit_tfidf(docs, "doc_id", "text")
+    model = LogisticRegression(maxIter=10, regParam=0.01).fit(tf.vectors(docs, "doc_id", "text").join(docs.select("doc_id", "label"), "doc_id"))
+    odd = spark.createDataFrame([(90, ""), (91, None), (92, "one"), (93, "zzz qqq"), (None, "some words")], "doc_id long, text string")
+    some = docs.where("doc_id < 6").select("doc_id", "text").union(odd)
+    monkeypatch.setattr(lime_words, "_BLOCK_CELLS", 1500)
+    run = lambda: {(r["doc_id"], r["word"]): r["weight"] for r in lime_words.lime_text(model, tf, some, "doc_id", "text", 60, 100).collect()}
+    place = run()
+    monkeypatch.setattr(lime_words, "LogisticRegressionModel", type(None))
+    vectors = run()
+    assert place.keys() == vectors.keys() and {k for k, _ in place} == {"0", "1", "2", "3", "4", "5", "92", "93"}
+    for k, weight in vectors.items():
+        assert place[k] == pytest.approx(weight, rel=1e-8, abs=1e-11)
